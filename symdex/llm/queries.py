@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, neighbours, substrings, token_files, toxicity
+from . import bpe, decontamination, jaccard, neighbours, pii, secret_scan, substrings, token_files, toxicity
 from .support import shared_dir, table
 
 
@@ -24,6 +24,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     return token_files.report(table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
