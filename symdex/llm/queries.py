@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, neighbours, pii, secret_scan, substrings, token_files, toxicity
+from . import bpe, decontamination, jaccard, lattice, neighbours, pii, secret_scan, substrings, token_files, toxicity
 from .support import shared_dir, table
 
 
@@ -32,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     return token_files.report(table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
