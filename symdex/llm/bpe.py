@@ -164,19 +164,26 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     return arrow_map(ids.select("doc_id", "ids"), each, "doc_id long, text string")
 
 
-def report(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
+def checked(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids with digests of them and of what they decode to."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            n, a, b = [], [], []
-            for t in part.column("text").to_pylist():
-                ids = c.encode(t or "")
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return arrow_map(id_and_text(documents), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
+            columns = [
+                part.column("doc_id"),
+                pa.array(ids, pa.binary()),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return arrow_map(id_and_text(documents), each, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def report(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return checked(documents, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -266,8 +266,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     return Model(vocabulary, idf, index, curve, min(empty, 0.49))
 
 
-def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of documents with score and neighbours, the evidence: nearest examples with label and cosine.
+def scored(documents: DataFrame, model: Model, keep: list[str], evidence: bool = True) -> DataFrame:
+    """Columns ``keep`` of documents with score and, if asked for, neighbours: nearest examples with label and cosine.
 
     A document without any term, and so every null or empty text, gets the share of toxic ones among such examples.
     """
@@ -283,14 +283,17 @@ def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for d, term, weight in m.vectors(w):
                 docs, sims = m.index.nearest(term, weight, NEIGHBOURS)
                 score[d] = m.score(m.index.vote(docs, sims))
+                if not evidence:
+                    continue
                 near[d] = [{"doc_id": int(m.index.ids[x]), "toxic": int(m.index.toxic[x]), "cosine": float(s)} for x, s in zip(docs, sims, strict=True)]
             part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array(near, kind)], [*keep, "score", "neighbours"])
+            columns = [*(part.column(c) for c in keep), pa.array(score), *([pa.array(near, kind)] if evidence else [])]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "neighbours"][: len(columns)])
 
-    return arrow_map(source, each, f"{schema}, score double, neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>")
+    return arrow_map(source, each, f"{schema}, score double" + ", neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>" * evidence)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    out = scored(documents, fit(documents, labels), ["doc_id"])
+    out = scored(documents, fit(documents, labels), ["doc_id"], evidence=False)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
