@@ -5,7 +5,7 @@ So two equal passages of 13 words share a 7-word anchor that starts at a cover p
 place of the passage.  Steps:
 
 1. hash the 7-word anchors at cover positions; those that occur in two documents or more are shared;
-2. extend: the 13-word windows that hold a shared anchor within their first seven places are compared by a 128-bit hash;
+2. extend: the 13-word windows that hold a shared anchor within their first seven places are compared by a 96-bit hash;
    each gets the smallest document that holds it;
 3. remove the words of windows that a smaller document holds.
 
@@ -54,27 +54,33 @@ def anchors(w: Words) -> np.ndarray:
     return np.flatnonzero(_IS_COVER[place % PERIOD] & (w.left() >= ANCHOR) & np.repeat(w.counts() >= WINDOW, w.counts()))
 
 
+def held_twice(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that are sorted by keys and document: where each key starts, and 1 or 2 for its being in one document or more."""
+    new = np.zeros(len(doc), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, (doc[first] != doc[np.r_[first[1:], len(doc)] - 1]) + 1 if len(first) else first
+
+
 def anchor_rows(documents: DataFrame) -> DataFrame:
-    """(h, low, high): of each anchor, the smallest and largest document within a run of documents."""
+    """(h, n): each anchor once for a run of documents, with 2 where two documents of the run or more hold it."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(batch.column("doc_id"), np.int64)
-        for i, _, w in chunks(batch, "text", 4 * CHUNK_BYTES):
+        for _, _, w in chunks(batch, "text", 4 * CHUNK_BYTES):
             at = anchors(w)
-            h, d = grams(w.hash, ANCHOR, at), ids[i + w.doc()[at]]
-            order = np.argsort(h)
-            h, d = h[order], d[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            if len(first):
-                low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(low), pa.array(high)], ["h", "low", "high"])
+            h = grams(w.hash, ANCHOR, at)
+            order = np.argsort(h, kind="stable")
+            first, n = held_twice([h[order]], w.doc()[at][order])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[order][first])), pa.array(n.astype(np.int8))], ["h", "n"])
 
-    return arrow_map(documents, each, "h long, low long, high long")
+    return arrow_map(documents, each, "h long, n byte")
 
 
 def shared_anchors(documents: DataFrame) -> DataFrame:
     """Anchors of two documents or more."""
-    return anchor_rows(documents).groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h")
+    return anchor_rows(documents).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 class Filter:
@@ -83,9 +89,6 @@ class Filter:
     def __init__(self, segments: int, bits: np.ndarray):
         self.segments, self.bits = segments, bits
 
-    def __contains__(self, h: np.ndarray):  # pragma: no cover
-        raise TypeError("use test")
-
     def test(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
         base = (h % np.uint64(self.segments)).astype(np.int64) * SEGMENT
@@ -123,36 +126,55 @@ def filter_of(shared: DataFrame, n: int) -> Filter:
     return Filter(segments, bits)
 
 
-def _windows_at(w: Words, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    """Windows that hold one of the anchors at positions ``near`` within their first seven places."""
+def window_starts(w: Words, near: np.ndarray) -> np.ndarray:
+    """Starts of the windows that hold one of the anchors at positions ``near`` within their first seven places."""
     start = np.unique(near[:, None] - np.arange(PERIOD)[None, :])
     start = start[start >= 0]
-    start = start[w.left()[start] >= WINDOW]
+    return start[w.left()[start] >= WINDOW]
+
+
+def _keys(w: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for each window."""
+    return signed(grams(w.hash, WINDOW, start)), (grams(w.hash, WINDOW, start, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _places(w: Words, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    start = window_starts(w, near)
+    h1, h2 = _keys(w, start)
     doc = w.doc()[start]
-    place = start - w.first[doc]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(signed(grams(w.hash, WINDOW, start))), pa.array(signed(grams(w.hash, WINDOW, start, 1))), pa.array(ids[doc]), pa.array(place.astype(np.int32))],
-        ["h1", "h2", "doc_id", "place"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array((start - w.first[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "place"])
 
 
-WINDOW_ROW = "h1 long, h2 long, doc_id long, place int"
+def _owners(w: Words, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    start = window_starts(w, near)
+    h1, h2 = _keys(w, start)
+    doc = ids[w.doc()[start]]
+    order = np.lexsort((doc, h2, h1))
+    h1, h2, doc = h1[order], h2[order], doc[order]
+    first, n = held_twice([h1, h2], doc)
+    return pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.array(doc[first]), pa.array(n.astype(np.int8))], ["h1", "h2", "low", "n"])
 
 
-def windows_by_filter(documents: DataFrame, given: Filter) -> DataFrame:
-    held = documents.sparkSession.sparkContext.broadcast(given)
+#: What is made of the windows of a run of documents: their places, or each window once with the smallest document that holds it.
+PLACES = (_places, "h1 long, h2 int, doc_id long, place int")
+OWNERS = (_owners, "h1 long, h2 int, low long, n byte")
+
+
+def windows_by_filter(documents: DataFrame, given, kind: tuple) -> DataFrame:
+    """given: the broadcast filter."""
+    make, schema = kind
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column("doc_id"), np.int64)
-        for i, j, w in chunks(batch, "text"):
+        for i, j, w in chunks(batch, "text", 4 * CHUNK_BYTES):
             at = anchors(w)
-            yield _windows_at(w, ids[i:j], at[held.value.test(grams(w.hash, ANCHOR, at))])
+            yield make(w, ids[i:j], at[given.value.test(grams(w.hash, ANCHOR, at))])
 
-    return arrow_map(documents, each, WINDOW_ROW)
+    return arrow_map(documents, each, schema)
 
 
-def windows_by_join(documents: DataFrame, shared: DataFrame) -> DataFrame:
-    """The same where the shared anchors are too many for a broadcast: their places come back by a join."""
+def anchor_places(documents: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, text, ats): where the shared anchors are too many for a broadcast, their places come back by a join."""
 
     def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column("doc_id"), np.int64)
@@ -161,16 +183,21 @@ def windows_by_join(documents: DataFrame, shared: DataFrame) -> DataFrame:
             doc = w.doc()[at]
             yield pa.RecordBatch.from_arrays([pa.array(signed(grams(w.hash, ANCHOR, at))), pa.array(ids[i + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "id", "at"])
 
+    back = arrow_map(documents, places, "h long, id long, at int").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
+    return documents.join(back, F.col("doc_id") == F.col("id")).select("doc_id", "text", "ats")
+
+
+def windows_by_join(with_places: DataFrame, kind: tuple) -> DataFrame:
+    make, schema = kind
+
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, lists = np.asarray(batch.column("doc_id"), np.int64), batch.column("ats")
         for i, j, w in chunks(batch, "text"):
             part = lists.slice(i, j - i)
             n = np.asarray(part.value_lengths().fill_null(0), np.int64)
-            near = np.repeat(w.first[:-1], n) + np.asarray(part.flatten(), np.int64)
-            yield _windows_at(w, ids[i:j], near)
+            yield make(w, ids[i:j], np.repeat(w.first[:-1], n) + np.asarray(part.flatten(), np.int64))
 
-    back = arrow_map(documents, places, "h long, id long, at int").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    return arrow_map(documents.join(back, F.col("doc_id") == F.col("id")).select("doc_id", "text", "ats"), each, WINDOW_ROW)
+    return arrow_map(with_places, each, schema)
 
 
 def removed_places(documents: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFrame:
@@ -179,10 +206,14 @@ def removed_places(documents: DataFrame, filter_keys: int = FILTER_KEYS) -> Data
     shared = stored(shared_anchors(documents), "anchors")
     release(spark)
     n = shared.count()
-    windows = windows_by_filter(documents, filter_of(shared, n)) if n <= filter_keys else windows_by_join(documents, shared)
-    windows = stored(windows, "windows")
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("h1").alias("a"), F.col("h2").alias("b"), "low")
-    repeated = windows.join(owners, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > low")
+    if n <= filter_keys:
+        given = spark.sparkContext.broadcast(filter_of(shared, n))
+        windows = lambda kind: windows_by_filter(documents, given, kind)
+    else:
+        found = stored(anchor_places(documents, shared), "places")
+        windows = lambda kind: windows_by_join(found, kind)
+    owners = windows(OWNERS).groupBy("h1", "h2").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where("n > 1").select(F.col("h1").alias("a"), F.col("h2").alias("b"), "low")
+    repeated = windows(PLACES).join(owners, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > low")
     return repeated.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
