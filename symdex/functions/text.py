@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a line ends with.  A lone CR counts only before another CR or at the end of the text.
-_IN_LINE = r"(?:[^\r\n]|\r(?![\r\n]|\z))"
-_LINE = rf"{_IN_LINE}*(?:\r?\n|\r(?=\r|\z))|{_IN_LINE}+\z"
+_IN_LINE = r"(?:[^\r\n]++|\r(?![\r\n]|\z))"
+_LINE = rf"{_IN_LINE}*+(?:\r?\n|\r(?=\r|\z))|{_IN_LINE}++\z"
 
 
 def fold_case(x: Column) -> Column:
