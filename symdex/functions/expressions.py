@@ -35,9 +35,14 @@ def pieces(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-@F.pandas_udf("array<string>")
-def split_expressions(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else pieces(t))
+def split_expressions(text: Column) -> Column:
+    """The pieces of a text; balanced parentheses are beyond regular expressions, so this runs in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else pieces(t))
+
+    return run(text)
 
 
 def expression_refs(df: DataFrame, column: str = "text") -> DataFrame:

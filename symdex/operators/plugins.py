@@ -26,12 +26,18 @@ class Plugin:
     start: Callable[[dict[str, str]], None] | None = None
 
 
+_FAILED: set[str] = set()
+
+
 def isolated(f: Callable, *args):
-    """f(*args), or None with a log entry if it fails."""
+    """f(*args), or None if it fails; the first failure of each function in a process is logged."""
     try:
         return f(*args)
-    except Exception:
-        log.exception("a plugin failed")
+    except Exception as e:
+        name = f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', f)}"
+        if name not in _FAILED:
+            _FAILED.add(name)
+            log.warning("%s failed: %r", name, e)
         return None
 
 
