@@ -20,7 +20,7 @@ def pieces(text: str) -> list[str]:
     """
     starts = [m.start() for m in _START.finditer(text)]
     cuts = [0]
-    for start, following in zip(starts, [*starts[1:], len(text)], strict=True):
+    for start, following in zip(starts, [*starts[1:], len(text)], strict=False):
         end, depth = None, 1
         for m in _STEP.finditer(text, start + 2):
             depth += {"(": 1, ")": -1}.get(m[0], 0)
