@@ -107,7 +107,7 @@ def signatures(sets: Sets, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for back in (0, 1):
         of = np.flatnonzero(take & (size > 0) & (band >= back))
         group = band[of] - back
-        shape = np.array([partitions(int(g)) for g in group]).reshape(-1, 2)
+        shape = np.array([partitions(int(g)) for g in group], np.int64).reshape(-1, 2)
         n, m = shape[:, 0], shape[:, 1]
         each = size[of]
         base = np.cumsum(n) - n

@@ -200,8 +200,10 @@ class Model:
     def vectors(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(document, terms, weights) for documents that hold a term."""
         doc, term, n = self.vocabulary.counts(w)
+        if not len(doc):
+            return
         weight = unit(doc, term, n, self.idf)
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         for a, b in zip(first, np.r_[first[1:], len(doc)], strict=True):
             yield int(doc[a]), term[a:b], weight[a:b]
 
