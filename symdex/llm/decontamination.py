@@ -130,10 +130,14 @@ def _windows(h1, h2, length, item, prints) -> pa.RecordBatch:
     )
 
 
-def blocks(benchmark: DataFrame) -> list[Block]:
-    """The benchmark's distinct windows, ``BLOCK_WINDOWS`` or so at a time."""
+def blocks(benchmark: DataFrame) -> tuple[int, Iterator[Block]]:
+    """(number of blocks, blocks) of the benchmark's distinct windows, ``BLOCK_WINDOWS`` or so at a time."""
     found = stored(windows(benchmark).dropDuplicates(["h1", "h2", "length", "item_id"]), "windows")
     n = max(1, -(-found.count() // BLOCK_WINDOWS))
+    return n, _blocks(found, n)
+
+
+def _blocks(found: DataFrame, n: int) -> Iterator[Block]:
     for k in range(n):
         part = found.where(F.pmod(F.col("h1"), F.lit(n)) == k) if n > 1 else found
         t = part.toArrow()
@@ -153,10 +157,15 @@ def mark(documents: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFra
     documents needs doc_id and text.  A null or empty text has no words.  Repeated rows are marked each by itself.
     """
     spark, names = documents.sparkSession, [*keep]
-    source = documents.select(*names, *([F.col("text").alias("__text")]))
+    n, parts = blocks(benchmark)
+    if n > 1:  # rows meet again by what they hold, as doc_id may be null or repeated
+        own = ["doc_id", "text"]
+        documents = documents.withColumn("__row", F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b")))
+        names.append("__row")
+    source = documents.select(*names, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema) + ", " + HIT
     marked = None
-    for block in blocks(benchmark):
+    for block in parts:
         given = spark.sparkContext.broadcast(block)
 
         def each(batch: pa.RecordBatch, given=given) -> Iterator[pa.RecordBatch]:
@@ -182,13 +191,13 @@ def mark(documents: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFra
         if marked is None:
             marked = one
         else:  # only documents with hits in a further block are looked up
-            more = one.where("size(hit_items) > 0").groupBy("doc_id").agg(F.max("hit_words").alias("w"), F.max("hit_items").alias("i"))
-            marked = marked.join(more.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
+            more = one.where("size(hit_items) > 0").groupBy("__row").agg(F.max("hit_words").alias("w"), F.max("hit_items").alias("i"))
+            marked = marked.join(more, "__row", "left").select(
                 *names, "n_words",
                 F.expr("array_sort(array_union(hit_words, coalesce(w, array())))").alias("hit_words"),
                 F.expr("array_union(hit_items, coalesce(i, array()))").alias("hit_items"),
             )
-    return marked
+    return marked.select(*keep, "n_words", "hit_words", "hit_items")
 
 
 def contaminated(marked: DataFrame) -> DataFrame:

@@ -63,6 +63,9 @@ def test_decontamination_in_blocks(spark, rows, monkeypatch):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = decontamination.report(documents(spark, rows), bench).collect()
     assert {r[0]: tuple(r[1:]) for r in got} == decontamination.brute_force(dict(rows), items)
+    same = [(None, rows[0][1]), (None, "clean"), (1, rows[0][1]), (1, "clean"), (1, None)]
+    got = decontamination.report(documents(spark, same), bench).collect()
+    assert sorted(r["contaminated"] for r in got) == [False, False, False, True, True]
 
 
 def test_decontamination_of_nothing(spark, rows):
