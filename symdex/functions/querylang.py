@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .symbols import KINDS
-from .text import last_part, strip_quotes_strict
+from .text import last_part, strip_quotes_loose, strip_quotes_strict
 
 TOKEN = '"[^"]*"|"[^"]*$|[^ "]+'
 # File extensions that turn a dotted term into a file name, and prefixes of accessors.
@@ -48,16 +48,20 @@ def interpretations(q: Column) -> Column:
         return F.struct(core.alias("core"), verbatim.alias("verbatim"), namespace.alias("namespace"), words.alias("words"), dotted.alias("dotted")).cast(INTERPRETATION)
 
     none, no = F.lit(None).cast("string"), F.array().cast("array<string>")
+    bare_all = lambda a: F.transform(a, strip_quotes_loose)
 
     def of_name(x: Column) -> Column:
+        """Other names filter; they are compared with the bare core, so a quoted name also filters on itself."""
         bare = strip_quotes_strict(x)
-        return reading(bare["text"], bare["quoted"], none, F.filter(q["names"], lambda w: w != bare["text"]), q["dotted"])
+        return reading(bare["text"], bare["quoted"], none, bare_all(F.filter(q["names"], lambda w: w != bare["text"])), bare_all(q["dotted"]))
 
     def of_dotted(x: Column) -> Column:
-        tail = last_part(x)
+        bare = strip_quotes_strict(x)
+        whole = bare["text"]
+        tail = last_part(whole)
         file = F.exists(F.array(*map(F.lit, EXTENSIONS)), lambda e: e.startswith(F.lower(tail)))
-        symbol = reading(tail, F.lit(False), x, q["names"], F.filter(q["dotted"], lambda w: w != x))
-        return F.when(file, reading(x, F.lit(False), none, no, no)).otherwise(symbol)
+        symbol = reading(tail, bare["quoted"], whole, bare_all(q["names"]), bare_all(F.filter(q["dotted"], lambda w: w != whole)))
+        return F.when(file, reading(whole, bare["quoted"], none, no, no)).otherwise(symbol)
 
     def with_accessor(r: Column) -> Column:
         cut = F.lit(None).cast("string")

@@ -72,12 +72,12 @@ def decode(symbols: DataFrame, assemblies: DataFrame) -> DataFrame:
 def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbols that each interpretation's core is a prefix of.
 
-    One query's core is a literal prefix, pushed to the scan; many queries are joined on the first three characters of
-    their cores, with shorter cores (which dotted terms can have) compared on as many as they have.
+    Queries are joined on the first three characters of their cores; shorter cores, which dotted terms can have, on as
+    many as they have.  Only the lengths that occur (four at most) are joined.
     """
     q = queries.withColumn("core_key", F.upper("core")).withColumn("stem", F.substring("core_key", 1, 3))
     found = None
-    for n in (3, 2, 1, 0):
+    for n in sorted(r[0] for r in q.select(F.length("stem")).distinct().collect()) or [3]:
         part = q.where(F.length("stem") == n)
         stem = F.substring("name_key", 1, n) if n else F.lit("")
         # n = 0: every row is in the range of an empty core
@@ -86,19 +86,22 @@ def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return found
 
 
+def fits(hits: DataFrame) -> DataFrame:
+    """Decoded candidates that pass all filters of their query and interpretation."""
+    c = F.col
+    hits = hits.where(~c("verbatim") | (F.length("name") == F.length("core")))
+    hits = hits.where(filter_kind(c("kind"), c("kinds")) & filter_path(c("project_path"), c("paths")))
+    return hits.where(filter_words(c("name"), c("assembly_name"), c("project_path"), c("words")) & filter_dotted(c("assembly_name"), c("description"), c("namespace"), c("dotted")))
+
+
 def find_symbols(symbols: DataFrame, assemblies: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     """All interpretations of all queries (``querylang.parsed``): filtered, cut to ``most`` in index order, then ranked.
 
     The results of a query's interpretations are a bag: a symbol that two of them find is there twice.
     """
-    c = F.col
-    hits = candidates(symbols, queries).where(~c("verbatim") | (F.length("name") == F.length("core")))
-    hits = decode(hits, assemblies)
-    hits = hits.where(filter_kind(c("kind"), c("kinds")) & filter_path(c("project_path"), c("paths")))
-    hits = hits.where(filter_words(c("name"), c("assembly_name"), c("project_path"), c("words")) & filter_dotted(c("assembly_name"), c("description"), c("namespace"), c("dotted")))
+    hits = fits(decode(candidates(symbols, queries), assemblies))
     cut = Window.partitionBy("query_id", "reading").orderBy("pos")
-    hits = hits.withColumn("n", F.row_number().over(cut)).where(c("n") <= most).drop("n")
-    return ranked(hits)
+    return ranked(hits.withColumn("n", F.row_number().over(cut)).where(F.col("n") <= most).drop("n"))
 
 
 def ranked(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -173,8 +176,25 @@ def lookup_symbol_url(symbols: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.withColumn("symbol_id", key).join(last, "symbol_id").select("asked", url(F.col("assembly_name"), F.col("symbol_id")).alias("url"))
 
 
-def search(symbols: DataFrame, assemblies: DataFrame, text: str) -> DataFrame:
-    """One query, from its text to ranked symbols."""
+def search(symbols: DataFrame, assemblies: DataFrame, text: str, most: int = MOST) -> DataFrame:
+    """One query, from its text to ranked symbols.
+
+    Its interpretations (a few) are made on the driver, so that each core is a literal prefix in the scan of the symbols and each cut is a
+    top-k, without a join with the queries.
+    """
     spark = symbols.sparkSession
-    queries = querylang.parsed(spark.createDataFrame([(0, text)], "query_id long, query string"))
-    return find_symbols(symbols, assemblies, queries).orderBy("rank")
+    readings = querylang.parsed(spark.createDataFrame([(0, text)], "query_id long, query string"))
+    kinds = dict(readings.dtypes)
+    found = None
+    for r in readings.collect():
+        literal = {k: _literal(r[k], kinds[k]) for k in kinds}
+        hits = decode(prefix_search(symbols, r["core"]), assemblies).withColumns(literal)
+        hits = fits(hits).orderBy("pos").limit(most)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = decode(symbols, assemblies).withColumns({k: F.lit(None).cast(t) for k, t in kinds.items()}).limit(0)
+    return ranked(found).orderBy("rank")
+
+
+def _literal(value, kind: str) -> Column:
+    return (F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)).cast(kind)

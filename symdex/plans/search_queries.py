@@ -64,7 +64,7 @@ def strip_quotes_loose(spark, d):
     return w.select("x", text.strip_quotes_loose(c("x")).alias("bare"))
 
 
-@query("interpret_names", """WITH q(query_id, query, core, verbatim, words, dotted) AS (VALUES (0, 'cold', 'cold', false, '', ''), (1, '"red"', 'red', true, '"red"', ''), (2, 'cold class gear', 'cold', false, 'gear', ''), (2, 'cold class gear', 'gear', false, 'cold', ''), (3, 'ab gear Brand.1', 'gear', false, 'ab', 'Brand.1'))
+@query("interpret_names", """WITH q(query_id, query, core, verbatim, words, dotted) AS (VALUES (0, 'cold', 'cold', false, '', ''), (1, '"red"', 'red', true, 'red', ''), (2, 'cold class gear', 'cold', false, 'gear', ''), (2, 'cold class gear', 'gear', false, 'cold', ''), (3, 'ab gear Brand.1', 'gear', false, 'ab', 'Brand.1'))
 SELECT CAST(query_id AS BIGINT) AS query_id, query, core, verbatim, words, dotted FROM q""")
 def interpret_names(spark, d):
     q = asked(spark, "cold", '"red"', "cold class gear", "ab gear Brand.1").where("namespace is null")

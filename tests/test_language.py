@@ -27,6 +27,14 @@ def found(spark, symbol, texts):
     return {texts[r["query_id"]] for r in search.find_symbols(symbols, assemblies, queries).select("query_id").collect()}
 
 
+def test_one_query_like_many(spark):
+    name, assembly, project, description, glyph = CONSOLE
+    symbols = spark.createDataFrame([(0, name, name.upper(), 0, glyph, description)], "pos long, name string, name_key string, assembly_number int, glyph int, description string")
+    assemblies = spark.createDataFrame([(0, assembly, project)], "pos int, assembly_name string, project_path string")
+    for text, n in (("System.get_ConsoleC", 1), ("Console Core", 0), ("ab", 0), ('"ConsoleColor"', 1), ('"Console"', 0)):
+        assert search.search(symbols, assemblies, text).count() == n
+
+
 def test_found(spark):
     for symbol, texts in FOUND.items():
         assert found(spark, symbol, texts) == set(texts)
