@@ -11,6 +11,8 @@ wherever they are.
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .support import id_and_text
 from .tokens import buffers
 
@@ -28,8 +31,8 @@ from .tokens import buffers
 SHARD_IDS = 1 << 20
 #: Passes of pair replacement over a shard, rules of a pass, and the occurrences that a rule must save.
 PASSES, RULES, LEAST = 3, 4096, 16
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Words that a worker remembers, as written, and in lower case without a mark.
+REMEMBERED, CORES = 500_000, 1_000_000
 _BUCKETS = 20
 
 SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
@@ -46,12 +49,27 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.cores: dict[bytes, bytes] = {}
         self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def core(self, word: bytes) -> bytes:
+        """ids of a word without mark.
+
+        One made of lower-case letters alone passes the tokenizer's normalizer and splitter unchanged, so the model gets it at once.
+        """
+        text = word.decode()
+        if not word.isalpha():  # for bytes: ASCII letters
+            if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+                return self.whole(text)
+            text = word.decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
@@ -62,9 +80,9 @@ class _Words(dict):
             core = core.lower()
         ids = self.cores.get(core)
         if ids is None:
-            if len(self.cores) >= REMEMBERED:
+            if len(self.cores) >= CORES:
                 self.cores.clear()
-            ids = self.whole(core.decode())
+            ids = self.core(core)
             if len(core) <= 64:
                 self.cores[core] = ids
         if mark:
