@@ -32,7 +32,7 @@ SHARD_IDS = 1 << 20
 #: Passes of pair replacement over a shard, rules of a pass, and the occurrences that a rule must save.
 PASSES, RULES, LEAST = 3, 4096, 16
 #: Words that a worker remembers, as written, and in lower case without a mark.
-REMEMBERED, CORES = 500_000, 1_000_000
+REMEMBERED, CORES = 900_000, 1_000_000
 _BUCKETS = 20
 
 SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
@@ -124,10 +124,14 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
             break
         if len(keep) > RULES:
             keep = np.sort(keep[np.lexsort((pairs[keep], -count[keep]))[:RULES]])
-        pairs = pairs[keep]
+        # of pairs that fall on one bucket (a few in a shard) the first becomes a rule, so a bucket leads to its rule
+        bucket = ((pairs[keep].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+        pairs = pairs[keep[np.sort(np.unique(bucket, return_index=True)[1])]]
+        rule_of = np.full(1 << _BUCKETS, -1, np.int32)
+        rule_of[((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)] = np.arange(len(pairs))
         at = np.flatnonzero(maybe)
-        place = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        hit = pairs[place] == key[at]
+        place = rule_of[hashed[at]]
+        hit = (place >= 0) & (pairs[place] == key[at])
         at, place = at[hit], place[hit]
         # of pairs that overlap in a run, every second one from the left
         new = np.r_[True, np.diff(at) > 1]
