@@ -289,10 +289,10 @@ def referenced_name(spark, d):
     return rf.referenced_name(references(spark, d))
 
 
-@query("merge_occurrences", "SELECT doc_id, concat(substring(t, 1, 3), '<i>', substring(t, 4, 4), '</i>', substring(t, 8, 5), '<i>', substring(t, 13, 3), '</i>', substring(t, 16)) AS line FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents WHERE length(text) >= 40)")
+@query("merge_occurrences", "SELECT doc_id, concat(substring(t, 1, 3), CASE WHEN length(t) > 3 THEN concat('<i>', substring(t, 4, 4), '</i>') ELSE '' END, substring(t, 8, 5), CASE WHEN length(t) > 12 THEN concat('<i>', substring(t, 13, 3), '</i>') ELSE '' END, substring(t, 16)) AS line FROM (SELECT doc_id, text AS t FROM documents)")
 def merge_occurrences(spark, d):
     span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
-    return table(spark, d, "documents").where("length(text) >= 40").select("doc_id", rf.merge_occurrences(F.substring("text", 1, 40), F.array(span(12, 15), span(3, 7))).alias("line"))
+    return table(spark, d, "documents").select("doc_id", rf.merge_occurrences(c("text"), F.array(span(12, 15), span(3, 7))).alias("line"))
 
 
 @query("referencing_count", f"WITH {EDGES} SELECT to_assembly AS assembly, count(*) AS n FROM edges GROUP BY to_assembly")

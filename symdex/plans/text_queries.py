@@ -52,14 +52,14 @@ def hex_to_ulong(spark, d):
     return _docs(spark, d).select("doc_id", ids.hex_to_number(h).isNotNull().alias("valid"))
 
 
-@query("bytes_to_hex", "SELECT doc_id, lower(hex(encode(substring(text, 1, 20)))) AS h FROM documents")
+@query("bytes_to_hex", "SELECT doc_id, lower(hex(encode(text))) AS h FROM documents")
 def bytes_to_hex(spark, d):
-    return _docs(spark, d).select("doc_id", ids.bytes_to_hex(F.substring("text", 1, 20).cast("binary")).alias("h"))
+    return _docs(spark, d).select("doc_id", ids.bytes_to_hex(c("text").cast("binary")).alias("h"))
 
 
-@query("hex_to_bytes", "SELECT doc_id, substring(text, 1, 20) AS t FROM documents")
+@query("hex_to_bytes", "SELECT doc_id, text AS t FROM documents")
 def hex_to_bytes(spark, d):
-    return _docs(spark, d).select("doc_id", F.decode(ids.hex_to_bytes(ids.bytes_to_hex(F.substring("text", 1, 20).cast("binary"))), "UTF-8").alias("t"))
+    return _docs(spark, d).select("doc_id", F.decode(ids.hex_to_bytes(ids.bytes_to_hex(c("text").cast("binary"))), "UTF-8").alias("t"))
 
 
 @query("varint7", "SELECT o_orderkey AS k, o_orderkey * 99991 % 4294967296 AS n, CAST(CASE WHEN o_orderkey * 99991 % 4294967296 < 128 THEN 1 WHEN o_orderkey * 99991 % 4294967296 < 16384 THEN 2 WHEN o_orderkey * 99991 % 4294967296 < 2097152 THEN 3 WHEN o_orderkey * 99991 % 4294967296 < 268435456 THEN 4 ELSE 5 END AS BIGINT) AS size FROM orders")
@@ -80,10 +80,9 @@ def html_escape(spark, d):
     return _pages(spark, d).select("page_id", F.md5(text.html_escape(c("html"))).alias("html"))
 
 
-@query("html_escape_offsets", f"WITH p AS (SELECT page_id, trim(substring(html, 20, 60), ' ') AS t FROM pages) SELECT page_id, {_ESCAPE.format(x='t')} AS html, CAST(length({_ESCAPE.format(x='substring(t, 1, 5)')}) AS BIGINT) AS new_start, CAST(length({_ESCAPE.format(x='substring(t, 1, 30)')}) AS BIGINT) AS new_end FROM p")
+@query("html_escape_offsets", f"WITH p AS (SELECT page_id, trim(html, ' ') AS t FROM pages) SELECT page_id, {_ESCAPE.format(x='t')} AS html, CAST(length({_ESCAPE.format(x='substring(t, 1, 5)')}) AS BIGINT) AS new_start, CAST(length({_ESCAPE.format(x='substring(t, 1, 30)')}) AS BIGINT) AS new_end FROM p")
 def html_escape_offsets(spark, d):
-    t = F.trim(F.substring("html", 20, 60))
-    x = _pages(spark, d).select("page_id", text.html_escape_offsets(t, F.lit(5), F.lit(30)).alias("e"))
+    x = _pages(spark, d).select("page_id", text.html_escape_offsets(c("html"), F.lit(5), F.lit(30)).alias("e"))
     return x.select("page_id", "e.html", long("e.new_start").alias("new_start"), long("e.new_end").alias("new_end"))
 
 
@@ -92,9 +91,9 @@ def url_encode(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), text.url_encode(F.concat("p_brand", F.lit(" ("), "p_name", F.lit(")"))).alias("x"))
 
 
-@query("escape_semicolons", "SELECT page_id, translate(substring(html, 1, 200), concat(';', chr(13), chr(10)), ':  ') AS x FROM pages")
+@query("escape_semicolons", "SELECT page_id, translate(html, concat(';', chr(13), chr(10)), ':  ') AS x FROM pages")
 def escape_semicolons(spark, d):
-    return _pages(spark, d).select("page_id", text.escape_semicolons(F.substring("html", 1, 200)).alias("x"))
+    return _pages(spark, d).select("page_id", text.escape_semicolons(c("html")).alias("x"))
 
 
 @query("format_thousands", "SELECT o_orderkey AS k, format('{:,}', o_orderkey * 1237) AS x FROM orders")
@@ -118,9 +117,9 @@ def line_from_position(spark, d):
     return x.select("doc_id", long("l.start").alias("start"), long("l.length").alias("length"))
 
 
-@query("split_semicolons", "SELECT page_id, array_to_string(regexp_extract_all(substring(html, 1, 400), '[ \\t\\r\\n]+|;|[^; \\t\\r\\n]+'), '|') AS parts FROM pages")
+@query("split_semicolons", "SELECT page_id, array_to_string(regexp_extract_all(html, '[ \\t\\r\\n]+|;|[^; \\t\\r\\n]+'), '|') AS parts FROM pages")
 def split_semicolons(spark, d):
-    return _pages(spark, d).select("page_id", F.array_join(text.split_semicolons(F.substring("html", 1, 400)), "|").alias("parts"))
+    return _pages(spark, d).select("page_id", F.array_join(text.split_semicolons(c("html")), "|").alias("parts"))
 
 
 @query("split_expressions", "SELECT page_id, concat('a|$(b|$(c', page_id, ')|)|@(i,|x)') AS parts FROM pages")
@@ -156,9 +155,9 @@ def last_part(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), text.last_part(F.concat_ws(".", "p_type", "p_brand", "p_name")).alias("last"))
 
 
-@query("is_ascii", "SELECT doc_id, regexp_full_match(substring(text, 1, 60), '[ -~]*') AS ascii FROM documents")
+@query("is_ascii", "SELECT doc_id, regexp_full_match(text, '[ -~]*') AS ascii FROM documents")
 def is_ascii(spark, d):
-    return _docs(spark, d).select("doc_id", text.is_ascii(F.substring("text", 1, 60)).alias("ascii"))
+    return _docs(spark, d).select("doc_id", text.is_ascii(c("text")).alias("ascii"))
 
 
 @query("cap_large_file", "SELECT doc_id, doc_id * 61 > 30000 AS plain, doc_id * 2003 > 1000000 AS plain_xml FROM documents")
