@@ -294,14 +294,14 @@ def glyph_for_ts_kind(spark, d):
 # --- spans: words of conversations, with classes by their place
 
 
-_WORDS = """wd AS (SELECT conv_id * 1000 + turn AS doc, substring(text, 1, 200) AS t FROM conversations),
+_WORDS = """wd AS (SELECT conv_id * 1000 + turn AS doc, text AS t FROM conversations),
 px AS (SELECT doc, t, unnest(range(0, length(t), 7)) AS start FROM wd),
 sp AS (SELECT doc, start // 7 AS seq, start, 1 + (doc * 31 + start) % 9 AS length, CASE (doc + start) % 5 WHEN 0 THEN 'keyword' WHEN 1 THEN 'comment' WHEN 2 THEN 'class name' WHEN 3 THEN 'number' ELSE 'odd' END AS class FROM px),
 ln AS (SELECT doc, length(t) + 9 AS n FROM wd)"""
 
 
 def _words(spark, d):
-    w = table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("doc"), F.substring("text", 1, 200).alias("t"))
+    w = table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("doc"), c("text").alias("t"))
     starts = w.where("length(t) > 0").select("doc", F.explode(F.expr("sequence(0L, length(t) - 1L, 7L)")).alias("start"))
     kind = F.element_at(F.array(*map(F.lit, ("keyword", "comment", "class name", "number", "odd"))), ((c("doc") + c("start")) % 5 + 1).cast("int"))
     spans = starts.select("doc", F.floor(c("start") / 7).alias("seq"), "start", (1 + (c("doc") * 31 + c("start")) % 9).alias("length"), kind.alias("class"))

@@ -48,3 +48,82 @@ WHOLE = {
 def test_whole_texts(spark, texts, name):
     got = {r[0]: tuple(r)[1:] for r in registry.queries()[name](spark, texts).collect()}
     assert got == {k: WHOLE[name](t) for k, t in TEXTS.items()}
+
+
+TURNS = {7001: "word " * 90 + "end", 8002: "ab", 9003: "x" * 613}
+KINDS = ("keyword", "comment", "class name", "number", "odd")
+
+
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("turns"))
+    spark.createDataFrame([(k // 1000, k % 1000, "user", t) for k, t in TURNS.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return d
+
+
+def cut_spans(doc, t):
+    return [(s, 1 + (doc * 31 + s) % 9, KINDS[(doc + s) % 5]) for s in range(0, len(t), 7)]
+
+
+def gaps(doc, t):
+    out, last = cut_spans(doc, t), 0
+    for s, n, _ in cut_spans(doc, t):
+        if s > last:
+            out.append((last, s - last, None))
+        last = s + n
+    return out + [(last, len(t) + 9 - last, None)] * (len(t) + 9 > last)
+
+
+def points(doc, t):
+    return sorted({p for s, n, _ in cut_spans(doc, t) for p in (s, s + n)})
+
+
+def pieces(doc, t):
+    for i, (s, n, k) in enumerate(cut_spans(doc, t)):
+        at = [p for p in points(doc, t) if s <= p <= s + n]
+        yield from ((i, a, b - a, k) for a, b in zip(at, at[1:]))
+
+
+def resolved(doc, t):
+    starts = {}
+    for p in pieces(doc, t):
+        starts.setdefault(p[1], []).append(p)
+    keep = ([p for p in sorted(g) if p[3] != "comment"] or sorted(g)[:1] for g in starts.values())
+    return [p[-1][1:] for p in keep]
+
+
+def islands(doc, t):
+    out, joined = [], False
+    for s, n, k in cut_spans(doc, t):
+        word = k in ("keyword", "comment")
+        out.append([out.pop()[0] if word and joined else s, s + n])
+        joined = word
+    return [(a, b - a) for a, b in out]
+
+
+def first_seen(doc, t):
+    return {k: i for i, k in enumerate(dict.fromkeys(x[2] for x in cut_spans(doc, t)))}
+
+
+MARK = {"keyword": "k", "comment": "c", "class name": "t", "odd": "unknownClassification"}
+SPANS = {
+    "fill_gaps": gaps,
+    "fill_gaps_dedup": gaps,
+    "concat_ranges": lambda d, t: [(s, m) for s, _, k in cut_spans(d, t) for m in [False] + [True] * (k == "comment")],
+    "distinct_points": lambda d, t: [(p,) for p in points(d, t)],
+    "split_intervals": lambda d, t: [p[:3] for p in pieces(d, t)],
+    "resolve_overlaps": resolved,
+    "prepare_ranges": lambda d, t: [(len(t) + 9,)],
+    "merge_islands": islands,
+    "map_classification": lambda d, t: [(s, MARK[k]) for s, _, k in cut_spans(d, t) if k in MARK],
+    "filter_classification": lambda d, t: [(s,) for s, _, k in cut_spans(d, t) if k in ("class name", "number")],
+    "local_ids": lambda d, t: list(first_seen(d, t).items()),
+    "highlight_spans": lambda d, t: [(k, f"r{i} r") for k, i in first_seen(d, t).items()],
+}
+
+
+@pytest.mark.parametrize("name", sorted(SPANS))
+def test_spans_of_whole_texts(spark, turns, name):
+    got = [tuple(r) for r in registry.queries()[name](spark, turns).collect()]
+    want = [(doc, *x) for doc, t in TURNS.items() for x in SPANS[name](doc, t)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
