@@ -12,7 +12,6 @@ from symdex.functions.symbols import glyph_to_kind, kind_rank, pick
 from symdex.operators.graph import normalize_ids
 from symdex.operators.numbering import dense
 
-CUT = "1995-02-01 00:00:00"
 GLYPHS = {"ECONOMY": 0, "LARGE": 6, "MEDIUM": 48, "PROMO": 72, "SMALL": 102, "STANDARD": 108}
 FLAGS = {"AF": 0, "AO": 2, "RF": 3, "RO": 5, "NF": 6, "NO": 8}
 
@@ -81,18 +80,14 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def early(df: DataFrame) -> DataFrame:
-    return df.where(F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz"))
-
-
 def edges(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "supplier").count()
-    return early(table(spark, d, "lineitem")).select(F.col("l_suppkey").alias("from_assembly"), (F.col("l_partkey") % n).alias("to_assembly")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("from_assembly"), (F.col("l_partkey") % n).alias("to_assembly")).distinct()
 
 
 def locations(spark: SparkSession, d: str) -> DataFrame:
     """(id, file, offset); ids are 16 hex digits."""
-    li = early(table(spark, d, "lineitem"))
+    li = table(spark, d, "lineitem")
     file = F.concat(F.lit("f"), F.lpad((F.col("l_orderkey") % 50).cast("string"), 2, "0"), F.lit(".cs"))
     return li.select(symbol_id(F.col("l_partkey").cast("string")).alias("id"), file.alias("file"), (F.col("l_orderkey") % 50).alias("offset")).distinct()
 
@@ -110,5 +105,5 @@ sym AS (SELECT *, concat(replace(p_brand, '#', '.'), '.', name, '(', p_type, ')'
 REFS = """refs AS (SELECT l_partkey AS to_id, l_suppkey AS from_assembly, l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line,
   CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 0 WHEN 'AO' THEN 2 WHEN 'RF' THEN 3 WHEN 'RO' THEN 5 WHEN 'NF' THEN 6 ELSE 8 END AS kind, CAST(l_quantity AS INT) AS col_start, CAST(l_quantity AS INT) + 1 + l_linenumber AS col_end,
   CASE l_linenumber WHEN 1 THEN 'this' WHEN 2 THEN 'var' ELSE concat('n', l_orderkey % 10) END AS to_name, l_orderkey * 10 + l_linenumber AS seq, l_shipdate FROM lineitem)"""
-EDGES = f"edges AS (SELECT DISTINCT l_suppkey AS from_assembly, l_partkey % (SELECT count(*) FROM supplier) AS to_assembly FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')"
-LOCS = f"locs AS (SELECT DISTINCT substring(md5(CAST(l_partkey AS VARCHAR)), 1, 16) AS id, concat('f', lpad(CAST(l_orderkey % 50 AS VARCHAR), 2, '0'), '.cs') AS file, l_orderkey % 50 AS \"offset\" FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')"
+EDGES = "edges AS (SELECT DISTINCT l_suppkey AS from_assembly, l_partkey % (SELECT count(*) FROM supplier) AS to_assembly FROM lineitem)"
+LOCS = "locs AS (SELECT DISTINCT substring(md5(CAST(l_partkey AS VARCHAR)), 1, 16) AS id, concat('f', lpad(CAST(l_orderkey % 50 AS VARCHAR), 2, '0'), '.cs') AS file, l_orderkey % 50 AS \"offset\" FROM lineitem)"

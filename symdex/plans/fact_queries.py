@@ -8,7 +8,7 @@ from symdex.functions import ids, paths as pt, symbols as sy, text
 from symdex.operators import graph, numbering, references as rf, trees
 from symdex.sources import legacy, storage
 
-from .binding import ASM, CUT, EDGES, KEYED, LOCS, REFS, SQL, SYM, assemblies, bare_symbols, early, edges, keyed_assemblies, locations, long, query, references, symbols, table
+from .binding import ASM, EDGES, KEYED, LOCS, REFS, SQL, SYM, assemblies, bare_symbols, edges, keyed_assemblies, locations, long, query, references, symbols, table
 
 c = F.col
 
@@ -179,13 +179,13 @@ _DECL = "decl AS (SELECT CAST(p_partkey % 90 AS VARCHAR) AS assembly, CAST(p_par
 
 
 def _members(spark, d):
-    li = early(table(spark, d, "lineitem"))
+    li = table(spark, d, "lineitem")
     m = li.select(c("l_partkey").cast("string").alias("member_id"), (c("l_suppkey") % 90).cast("string").alias("base_assembly"), c("l_orderkey").alias("o"), ((c("l_suppkey") % 90) + 90 * (c("l_orderkey") % 10)).cast("string").alias("base_id"))
     decl = table(spark, d, "part").where("p_partkey % 4 <> 0").select((c("p_partkey") % 90).cast("string").alias("assembly"), c("p_partkey").cast("string").alias("id"), c("p_name").alias("name"))
     return m, decl
 
 
-_MEM = f"mem AS (SELECT CAST(l_partkey AS VARCHAR) AS member_id, CAST(l_suppkey % 90 AS VARCHAR) AS base_assembly, CAST(l_suppkey % 90 + 90 * (l_orderkey % 10) AS VARCHAR) AS base_id FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')"
+_MEM = "mem AS (SELECT CAST(l_partkey AS VARCHAR) AS member_id, CAST(l_suppkey % 90 AS VARCHAR) AS base_assembly, CAST(l_suppkey % 90 + 90 * (l_orderkey % 10) AS VARCHAR) AS base_id FROM lineitem)"
 _RESOLVED = f"WITH {_DECL}, {_MEM} SELECT DISTINCT member_id, base_assembly, base_id, name AS base_name FROM mem LEFT JOIN decl ON base_assembly = assembly AND base_id = id"
 
 
@@ -206,15 +206,15 @@ def _declared(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("id"), (c("p_partkey") % 10).alias("offset"))
 
 
-@query("anti_unreferenced", f"SELECT p_partkey AS id FROM part WHERE p_partkey % 10 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')")
+@query("anti_unreferenced", "SELECT p_partkey AS id FROM part WHERE p_partkey % 10 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def anti_unreferenced(spark, d):
-    return rf.unreferenced(_declared(spark, d), early(references(spark, d))).select("id")
+    return rf.unreferenced(_declared(spark, d), references(spark, d)).select("id")
 
 
-@query("base_impl_stub_files", f"SELECT p_partkey AS id FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 6 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')")
+@query("base_impl_stub_files", "SELECT p_partkey AS id FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 6 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def base_impl_stub_files(spark, d):
     kept = table(spark, d, "part").where("p_partkey % 6 = 0").select(c("p_partkey").alias("id"))
-    return rf.unreferenced(_declared(spark, d), early(references(spark, d)), kept).select("id")
+    return rf.unreferenced(_declared(spark, d), references(spark, d), kept).select("id")
 
 
 _STATES = f"WITH {_FED} SELECT s_name AS name, CASE WHEN upper(s_name) IN (SELECT assembly_key FROM fed) THEN 'federated' WHEN s_suppkey % 8 = 0 THEN 'link' ELSE 'disabled' END AS state FROM supplier"

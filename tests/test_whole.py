@@ -127,3 +127,39 @@ def test_spans_of_whole_texts(spark, turns, name):
     got = [tuple(r) for r in registry.queries()[name](spark, turns).collect()]
     want = [(doc, *x) for doc, t in TURNS.items() for x in SPANS[name](doc, t)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """Two suppliers, parts 1 to 19, and references that are nearly all late."""
+    d = str(tmp_path_factory.mktemp("late"))
+    rows = [(o, p, s, f"{1995 + o % 7}-0{1 + o % 9}-03") for o, p, s in LATE]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, day string")
+    more = "1 AS l_linenumber, 1D AS l_quantity, 'N' AS l_returnflag, 'O' AS l_linestatus, CAST(day AS timestamp_ntz) AS l_shipdate"
+    li.selectExpr("l_orderkey", "l_partkey", "l_suppkey", *more.split(", ")).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(0,), (1,)], "s_suppkey long").write.parquet(f"{d}/supplier.parquet")
+    spark.range(1, 20).selectExpr("id AS p_partkey", "concat('n', id) AS p_name").write.parquet(f"{d}/part.parquet")
+    return d
+
+
+LATE = [(0, 1, 0), (3, 2, 1), (8, 5, 1), (60, 5, 0), (61, 7, 0), (12, 9, 1)]
+USED = {p for _, p, _ in LATE}
+EDGES = {(s, p % 2) for _, p, s in LATE}
+FACTS = {
+    "anti_unreferenced": [(p,) for p in range(1, 20) if p % 10 and p not in USED],
+    "base_impl_stub_files": [(p,) for p in range(1, 20) if p % 10 and p % 6 and p not in USED],
+    "referencing_count": [(a, sum(t == a for _, t in EDGES)) for a in {t for _, t in EDGES}],
+    "file_references": [e for e in EDGES if e[0] != e[1]],
+    "join_impl_members": [(str(p), str(s), str(s + 90 * (o % 10)), f"n{s}" if o % 10 == 0 and s % 4 else None) for o, p, s in LATE],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FACTS))
+def test_references_of_all_dates(spark, late, name):
+    got = [tuple(r) for r in registry.queries()[name](spark, late).collect()]
+    assert sorted(got, key=repr) == sorted(FACTS[name], key=repr)
+
+
+def test_declarations_of_all_dates(spark, late):
+    got = registry.queries()["scan_declaration_map"](spark, late)
+    assert got.count() == len({(p, o % 50) for o, p, _ in LATE})
