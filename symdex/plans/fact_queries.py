@@ -49,14 +49,14 @@ def load_index(spark, d):
     return legacy.load_index(spark, path).select("key", "name", "assembly_number", "symbol_id", "description")
 
 
-SQL["sink_symbol_index"] = f"WITH {SYM} SELECT key, name FROM sym WHERE starts_with(upper(name), 'COLD')"
+SQL["sink_symbol_index"] = f"WITH {SYM} SELECT key, name FROM sym"
 
 
 @query("sink_symbol_index", SQL["sink_symbol_index"])
 def sink_symbol_index(spark, d):
     path = storage.fresh(spark, "index")
     legacy.write_index(bare_symbols(spark, d), path)
-    return legacy.load_index(spark, path).where(c("name_key").startswith("COLD")).select("key", "name")
+    return legacy.load_index(spark, path).select("key", "name")
 
 
 @query("scan_declarations", f"WITH {SYM}, l AS (SELECT pos, CAST(key % 500 AS VARCHAR) AS id, name, kind, replace(description, ';', ':') AS description, CASE WHEN key % 11 = 0 THEN 0 ELSE glyph END AS glyph FROM sym WHERE key % 13 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS n FROM l) SELECT id, name, kind, description, CAST(glyph AS BIGINT) AS glyph FROM r WHERE n = 1")
@@ -559,9 +559,9 @@ def is_test_project(spark, d):
     return graph.is_test_project(table(spark, d, "part").select(c("p_brand").alias("project"), c("p_name").alias("name")), ("Ring",))
 
 
-@query("scan_invocations", "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey < 900), r AS (SELECT n // 3 AS record, max(CASE WHEN n % 3 = 0 THEN o_orderpriority END) AS project_path, max(CASE WHEN n % 3 = 1 THEN o_orderpriority END) AS output_path, max(CASE WHEN n % 3 = 2 THEN o_orderpriority END) AS arguments FROM o GROUP BY 1) SELECT * FROM r")
+@query("scan_invocations", "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders), r AS (SELECT n // 3 AS record, max(CASE WHEN n % 3 = 0 THEN o_orderpriority END) AS project_path, max(CASE WHEN n % 3 = 1 THEN o_orderpriority END) AS output_path, max(CASE WHEN n % 3 = 2 THEN o_orderpriority END) AS arguments FROM o GROUP BY 1) SELECT * FROM r")
 def scan_invocations(spark, d):
-    rows = _file(table(spark, d, "orders").where("o_orderkey < 900").select("o_orderkey", c("o_orderpriority").alias("value")), "i.txt", "o_orderkey")
+    rows = _file(table(spark, d, "orders").select("o_orderkey", c("o_orderpriority").alias("value")), "i.txt", "o_orderkey")
     return legacy.parse_invocations(rows).drop("file")
 
 

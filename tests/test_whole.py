@@ -163,3 +163,17 @@ def test_references_of_all_dates(spark, late, name):
 def test_declarations_of_all_dates(spark, late):
     got = registry.queries()["scan_declaration_map"](spark, late)
     assert got.count() == len({(p, o % 50) for o, p, _ in LATE})
+
+
+def test_invocations_of_all_orders(spark, tmp_path):
+    spark.range(890, 911).selectExpr("id AS o_orderkey", "concat('p', id) AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in registry.queries()["scan_invocations"](spark, str(tmp_path)).orderBy("record").collect()]
+    assert got == [(i, *(f"p{890 + 3 * i + j}" for j in range(3))) for i in range(7)]
+
+
+def test_whole_index_is_returned(spark, tmp_path):
+    spark.range(5).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(40).selectExpr("id AS p_partkey", "concat(IF(id % 2 = 0, 'cold ', 'warm '), id) AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["key"]: r["name"] for r in registry.queries()["sink_symbol_index"](spark, str(tmp_path)).collect()}
+    names = {i: f"{('cold', 'warm')[i % 2]}{i}" for i in range(40)}
+    assert got == {i: n.upper() if i % 3 == 0 else n for i, n in names.items()}
