@@ -13,7 +13,7 @@ query, so rows that leave a task don't grow with its input, nor with the size of
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,16 +190,9 @@ class _All(Block):
         return np.ones((len(self.ids), len(x)), bool)
 
 
-def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``asking`` its k nearest of ``rows``, never rows with its own id.
-
-    Both hold vec_id and embedding.  Vectors that are null, of another dimension than most, all zero, or that hold null or non-finite components
-    take no part.  Of several queries with one id one is taken.  Ties go to the smaller vec_id.
-    """
+def _found(rows: DataFrame, asking: DataFrame, k: int, dimension: int, block: Callable[[np.ndarray, np.ndarray], Block]) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of the candidates that ``block`` has for each query."""
     spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asking = asking.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    dimension, hashes, n_probes = fit(rows)
     n_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for i in range(n_blocks if dimension else 0):
@@ -209,7 +202,7 @@ def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = F
         ids, x = vectors(t["vec_id"].combine_chunks(), t["embedding"], dimension)
         if not len(ids):
             continue
-        given = spark.sparkContext.broadcast(_All(ids, x) if exact else Block(hashes, ids, x, n_probes))
+        given = spark.sparkContext.broadcast(block(ids, x))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             best = Nearest(given.value, k)
@@ -223,6 +216,24 @@ def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = F
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``asking`` its k nearest of ``rows``, never rows with its own id.
+
+    Both hold vec_id and embedding.  Vectors that are null, of another dimension than most, all zero, or that hold null or non-finite components
+    take no part.  Of several queries with one id one is taken.  Ties go to the smaller vec_id.  Queries that meet fewer than k rows in
+    the buckets they visit are ranked against all rows.
+    """
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asking = asking.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+    dimension, hashes, n_probes = fit(rows)
+    if exact or not dimension:
+        return _found(rows, asking, k, dimension, _All)
+    near = _found(rows, asking, k, dimension, lambda ids, x: Block(hashes, ids, x, n_probes)).persist()
+    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    rest = _found(rows, asking.join(full, "vec_id", "left_anti"), k, dimension, _All)
+    return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest).select("query_id", "rank", "vec_id", "score")
+
+
 def report(embeddings: DataFrame, exact: bool = False) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by 100."""
     return search(embeddings, embeddings.where(F.col("vec_id") % 100 == 0), exact=exact)

@@ -53,3 +53,15 @@ def test_probes_come_in_order():
     assert len({tuple(x) for x in p.tolist()}) == 60 and not p[0].any()
     cost = [sum((f if d == -1 else f + (-d - 1) if d < 0 else d - f) ** 2 if d else 0 for f, d in zip(inside, x, strict=True)) for x in p.tolist()]
     assert cost == sorted(cost)
+
+
+def test_far_outliers_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 2000) if i % 100]
+    rows += [(100 * i, (40.0 * i * rng.normal(size=8)).tolist()) for i in range(1, 13)]
+    want = brute(rows, [100 * i for i in range(1, 13)])
+    got: dict = {}
+    for r in neighbours.report(table(spark, rows).repartition(3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
+    assert sum(got[q] == [i for i, _ in want[q]] for q in want) >= 11
