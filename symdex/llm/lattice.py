@@ -4,8 +4,9 @@ A word is a lattice of all its segmentations into pieces of an existing vocabula
 expected piece counts over the training words (forward and backward sums) then give the weights of the model.  The score
 of a document is the log10 probability of its words, each summed over all segmentations by a forward recursion in log space, and of its end.
 
-Words are merged before any shuffle: a run of documents becomes one row that lists each distinct word once, and so a
-frequent word reaches the shuffle once for each run.  Word statistics return to the runs by joins on the word and on the run.
+Words are merged before any shuffle: a run of documents (``RUN_BYTES`` of text) lists each distinct word once, and so a frequent
+word reaches the shuffle once for each run.  Word statistics return to the runs by a join on the word, and a run's rows, bounded by
+its text, are brought together to score its documents.
 """
 
 from __future__ import annotations
@@ -20,24 +21,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import fold, release, stored
-from .tokens import Words, buffers, mix, powers, runs
+from .support import discard, fold, id_and_text, in_batches, stored
+from .tokens import Words, buffers, gathered, mix, powers, runs, string_array
 
 #: Bytes of text of one run of documents, and of one look at them.
 RUN_BYTES, LOOK_BYTES = 8 << 20, 1 << 20
 #: Rounds of expected counts, and what each piece has besides them.
 ROUNDS, SMOOTH = 1, 0.1
-LONGEST = 16
+#: Pieces beyond so many bytes are looked up only where their beginning of that length is one of a longer piece.
+SHORT = 12
 #: Words of up to so many bytes are taken together; longer ones one by one.
 TOGETHER = 64
 SPACE = "▁".encode()
 _BASE = 0x9E3779B97F4A7C15
 
-RUN = "run long, words array<string>, counts array<long>, doc_ids array<long>, held_out array<boolean>, lengths array<int>, codes binary"
+RUN = "run long, place int, word string, n long, docs binary"
+
+
+def packed(doc_ids: pa.Array, held: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+    """Documents of a run: ids, folds, numbers of words, and the place of each word in the run's list."""
+    ids = np.asarray(doc_ids.fill_null(0), np.int64)
+    parts = [np.array([len(ids)], "<i8"), ids.astype("<i8"), np.asarray(doc_ids.is_valid(), np.uint8), held.astype(np.uint8), lengths.astype("<u4"), codes.astype("<u4")]
+    return zlib.compress(b"".join(x.tobytes() for x in parts), 1)
+
+
+def unpacked(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(docs)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ids, at = np.frombuffer(raw, "<i8", n, 8), 8 + 8 * n
+    known, held = np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, np.uint8, n, at + n)
+    lengths = np.frombuffer(raw, "<u4", n, at + 2 * n).astype(np.int64)
+    return pa.array(ids, pa.int64(), mask=known == 0), held == 1, lengths, np.frombuffer(raw, "<u4", -1, at + 6 * n)
 
 
 def word_runs(documents: DataFrame) -> DataFrame:
-    """One row for each run of documents: distinct words with their training counts, and every document as numbers of words."""
+    """For each run of documents its distinct words (place, word, n: occurrences in training documents), and one row with docs.
+
+    That row's n is the number of the run's training documents.
+    """
+
+    def one(ids: pa.Array, held: np.ndarray, data: np.ndarray, offsets: np.ndarray, number: int) -> pa.RecordBatch:
+        hashes, first, texts, sizes, lengths = [], [], [], [], []
+        for i, j in runs(offsets, LOOK_BYTES):
+            part = data[offsets[i] : offsets[j]]
+            w = Words(part, offsets[i : j + 1] - offsets[i], "space", True)
+            u, at = np.unique(w.hash, return_index=True)
+            low = part.copy()
+            low[(low >= 0x41) & (low <= 0x5A)] += 0x20
+            first.append(u)
+            texts.append(gathered(low, w.start[at], w.end[at]))
+            sizes.append(w.end[at] - w.start[at])
+            hashes.append(w.hash)
+            lengths.append(w.counts())
+        h, n = np.concatenate(hashes), np.concatenate(lengths)
+        known, at = np.unique(np.concatenate(first), return_index=True)
+        size = np.concatenate(sizes)
+        end = np.cumsum(size)
+        words = string_array(gathered(np.concatenate(texts), (end - size)[at], end[at]), size[at])
+        code = np.searchsorted(known, h)
+        counts = np.bincount(code, np.repeat(~held, n), len(known)).astype(np.int64)
+        m = len(known)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(m + 1, number)),
+                pa.array(np.arange(m + 1, dtype=np.int32), mask=np.arange(m + 1) == m),
+                pa.concat_arrays([words, pa.nulls(1, pa.string())]),
+                pa.array(np.r_[counts, np.count_nonzero(~held)]),
+                pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([packed(ids, held, n, code)], pa.binary())]),
+            ],
+            [x.split()[0] for x in RUN.split(", ")],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -45,30 +98,11 @@ def word_runs(documents: DataFrame) -> DataFrame:
             data, offsets = buffers(batch.column("text"))
             held = np.asarray(batch.column("held_out").fill_null(False))
             for a, b in runs(offsets, RUN_BYTES):
-                hashes, first, texts = [], [], []
-                lengths = []
-                for i, j in runs(offsets[a : b + 1], LOOK_BYTES):
-                    part = data[offsets[a + i] : offsets[a + j]]
-                    w = Words(part, offsets[a + i : a + j + 1] - offsets[a + i], "space", True)
-                    u, at = np.unique(w.hash, return_index=True)
-                    low = part.copy()
-                    low[(low >= 0x41) & (low <= 0x5A)] += 0x20
-                    raw = low.tobytes()
-                    first.append(u)
-                    texts += [raw[s:e].decode() for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-                    hashes.append(w.hash)
-                    lengths.append(w.counts())
-                h, n = np.concatenate(hashes), np.concatenate(lengths)
-                known, at, = np.unique(np.concatenate(first), return_index=True)
-                code = np.searchsorted(known, h)
-                counts = np.bincount(code, np.repeat(~held[a:b], n), len(known)).astype(np.int64)
-                row = [number, [texts[k] for k in at.tolist()], counts, batch.column("doc_id").slice(a, b - a).to_pylist(), held[a:b].tolist(), n.astype(np.int32), zlib.compress(code.astype("<u4").tobytes(), 1)]
-                kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in RUN.split(", ")])
+                yield one(batch.column("doc_id").slice(a, b - a), held[a:b], data, offsets[a : b + 1], number)
                 number += 1
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(fold("doc_id") == 1, F.lit(False)))
-    return source.mapInArrow(run, RUN)
+    source = id_and_text(documents).withColumn("held_out", F.coalesce(fold("doc_id") == 1, F.lit(False)))
+    return in_batches(source).mapInArrow(run, RUN)
 
 
 class Pieces:
@@ -89,6 +123,10 @@ class Pieces:
         self.hash = h[self.order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+        size = end - start
+        self.sizes = np.unique(size).tolist()
+        long = start[size > SHORT]
+        self.beginnings = np.unique(mix((sums[long + SHORT] - sums[long]) * down[long] + np.uint64(SHORT)))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, piece) of the hashes that are pieces."""
@@ -97,6 +135,13 @@ class Pieces:
         hit = self.hash[place] == h[at]
         return at[hit], self.order[place[hit]]
 
+    def begins(self, h: np.ndarray) -> np.ndarray:
+        """Indices of the hashes of ``SHORT`` bytes with which a longer piece begins."""
+        if not len(self.beginnings):
+            return np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.beginnings, h), len(self.beginnings) - 1)
+        return np.flatnonzero(self.beginnings[place] == h)
+
     @staticmethod
     def load(path: str) -> Pieces:
         """From a public piece model: the better a piece's score (its rank, negated), the larger its first weight."""
@@ -106,23 +151,32 @@ class Pieces:
         found: dict[bytes, float] = {bytes([b]): 1e-7 for b in range(256)}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or len(piece.encode()) > LONGEST:
+            if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
                 continue
             found[piece.encode()] = 1 / (10 - max(model.get_score(i), -1e6))
         return Pieces(list(found), np.array(list(found.values())))
 
 
 def _edges(words: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, stop, words, pieces) of every piece in words of one length (a matrix of bytes)."""
+    """(start, stop, words, pieces) of every piece in words of one length (a matrix of bytes), ascending by start."""
     n = words.shape[1]
     up, down = powers(_BASE, n + 1)
-    sums = np.zeros((len(words), n + 1), np.uint64)
-    np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[:n], axis=1, out=sums[:, 1:])
-    for stop in range(1, n + 1):
-        for start in range(max(0, stop - LONGEST), stop):
-            at, piece = pieces.find(mix((sums[:, stop] - sums[:, start]) * down[start] + np.uint64(stop - start)))
+    sums = np.zeros((n + 1, len(words)), np.uint64)
+    np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * up[:n, None], axis=0, out=sums[1:])
+    for start in range(n):
+        for size in pieces.sizes:
+            if size > min(SHORT, n - start):
+                break
+            at, piece = pieces.find(mix((sums[start + size] - sums[start]) * down[start] + np.uint64(size)))
             if len(at):
-                yield start, stop, at, piece
+                yield start, start + size, at, piece
+        if n - start > SHORT:
+            deep = pieces.begins(mix((sums[start + SHORT] - sums[start]) * down[start] + np.uint64(SHORT)))
+            for size in pieces.sizes if len(deep) else ():
+                if SHORT < size <= n - start:
+                    at, piece = pieces.find(mix((sums[start + size, deep] - sums[start, deep]) * down[start] + np.uint64(size)))
+                    if len(at):
+                        yield start, start + size, deep[at], piece
 
 
 def marginal(words: np.ndarray, pieces: Pieces, expect: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -159,7 +213,7 @@ def _long(word: np.ndarray, pieces: Pieces, expect: tuple[float, np.ndarray] | N
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((word.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     found = []
-    for size in range(1, min(LONGEST, n) + 1):
+    for size in (x for x in pieces.sizes if x <= n):
         at, piece = pieces.find(mix((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size] + np.uint64(size)))
         found.append((at, at + size, piece))
     start, stop, piece = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -182,20 +236,21 @@ def _long(word: np.ndarray, pieces: Pieces, expect: tuple[float, np.ndarray] | N
     return float(forward[n])
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices, bytes) of words with the space mark, a length at a time."""
-    raw = [SPACE + w.encode() for w in words]
-    size = np.array([len(r) for r in raw], np.int64)
+    data, offsets = buffers(words)
+    size = np.diff(offsets)
+    mark = np.frombuffer(SPACE, np.uint8)
     for n in np.unique(size).tolist():
         index = np.flatnonzero(size == n)
-        step = len(index) if n <= TOGETHER else max(1, (1 << 16) // n)
-        for i in range(0, len(index), min(step, 16384)):
-            part = index[i : i + min(step, 16384)]
-            yield part, np.frombuffer(b"".join(raw[k] for k in part.tolist()), np.uint8).reshape(-1, n)
+        step = 16384 if n <= TOGETHER else max(1, (1 << 16) // n)
+        for i in range(0, len(index), step):
+            part = index[i : i + step]
+            yield part, np.hstack([np.tile(mark, (len(part), 1)), data[offsets[part][:, None] + np.arange(n)[None, :]]])
 
 
 def retrained(words: DataFrame, pieces: Pieces, documents: int) -> Pieces:
-    """Weights from expected counts over the training words; the last piece, the empty one, is the end of a document."""
+    """Weights from expected counts over the training words; the end of a document is counted besides the pieces."""
     given = words.sparkSession.sparkContext.broadcast(pieces)
     n = len(pieces.strings)
 
@@ -203,12 +258,12 @@ def retrained(words: DataFrame, pieces: Pieces, documents: int) -> Pieces:
         counts = np.zeros(n)
         for batch in batches:
             weight = np.asarray(batch.column("c"), np.float64)
-            for index, matrix in by_length(batch.column("word").to_pylist()):
+            for index, matrix in by_length(batch.column("word")):
                 marginal(matrix, given.value, (weight[index], counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
-    found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    found = in_batches(words.where("c > 0").select("word", "c")).mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     counts = np.full(n, SMOOTH)
     for r in found:
         counts[r["piece"]] += r["n"]
@@ -226,56 +281,92 @@ def word_scores(words: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.zeros(batch.num_rows)
-            for index, matrix in by_length(batch.column("word").to_pylist()):
+            for index, matrix in by_length(batch.column("word")):
                 p[index] = marginal(matrix, given.value) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], ["word", "c", "p"])
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, p double")
+    return in_batches(words.select("word", "c")).mapInArrow(run, "word string, c long, p double")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(word, c): every word of the runs with its training count."""
+    return rows.where("docs is null").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def trained(words: DataFrame, documents: int, path: str) -> Pieces:
+    """Pieces of a vocabulary with weights from the training words of a table (word, c)."""
+    pieces = Pieces.load(path)
+    for _ in range(ROUNDS):
+        pieces = retrained(words, pieces, documents)
+    return pieces
 
 
 def report(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    Training documents are those whose fold is not 1.  A null or empty text is the end alone.  Without any training document,
-    counts are 0 and pieces keep the smoothed weights.
+    Training documents are those whose fold is not 1, and those without doc_id.  A null or empty text is the end alone.  Repeated rows count
+    and are scored each by itself.  Without any training document, counts are 0 and pieces keep the smoothed weights.
     """
-    spark = documents.sparkSession
     rows = stored(word_runs(documents), "runs")
-    words = rows.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    release(spark)
+    words = stored(counted(rows), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    trained = rows.agg(F.coalesce(F.sum(F.expr("size(filter(held_out, x -> not x))")), F.lit(0)).alias("n")).first()["n"]
-    all_tokens, distinct = total["n"] + trained, total["v"] + (trained > 0)
-    pieces = Pieces.load(path)
-    for _ in range(ROUNDS):
-        pieces = retrained(words, pieces, trained)
+    train = rows.where("docs is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    all_tokens, distinct = total["n"] + train, total["v"] + (train > 0)
+    pieces = trained(words, train, path)
     scores = stored(word_scores(words, pieces), "scores")
-    back = rows.select("run", F.posexplode("words").alias("place", "word")).join(scores, "word")
-    back = back.groupBy("run").agg(F.collect_list(F.struct("place", "c", "p")).alias("values")).withColumnRenamed("run", "r")
-    whole = rows.select("run", "doc_ids", "held_out", "lengths", "codes").join(back.hint("shuffle_hash"), F.col("run") == F.col("r"), "left")
+    discard(words)
     below = all_tokens + 0.5 * (distinct + 1)
-    end_base, end_score = math.log10((trained + 0.5) / below), pieces.end / math.log(10)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                values = batch.column("values").slice(k, 1).flatten()
-                place = np.asarray(values.field("place"), np.int64)
-                c, p = np.zeros(len(place)), np.zeros(len(place))
-                c[place], p[place] = np.asarray(values.field("c"), np.float64), np.asarray(values.field("p"), np.float64)
-                base = np.log10((c + 0.5) / below)
-                code = np.frombuffer(zlib.decompress(batch.column("codes")[k].as_py()), "<u4")
-                n = np.asarray(batch.column("lengths").slice(k, 1).flatten(), np.int64)
-                doc = np.repeat(np.arange(len(n)), n)
-                total = lambda x, code=code, doc=doc, n=n: np.bincount(doc, x[code], len(n))
-                known = total((c > 0).astype(float)).astype(np.int64) + (trained > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids").slice(k, 1).flatten(), batch.column("held_out").slice(k, 1).flatten(), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), all_tokens, np.int64)), pa.array(total(base) + end_base), pa.array(total(p) + end_score)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return whole.select("doc_ids", "held_out", "lengths", "codes", "values").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    end_base, end_score = math.log10((train + 0.5) / below), pieces.end / math.log(10)
+
+    def of_run(parts: pa.Table) -> pa.Table:
+        parts = parts.combine_chunks()
+        listed = parts.filter(parts["docs"].is_null())
+        ids, held, n, code = unpacked(parts["docs"].drop_null()[0].as_py())
+        place = np.asarray(listed["place"], np.int64)
+        c, p = np.zeros(len(place)), np.zeros(len(place))
+        c[place], p[place] = np.asarray(listed["c"], np.float64), np.asarray(listed["p"], np.float64)
+        doc = np.repeat(np.arange(len(n)), n)
+        total = lambda x: np.bincount(doc, x[code], len(n))
+        known = total((c > 0).astype(float)).astype(np.int64) + (train > 0)
+        base = total(np.log10((c + 0.5) / below)) + end_base
+        return pa.table([ids, pa.array(held), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), all_tokens, np.int64)), pa.array(base), pa.array(total(p) + end_score)], [x.split()[0] for x in out.split(", ")])
+
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    known = rows.where("docs is null").select("run", "place", "word").join(scores, "word").select("run", "place", "c", "p", F.lit(None).cast("binary").alias("docs"))
+    heads = rows.where("docs is not null").select("run", "place", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("p"), "docs")
+    return known.unionByName(heads).groupBy("run").applyInArrow(of_run, out)
+
+
+def brute_force(texts: dict, path: str) -> dict:
+    """score of every document by plain Python, for tests: expected counts and sums over all segmentations, word by word."""
+    import re
+
+    start = Pieces.load(path)
+    weight = dict(zip(start.strings, np.exp(start.log).tolist(), strict=True))
+    longest = max(map(len, weight))
+    cut = {k: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for k, t in texts.items()}
+    train = [k for k in cut if zlib.crc32(str(k).encode()) % 5 != 1]
+
+    def sums(raw: bytes, weight: dict) -> tuple[list[float], list[float], list[tuple[int, int]]]:
+        spans = [(i, j) for j in range(1, len(raw) + 1) for i in range(max(0, j - longest), j) if raw[i:j] in weight]
+        ahead, behind = [1.0] + [0.0] * len(raw), [0.0] * len(raw) + [1.0]
+        for i, j in spans:
+            ahead[j] += ahead[i] * weight[raw[i:j]]
+        for i, j in sorted(spans, reverse=True):
+            behind[i] += behind[j] * weight[raw[i:j]]
+        return ahead, behind, spans
+
+    counts = dict.fromkeys(weight, SMOOTH)
+    for k in train:
+        for w in cut[k]:
+            raw = SPACE + w.encode()
+            ahead, behind, spans = sums(raw, weight)
+            for i, j in spans:
+                counts[raw[i:j]] += ahead[i] * weight[raw[i:j]] * behind[j] / ahead[-1]
+    total = math.fsum(counts.values()) + len(train) + SMOOTH
+    final = {k: v / total for k, v in counts.items()}
+    end = math.log10((len(train) + SMOOTH) / total)
+    return {k: math.fsum(math.log10(sums(SPACE + w.encode(), final)[0][-1]) for w in ws) + end for k, ws in cut.items()}
 
 
 def brute_force_marginal(word: str, pieces: Pieces) -> float:
@@ -286,7 +377,7 @@ def brute_force_marginal(word: str, pieces: Pieces) -> float:
     def ways(i: int) -> Iterator[float]:
         if i == len(raw):
             yield 0.0
-        for j in range(i + 1, min(len(raw), i + LONGEST) + 1):
+        for j in range(i + 1, len(raw) + 1):
             if raw[i:j] in log:
                 for rest in ways(j):
                     yield log[raw[i:j]] + rest

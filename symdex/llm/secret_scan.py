@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import find
-from .support import release, stored
+from .support import stored
 
 _KEYWORDS = "(?i:password|passwd|secret|token|api_?key)"
 _ASSIGN = _KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -92,7 +92,6 @@ def report(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Counts of the base kinds per document, the digest of their spans, and all spans as kind:start:stop."""
     history = versions(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     new = stored(scanned(history, ledger).dropDuplicates(["blob"]), "ledger")
-    release(documents.sparkSession)
     whole = new if ledger is None else merged(ledger, new)
     out = by_path(history, whole)
     told = lambda f: F.array_join(F.transform(f, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,34 +11,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = "16m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) a temporary one."""
+    """The folder that driver and executors share.
+
+    A session of one machine that names none gets a temporary one; on a cluster that would be a folder of each machine, so there it is
+    an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to shared storage and read back: later steps neither recompute it nor depend on an executor."""
+    """Write once to shared storage and read back: later steps neither recompute it nor depend on an executor.
+
+    The shuffle files of the write go as soon as it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps before the next one fills the disks."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` has written and no later step reads."""
+    for df in frames:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -49,7 +68,13 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for batch in batches:
             yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df).mapInArrow(run, schema)
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands rows to Python by ``BATCH_BYTES`` rather than by their number."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def id_and_text(documents: DataFrame) -> DataFrame:
@@ -67,8 +92,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star contraction: each round is two aggregations and joins over the edges, the
-    number of rounds grows with the logarithm of the number of nodes.  A node with very many edges is pre-aggregated before the
-    shuffle, and the join on it is one that Spark splits.
+    number of rounds grows with the logarithm of the number of nodes.  The smallest neighbours are written before they are joined, so
+    the join has a shuffle of its own, and Spark splits a node with very many edges there.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -78,14 +103,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        discard(now, least)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "least")
         small = large.join(least, large.a == least.u).select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")
         )
         now = stored(small.select("e.*").where("a <> b").distinct(), "small")
+        discard(large, least)
         done, seen = seen, mark(now)
         if done == seen:
             break

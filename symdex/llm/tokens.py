@@ -148,6 +148,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of the ranges start..end-1, one after the other."""
+    size = end - start
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def string_array(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A string column of bytes that stand one after the other."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
 def runs(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``most`` bytes together (one document at least)."""
     i, n = 0, len(offsets) - 1
