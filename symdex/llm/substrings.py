@@ -2,14 +2,16 @@
 
 {0, 1, 3} is a difference cover modulo 7: for any two positions there is a shift of at most 6 that brings both onto it.
 So two equal passages of 13 words share a 7-word anchor that starts at a cover position in either document, at the same
-place of the passage.  Steps:
+place of the passage.  Steps, the same for tables of every size:
 
-1. hash the 7-word anchors at cover positions; those that occur in two documents or more are shared;
+1. hash the 7-word anchors at cover positions; those that occur in two documents or more are shared, and a join brings back where;
 2. extend: the 13-word windows that hold a shared anchor within their first seven places are compared by a 96-bit hash;
-   each gets the smallest document that holds it;
+   each that two documents hold gets the smallest of them;
 3. remove the words of windows that a smaller document holds.
 
-Hot passages are merged before every shuffle; no step brings a group together in one task.
+Every aggregate is merged before its shuffle and written before it is joined, so each join has shuffles of its own, and Spark splits
+the windows and anchors that very many documents hold there.  Words are told apart by 64-bit hashes, windows and anchors by
+hashes of these.
 """
 
 from __future__ import annotations
@@ -22,19 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_map, id_and_text, release, stored
-from .tokens import CHUNK_BYTES, Words, buffers, covered, grams, mix, runs, signed
+from .support import arrow_map, discard, id_and_text, stored
+from .tokens import CHUNK_BYTES, Words, buffers, covered, grams, runs, signed
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: A broadcast filter of shared anchors is used up to so many of them (16 bits each); beyond it they are joined.
-FILTER_KEYS = 32_000_000
-#: Bits of one segment of the filter.
-SEGMENT = 1 << 20
-PROBES = 4
-
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -83,47 +79,17 @@ def shared_anchors(documents: DataFrame) -> DataFrame:
     return anchor_rows(documents).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-class Filter:
-    """A Bloom filter in segments; no shared anchor is missed, and others that pass are sorted out by the window comparison."""
-
-    def __init__(self, segments: int, bits: np.ndarray):
-        self.segments, self.bits = segments, bits
-
-    def test(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        base = (h % np.uint64(self.segments)).astype(np.int64) * SEGMENT
-        for bit in probes(h):
-            at = base + bit
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def probes(h: np.ndarray) -> Iterator[np.ndarray]:
-    x = mix(h + np.uint64(0x632BE59BD9B4E019))
-    for k in range(PROBES):
-        yield ((x >> np.uint64(k * 11)) % np.uint64(SEGMENT) if k < 3 else mix(x) % np.uint64(SEGMENT)).astype(np.int64)
-
-
-def filter_of(shared: DataFrame, n: int) -> Filter:
-    """Built by the executors a segment at a time; the driver gets the finished bits (``FILTER_KEYS`` * 2 bytes at most)."""
-    segments = max(1, -(-n * 16 // SEGMENT))
-
-    def build(table: pa.Table) -> pa.Table:
-        h = np.asarray(table["h"].combine_chunks(), np.int64).view(np.uint64)
-        bits = np.zeros(SEGMENT, bool)
-        for bit in probes(h):
-            bits[bit] = True
-        return pa.table({"segment": pa.array(np.asarray(table["segment"][:1]), pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def anchor_places(documents: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, ats): where in each document shared anchors start.  Rows that share a doc_id get the places of all of them."""
 
-    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h = np.asarray(batch.column("h"), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array((h.view(np.uint64) % np.uint64(segments)).astype(np.int32))], ["h", "segment"])
+    def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = np.asarray(batch.column("doc_id"), np.int64)
+        for i, _, w in chunks(batch, "text"):
+            at = anchors(w)
+            doc = w.doc()[at]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams(w.hash, ANCHOR, at))), pa.array(ids[i + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "id", "at"])
 
-    rows = arrow_map(shared, cut, "h long, segment int").groupBy("segment").applyInArrow(build, "segment int, bits binary").toArrow()
-    bits = np.zeros(segments * SEGMENT // 8, np.uint8)
-    for segment, part in zip(rows["segment"].to_pylist(), rows["bits"], strict=True):
-        bits[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(part.as_buffer(), np.uint8)
-    return Filter(segments, bits)
+    return arrow_map(documents, places, "h long, id long, at int").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
 
 
 def window_starts(w: Words, near: np.ndarray) -> np.ndarray:
@@ -133,108 +99,60 @@ def window_starts(w: Words, near: np.ndarray) -> np.ndarray:
     return start[w.left()[start] >= WINDOW]
 
 
-def _keys(w: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for each window."""
-    return signed(grams(w.hash, WINDOW, start)), (grams(w.hash, WINDOW, start, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def _places(w: Words, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    start = window_starts(w, near)
-    h1, h2 = _keys(w, start)
-    doc = w.doc()[start]
-    return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array((start - w.first[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "place"])
-
-
-def _owners(w: Words, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    start = window_starts(w, near)
-    h1, h2 = _keys(w, start)
-    doc = ids[w.doc()[start]]
-    order = np.lexsort((doc, h2, h1))
-    h1, h2, doc = h1[order], h2[order], doc[order]
-    first, n = held_twice([h1, h2], doc)
-    return pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.array(doc[first]), pa.array(n.astype(np.int8))], ["h1", "h2", "low", "n"])
-
-
-#: What is made of the windows of a run of documents: their places, or each window once with the smallest document that holds it.
-PLACES = (_places, "h1 long, h2 int, doc_id long, place int")
-OWNERS = (_owners, "h1 long, h2 int, low long, n byte")
+def listed(w: Words, lists: pa.Array) -> np.ndarray:
+    """Positions in the word arrays of places that are listed for each document; those beyond its words are of another row with its id."""
+    n = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    doc, place = np.repeat(np.arange(len(n)), n), np.asarray(lists.flatten(), np.int64)
+    own = place < w.counts()[doc]
+    return w.first[doc[own]] + place[own]
 
 
-def windows_by_filter(documents: DataFrame, given, kind: tuple) -> DataFrame:
-    """given: the broadcast filter."""
-    make, schema = kind
+def windows(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, row, place) of every window near a shared anchor, with 96 bits of hash."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(batch.column("doc_id"), np.int64)
-        for i, j, w in chunks(batch, "text", 4 * CHUNK_BYTES):
-            at = anchors(w)
-            yield make(w, ids[i:j], at[given.value.test(grams(w.hash, ANCHOR, at))])
-
-    return arrow_map(documents, each, schema)
-
-
-def anchor_places(documents: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, text, ats): where the shared anchors are too many for a broadcast, their places come back by a join."""
-
-    def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(batch.column("doc_id"), np.int64)
-        for i, _, w in chunks(batch, "text"):
-            at = anchors(w)
-            doc = w.doc()[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(grams(w.hash, ANCHOR, at))), pa.array(ids[i + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "id", "at"])
-
-    back = arrow_map(documents, places, "h long, id long, at int").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    return documents.join(back, F.col("doc_id") == F.col("id")).select("doc_id", "text", "ats")
-
-
-def windows_by_join(with_places: DataFrame, kind: tuple) -> DataFrame:
-    make, schema = kind
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, lists = np.asarray(batch.column("doc_id"), np.int64), batch.column("ats")
+        ids, rows = np.asarray(batch.column("doc_id"), np.int64), np.asarray(batch.column("row"), np.int64)
         for i, j, w in chunks(batch, "text"):
-            part = lists.slice(i, j - i)
-            n = np.asarray(part.value_lengths().fill_null(0), np.int64)
-            yield make(w, ids[i:j], np.repeat(w.first[:-1], n) + np.asarray(part.flatten(), np.int64))
+            start = window_starts(w, listed(w, batch.column("ats").slice(i, j - i)))
+            h2 = (grams(w.hash, WINDOW, start, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            doc = w.doc()[start]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(grams(w.hash, WINDOW, start))), pa.array(h2), pa.array(ids[i + doc]), pa.array(rows[i + doc]), pa.array((start - w.first[doc]).astype(np.int32))],
+                ["h1", "h2", "doc_id", "row", "place"],
+            )
 
-    return arrow_map(with_places, each, schema)
+    near = documents.join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "row", "text", "ats")
+    return arrow_map(near, each, "h1 long, h2 int, doc_id long, row long, place int")
 
 
-def removed_places(documents: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """(doc_id, places): starts of the windows that also start in a document with a smaller id."""
-    spark = documents.sparkSession
+def removed_places(documents: DataFrame) -> DataFrame:
+    """(id, of, places): starts of the windows of the row ``of`` that also start in a document with a smaller id."""
     shared = stored(shared_anchors(documents), "anchors")
-    release(spark)
-    n = shared.count()
-    if n <= filter_keys:
-        given = spark.sparkContext.broadcast(filter_of(shared, n))
-        windows = lambda kind: windows_by_filter(documents, given, kind)
-    else:
-        found = stored(anchor_places(documents, shared), "places")
-        windows = lambda kind: windows_by_join(found, kind)
-    owners = windows(OWNERS).groupBy("h1", "h2").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where("n > 1").select(F.col("h1").alias("a"), F.col("h2").alias("b"), "low")
-    repeated = windows(PLACES).join(owners, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > low")
-    return repeated.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-
-
-def deduplicated(documents: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    places = stored(anchor_places(documents, shared), "places")
+    discard(shared)
+    found = stored(windows(documents, places), "windows")
+    discard(places)
+    owners = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    owners = stored(owners.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "low"), "owners")
+    repeated = found.join(owners, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("doc_id > low")
+    gone = stored(repeated.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of")).agg(F.collect_set("place").alias("places")), "gone")
+    discard(found, owners)
+    return gone
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space.
 
     A word is removed where a run of 13 words that covers it also starts in a document with a smaller doc_id, judged on
-    the input.  A null or empty text has no words.  Rows that share a doc_id are one document each in the result and are not
-    smaller than one another, so they don't remove each other's words; rows without doc_id keep all their words.
+    the input.  A null or empty text has no words.  Rows that share a doc_id are judged each by its own text; none of them is
+    smaller than another, so they don't remove each other's words.  Rows without doc_id keep all their words.
     """
-    documents = id_and_text(documents)
-    known = documents.where("doc_id is not null")
-    places = stored(removed_places(known, filter_keys), "places")
-    release(documents.sparkSession)
+    documents = id_and_text(documents).withColumn("row", F.xxhash64("text"))
+    places = removed_places(documents.where("doc_id is not null"))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column("places")
         for i, j, w in chunks(batch, "text"):
-            part = lists.slice(i, j - i)
-            n = np.asarray(part.value_lengths().fill_null(0), np.int64)
-            start = np.repeat(w.first[:-1], n) + np.asarray(part.flatten(), np.int64)
+            start = listed(w, batch.column("places").slice(i, j - i))
             gone = covered(len(w.start), start, WINDOW) if len(start) else np.zeros(len(w.start), bool)
             counts = w.counts()
             total = np.r_[0, np.cumsum(gone)]
@@ -244,7 +162,7 @@ def deduplicated(documents: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFr
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = documents.join(places.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
+    joined = documents.join(places.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("of")), "left")
     return arrow_map(joined.select("doc_id", "text", "places"), each, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -267,6 +185,7 @@ def _kept(w: Words, stay: np.ndarray) -> pa.Array:
 
 
 def report(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of documents, as ``deduplicated`` has them."""
     return deduplicated(documents).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
