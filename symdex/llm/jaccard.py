@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_map, components, id_and_text, release, stored
+from .support import components, discard, id_and_text, in_batches, stored
 from .tokens import CHUNK_BYTES, Words, buffers, grams, mix, runs, signed
 
 SHINGLE = 4
@@ -157,7 +157,7 @@ def signed_sets(documents: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "h1", "h2", "signatures"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<long>")
+    return in_batches(documents).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<long>")
 
 
 def linked(table: pa.Table) -> pa.Table:
@@ -215,24 +215,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     of_class = known.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep", "copies")
     copy_edges = stored(of_class.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     signs = known.select(F.explode("signatures").alias("s"), "doc_id")
-    hubs = signs.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("s").alias("t"), "low")
+    # written first, so that the join has a shuffle of its own, in which Spark splits a signature of very many documents
+    hubs = stored(signs.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("s").alias("t"), "low"), "hubs")
     near = signs.join(hubs, F.col("s") == F.col("t")).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     near = stored(near, "near")
-    release(spark)
+    discard(hubs)
     coarse = components(near.unionByName(copy_edges))
     coarse = coarse.join(classes.hint("shuffle_hash"), F.col("node") == F.col("rep")).select("node", "component", "copies", "n")
     coarse = stored(coarse, "coarse")
+    discard(near)
     parts = coarse.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
     parts = parts.select(F.col("component").alias("part"), F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = coarse.join(parts, F.col("component") == F.col("part")).select("node", "part", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = stored(members, "members")
-    release(spark)
+    discard(coarse)
     texts = documents.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "part", "copies", "block", "blocks")
     dealt = texts.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "doc_id", "text", "copies", "block", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     found = stored(dealt.groupBy("part", "i", "j").applyInArrow(linked, "doc_id long, root long, links long"), "links")
-    release(spark)
+    discard(members)
     forest = found.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     final = components(forest.unionByName(copy_edges))
     links = found.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "linker")
