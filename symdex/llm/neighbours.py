@@ -1,35 +1,43 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Each of ``TABLES`` hash tables cuts ``FUNCTIONS`` random Gaussian projections into slots of one width.  A query visits, in
-each table, its own bucket and then perturbed ones in the order of their squared distance from the query's place in its slots,
-the order in which they are likely to hold neighbours.  Candidates of all tables are merged and ranked by exact Euclidean
-distance.  The slot width and the number of probes are fitted on a bounded sample, so that the sample's own neighbours are
-found; every row is indexed and no bucket is capped.
+each table, its own bucket and then perturbed ones in estimated order of success: the expected squared distance from a place in a slot to its
+j-th nearest border is known, so one sequence of perturbation sets serves all queries, each by the order of its own borders.
+Candidates of all tables are merged and ranked by exact Euclidean distance.
 
-Queries are taken in blocks of ``QUERY_BLOCK``; a block is broadcast, and each task keeps the ten nearest of its own rows for each
-query, so rows that leave a task don't grow with its input, nor with the size of a bucket.
+Slot width and number of probes are fitted on a bounded sample: of the pairs that find its neighbours, the one with the fewest candidates.
+Where none does, queries are ranked against all rows.  Every row is indexed; no bucket is capped.
+
+Rows and queries meet by a join on (table, bucket).  A bucket with more than ``BLOCK_ROWS`` rows or ``BLOCK_QUERIES`` queries is dealt into
+blocks of about that size, and each block sends on the nearest rows of each of its queries only.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .support import in_batches, stored
 from .tokens import mix
 
-TABLES = 4
-FUNCTIONS = 4
+TABLES = 2
+FUNCTIONS = 8
 #: Rows of the sample that slot width and probes are fitted on, how many of them ask, and the recall among them.
-SAMPLE, ASKING, SAMPLE_RECALL = 3000, 150, 0.97
+SAMPLE, ASKING, SAMPLE_RECALL = 3000, 150, 0.95
+#: Widths, as multiples of the sample's spread, and probes that the fit looks at.
+WIDTHS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
+PROBES = (4, 16, 64, 256, 512, 1024)
 NEAREST = 10
+#: Rows and queries of a block.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Queries that are ranked against all rows at once, where hashing finds too few rows for them.
 QUERY_BLOCK = 2048
-MOST_PROBES = 4096
 _ROWS = 1024
 
 
@@ -46,30 +54,44 @@ def vectors(ids: pa.Array, column: pa.Array, dimension: int) -> tuple[np.ndarray
     return np.asarray(ids.filter(pa.array(take)), np.int64)[good], x[good]
 
 
-def probes(inside: np.ndarray, most: int) -> np.ndarray:
-    """Perturbations of a bucket in ascending order of squared distance; inside: place in each slot, from 0 to 1."""
-    m = len(inside)
-    steps = sorted([(f * f, i, -1) for i, f in enumerate(inside.tolist())] + [((1 - f) ** 2, i, 1) for i, f in enumerate(inside.tolist())])
-    # further slots: one more step in the same direction
-    steps += [((f + 1) ** 2, i, -2) for i, f in enumerate(inside.tolist())] + [((2 - f) ** 2, i, 2) for i, f in enumerate(inside.tolist())]
-    steps += [((f + 2) ** 2, i, -3) for i, f in enumerate(inside.tolist())] + [((3 - f) ** 2, i, 3) for i, f in enumerate(inside.tolist())]
-    steps.sort()
-    cost = [s[0] for s in steps]
-    out = [np.zeros(m, np.int64)]
+@cache
+def perturbations(m: int, most: int) -> np.ndarray:
+    """Sets of borders (most x 2m, true where in the set) in ascending order of expected cost; the first is empty.
+
+    Borders count from the nearest to the farthest of the 2m; the j-th and the j-th from the end are the two of one slot, so no set has both.
+    """
+    n = np.arange(1, m + 1, dtype=float)
+    near = n * (n + 1) / (4 * (m + 1) * (m + 2))
+    far = 1 - n[::-1] / (m + 1) + (n * (n + 1))[::-1] / (4 * (m + 1) * (m + 2))
+    cost = np.r_[near, far].tolist()
+    out = [()]
     queue = [(cost[0], (0,))]
     while queue and len(out) < most:
         c, chosen = heapq.heappop(queue)
-        if len({steps[k][1] for k in chosen}) == len(chosen):
-            d = np.zeros(m, np.int64)
-            for k in chosen:
-                d[steps[k][1]] = steps[k][2]
-            out.append(d)
+        if all(2 * m - 1 - j not in chosen for j in chosen):
+            out.append(chosen)
         last = chosen[-1]
-        if last + 1 < len(steps):
+        if last + 1 < 2 * m:
             heapq.heappush(queue, (c - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
             if len(chosen) < m:
                 heapq.heappush(queue, (c + cost[last + 1], (*chosen, last + 1)))
-    return np.array(out)
+    sets = np.zeros((len(out), 2 * m), bool)
+    for i, chosen in enumerate(out):
+        sets[i, list(chosen)] = True
+    return sets
+
+
+def probes(inside: np.ndarray, most: int) -> np.ndarray:
+    """Steps (queries x probes x functions) from the own bucket; inside: places in the slots, from 0 to 1, one row a query."""
+    q, m = inside.shape
+    sets = perturbations(m, most)
+    order = np.argsort(np.hstack([inside, 1 - inside]), axis=1, kind="stable")
+    out = np.zeros((q, len(sets), m), np.int8)
+    for j in range(2 * m):
+        has = np.flatnonzero(sets[:, j])
+        function, step = order[:, j] % m, np.where(order[:, j] < m, -1, 1).astype(np.int8)
+        out[np.arange(q)[:, None], has[None, :], function[:, None]] += step[:, None]
+    return out
 
 
 class Hashes:
@@ -91,32 +113,22 @@ class Hashes:
             out = mix(out * np.uint64(31) + slots[..., i].astype(np.int64).view(np.uint64) + np.uint64(i + 1))
         return out
 
+    def own(self, table: int, x: np.ndarray) -> np.ndarray:
+        """The bucket of each row."""
+        return self.keys(np.floor(self.places(table, x)).astype(np.int64))
+
+    def visited(self, table: int, x: np.ndarray, n_probes: int) -> np.ndarray:
+        """Buckets of each query (queries x probes), the likeliest first."""
+        place = self.places(table, x)
+        slot = np.floor(place).astype(np.int64)
+        return self.keys(slot[:, None, :] + probes(place - slot, n_probes))
+
 
 class Block:
-    """Queries with the buckets that they visit."""
+    """Queries that are compared with all rows they are given."""
 
-    def __init__(self, hashes: Hashes, ids: np.ndarray, x: np.ndarray, n_probes: int):
-        self.hashes, self.ids, self.x, self.norm = hashes, ids, x, (x * x).sum(1)
-        self.keys, self.member = [], []
-        for t in range(TABLES):
-            place = hashes.places(t, x)
-            slot = np.floor(place).astype(np.int64)
-            keys = [Hashes.keys(s + probes(f, n_probes)) for s, f in zip(slot, place - slot, strict=True)]
-            known, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
-            member = np.zeros((len(ids), len(known) + 1), bool)
-            member[np.repeat(np.arange(len(ids)), [len(k) for k in keys]), code] = True
-            self.keys.append(known)
-            self.member.append(member)
-
-    def candidates(self, x: np.ndarray) -> np.ndarray:
-        """Which rows share a visited bucket with which queries, in any table."""
-        out = np.zeros((len(self.ids), len(x)), bool)
-        for t in range(TABLES):
-            key = Hashes.keys(np.floor(self.hashes.places(t, x)).astype(np.int64))
-            code = np.minimum(np.searchsorted(self.keys[t], key), len(self.keys[t]) - 1)
-            code = np.where(self.keys[t][code] == key, code, len(self.keys[t]))
-            out |= self.member[t][:, code]
-        return out
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.norm = ids, x, (x * x).sum(1)
 
 
 class Nearest:
@@ -136,7 +148,7 @@ class Nearest:
         norm = (x * x).sum(1)
         square = b.norm[:, None] + norm[None, :] - 2 * (b.x @ x.T)
         slack = 1e-9 * (b.norm[:, None] + norm[None, :])
-        q, r = np.nonzero(b.candidates(x) & (square <= np.square(self.kth)[:, None] + slack) & (b.ids[:, None] != ids[None, :]))
+        q, r = np.nonzero((square <= np.square(self.kth)[:, None] + slack) & (b.ids[:, None] != ids[None, :]))
         if not len(q):
             return
         score = np.empty(len(q))
@@ -146,6 +158,9 @@ class Nearest:
         query, score, rows = np.r_[self.query, q], np.r_[self.score, score], np.r_[self.id, ids[r]]
         order = np.lexsort((rows, score, query))
         query, score, rows = query[order], score[order], rows[order]
+        new = np.ones(len(query), bool)  # of equal rows one counts
+        new[1:] = (query[1:] != query[:-1]) | (score[1:] != score[:-1]) | (rows[1:] != rows[:-1])
+        query, score, rows = query[new], score[new], rows[new]
         first = np.searchsorted(query, query)
         keep = np.arange(len(query)) - first < self.k
         self.query, self.score, self.id = query[keep], score[keep], rows[keep]
@@ -153,56 +168,100 @@ class Nearest:
         self.kth[query[full]] = score[full]
 
 
-def fit(rows: DataFrame) -> tuple[int, Hashes | None, int]:
-    """(dimension, hashes, probes) from ``SAMPLE`` rows in hash order; the dimension is the sample's most frequent one."""
-    t = rows.where("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
-    lengths = np.asarray(pa.compute.list_value_length(t["embedding"]), np.int64) if t.num_rows else np.zeros(0, np.int64)
-    if not (lengths > 0).any():
-        return 0, None, 0
-    dimension = int(np.bincount(lengths[lengths > 0]).argmax())
-    ids, x = vectors(t["vec_id"].combine_chunks(), t["embedding"], dimension)
-    if not len(ids):
-        return dimension, Hashes(dimension, 1.0), 1
-    spread = float(np.sqrt(np.square(x - x.mean(0)).sum(1).mean())) or 1.0
-    hashes = Hashes(dimension, spread)
-    asking = np.arange(min(ASKING, len(ids)))
-    n, best = 16, MOST_PROBES
-    true = Nearest(_All(ids[asking], x[asking]))
-    true.add(ids, x)
-    want = set(zip(true.query.tolist(), true.id.tolist(), strict=True))
-    while n < MOST_PROBES:
-        got = Nearest(Block(hashes, ids[asking], x[asking], n))
-        got.add(ids, x)
-        if len(want & set(zip(got.query.tolist(), got.id.tolist(), strict=True))) >= SAMPLE_RECALL * len(want):
-            best = n
-            break
-        n *= 2
-    return dimension, hashes, best
-
-
-class _All(Block):
-    """Brute force: every row is a candidate."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, self.norm = ids, x, (x * x).sum(1)
+def dimension_of(rows: DataFrame) -> int:
+    """The most frequent dimension among all rows, the smaller of equally frequent ones; 0 without any vector."""
+    sizes = rows.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count()
+    found = sizes.orderBy(F.desc("count"), "d").first()
+    return found["d"] if found else 0
 
-    def candidates(self, x: np.ndarray) -> np.ndarray:
-        return np.ones((len(self.ids), len(x)), bool)
 
-
-def _found(rows: DataFrame, asking: DataFrame, k: int, dimension: int, block: Callable[[np.ndarray, np.ndarray], Block]) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of the candidates that ``block`` has for each query."""
+def fit(rows: DataFrame, dimension: int) -> tuple[Hashes, int, float] | None:
+    """(hashes, probes, share of candidates) from ``SAMPLE`` rows in hash order; None where no number of probes finds enough."""
+    t = rows.where(F.size("embedding") == dimension).where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    ids, x = vectors(t["vec_id"], t["embedding"], dimension)
+    ids, first = np.unique(ids, return_index=True)
+    x = x[first]
+    if len(ids) < 2:
+        return None
+    spread = float(np.sqrt(np.square(x - x.mean(0)).sum(1).mean())) or 1.0
+    asking = np.random.default_rng(11).permutation(len(ids))[:ASKING]
+    true = Nearest(Block(ids[asking], x[asking]))
+    true.add(ids, x)
+    want = (true.query, np.searchsorted(ids, true.id))
+    best = None
+    for width in WIDTHS:
+        hashes = Hashes(dimension, spread * width)
+        when = np.full((len(asking), len(ids)), max(PROBES))  # the first probe that meets a row
+        for t in range(TABLES):
+            own, visited = hashes.own(t, x), hashes.visited(t, x[asking], max(PROBES))
+            for i, keys in enumerate(visited):
+                order = np.argsort(keys, kind="stable")
+                place = np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)
+                when[i] = np.minimum(when[i], np.where(keys[order[place]] == own, order[place], max(PROBES)))
+        for n in PROBES:
+            if (when[want] < n).mean() >= SAMPLE_RECALL:
+                share = float((when < n).mean())
+                if best is None or share < best[2]:
+                    best = (hashes, n, share)
+                break
+    return best
+
+
+def bucketed(rows: DataFrame, hashes: Hashes, dimension: int, n_probes: int = 0) -> DataFrame:
+    """(t, key, vec_id, embedding): each row once for each table, or, with probes, once for each bucket it visits."""
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = vectors(batch.column("vec_id"), batch.column("embedding"), dimension)
+            step = max(1, _ROWS // max(1, n_probes))
+            for i in range(0, len(ids), step):
+                own, part = ids[i : i + step], x[i : i + step]
+                for t in range(TABLES):
+                    keys = hashes.visited(t, part, n_probes) if n_probes else hashes.own(t, part)[:, None]
+                    each = keys.shape[1]
+                    flat = np.repeat(part, each, axis=0).ravel()
+                    offsets = pa.array(np.arange(len(own) * each + 1, dtype=np.int32) * dimension)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own) * each, t, np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, each)), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32() if kind == "float" else pa.float64()))],
+                        ["t", "key", "vec_id", "embedding"],
+                    )
+
+    return in_batches(rows).mapInArrow(run, f"t int, key long, vec_id long, embedding array<{kind}>")
+
+
+def by_bucket(rows: DataFrame, asking: DataFrame, k: int, dimension: int, hashes: Hashes, n_probes: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each block of the buckets that a query visits."""
+    own, visits = bucketed(rows, hashes, dimension), bucketed(asking, hashes, dimension, n_probes)
+    count = lambda df, name: df.groupBy("t", "key").agg(F.count("*").alias(name))
+    met = count(own, "n_rows").join(count(visits, "n_queries"), ["t", "key"])
+    met = stored(met.select(F.col("t").alias("a"), F.col("key").alias("b"), F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int").alias("i"), F.ceil(F.col("n_queries") / BLOCK_QUERIES).cast("int").alias("j")), "buckets")
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        df = df.join(met, (F.col("t") == F.col("a")) & (F.col("key") == F.col("b"))).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int"))
+        return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("t", "key", F.col("mine").alias(mine), F.col("other").alias(other), "vec_id", "embedding")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, x = vectors(right["vec_id"], right["embedding"], dimension)
+        best = Nearest(Block(ids, x), k)
+        best.add(*vectors(left["vec_id"], left["embedding"], dimension))
+        return pa.table({"query_id": pa.array(ids[best.query], pa.int64()), "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
+
+    blocks = lambda df: df.groupBy("t", "key", "i", "j")
+    return blocks(dealt(own, "i", "j")).cogroup(blocks(dealt(visits, "j", "i"))).applyInArrow(nearest, "query_id long, vec_id long, score double")
+
+
+def by_scan(rows: DataFrame, asking: DataFrame, k: int, dimension: int) -> DataFrame:
+    """The same against all rows: queries are broadcast in blocks of ``QUERY_BLOCK``, and each task sends on its nearest rows."""
     spark = rows.sparkSession
     n_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for i in range(n_blocks if dimension else 0):
-        t = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).dropDuplicates(["vec_id"]).toArrow().combine_chunks()
-        if not t.num_rows:
-            continue
-        ids, x = vectors(t["vec_id"].combine_chunks(), t["embedding"], dimension)
+    for i in range(n_blocks):
+        t = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).toArrow().combine_chunks()
+        ids, x = vectors(t["vec_id"], t["embedding"], dimension)
         if not len(ids):
             continue
-        given = spark.sparkContext.broadcast(block(ids, x))
+        given = spark.sparkContext.broadcast(Block(ids, x))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             best = Nearest(given.value, k)
@@ -210,30 +269,47 @@ def _found(rows: DataFrame, asking: DataFrame, k: int, dimension: int, block: Ca
                 best.add(*vectors(batch.column("vec_id"), batch.column("embedding"), dimension))
             yield pa.RecordBatch.from_arrays([pa.array(given.value.ids[best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
-        found = found.unionByName(rows.mapInArrow(run, "query_id long, vec_id long, score double"))
+        found = found.unionByName(in_batches(rows).mapInArrow(run, "query_id long, vec_id long, score double"))
+    return found
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    out = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``asking`` its k nearest of ``rows``, never rows with its own id.
 
     Both hold vec_id and embedding.  Vectors that are null, of another dimension than most, all zero, or that hold null or non-finite components
-    take no part.  Of several queries with one id one is taken.  Ties go to the smaller vec_id.  Queries that meet fewer than k rows in
-    the buckets they visit are ranked against all rows.
+    take no part.  Of several queries with one id one is taken; equal rows with one id count once.  Ties go to the smaller vec_id.  Queries
+    that meet fewer than k rows in the buckets they visit are ranked against all rows.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asking = asking.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    dimension, hashes, n_probes = fit(rows)
-    if exact or not dimension:
-        return _found(rows, asking, k, dimension, _All)
-    near = _found(rows, asking, k, dimension, lambda ids, x: Block(hashes, ids, x, n_probes)).persist()
+    def plain(df: DataFrame) -> DataFrame:
+        kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id is not null")
+
+    rows, asking = plain(rows), plain(asking).dropDuplicates(["vec_id"])
+    dimension = dimension_of(rows)
+    fitted = fit(rows, dimension) if dimension and not exact else None
+    if fitted is None:
+        return ranked(by_scan(rows, asking, k, dimension) if dimension else rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).where("false"), k)
+    hashes, n_probes, _ = fitted
+    near = stored(ranked(by_bucket(rows, asking, k, dimension, hashes, n_probes), k), "near")
     full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    rest = _found(rows, asking.join(full, "vec_id", "left_anti"), k, dimension, _All)
+    rest = ranked(by_scan(rows, asking.join(full, "vec_id", "left_anti"), k, dimension), k)
     return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest).select("query_id", "rank", "vec_id", "score")
 
 
+def candidate_share(embeddings: DataFrame) -> tuple[float, int]:
+    """(share of the sample's rows that a query is compared with, probes), as fitted; (1, 0) where queries meet all rows."""
+    rows = embeddings.select("vec_id", "embedding")
+    dimension = dimension_of(rows)
+    found = fit(rows, dimension) if dimension else None
+    return (found[2], found[1]) if found else (1.0, 0)
+
+
 def report(embeddings: DataFrame, exact: bool = False) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by 100."""
     return search(embeddings, embeddings.where(F.col("vec_id") % 100 == 0), exact=exact)
