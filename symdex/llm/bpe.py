@@ -120,8 +120,14 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        if self.cut is not None and (found := self.cut.search(text)):
-            return self.encode(text[: found.start()]) + self.special[found[0]] + self.encode(text[found.end() :])
+        parts, at = [], 0
+        for found in self.cut.finditer(text) if self.cut is not None else ():
+            parts += [self.plain(text[at : found.start()]), self.special[found[0]]]
+            at = found.end()
+        return b"".join([*parts, self.plain(text[at:] if at else text)])
+
+    def plain(self, text: str) -> bytes:
+        """ids of a text between special tokens."""
         if not text:
             return b""
         if self.odd.search(text):
