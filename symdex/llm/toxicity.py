@@ -1,11 +1,12 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 4 to 8 bytes, lower-cased and hashed to 64 bits; inflected words so share terms.  From
-a bounded sample of labelled documents the ``VOCABULARY`` terms that go with toxicity most (likelihood ratio) are
-kept.  Their document frequencies come from all documents.  Sampled examples that hold any of these terms form the index: postings by term,
+Terms are words and word beginnings of 4 to 8 bytes, lower-cased and hashed to 64 bits; inflected words so share terms.  The features of
+the classifier are all terms that go with toxicity in a bounded sample of labelled documents (likelihood ratio); their document frequencies
+come from all documents.  Sampled examples that hold any of these terms form the index: postings by term,
 in blocks of ``BLOCK`` examples, each with the largest weight in the block.  A query visits blocks in order of their upper
 bound and stops when no block can reach the k-th similarity found.  The similarity-weighted vote of the ``NEIGHBOURS``
-nearest examples is calibrated by a logistic curve, fitted on votes for the sampled examples, each without itself.
+nearest examples is calibrated by a logistic curve, fitted on votes for the part of the sample that had no say in the choice of terms,
+each without itself.  The nearest examples are the evidence of a score.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .tokens import Words, mix, powers, prefix_sums, signed, words_of
 
 #: Labelled documents in the fit, toxic ones and others at most (by hash order of their ids).
 SAMPLE = (6_000, 18_000)
-VOCABULARY = 4096
-LEAST_EXAMPLES = 4
+#: One in so many of these calibrates the votes; the others choose the terms.
+CALIBRATING = 4
+#: A term is in this many toxic examples at least, and its likelihood ratio is one that chance exceeds once in 1000 terms.
+LEAST_EXAMPLES, LEAST_RATIO = 4, 10.83 / 2
 NEIGHBOURS = 15
 BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -73,7 +76,7 @@ class Vocabulary:
 
 
 def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents of the fit: never those whose fold is 0.
+    """(doc_id, text, toxic, calibrates) of the labelled documents of the fit: never those whose fold is 0.
 
     Of several labels of a document the largest holds.  The sample's ids (24 000 at most) are broadcast.
     """
@@ -84,11 +87,12 @@ def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    calibrates = (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(CALIBRATING)) == 0).alias("calibrates")
+    return text.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic", calibrates)
 
 
 def choose_terms(examples: DataFrame) -> np.ndarray:
-    """Hashes of the terms that go with toxicity most; they come to the driver (``VOCABULARY`` of them)."""
+    """Hashes of all terms that go with toxicity; they come to the driver, bounded by the words of the sample."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         toxic = np.asarray(batch.column("toxic"), np.int64)
@@ -113,7 +117,7 @@ def choose_terms(examples: DataFrame) -> np.ndarray:
     t, c = F.col("t"), F.col("n") - F.col("t")
     part = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
     df = df.where(t >= min(LEAST_EXAMPLES, max(2, int(a // 8)))).where(t * b > 3 * c * a)
-    best = df.withColumn("g", part(t, a / (a + b)) + part(c, b / (a + b))).orderBy(F.desc("g"), "h").limit(VOCABULARY)
+    best = df.where(part(t, a / (a + b)) + part(c, b / (a + b)) >= LEAST_RATIO)
     return np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64)
 
 
@@ -234,8 +238,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model of a table and its labels; rows that share a doc_id are examples each by its own text."""
     examples = sample(documents, labels)
-    vocabulary = Vocabulary(choose_terms(examples))
+    vocabulary = Vocabulary(choose_terms(examples.where("not calibrates")))
     size = len(vocabulary.terms)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -243,11 +248,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             doc, term, n = vocabulary.counts(w)
             edge = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), batch.column("toxic").slice(i, j - i), pa.ListArray.from_arrays(edge, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(n.astype(np.int32)))],
-                ["doc_id", "toxic", "terms", "counts"],
+                [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "toxic", "calibrates")), pa.ListArray.from_arrays(edge, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(n.astype(np.int32)))],
+                ["doc_id", "toxic", "calibrates", "terms", "counts"],
             )
 
-    t = arrow_map(examples, each, "doc_id long, toxic int, terms array<int>, counts array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    found = arrow_map(examples, each, "doc_id long, toxic int, calibrates boolean, terms array<int>, counts array<int>")
+    t = found.dropDuplicates().orderBy("doc_id", F.to_json(F.struct("terms", "counts"))).toArrow().combine_chunks()
     df, n = document_frequencies(documents, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 1
     flat = lambda name: np.asarray(pa.concat_arrays(t[name].chunks).flatten() if t.num_rows else [], np.int64)
@@ -258,44 +264,49 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     index = Index(ids, toxic, doc, term, weight, size)
     edge = np.r_[0, np.cumsum(lengths)]
     votes, truth = [], []
-    for d in np.flatnonzero(lengths).tolist():
+    for d in np.flatnonzero((lengths > 0) & np.asarray(t["calibrates"], bool)).tolist():
         a, b = edge[d], edge[d + 1]
         votes.append(index.vote(*index.nearest(term[a:b], weight[a:b], NEIGHBOURS, int(ids[d]))))
         truth.append(toxic[d])
     none = toxic[lengths == 0]
     empty = float((none.sum() + 0.5) / (len(none) + 10))
     curve = logistic(np.array(votes), np.array(truth, float)) if votes else (-3.0, 0.0)
-    return Model(vocabulary, idf, index, curve, min(empty, 0.49))
+    return Model(vocabulary, idf, index, curve, empty)
 
 
-def scored(documents: DataFrame, model: Model, keep: list[str], evidence: bool = True) -> DataFrame:
-    """Columns ``keep`` of documents with score and, if asked for, neighbours: nearest examples with label and cosine.
+NEAR = "array<struct<doc_id: bigint, toxic: int, cosine: double>>"
 
-    A document without any term, and so every null or empty text, gets the share of toxic ones among such examples.
+
+def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of documents with score and neighbours: the nearest examples with label and cosine.
+
+    A document without any term, and so every null or empty text, gets the share of toxic ones among such examples and has no
+    neighbours.  Repeated rows are scored each by itself.
     """
     given = documents.sparkSession.sparkContext.broadcast(model)
     source = documents.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = given.value
         for i, j, w in words_of(batch.column("__text"), "alnum", True):
-            score, near = np.full(j - i, m.empty), [[] for _ in range(j - i)]
+            score, n = np.full(j - i, m.empty), np.zeros(j - i, np.int32)
+            docs, sims = [np.zeros(0, np.int64)], [np.zeros(0)]
             for d, term, weight in m.vectors(w):
-                docs, sims = m.index.nearest(term, weight, NEIGHBOURS)
-                score[d] = m.score(m.index.vote(docs, sims))
-                if not evidence:
-                    continue
-                near[d] = [{"doc_id": int(m.index.ids[x]), "toxic": int(m.index.toxic[x]), "cosine": float(s)} for x, s in zip(docs, sims, strict=True)]
+                near, sim = m.index.nearest(term, weight, NEIGHBOURS)
+                score[d], n[d] = m.score(m.index.vote(near, sim)), len(near)
+                docs.append(near)
+                sims.append(sim)
+            at = np.concatenate(docs)
+            each_near = pa.StructArray.from_arrays([pa.array(m.index.ids[at]), pa.array(m.index.toxic[at].astype(np.int32)), pa.array(np.concatenate(sims))], ["doc_id", "toxic", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), each_near)
             part = batch.slice(i, j - i)
-            columns = [*(part.column(c) for c in keep), pa.array(score), *([pa.array(near, kind)] if evidence else [])]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "neighbours"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), evidence], [*keep, "score", "neighbours"])
 
-    return arrow_map(source, each, f"{schema}, score double" + ", neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>" * evidence)
+    return arrow_map(source, each, f"{schema}, score double, neighbours {NEAR}")
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
-    out = scored(documents, fit(documents, labels), ["doc_id"], evidence=False)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """(doc_id, held_out, score, predicted, neighbours) of every document, as ``scored`` has them."""
+    out = scored(documents, fit(documents, labels), ["doc_id"])
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
