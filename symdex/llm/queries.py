@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, lattice, neighbours, pii, secret_scan, substrings, token_files, toxicity
+from . import bpe, decontamination, jaccard, lattice, neighbours, oracles, pii, secret_scan, substrings, token_files, toxicity
 from .support import shared_dir, table
 
 
@@ -58,4 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose whole result it can express; the others are tested against brute force."""
+    return {
+        "op1_decontamination": oracles.decontamination_sql(),
+        "op3_substring_dedup": oracles.substrings_sql(),
+        "op4_secret_scan": oracles.secrets_sql(),
+        "op5_pii": oracles.personal_data_sql(),
+        "op8_ngram_jaccard": oracles.near_duplicates_sql(),
+    }
