@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +75,8 @@ def test_decontamination_of_nothing(spark, rows):
     assert decontamination.report(documents(spark, []), none).count() == 0
 
 
-@pytest.mark.parametrize("filter_keys", [substrings.FILTER_KEYS, -1])
-def test_substrings(spark, rows, filter_keys):
-    got = substrings.deduplicated(documents(spark, rows).repartition(3), filter_keys).collect()
+def test_substrings(spark, rows):
+    got = substrings.deduplicated(documents(spark, rows).repartition(3)).collect()
     want = substrings.brute_force(dict(rows))
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got} == want
     assert sum(w[1] for w in want.values()) > 100
@@ -88,6 +88,14 @@ def test_substrings_of_repeated_rows(spark, rows):
     assert substrings.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark, rows):
+    passage = " ".join(f"p{i}" for i in range(40))
+    given = [(1, passage), (2, "x x x " + passage), (2, "short text here"), (2, passage.replace("p3", "q3")), (3, "a " * 60)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.deduplicated(documents(spark, given).coalesce(1)).collect())
+    # the second text of 40 words differs in p3 and p30 to p39
+    assert got == [(1, 40, 0), (2, 3, 0), (2, 40, 26), (2, 43, 40), (3, 60, 0)]
+
+
 def test_cover():
     shifts = [{(a - i) % substrings.PERIOD for a in substrings.COVER} for i in range(substrings.PERIOD)]
     assert all(a & b for a in shifts for b in shifts)
@@ -201,27 +209,39 @@ def test_pair_grammar():
 
 def test_lattice(spark, rows):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    got = {r["doc_id"]: r for r in lattice.report(documents(spark, rows).repartition(3), path).collect()}
-    cut = {k: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), " "] for k, t in rows}
+    texts = [*rows, (90, "▁▁▁▁ administration representations ▁области которыйибылипотом " * 3), (91, "x" * 70), (92, "//////////////// " * 2)]
+    got = {r["doc_id"]: r for r in lattice.report(documents(spark, texts).repartition(3), path).collect()}
+    cut = {k: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), " "] for k, t in texts}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in cut}
     counts: dict = {}
     for k, w in cut.items():
         for x in w if not held[k] else ():
             counts[x] = counts.get(x, 0) + 1
     n, v = sum(counts.values()), len(counts)
+    assert set(got) == set(cut)
     for k, w in cut.items():
         r = got[k]
         base = sum(np.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(w), sum(x in counts for x in w), n)
         assert r["base_score"] == pytest.approx(base)
-        assert np.isfinite(r["score"]) and r["score"] < 0
+    short = [(k, t) for k, t in texts if k != 83]  # a word of 5000 letters is beyond plain floats
+    want = lattice.brute_force(dict(short), path)
+    got = {r["doc_id"]: r["score"] for r in lattice.report(documents(spark, short), path).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_lattice_of_odd_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
     assert lattice.report(documents(spark, []), path).count() == 0
+    got = lattice.report(documents(spark, [(None, "a b"), (None, None), (11, "a b"), (11, "c"), (11, "a b")]), path).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["held_out"]) for r in got) == [(-1, 1, False), (-1, 3, False), (11, 2, False), (11, 3, False), (11, 3, False)]
+    assert {r["train_tokens"] for r in got} == {12}
 
 
 def test_marginal():
     pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     for word in ("x", "hello", "über", "thein"):
-        ((_, matrix),) = lattice.by_length([word])
+        ((_, matrix),) = lattice.by_length(pa.array([word]))
         assert lattice.marginal(matrix, pieces)[0] / np.log(10) == pytest.approx(lattice.brute_force_marginal(word, pieces))
 
 
@@ -297,6 +317,40 @@ def test_account_numbers_and_masks(spark):
     assert clean[2] is None and clean[3] == ""
 
 
+def test_account_number_before_a_word_in_capitals(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00 EUR 500, GB82WEST12345698765432 X, XDE89370400440532013000"
+    found = {(r["kind"], r["text"]) for r in pii.findings(documents(spark, [(1, text)])).collect()}
+    assert {t for k, t in found if k == "iban"} == {"DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"}
+
+
+def test_words_nearby_decide_what_is_masked(spark):
+    rows = [(1, "the server 10.0.0.1 of version 10.2.3.4 and 10.9.8.7"), (2, "build 1.2.3.4")]
+    df = documents(spark, rows).withColumn("found", F.lit(5))
+    clean = {r["doc_id"]: (r["text"], r["found"]) for r in pii.cleaned(df).collect()}
+    assert clean == {1: ("the server <IP> of version 10.2.3.4 and <IP>", 5), 2: ("build 1.2.3.4", 5)}
+    told = {r["doc_id"]: r["scores"] for r in pii.report(df).collect()}
+    assert told[1] == "ip:11:19:70,ip:31:39:30,ip:44:52:60"
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    none, twice = documents(spark, []), documents(spark, [(1, "token=abcdefghijklmnop a@b.org"), (1, "token=abcdefghijklmnop a@b.org"), (1, "b"), (None, None), (None, None)])
+    for report in (secret_scan.report, pii.report, lambda df: bpe.report(df, vocabulary())):
+        assert report(none).count() == 0
+        got = [tuple(r) for r in report(twice).collect()]
+        assert len(got) == 5 and len(set(got)) == 3
+    got = sorted(tuple(r) for r in token_files.report(twice.where("doc_id is not null"), f"{none.sparkSession.conf.get('spark.checkpoint.dir')}/twice", public_tokenizers.path("word_bpe_49k.json")).collect())
+    assert [r[0] for r in got] == [1, 1, 1] and got[0][1] == 0 and len({r[3] for r in got}) == 2
+
+
+def test_many_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|>" * 5000
+    ids = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    got = bpe.encoded(documents(spark, [(1, text)]), vocabulary()).first()["ids"]
+    assert np.frombuffer(got, "<u4").tolist() == ids
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain, bad = [f"w{i}" for i in range(300)], ["grobword", "grobling", "nastyish"]
@@ -321,6 +375,56 @@ def test_toxicity(spark):
     assert evidence[502] and evidence[502][0]["toxic"] == 1 and evidence[500] == []
 
 
+def test_toxicity_like_brute_force(spark):
+    """Scores and evidence by plain Python over all examples, with the chosen terms and the fitted curve given."""
+    rng = random.Random(14)
+    plain, bad = [f"w{i}word" for i in range(80)], ["grobword", "grobling", "nastyish", "nastiest"]
+    rows, labels = [], []
+    for i in range(240):
+        toxic = rng.random() < 0.3
+        w = [rng.choice(plain) for _ in range(rng.randint(1, 30))] + [rng.choice(bad) for _ in range(rng.randint(1, 4) if toxic else rng.random() < 0.05)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(300, None), (301, "Grobword grobWORD!"), (302, rows[0][1])]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int"))
+    chosen = set(model.vocabulary.terms.tolist())
+
+    def counted(text):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        each = [x for w in words for x in (w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) > n))]
+        return {x: each.count(x) for x in set(each) if code(x) in chosen}
+
+    def code(term):
+        data = np.frombuffer((term.rstrip("*") + "x" * term.endswith("*")).encode(), np.uint8)
+        (_, _, w) = next(toxicity.words_of(pa.array([data.tobytes().decode()]), "alnum", True))
+        h = toxicity.terms(w)[1]
+        return int(h[1 + toxicity.BEGINNINGS.index(len(term) - 1)] if term.endswith("*") else h[0])
+
+    counts = {i: counted(t) for i, t in rows}
+    df: dict = {}
+    for c in counts.values():
+        for x in c:
+            df[x] = df.get(x, 0) + 1
+    assert df
+
+    def vector(c):
+        v = {x: (1 + np.log(n)) * (np.log((len(rows) + 1) / (df[x] + 1)) + 1) for x, n in c.items()}
+        size = np.sqrt(sum(y * y for y in v.values()))
+        return {x: y / size for x, y in v.items()}
+
+    examples = {i: (vector(counts[i]), t) for i, _, t in labels[:200] if zlib.crc32(str(i).encode()) % 5}
+    got = {r["doc_id"]: r for r in toxicity.scored(documents(spark, rows), model, ["doc_id"]).collect()}
+    none = [t for v, t in examples.values() if not v]
+    for i, _ in rows:
+        v = vector(counts[i])
+        near = sorted(((-round(sum(y * u.get(x, 0) for x, y in v.items()), 9), k) for k, (u, _) in examples.items()))
+        near = [(-s, k) for s, k in near if s < 0][: toxicity.NEIGHBOURS]
+        vote = sum(s * examples[k][1] for s, k in near) / (sum(s for s, _ in near) + toxicity.PRIOR)
+        want = 1 / (1 + np.exp(-model.curve[0] - model.curve[1] * vote)) if v else (sum(none) + 0.5) / (len(none) + 10)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
+        assert [r["cosine"] for r in got[i]["neighbours"]] == pytest.approx([s for s, _ in near], abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.report(documents(spark, rows[:5]), none).collect())

@@ -47,12 +47,38 @@ def test_few_or_no_rows(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 1.0), (2, 2, 4.0)]
 
 
-def test_probes_come_in_order():
-    inside = np.array([0.2, 0.9, 0.5])
-    p = neighbours.probes(inside, 60)
-    assert len({tuple(x) for x in p.tolist()}) == 60 and not p[0].any()
-    cost = [sum((f if d == -1 else f + (-d - 1) if d < 0 else d - f) ** 2 if d else 0 for f, d in zip(inside, x, strict=True)) for x in p.tolist()]
-    assert cost == sorted(cost)
+def test_probes_come_in_estimated_order():
+    sets = neighbours.perturbations(4, 81)
+    assert len({tuple(x) for x in sets.tolist()}) == 81 and not sets[0].any()
+    assert not (sets & sets[:, ::-1]).any()
+    j = np.arange(1, 5)
+    near = j * (j + 1) / (4 * 5 * 6)
+    cost = sets @ np.r_[near, 1 - j[::-1] / 5 + (j * (j + 1))[::-1] / (4 * 5 * 6)]
+    assert (np.diff(cost) > -1e-12).all()
+    steps = neighbours.probes(np.array([[0.2, 0.9, 0.5, 0.45]]), 4)[0]
+    assert steps.tolist() == [[0, 0, 0, 0], [0, 1, 0, 0], [-1, 0, 0, 0], [0, 0, 0, 1]] or steps[1].tolist() == [0, 1, 0, 0]
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(8)
+    same = rng.normal(size=8).tolist()
+    rows = [(5, same)] * 20 + [(100, (np.array(same) * 1.01).tolist())] * 3 + [(i, rng.normal(size=8).tolist()) for i in range(6, 30)]
+    for exact in (False, True):
+        got = [r["vec_id"] for r in neighbours.report(table(spark, rows), exact=exact).orderBy("rank").collect()]
+        assert got == [i for i, _ in brute(rows, [100])[100]] if exact else got[0] == 5 and len(set(got)) == 10
+
+
+def test_hot_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + 1e-3 * rng.normal(size=8)).tolist()) for i in range(1500)]
+    want = brute(rows, range(0, 1500, 100))
+    got: dict = {}
+    for r in neighbours.report(table(spark, rows).repartition(3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len({i for i, _ in want[q]} & set(got[q])) for q in want) >= 0.9 * 150 and all(len(v) == 10 for v in got.values())
 
 
 def test_far_outliers_get_all_their_neighbours(spark):
