@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
     own, names = _apart(docs)
     model = toxicity.fit(own, table(spark, sf_dir, "labels"))
-    return _back(toxicity.scored(own, model, own.columns, evidence=False).where("score < 0.5"), own, names)
+    return _back(toxicity.scored(own, model, own.columns).where("score < 0.5"), own, names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
