@@ -61,9 +61,17 @@ def project_assembly(assemblies: DataFrame) -> DataFrame:
     return assemblies.where("project_path is not null").groupBy("project_path").agg(F.max_by("assembly_name", "pos").alias("assembly_name"))
 
 
-def project_stats(documents: DataFrame) -> DataFrame:
-    """Per project: documents, lines, characters."""
-    return documents.groupBy("project").agg(F.count("*").alias("documents"), F.sum("n_lines").alias("lines"), F.sum("n_chars").alias("chars"))
+def project_stats(documents: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Per project: documents, lines, characters, and the symbols, types and public types declared in it.
+
+    documents: project, n_lines, n_chars.  declared: project, is_type, is_public; without it no such columns are made.
+    """
+    out = documents.groupBy("project").agg(F.count("*").alias("documents"), F.sum("n_lines").alias("lines"), F.sum("n_chars").alias("chars"))
+    if declared is None:
+        return out
+    kinds = {"symbols": F.lit(True), "types": F.col("is_type"), "public_types": F.col("is_type") & F.col("is_public")}
+    counts = declared.groupBy("project").agg(*(F.count_if(k).alias(name) for name, k in kinds.items()))
+    return out.join(counts, "project", "left").fillna(0, list(kinds))
 
 
 def aggregate_stats(stats: DataFrame) -> DataFrame:
@@ -119,9 +127,27 @@ def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def custom_order(assemblies: DataFrame, order: DataFrame) -> DataFrame:
-    """Listed assemblies by their place in the list, then the others by name."""
+    """Assemblies with n: listed ones by their place in the list, then the others by name, from 0."""
     o = order.select("assembly_name", "place")
-    return assemblies.join(o, "assembly_name", "left").orderBy(F.col("place").isNull(), "place", "assembly_name")
+    placed = assemblies.join(o, "assembly_name", "left").withColumn("unlisted", F.col("place").isNull())
+    return dense(placed, ["unlisted", "place", "assembly_name", "pos"], "n").drop("unlisted")
+
+
+def union_files(*files: DataFrame) -> DataFrame:
+    """(file_key): files of several lists, each once whatever its case.  files: path."""
+    keys = [f.select(fold_case(F.col("path")).alias("file_key")) for f in files]
+    out = keys[0]
+    for k in keys[1:]:
+        out = out.unionByName(k)
+    return out.distinct()
+
+
+def pair_events(starts: DataFrame, commands: DataFrame) -> DataFrame:
+    """Start events with the command events of the same target and project; of several commands of a pair each counts.
+
+    starts: target, project and more; commands: target, project, command.  A start without a project or target has no pair.
+    """
+    return starts.join(commands.select("target", "project", "command"), ["target", "project"])
 
 
 def match_server_path(paths: DataFrame, mappings: DataFrame) -> DataFrame:

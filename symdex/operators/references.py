@@ -40,11 +40,13 @@ def group_references(refs: DataFrame) -> DataFrame:
     return refs.groupBy("to_id", "kind", "from_assembly", "file", "line").agg(F.count("*").alias("n"), spans.alias("spans"))
 
 
-def nested_references(refs: DataFrame) -> DataFrame:
-    """The whole nesting of a symbol: kinds, assemblies, files, lines, in order."""
-    g = group_references(refs).groupBy("to_id", "kind", "from_assembly", "file").agg(F.array_sort(F.collect_list(F.struct("line", "spans"))).alias("lines"))
-    g = g.groupBy("to_id", "kind", "from_assembly").agg(F.array_sort(F.collect_list(F.struct("file", "lines"))).alias("files"))
-    return g.groupBy("to_id", "kind").agg(F.array_sort(F.collect_list(F.struct("from_assembly", "files"))).alias("assemblies"))
+def listed_references(refs: DataFrame) -> DataFrame:
+    """Lines of a symbol's list in the order of its nesting (kind, assembly, file, line), numbered within the symbol and kind.
+
+    Rows stay flat: a much used symbol has many rows, but none of any size; whoever shows them takes a page by ``place``.
+    """
+    order = Window.partitionBy("to_id", "kind").orderBy("from_assembly", "file", "line")
+    return group_references(refs).withColumn("place", F.row_number().over(order))
 
 
 def count_references(refs: DataFrame) -> DataFrame:
@@ -99,8 +101,8 @@ def declared(symbols: DataFrame) -> DataFrame:
 
 
 def declaration_map(locations: DataFrame) -> DataFrame:
-    """(id, places): files and offsets of each id."""
-    return locations.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("file", "offset"))).alias("places"))
+    """(id, place, file, offset): the places of each id in order, one row each."""
+    return locations.select("id", F.row_number().over(Window.partitionBy("id").orderBy("file", "offset")).alias("place"), "file", "offset")
 
 
 def partial_types(locations: DataFrame) -> DataFrame:
@@ -142,6 +144,17 @@ def blame(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     return lines.join(first, ["file", "line"])
 
 
+def git_blame(hunks: DataFrame) -> DataFrame:
+    """(file, line, note, within): author and address of every line of the hunks, and its place in its hunk.
+
+    hunks: file, first (the first line), more (lines after it), author, mail.  Lines count from 1; where hunks overlap, the one that starts last
+    holds, and of these the greatest author and address.
+    """
+    each = hunks.select("file", F.explode(F.expr("sequence(first, first + more)")).alias("line"), F.struct("first", "author", "mail").alias("x"))
+    best = each.where("line > 0").groupBy("file", "line").agg(F.max("x").alias("x"))
+    return best.select("file", "line", F.concat("x.author", F.lit(" <"), "x.mail", F.lit(">")).alias("note"), (F.col("line") - F.col("x.first")).alias("within"))
+
+
 def reference_kind(base_list: Column, target_interface: Column, source_interface: Column, written: Column, kind: Column) -> Column:
     """Kind number of a reference from facts about its place."""
     base = F.when(~target_interface, F.lit(0)).when(source_interface, F.lit(1)).otherwise(F.lit(2))

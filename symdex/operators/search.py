@@ -13,6 +13,8 @@ from symdex.functions import querylang
 from symdex.functions.symbols import TYPES, glyph_to_kind, kind_rank, match_level, weight
 
 MOST = 100
+#: Queries that are taken over all symbols at once.
+QUERY_BLOCK = 1000
 
 
 def prefix_search(names: DataFrame, word: str, key: str = "name_key") -> DataFrame:
@@ -72,17 +74,25 @@ def decode(symbols: DataFrame, assemblies: DataFrame) -> DataFrame:
 def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbols that each interpretation's core is a prefix of.
 
-    Queries are joined on the first three characters of their cores; shorter cores, which dotted terms can have, on as
-    many as they have.  Only the lengths that occur (four at most) are joined.
+    Queries are joined on the first three characters of their cores; shorter cores, which dotted terms can have, on as many as they
+    have.  A stem that very many symbols have is split by Spark, as symbols are the streamed side of these joins.
     """
     q = queries.withColumn("core_key", F.upper("core")).withColumn("stem", F.substring("core_key", 1, 3))
-    found = None
-    for n in sorted(r[0] for r in q.select(F.length("stem")).distinct().collect()) or [3]:
-        part = q.where(F.length("stem") == n)
-        stem = F.substring("name_key", 1, n) if n else F.lit("")
-        # n = 0: every row is in the range of an empty core
-        one = symbols.withColumn("stem", stem).join(part, "stem").where(F.col("name_key").startswith(F.col("core_key"))).drop("stem", "core_key")
-        found = one if found is None else found.unionByName(one)
+    found = every(symbols, q.where("stem = ''")).drop("stem", "core_key")
+    for n in (1, 2, 3):
+        one = symbols.withColumn("stem", F.substring("name_key", 1, n)).join(q.where(F.length("stem") == n), "stem")
+        found = found.unionByName(one.where(F.col("name_key").startswith(F.col("core_key"))).drop("stem", "core_key"))
+    return found
+
+
+def every(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each symbol with each query whose core is empty.  Such queries go along as one array of ``QUERY_BLOCK`` rows at most at a time."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    names = [f"`{name}`" for name in queries.columns]
+    found = symbols.where("false").withColumns({k: F.lit(None).cast(t) for k, t in queries.dtypes})
+    for i in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id", "reading"), F.lit(blocks)) == i).agg(F.collect_list(F.struct(*names)).alias("block"))
+        found = found.unionByName(symbols.crossJoin(F.broadcast(part)).withColumn("q", F.explode("block")).select(*symbols.columns, "q.*"))
     return found
 
 
@@ -137,6 +147,11 @@ def result_count(hits: DataFrame, potential: DataFrame) -> DataFrame:
     return n.select("query_id", "shown", text.alias("message"))
 
 
+def top_k(names: DataFrame, word: str, most: int = MOST, order: str = "pos") -> DataFrame:
+    """The first ``most`` rows of a prefix range in index order, as a top-k of each partition and then of these."""
+    return prefix_search(names, word).orderBy(order).limit(most)
+
+
 def find_assemblies(assemblies: DataFrame, term: str | None, default_to_all: bool = False) -> DataFrame:
     """Assemblies with a project by prefix (exact length if quoted), 100 at most; without a term all or none."""
     listed = assemblies.where(F.col("project_key") != -1)

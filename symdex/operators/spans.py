@@ -25,15 +25,22 @@ COMMENTS = (
     "xml literal - comment", "comment",
 )
 XML_LITERALS = {
-    "delimiter": "xld", "name": "xln", "attribute name": "xlan", "attribute quotes": "xlaq", "attribute value": "xlav", "entity reference": "xler",
-    "cdata section": "xlcs", "processing instruction": "xlpi", "embedded expression": "xlee",
-}
+    "xml literal - delimiter": "xld",
+    "xml literal - name": "xln",
+    "xml literal - attribute name": "xlan",
+    "xml literal - attribute quotes": "xlaq",
+    "xml literal - attribute value": "xlav",
+    "xml literal - entity reference": "xler",
+    "xml literal - cdata section": "xlcs",
+    "xml literal - processing instruction": "xlpi",
+    "xml literal - embedded expression": "xlee",
+}
 MARKS = (
     {"keyword": "k", "keyword - control": "k", "preprocessor keyword": "prep", "string": "s", "string - verbatim": "s", "excluded code": "e"}
     | dict.fromkeys(IDENTIFIERS, "i")
     | dict.fromkeys(TYPE_NAMES, "t")
     | dict.fromkeys(COMMENTS, "c")
-    | {f"xml literal - {k}": v for k, v in XML_LITERALS.items()}
+    | XML_LITERALS
 )
 UNKNOWN = "unknownClassification"
 # Keywords that stay apart.
@@ -91,14 +98,19 @@ def distinct_points(spans: DataFrame) -> DataFrame:
 
 
 def split_intervals(spans: DataFrame) -> DataFrame:
-    """Each span cut at every start or end of others that falls inside it; pieces that were cut are no longer semantic."""
-    points = distinct_points(spans).groupBy("doc").agg(F.array_sort(F.collect_list("point")).alias("points"))
-    end = F.col("start") + F.col("length")
-    inside = F.filter("points", lambda p: (p >= F.col("start")) & (p <= end))
-    cut = spans.join(points, "doc").withColumn("p", inside).drop("points")
-    pieces = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.get("p", i).alias("start"), (F.get("p", i + 1) - F.get("p", i)).alias("length"), i.alias("piece")))
-    out = cut.where("size(p) > 1").withColumn("x", F.explode(pieces)).withColumn("semantic", F.col("semantic") & (F.size("p") == 2))
-    return out.select("doc", "seq", F.col("x.piece").alias("piece"), F.col("x.start").alias("start"), F.col("x.length").alias("length"), "class", "semantic")
+    """Each span cut at every start or end of others that falls inside it; pieces that were cut are no longer semantic.
+
+    Points are numbered within a document.  A span learns the numbers of its start and end, and the numbers between them are its pieces, so
+    the work grows with the pieces and no span sees the points of its whole document.
+    """
+    w = Window.partitionBy("doc").orderBy("point")
+    points = distinct_points(spans).select("doc", "point", F.row_number().over(w).alias("i"), F.lead("point").over(w).alias("next"))
+    low = points.select("doc", F.col("point").alias("start"), F.col("i").alias("first"))
+    high = points.select("doc", F.col("point").alias("end"), F.col("i").alias("last"))
+    numbered = spans.withColumn("end", F.col("start") + F.col("length")).join(low, ["doc", "start"]).join(high, ["doc", "end"]).where("last > first")
+    each = numbered.withColumn("i", F.explode(F.expr("sequence(first, last - 1)"))).drop("start", "length", "end").join(points, ["doc", "i"])
+    length, whole = F.col("next") - F.col("point"), F.col("last") - F.col("first") == 1
+    return each.select("doc", "seq", (F.col("i") - F.col("first")).alias("piece"), F.col("point").alias("start"), length.alias("length"), "class", (F.col("semantic") & whole).alias("semantic"))
 
 
 def _better(a: Column, b: Column) -> Column:

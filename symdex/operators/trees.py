@@ -35,8 +35,10 @@ def folder_tree(paths: DataFrame) -> DataFrame:
 
 
 def sort_explorer(items: DataFrame) -> DataFrame:
-    """(folder, items): items of each folder by name, whatever the case."""
-    return items.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct(fold_case(F.col("name")).alias("key"), "name"))), lambda s: s["name"]).alias("items"))
+    """(folder, place, name): items of each folder by name, whatever the case; rows stay flat, however many a folder has."""
+    from pyspark.sql import Window
+
+    return items.select("folder", F.row_number().over(Window.partitionBy("folder").orderBy(fold_case(F.col("name")), "name")).alias("place"), "name")
 
 
 def symbol_depth(symbols: DataFrame) -> DataFrame:
@@ -60,24 +62,19 @@ def split_by_first_letter(ids: DataFrame) -> DataFrame:
 def min_unique_prefix(strings: DataFrame) -> DataFrame:
     """n: the shortest prefix length that keeps all values apart, no longer than the first value; 0 if that is empty.
 
-    strings: seq, value.  Only neighbours in sorted order can share the longest prefix.  Values are dealt by their first two
-    characters, so neighbours meet in one window; values of different stems share one character at most.
+    strings: seq, value.  Only neighbours in sorted order can share the longest prefix; they meet by their numbers in that order, so
+    no task gets more than its share, whatever the values begin with.
     """
-    from pyspark.sql import Window
+    from .numbering import dense
 
-    stem = F.substring("value", 1, 2)
-    w = Window.partitionBy("stem").orderBy("value")
+    sorted_ = dense(strings.select("seq", "value"), ["value", "seq"], "n")
+    before = sorted_.select((F.col("n") + 1).alias("n"), F.col("value").alias("before"))
     n = F.least(F.length("value"), F.length("before"))
     common = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda m, i: F.when((m == i - 1) & (i <= n) & (F.substring(F.col("value"), i, F.lit(1)) == F.substring(F.col("before"), i, F.lit(1))), i).otherwise(m))
-    near = strings.withColumn("stem", stem).withColumn("before", F.lag("value").over(w)).where("before is not null")
-    within = near.agg(F.max(common).alias("m"), F.coalesce(F.bool_or(F.col("value") == F.col("before")), F.lit(False)).alias("same"))
-    stems = strings.select(stem.alias("stem")).distinct().groupBy(F.substring("stem", 1, 1).alias("c")).agg(F.count("*").alias("k"))
-    across = stems.agg(F.max(F.when(F.col("k") > 1, 1).otherwise(0)).alias("one"), F.count("*").alias("heads"))
-    first = strings.agg(F.min_by("value", "seq").alias("first"), F.count("*").alias("rows"))
-    all_ = first.crossJoin(within).crossJoin(across)
-    longest = F.greatest(F.coalesce("m", F.lit(0)), F.coalesce("one", F.lit(0)))
+    near = sorted_.join(before, "n", "left")
+    all_ = near.agg(F.min_by("value", "seq").alias("first"), F.max(F.when(F.col("before").isNotNull(), common)).alias("m"), F.coalesce(F.bool_or(F.col("value") == F.col("before")), F.lit(False)).alias("same"))
     size = F.length("first")
-    return all_.select(F.when(F.coalesce(size, F.lit(0)) == 0, 0).when(F.col("same"), size).otherwise(F.least(longest + 1, size)).cast("int").alias("n"))
+    return all_.select(F.when(F.coalesce(size, F.lit(0)) == 0, 0).when(F.col("same"), size).otherwise(F.least(F.coalesce("m", F.lit(0)) + 1, size)).cast("int").alias("n"))
 
 
 def pair_frequency(strings: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def _file(df, name: str, order: str):
 
 @query("scan_assemblies", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_name AS assembly_name, s_suppkey % 7 AS project_key, s_suppkey * 2 AS referencing_count FROM supplier")
 def scan_assemblies(spark, d):
-    """Written as a text file and read back; a single file keeps the order."""
+    """Written as sorted text files and read back as one list."""
     a = table(spark, d, "supplier").select(c("s_suppkey").alias("k"), c("s_name").alias("assembly_name"), (c("s_suppkey") % 7).alias("project_key"), (c("s_suppkey") * 2).alias("referencing_count"))
     path = storage.fresh(spark, "assemblies")
-    legacy.write_lines(legacy.assembly_lines(a.orderBy("k").coalesce(1)), path)
-    return legacy.parse_assemblies(legacy.lines(spark, path)).select(long("pos").alias("pos"), "assembly_name", "project_key", "referencing_count")
+    legacy.write_lines(legacy.assembly_lines(a.orderBy("k")), path)
+    return legacy.parse_assemblies(legacy.folder_lines(spark, path)).select(long("pos").alias("pos"), "assembly_name", "project_key", "referencing_count")
 
 
 @query("scan_projects", f"WITH {ASM} SELECT row_number() OVER (ORDER BY pos) - 1 AS project_key, project_path FROM asm WHERE project_path IS NOT NULL")
@@ -95,7 +95,13 @@ def sink_references(spark, d):
     return back.groupBy(long("to_assembly").alias("to_assembly")).agg(F.count("*").alias("n"), long(F.sum("line")).alias("lines"))
 
 
-query("discover_projects", f"WITH {REFS} SELECT DISTINCT to_id % 16 AS to_assembly FROM refs")(lambda spark, d: sink_references(spark, d).select("to_assembly"))
+@query("discover_projects", f"WITH {REFS} SELECT CAST(to_id % 16 AS VARCHAR) AS project FROM refs GROUP BY ALL HAVING max(line) > 6")
+def discover_projects(spark, d):
+    """Assemblies for which an index holds references, read from its folders."""
+    path = storage.fresh(spark, "facts")
+    late = references(spark, d).drop("l_shipdate").withColumn("to_assembly", c("to_id") % 16)
+    legacy.write_references(late.where("line > 6"), path)
+    return legacy.discover(spark, path)
 
 _MEMBERS = "m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, CAST(l_partkey AS VARCHAR) AS member_id, CAST(l_suppkey AS VARCHAR) AS base_assembly, CAST(l_linenumber AS VARCHAR) AS base_id FROM lineitem)"
 
@@ -126,8 +132,9 @@ def scan_project_info(spark, d):
 @query("scan_declaration_map", f"WITH {LOCS} SELECT id, file AS path, \"offset\" FROM locs")
 def scan_declaration_map(spark, d):
     each = rf.declaration_map(locations(spark, d))
-    places = F.transform("places", lambda p: F.concat(p["file"], F.lit(";"), p["offset"].cast("string")))
-    rows = each.select(F.substring("id", 1, 1).alias("file"), "id", F.posexplode(F.concat(F.array(F.concat(F.lit("="), "id")), places)).alias("n", "value"))
+    file = F.substring("id", 1, 1).alias("file")
+    places = each.select(file, "id", long("place").alias("n"), F.concat_ws(";", "file", c("offset").cast("string")).alias("value"))
+    rows = places.unionByName(each.where("place = 1").select(file, "id", F.lit(0).cast("long").alias("n"), F.concat(F.lit("="), "id").alias("value")))
     rows = numbering.dense(rows, ["file", "id", "n"], "line").select("file", "line", "value")
     return legacy.parse_declaration_map(rows).select("id", "path", "offset")
 
@@ -153,13 +160,14 @@ def scan_federation(spark, d):
     return _federation(spark, d).select(long("server").alias("server"), "assembly_key")
 
 
-@query("sink_project_map", f"WITH {KEYED} SELECT assembly_name, project_key FROM keyed")
+@query("sink_project_map", f"WITH {KEYED} SELECT assembly_name, project_key, project_path FROM keyed")
 def sink_project_map(spark, d):
     keyed, projects = graph.normalize_ids(assemblies(spark, d))
-    path = storage.fresh(spark, "map")
-    legacy.write_lines(legacy.assembly_lines(keyed.withColumn("referencing_count", F.lit(0)).orderBy("pos").coalesce(1)), path)
-    legacy.write_lines(projects.orderBy("project_key").coalesce(1).select(c("project_path").alias("value")), storage.fresh(spark, "projects"))
-    return legacy.parse_assemblies(legacy.lines(spark, path)).select("assembly_name", "project_key")
+    path, listed = storage.fresh(spark, "map"), storage.fresh(spark, "projects")
+    legacy.write_lines(legacy.assembly_lines(keyed.withColumn("referencing_count", F.lit(0)).orderBy("pos")), path)
+    legacy.write_lines(projects.orderBy("project_key").select(c("project_path").alias("value")), listed)
+    back = legacy.parse_projects(legacy.folder_lines(spark, listed))
+    return legacy.parse_assemblies(legacy.folder_lines(spark, path)).join(back, "project_key", "left").select("assembly_name", "project_key", "project_path")
 
 
 # --- joins
@@ -248,7 +256,15 @@ def join_blame(spark, d):
     return rf.blame(lines, hunks)
 
 
-query("git_blame", SQL["join_blame"])(join_blame)
+_HUNKS = "h AS (SELECT o_custkey % 50 AS file, o_orderkey % 40 AS first, o_orderkey % 7 AS more, o_orderpriority AS author, o_clerk_id AS mail FROM (SELECT *, o_custkey % 9 AS o_clerk_id FROM orders))"
+
+
+@query("git_blame", f"WITH {_HUNKS}, l AS (SELECT file, first + k AS line, author, mail, first FROM h, (SELECT unnest(range(7)) AS k) WHERE k <= more), g AS (SELECT file, line, max(struct_pack(first := first, author := author, mail := mail)) AS x FROM l WHERE line > 0 GROUP BY ALL) SELECT file, line, concat(x.author, ' <u', x.mail, '@x.org>') AS note, line - x.first AS within FROM g")
+def git_blame(spark, d):
+    """Every line of a hunk with who wrote it; of hunks that overlap the one that starts last."""
+    o = table(spark, d, "orders")
+    hunks = o.select((c("o_custkey") % 50).alias("file"), (c("o_orderkey") % 40).alias("first"), (c("o_orderkey") % 7).alias("more"), c("o_orderpriority").alias("author"), F.concat(F.lit("u"), (c("o_custkey") % 9).cast("string"), F.lit("@x.org")).alias("mail"))
+    return rf.git_blame(hunks)
 
 
 @query("match_server_path", f"WITH {ASM}, p AS (SELECT project_path AS path FROM asm WHERE project_path IS NOT NULL) SELECT path, CASE WHEN starts_with(upper(path), concat('ASIA', chr(92), 'NATION_1')) THEN concat('https://x/', substring(path, 14)) WHEN starts_with(upper(path), 'ASIA') THEN concat('https://y', substring(path, 5)) WHEN starts_with(upper(path), 'E') THEN concat('z', substring(path, 2)) END AS server_path FROM p")
@@ -259,9 +275,10 @@ def match_server_path(spark, d):
 
 @query("pair_events", "SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS line, o_orderpriority AS command FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
 def pair_events(spark, d):
-    """Start events with the command events of the same (target, project)."""
-    li, o = table(spark, d, "lineitem").where("l_linenumber = 1"), table(spark, d, "orders")
-    return li.join(o, c("l_orderkey") == c("o_orderkey")).select(c("l_orderkey").alias("id"), long("l_linenumber").alias("line"), c("o_orderpriority").alias("command"))
+    """The target of an event is its order, the project its line."""
+    starts = table(spark, d, "lineitem").select(c("l_orderkey").alias("target"), long("l_linenumber").alias("project"))
+    commands = table(spark, d, "orders").select(c("o_orderkey").alias("target"), F.lit(1).cast("long").alias("project"), c("o_orderpriority").alias("command"))
+    return graph.pair_events(starts, commands).select(c("target").alias("id"), c("project").alias("line"), "command")
 
 
 # --- aggregations
@@ -328,14 +345,21 @@ def _projects(spark, d):
 _LINES = "len(string_split(text, chr(10)))"
 
 
-@query("project_stats", f"SELECT source AS project, count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+_DECLARED = "decl AS (SELECT source, kind IN ('class', 'struct', 'interface') AS is_type, pos % 3 <> 0 AS is_public FROM sym JOIN documents ON doc_id = sym.key)"
+
+
+@query("project_stats", f"WITH {SYM}, {_DECLARED}, n AS (SELECT source, count(*) AS symbols, count(*) FILTER (is_type) AS types, count(*) FILTER (is_type AND is_public) AS public_types FROM decl GROUP BY source), t AS (SELECT source, count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source) SELECT t.source AS project, documents, lines, chars, coalesce(symbols, 0) AS symbols, coalesce(types, 0) AS types, coalesce(public_types, 0) AS public_types FROM t LEFT JOIN n ON t.source = n.source")
 def project_stats(spark, d):
-    return graph.project_stats(_projects(spark, d))
+    """The symbol with a document's number is declared in it."""
+    docs = table(spark, d, "documents").select("doc_id", c("source").alias("project"))
+    own = symbols(spark, d).join(docs, c("key") == c("doc_id"))
+    declared = own.select("project", sy.glyph_to_kind(c("glyph")).isin(*sy.TYPES).alias("is_type"), (c("pos") % 3 != 0).alias("is_public"))
+    return graph.project_stats(_projects(spark, d), declared)
 
 
 @query("aggregate_stats", f"SELECT count(DISTINCT source) AS projects, count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 def aggregate_stats(spark, d):
-    return graph.aggregate_stats(project_stats(spark, d))
+    return graph.aggregate_stats(graph.project_stats(_projects(spark, d)))
 
 
 @query("file_references", f"WITH {EDGES} SELECT from_assembly, to_assembly FROM edges WHERE from_assembly <> to_assembly")
@@ -396,23 +420,20 @@ def sort_symbols(spark, d):
 
 @query("custom_assembly_sort", "SELECT s_suppkey AS pos, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 10 = 0 THEN -s_suppkey END NULLS LAST, s_name) AS n FROM supplier")
 def custom_assembly_sort(spark, d):
-    from pyspark.sql import Window
-
     s = assemblies(spark, d)
     order = s.where("pos % 10 = 0").select("assembly_name", (-c("pos")).alias("place"))
-    w = Window.orderBy(c("place").isNull(), "place", "assembly_name")
-    return graph.custom_order(s, order).select("pos", long(F.row_number().over(w)).alias("n"))
+    return graph.custom_order(s, order).select("pos", (c("n") + 1).alias("n"))
 
 
-@query("sort_explorer", "SELECT p_brand AS folder, string_agg(p_name, '|' ORDER BY upper(p_name), p_name) AS items FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand")
+@query("sort_explorer", "SELECT p_brand AS folder, row_number() OVER (PARTITION BY p_brand ORDER BY upper(p_name), p_name) AS place, p_name AS name FROM (SELECT DISTINCT p_brand, p_name FROM part)")
 def sort_explorer(spark, d):
-    return trees.sort_explorer(table(spark, d, "part").select(c("p_brand").alias("folder"), c("p_name").alias("name")).distinct()).select("folder", F.array_join("items", "|").alias("items"))
+    return trees.sort_explorer(table(spark, d, "part").select(c("p_brand").alias("folder"), c("p_name").alias("name")).distinct()).withColumn("place", long("place"))
 
 
 @query("union_files", "SELECT DISTINCT upper(f) AS file_key FROM (SELECT p_name AS f FROM part UNION ALL SELECT upper(p_type) FROM part)")
 def union_files(spark, d):
     p = table(spark, d, "part")
-    return p.select(F.upper("p_name").alias("file_key")).union(p.select(F.upper("p_type"))).distinct()
+    return graph.union_files(p.select(c("p_name").alias("path")), p.select(F.upper("p_type").alias("path")))
 
 
 @query("first_document_wins", "SELECT p_name AS path, min(p_partkey) AS seq FROM part GROUP BY p_name")
@@ -456,9 +477,9 @@ def add_declared_symbol(spark, d):
     return rf.declared(table(spark, d, "part").select(c("p_size").cast("string").alias("assembly"), c("p_name").alias("id"), name.alias("name"), kind.alias("kind"), c("p_partkey").alias("seq")))
 
 
-@query("declaration_map", f"WITH {LOCS} SELECT id, string_agg(concat(file, ':', \"offset\"), '|' ORDER BY file) AS places FROM locs GROUP BY id")
+@query("declaration_map", f"WITH {LOCS} SELECT id, row_number() OVER (PARTITION BY id ORDER BY file, \"offset\") AS place, file, \"offset\" FROM locs")
 def declaration_map(spark, d):
-    return rf.declaration_map(locations(spark, d)).select("id", F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["offset"].cast("string"))), "|").alias("places"))
+    return rf.declaration_map(locations(spark, d)).withColumn("place", long("place"))
 
 
 _REDIRECT = f"WITH {LOCS}, f AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS n FROM (SELECT DISTINCT file FROM locs)), g AS (SELECT id, count(*) AS k, min(file) AS file FROM locs GROUP BY id) SELECT id, substring(id, 1, 1) AS bucket, substring(id, 2, 7) AS short, CASE WHEN k = 1 THEN CAST(n AS VARCHAR) ELSE concat('P/', id) END AS target FROM g JOIN f USING (file)"

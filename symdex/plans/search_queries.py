@@ -232,8 +232,14 @@ def decode_symbol(spark, d):
     return _decoded(spark, d).select("key", "kind", "assembly_name", "project_path", "description")
 
 
-SQL["join_symbol_assembly_project"] = SQL["decode_symbol"]
-query("join_symbol_assembly_project")(decode_symbol)
+@query("join_symbol_assembly_project", f"{_DECODED}, {KEYED[len(ASM) + 2 :]}, s AS (SELECT keyed.pos, referrers FROM keyed LEFT JOIN (SELECT to_assembly, count(*) AS referrers FROM (SELECT DISTINCT l_suppkey AS from_assembly, l_partkey % (SELECT count(*) FROM supplier) AS to_assembly FROM lineitem) GROUP BY to_assembly) ON to_assembly = keyed.pos) SELECT dec.pos, dec.name, dec.assembly_name, keyed.project_key, dec.project_path, coalesce(referrers, 0) AS referrers FROM dec LEFT JOIN keyed ON dec.assembly_number = keyed.pos LEFT JOIN s ON s.pos = keyed.pos")
+def join_symbol_assembly_project(spark, d):
+    """The serving table with each symbol's assembly, project and number of referrers."""
+    found = search.decode(symbols(spark, d), assemblies(spark, d))
+    keys = keyed_assemblies(spark, d).select(c("pos").alias("assembly_number"), "project_key")
+    n = graph.referencing_count(edges(spark, d)).select(c("assembly").alias("assembly_number"), c("n").alias("referrers"))
+    out = found.join(keys, "assembly_number", "left").join(n, "assembly_number", "left")
+    return out.select("pos", "name", "assembly_name", "project_key", "project_path", F.coalesce("referrers", F.lit(0).cast("long")).alias("referrers"))
 
 
 @query("find_assemblies", f"WITH {KEYED}, l AS (SELECT * FROM keyed WHERE project_key <> -1), p AS (SELECT pos, assembly_name, 'prefix' AS way FROM l WHERE starts_with(upper(assembly_name), 'SUPPLIER#00000001') ORDER BY pos LIMIT 100) SELECT pos, assembly_name, way FROM p UNION ALL SELECT pos, assembly_name, 'exact' FROM l WHERE upper(assembly_name) = 'SUPPLIER#000000011' UNION ALL SELECT pos, assembly_name, 'all' FROM l")
@@ -316,4 +322,4 @@ def affiliate_links(spark, d):
 
 @query("top_k", f"WITH {SYM} SELECT key FROM sym WHERE starts_with(upper(name), 'SMALL') ORDER BY pos LIMIT 100")
 def top_k(spark, d):
-    return search.prefix_search(symbols(spark, d), "small").orderBy("pos").limit(search.MOST).select("key")
+    return search.top_k(symbols(spark, d), "small").select("key")

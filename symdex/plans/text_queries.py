@@ -392,13 +392,14 @@ def highlight_spans(spark, d):
 # --- plugins and formats: checked by rows and by tests
 
 
-@query("text_visitor", "SELECT doc_id AS file, CAST(1 AS BIGINT) AS line, upper(substring(text, 1, 1)) AS glyph FROM documents WHERE doc_id % 2 = 0 AND regexp_full_match(substring(text, 1, 1), '[A-Za-z]')")
+@query("text_visitor", "SELECT doc_id AS file, line, upper(substring(t, 1, 1)) AS glyph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE doc_id % 2 = 0) WHERE regexp_full_match(substring(t, 1, 1), '[A-Za-z]')")
 def text_visitor(spark, d):
+    """Visitors see every line of every document."""
     reg = plugins.Registry(denied=("other",))
-    reg.add(plugins.Plugin("first", lambda t, file, line: t[0].upper() if int(file) % 2 == 0 and t[0].isascii() and t[0].isalpha() else None))
+    reg.add(plugins.Plugin("first", lambda t, file, line: t[0].upper() if t and int(file) % 2 == 0 and t[0].isascii() and t[0].isalpha() else None))
     reg.add(plugins.Plugin("other", lambda t, file, line: "x"))
-    lines = _docs(spark, d).where("text <> ''").select(c("doc_id").alias("file"), F.lit(1).cast("long").alias("line"), "text")
-    return reg.visit_lines(lines).select("file", "line", "glyph")
+    lines = _docs(spark, d).select(c("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return reg.visit_lines(lines.select("file", (c("at") + 1).cast("long").alias("line"), "text")).select("file", "line", "glyph")
 
 
 @query("plugin_isolation", "SELECT doc_id AS file FROM documents WHERE doc_id % 3 <> 0")
@@ -444,26 +445,24 @@ def sniff_pe(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), legacy.is_managed(F.when(c("p_partkey") % 2 == 0, image("00200000")).otherwise(image("00000000"))).alias("managed"))
 
 
-@query("scan_symbol_index", "SELECT CAST(1 AS BIGINT) AS pos, 'b' AS name, '00000000000000ff' AS symbol_id, CAST(300 AS BIGINT) AS glyph UNION ALL SELECT 0, 'aé', '0123456789abcdef', 5")
+@query("scan_symbol_index", "SELECT p_partkey % 7 AS assembly_number, p_name AS name, substring(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS symbol_id, p_type AS description, CAST(p_size AS BIGINT) AS glyph FROM part")
 def scan_symbol_index(spark, d):
-    """A binary table as bytes in a column, unpacked on the executors."""
-    data = legacy.pack_symbols([(3, "aé", "0123456789abcdef", b"x", 5), (70000, "b", "00000000000000ff", b"", 300)])
+    """Binary tables are written, one for each partition, and read again from their files."""
+    path = storage.fresh(spark, "binary")
+    p = table(spark, d, "part").select((c("p_partkey") % 7).alias("assembly_number"), c("p_name").alias("name"), F.substring(F.md5(c("p_partkey").cast("string")), 1, 16).alias("symbol_id"), c("p_type").alias("description"), c("p_size").alias("glyph"))
+    legacy.write_symbol_index(p, path)
+    back = legacy.scan_symbol_index(spark, path, packed=True)
+    return back.select(long("assembly_number").alias("assembly_number"), "name", "symbol_id", c("description").cast("string").alias("description"), long("glyph").alias("glyph"))
 
-    def run(batches):
-        import pandas as pd
 
-        for b in batches:
-            for content in b["content"]:
-                yield pd.DataFrame([(i, n, k, g) for i, (_, n, k, _, g) in enumerate(legacy.unpack_symbols(bytes(content)))], columns=["pos", "name", "symbol_id", "glyph"])
-
-    return spark.createDataFrame([(data,)], "content binary").mapInPandas(run, "pos long, name string, symbol_id string, glyph long")
-
-
-@query("scan_tsjson", "SELECT concat('f', p_partkey) AS file, CAST(p_size AS BIGINT) AS start FROM part")
+@query("scan_tsjson", "SELECT concat('f', p_partkey) AS file, CAST(p_size AS BIGINT) AS start, CAST(1 AS BIGINT) AS length, 'k' AS classification FROM part")
 def scan_tsjson(spark, d):
-    line = F.to_json(F.struct(F.concat(F.lit("f"), c("p_partkey").cast("string")).alias("fileName"), F.array(F.struct(c("p_size").alias("start"), F.lit(1).alias("length"), F.lit("k").alias("classification"))).alias("syntacticClassifications")))
-    x = table(spark, d, "part").select(F.from_json(line, legacy.ANALYZED).alias("a"))
-    return x.select(c("a.fileName").alias("file"), long(F.get("a.syntacticClassifications", F.lit(0))["start"]).alias("start"))
+    """Analysed files are written as lines of JSON and read again; result and error notes beside them are left out."""
+    path = storage.fresh(spark, "analysed")
+    span = F.struct(c("p_size").alias("start"), F.lit(1).alias("length"), F.lit("k").alias("classification"))
+    table(spark, d, "part").select(F.concat(F.lit("f"), c("p_partkey").cast("string")).alias("fileName"), F.array(span).alias("syntacticClassifications")).write.json(path)
+    x = legacy.scan_analyzed(spark, path, lines=True).select(c("fileName").alias("file"), F.explode("syntacticClassifications").alias("s"))
+    return x.select("file", long("s.start").alias("start"), long("s.length").alias("length"), "s.classification")
 
 
 @query("append_references_stream", "SELECT l_suppkey % 5 AS to_assembly, count(*) AS n FROM lineitem GROUP BY ALL")

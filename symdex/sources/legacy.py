@@ -22,8 +22,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.where("value <> ''").select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
+def folder_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same for a list that was written in sorted parts: all files of a folder as one, numbered on in the order of their names.
+
+    Only the parts' sizes, of which there are as many as the writer had partitions, are summed in one place.
+    """
+    own = lines(spark, path)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy("file").agg((F.max("line") + 1).alias("n"))
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return own.join(F.broadcast(starts), "file").select(F.lit(path).alias("file"), (F.col("line") + F.col("before")).alias("line"), "value")
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
-    """rows: value."""
+    """rows: value.  Sorted rows are written in parts whose names keep the order; ``folder_lines`` reads them as one list."""
     rows.select("value").write.text(path)
 
 
@@ -77,6 +89,12 @@ def write_references(refs: DataFrame, path: str) -> None:
     refs.repartition("to_assembly").sortWithinPartitions("to_assembly", "to_id").write.partitionBy("to_assembly").parquet(path)
 
 
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """(project): the assemblies that an index holds references for, from the names of its folders; no row is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.select(F.regexp_extract("path", "/to_assembly=([^/]*)/", 1).alias("project")).where("project <> ''").distinct()
+
+
 def parse_members(rows: DataFrame) -> DataFrame:
     """``id;assembly;id``; the last of an id wins for base members, interface members form a set."""
     p = F.split("value", ";")
@@ -103,7 +121,10 @@ def parse_project_info(rows: DataFrame) -> DataFrame:
 
 
 def parse_declaration_map(rows: DataFrame) -> DataFrame:
-    """``=id`` and then ``file;offset`` lines."""
+    """``=id`` and then ``file;offset`` lines.
+
+    A file is one row of text before it is cut, and each assembly has files of its own, so a window over a file holds no more than a task has read.
+    """
     head = F.col("value").startswith("=")
     w = Window.partitionBy("file").orderBy("line")
     own = rows.withColumn("id", F.last(F.when(head, F.substring("value", 2, 1 << 20)), ignorenulls=True).over(w)).where(~head & F.col("id").isNotNull())
@@ -199,8 +220,8 @@ def unpack_symbols(data: bytes) -> Iterator[tuple[int, str, str, bytes, int]]:
         yield number(), chunk(number()).decode(), chunk(8).hex(), chunk(number()), number()
 
 
-def scan_symbol_index(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of binary tables; each file is read by one task."""
+def scan_symbol_index(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Symbols of binary tables, files of a folder or (packed) rows that ``write_symbol_index`` has written; each is read by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,8 +229,25 @@ def scan_symbol_index(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(file, i, *x) for i, x in enumerate(unpack_symbols(bytes(content)))]
                 yield pd.DataFrame(rows, columns=["file", "pos", "assembly_number", "name", "symbol_id", "description", "glyph"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, pos long, assembly_number int, name string, symbol_id string, description binary, glyph int")
+    files = spark.read.parquet(path) if packed else spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(run, "file string, pos long, assembly_number int, name string, symbol_id string, description binary, glyph int")
+
+
+def write_symbol_index(symbols: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Binary tables of up to ``rows`` symbols, as rows (path, content) in Parquet: each is bounded, and no task writes files by itself.
+
+    symbols: assembly_number, name, symbol_id, description, glyph.
+    """
+    names = ["assembly_number", "name", "symbol_id", "description", "glyph"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), rows):
+                part = batch.iloc[i : i + rows]
+                values = zip(*(part[n].tolist() for n in names), strict=True)
+                yield pd.DataFrame({"path": [f"{part['symbol_id'].iloc[0]}.bin"], "content": [pack_symbols([(a, n, k, t.encode(), g) for a, n, k, t, g in values])]})
+
+    symbols.select(*names).mapInPandas(run, "path string, content binary").write.parquet(path)
 
 
 def is_managed(content: Column) -> Column:
@@ -230,7 +268,7 @@ def is_managed(content: Column) -> Column:
 ANALYZED = "fileName string, syntacticClassifications array<struct<start: int, length: int, classification: string>>, semanticClassifications array<struct<start: int, length: int, classification: string>>, references string"
 
 
-def scan_analyzed(spark: SparkSession, path: str) -> DataFrame:
-    """Analysed script files, one JSON object each."""
-    found = spark.read.schema(ANALYZED).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("source"))
+def scan_analyzed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Analysed script files, one JSON object each, or with ``lines`` one on each line, so that large files can be cut."""
+    found = spark.read.schema(ANALYZED).json(path, multiLine=not lines).select("*", F.col("_metadata.file_name").alias("source"))
     return found.where(~F.col("source").isin("ok.json", "error.json"))
