@@ -2,9 +2,9 @@
 
 Texts are encoded by a public tokenizer and end with an end id.  Documents are dealt by ranges of doc_id, and each task cuts its own, in
 order, into shards of about ``SHARD_IDS`` ids.  A shard is one row of the file: its documents, their lengths, and a
-grammar: the most frequent pairs of neighbouring ids are replaced by nonterminals, again and again, never across the end
-of a document.  With the rules the row stores the length to which each symbol expands, so one document can be decoded without the
-others.  Symbols are packed at the fewest bytes that hold them.  Rows are Parquet, so the files are committed and read by Spark
+grammar: the most frequent pairs of neighbouring ids are replaced by nonterminals, again and again until no pair occurs ``LEAST`` times,
+never across the end of a document.  With the rules the row stores the length to which each symbol expands, and how many symbols each
+document has, so one document can be decoded without a look at the others.  Symbols are packed at the fewest bytes that hold them.  Rows are Parquet, so the files are committed and read by Spark
 wherever they are.
 """
 
@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .support import id_and_text
+from .support import id_and_text, in_batches
 from .tokens import buffers
 
 #: Ids of a shard (or one document, if that has more).
 SHARD_IDS = 1 << 20
-#: Passes of pair replacement over a shard, rules of a pass, and the occurrences that a rule must save.
-PASSES, RULES, LEAST = 3, 4096, 16
+#: A pair becomes a rule if it occurs so often, the most frequent ones (so many at a time) first, until no pair does.
+LEAST, RULES = 16, 4096
 #: Words that a worker remembers, as written, and in lower case without a mark.
 REMEMBERED, CORES = 900_000, 1_000_000
 _BUCKETS = 20
 
-SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
+SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, symbol_counts binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
 
 
 class _Words(dict):
@@ -102,34 +102,33 @@ def words(path: str) -> _Words:
     return _Words(path)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, expansions, symbols): rule r replaces left[r], right[r] and is written as base + r."""
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, expansions, symbols, counts): rule r replaces left[r], right[r] and is written as base + r; counts: symbols of each document.
+
+    Each round replaces the ``RULES`` most frequent pairs at once.  A pair that falls on the bucket of another one, or is less frequent, waits for
+    the next round; the rounds end when no pair is frequent.
+    """
     seq = ids.astype(np.int64)
     ends = np.zeros(len(seq), bool)
     ends[np.cumsum(lengths)[lengths > 0] - 1] = True
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     weight = [np.zeros(0, np.int64)]
     top = base
-    for _ in range(PASSES):
-        if len(seq) < 2:
-            break
+    bucket = lambda key: ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+    while len(seq) > 1:
         key = (seq[:-1] << 32) | seq[1:]
-        hashed = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+        hashed = bucket(key)
         inside = ~ends[:-1]
         often = np.bincount(hashed[inside], minlength=1 << _BUCKETS)
-        maybe = inside & (often[hashed] >= LEAST)
-        pairs, count = np.unique(key[maybe], return_counts=True)
+        at = np.flatnonzero(inside & (often[hashed] >= LEAST))
+        pairs, count = np.unique(key[at], return_counts=True)
         keep = np.flatnonzero(count >= LEAST)
         if not len(keep):
             break
-        if len(keep) > RULES:
-            keep = np.sort(keep[np.lexsort((pairs[keep], -count[keep]))[:RULES]])
-        # of pairs that fall on one bucket (a few in a shard) the first becomes a rule, so a bucket leads to its rule
-        bucket = ((pairs[keep].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        pairs = pairs[keep[np.sort(np.unique(bucket, return_index=True)[1])]]
+        keep = keep[np.lexsort((pairs[keep], -count[keep]))[:RULES]]
+        pairs = pairs[np.sort(keep[np.unique(bucket(pairs[keep]), return_index=True)[1]])]
         rule_of = np.full(1 << _BUCKETS, -1, np.int32)
-        rule_of[((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)] = np.arange(len(pairs))
-        at = np.flatnonzero(maybe)
+        rule_of[bucket(pairs)] = np.arange(len(pairs))
         place = rule_of[hashed[at]]
         hit = (place >= 0) & (pairs[place] == key[at])
         at, place = at[hit], place[hit]
@@ -149,7 +148,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
         rights.append(right)
         weight.append(size(left) + size(right))
         top += len(pairs)
-    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(weight), seq
+    counts = np.zeros(len(lengths), np.int64)
+    counts[lengths > 0] = np.diff(np.r_[0, np.flatnonzero(ends) + 1])
+    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(weight), seq, counts
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, expansions: np.ndarray, base: int) -> np.ndarray:
@@ -194,11 +195,11 @@ def encoded_shards(documents: DataFrame, path: str, end_id: int) -> DataFrame:
 
         def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in data], np.int64)
-            left, right, expansions, symbols = compress(np.frombuffer(b"".join(data), "<u4"), lengths, base)
+            left, right, expansions, symbols, counts = compress(np.frombuffer(b"".join(data), "<u4"), lengths, base)
             width = 2 if base + len(left) <= 1 << 16 else 3
             packed = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-            columns = [part, start, int(lengths.sum()), np.array(ids, "<i8").tobytes(), lengths.astype("<u4").tobytes(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), expansions.astype("<u4").tobytes(), width, packed, base]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int8(), pa.binary(), pa.int32()]
+            columns = [part, start, int(lengths.sum()), np.array(ids, "<i8").tobytes(), lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), expansions.astype("<u4").tobytes(), width, packed, base]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.int8(), pa.binary(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
         for batch in batches:
@@ -218,7 +219,7 @@ def encoded_shards(documents: DataFrame, path: str, end_id: int) -> DataFrame:
             yield shard()
 
     known = documents.where("doc_id is not null")
-    return known.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD)
+    return in_batches(known.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")).mapInArrow(run, SHARD)
 
 
 def write(documents: DataFrame, to: str, path: str, end_id: int = 1) -> None:
@@ -229,29 +230,54 @@ def write(documents: DataFrame, to: str, path: str, end_id: int = 1) -> None:
     encoded_shards(documents, path, end_id).write.parquet(to)
 
 
+def numbers(row: dict, name: str) -> np.ndarray:
+    return np.frombuffer(row[name], "<u4").astype(np.int64)
+
+
+def symbols_of(row: dict, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The symbols low..high-1 of a shard."""
+    width = row["width"]
+    packed = np.frombuffer(row["symbols"], np.uint8)[low * width : None if high is None else high * width].reshape(-1, width)
+    out = np.zeros((len(packed), 4), np.uint8)
+    out[:, :width] = packed
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a shard."""
-    of = lambda name: np.frombuffer(row[name], "<u4").astype(np.int64)
-    width, base = row["width"], row["base"]
-    packed = np.frombuffer(row["symbols"], np.uint8).reshape(-1, width)
-    symbols = np.zeros((len(packed), 4), np.uint8)
-    symbols[:, :width] = packed
-    ids = expand(symbols.view("<u4").ravel().astype(np.int64), of("rule_left"), of("rule_right"), of("expansions"), base)
-    return np.frombuffer(row["doc_ids"], "<i8"), of("lengths"), ids
+    ids = expand(symbols_of(row), numbers(row, "rule_left"), numbers(row, "rule_right"), numbers(row, "expansions"), row["base"])
+    return np.frombuffer(row["doc_ids"], "<i8"), numbers(row, "lengths"), ids
 
 
 def document(row: dict, k: int) -> np.ndarray:
-    """Random access: ids of the k-th document of a shard, expanding no symbol of others."""
-    of = lambda name: np.frombuffer(row[name], "<u4").astype(np.int64)
-    width, base, expansions, lengths = row["width"], row["base"], of("expansions"), of("lengths")
-    packed = np.frombuffer(row["symbols"], np.uint8).reshape(-1, width)
-    symbols = np.zeros((len(packed), 4), np.uint8)
-    symbols[:, :width] = packed
-    symbols = symbols.view("<u4").ravel().astype(np.int64)
-    size = np.where(symbols >= base, expansions[np.maximum(symbols - base, 0)] if len(expansions) else 1, 1)
-    at = np.cumsum(size) - size
-    low, high = lengths[:k].sum(), lengths[: k + 1].sum()
-    return expand(symbols[np.searchsorted(at, low) : np.searchsorted(at, high)], of("rule_left"), of("rule_right"), expansions, base)
+    """Random access: ids of the k-th document of a shard, from its own symbols and the rules below them."""
+    counts, base = numbers(row, "symbol_counts"), row["base"]
+    low = int(counts[:k].sum())
+    left, right = (np.frombuffer(row[name], "<u4") for name in ("rule_left", "rule_right"))
+    out, todo = [], symbols_of(row, low, low + int(counts[k])).tolist()[::-1]
+    while todo:
+        x = todo.pop()
+        if x < base:
+            out.append(x)
+        else:
+            todo += [int(right[x - base]), int(left[x - base])]
+    return np.array(out, np.uint32)
+
+
+def token(row: dict, k: int, i: int) -> int:
+    """Random access within a document: its i-th id, by the lengths to which symbols expand."""
+    counts, base = numbers(row, "symbol_counts"), row["base"]
+    expansions, left, right = numbers(row, "expansions"), numbers(row, "rule_left"), numbers(row, "rule_right")
+    low = int(counts[:k].sum())
+    size = lambda x: 1 if x < base else int(expansions[x - base])
+    for x in symbols_of(row, low, low + int(counts[k])).tolist():
+        if i < size(x):
+            while x >= base:
+                first = int(left[x - base])
+                x, i = (first, i) if i < size(first) else (int(right[x - base]), i - size(first))
+            return x
+        i -= size(x)
+    raise IndexError(i)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -259,7 +285,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 docs, lengths, ids = unpack(row)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 edge = np.r_[0, np.cumsum(lengths)]
@@ -269,7 +296,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "first", "doc_id", "n_tokens", "ids_crc32"],
                 )
 
-    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
+    return in_batches(spark.read.schema(SHARD).parquet(path)).mapInArrow(run, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def report(documents: DataFrame, to: str, path: str, end_id: int = 1) -> DataFrame:

@@ -192,7 +192,9 @@ def test_token_files(spark, rows, tmp_path):
     docs, lengths, ids = token_files.unpack(shard)
     edge = np.r_[0, np.cumsum(lengths)]
     for k in (0, len(docs) // 2, len(docs) - 1):
-        assert token_files.document(shard, k).tolist() == ids[edge[k] : edge[k + 1]].tolist()
+        own = ids[edge[k] : edge[k + 1]].tolist()
+        assert token_files.document(shard, k).tolist() == own
+        assert [token_files.token(shard, k, i) for i in (0, len(own) // 2, len(own) - 1)] == [own[0], own[len(own) // 2], own[-1]]
     assert token_files.report(documents(spark, []), str(tmp_path / "b"), path).count() == 0
 
 
@@ -202,9 +204,25 @@ def test_pair_grammar():
         ids = (rng.zipf(1.4, n) % 9).astype(np.uint32)
         cuts = np.sort(rng.integers(0, n + 1, 5))
         lengths = np.diff(np.r_[0, cuts, n])
-        left, right, size, symbols = token_files.compress(ids, lengths, 100)
+        left, right, size, symbols, counts = token_files.compress(ids, lengths, 100)
         assert (token_files.expand(symbols, left, right, size, 100) == ids).all()
-    assert len(symbols) < 3000
+        assert counts.sum() == len(symbols)
+    pairs = {}
+    for a, b in zip(np.split(symbols, np.cumsum(counts))[:-1], counts, strict=True):
+        assert len(a) == b
+        for p in zip(a[:-1].tolist(), a[1:].tolist()):
+            pairs[p] = pairs.get(p, 0) + 1
+    # overlapping pairs of one symbol count twice here
+    assert max(n for (a, b), n in pairs.items() if a != b) < token_files.LEAST
+
+
+def test_pair_grammar_of_copies(monkeypatch):
+    """A passage that a shard holds again and again becomes few symbols, however long it is."""
+    monkeypatch.setattr(token_files, "_BUCKETS", 6)  # pairs that fall on one bucket wait, but none is lost
+    rng = np.random.default_rng(2)
+    ids = np.tile(rng.integers(0, 5000, 700), 64).astype(np.uint32)
+    left, right, size, symbols, counts = token_files.compress(ids, np.full(64, 700), 5000)
+    assert (token_files.expand(symbols, left, right, size, 5000) == ids).all() and len(symbols) == 64
 
 
 def test_lattice(spark, rows):
@@ -332,13 +350,13 @@ def test_words_nearby_decide_what_is_masked(spark):
     assert told[1] == "ip:11:19:70,ip:31:39:30,ip:44:52:60"
 
 
-def test_empty_tables_and_repeated_rows(spark):
+def test_empty_tables_and_repeated_rows(spark, tmp_path):
     none, twice = documents(spark, []), documents(spark, [(1, "token=abcdefghijklmnop a@b.org"), (1, "token=abcdefghijklmnop a@b.org"), (1, "b"), (None, None), (None, None)])
     for report in (secret_scan.report, pii.report, lambda df: bpe.report(df, vocabulary())):
         assert report(none).count() == 0
         got = [tuple(r) for r in report(twice).collect()]
         assert len(got) == 5 and len(set(got)) == 3
-    got = sorted(tuple(r) for r in token_files.report(twice.where("doc_id is not null"), f"{none.sparkSession.conf.get('spark.checkpoint.dir')}/twice", public_tokenizers.path("word_bpe_49k.json")).collect())
+    got = sorted(tuple(r) for r in token_files.report(twice.where("doc_id is not null"), str(tmp_path / "twice"), public_tokenizers.path("word_bpe_49k.json")).collect())
     assert [r[0] for r in got] == [1, 1, 1] and got[0][1] == 0 and len({r[3] for r in got}) == 2
 
 
