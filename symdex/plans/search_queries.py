@@ -64,30 +64,69 @@ def strip_quotes_loose(spark, d):
     return w.select("x", text.strip_quotes_loose(c("x")).alias("bare"))
 
 
-@query("interpret_names", """WITH q(query_id, query, core, verbatim, words, dotted) AS (VALUES (0, 'cold', 'cold', false, '', ''), (1, '"red"', 'red', true, 'red', ''), (2, 'cold class gear', 'cold', false, 'gear', ''), (2, 'cold class gear', 'gear', false, 'cold', ''), (3, 'ab gear Brand.1', 'gear', false, 'ab', 'Brand.1'))
-SELECT CAST(query_id AS BIGINT) AS query_id, query, core, verbatim, words, dotted FROM q""")
+# Queries made of parts: each part is one query, of a form that its number picks.
+
+
+def _parts(spark: SparkSession, d: str, *forms) -> DataFrame:
+    """(query_id, query): forms are columns over part."""
+    query_ = F.get(F.array(*forms), (c("p_partkey") % len(forms)).cast("int"))
+    return table(spark, d, "part").select(c("p_partkey").alias("query_id"), query_.alias("query"))
+
+
+def _joined(*parts):
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+@query(
+    "interpret_names",
+    f"""WITH q AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' "', p_type, '"') ELSE concat(p_type, ' class ', p_name, ' ', p_type, ' ab') END AS q FROM part),
+t AS (SELECT query_id, unnest({_TOKENS}) AS x, unnest(range(len({_TOKENS}))) AS i FROM q), n AS (SELECT query_id, x, min(i) AS i FROM t WHERE x <> 'class' GROUP BY ALL),
+b AS (SELECT *, CASE WHEN x[1] = '"' THEN substring(x, 2, length(x) - 2) ELSE x END AS bare, row_number() OVER (PARTITION BY query_id ORDER BY i) AS place FROM n)
+SELECT a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY a.place) - 1 AS reading, a.bare AS core, a.x[1] = '"' AS verbatim, coalesce(string_agg(o.bare, '|' ORDER BY o.place) FILTER (o.x <> a.bare), '') AS words
+FROM b a JOIN b o USING (query_id) WHERE length(a.x) > 2 GROUP BY a.query_id, a.place, a.bare, a.x""",
+)
 def interpret_names(spark, d):
-    q = asked(spark, "cold", '"red"', "cold class gear", "ab gear Brand.1").where("namespace is null")
-    return q.select("query_id", "query", "core", "verbatim", F.array_join("words", "|").alias("words"), F.array_join("dotted", "|").alias("dotted"))
+    name, kind = c("p_name"), c("p_type")
+    q = querylang.parsed(_parts(spark, d, name, _joined(name, ' "', kind, '"'), _joined(kind, " class ", name, " ", kind, " ab")))
+    return q.select("query_id", long("reading").alias("reading"), "core", "verbatim", F.array_join("words", "|").alias("words"))
 
 
-@query("interpret_dotted", """WITH q(query_id, core, namespace, words, dotted) AS (VALUES (0, 'Con', 'System.Con', 'ab', ''), (1, 'System.', NULL, '', ''), (2, 'a.cs', NULL, '', ''), (3, 'b', 'a.b', '', 'x.y'), (3, 'y', 'x.y', '', 'a.b'))
-SELECT CAST(query_id AS BIGINT) AS query_id, core, namespace, words, dotted FROM q""")
+@query(
+    "interpret_dotted",
+    """WITH p AS (SELECT p_partkey AS k, concat('Acme.', split_part(p_name, ' ', 1)) AS whole, split_part(p_name, ' ', 1) AS tail, lower(p_type) AS word, replace(p_brand, '#', '.X') AS other FROM part)
+SELECT k AS query_id, tail AS core, whole AS namespace, word AS words, other AS dotted FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, split_part(other, '.', 2), other, word, whole FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, concat(tail, '.cs'), NULL, '', '' FROM p WHERE k % 3 = 1
+UNION ALL SELECT k, tail, whole, '', whole FROM p WHERE k % 3 = 2""",
+)
 def interpret_dotted(spark, d):
-    q = asked(spark, "System.Con ab", "System.", "a.cs", "a.b x.y").where("contains(core, '.') or namespace is not null")
+    tail, word, other = F.substring_index("p_name", " ", 1), F.lower("p_type"), F.replace("p_brand", F.lit("#"), F.lit(".X"))
+    q = querylang.parsed(_parts(spark, d, _joined("Acme.", tail, " ", word, " ", other), _joined(tail, ".cs"), _joined('"Acme.', tail, '"')))
+    q = q.where("contains(core, '.') or namespace is not null")
     return q.select("query_id", "core", "namespace", F.array_join("words", "|").alias("words"), F.array_join("dotted", "|").alias("dotted"))
 
 
-@query("interpret_accessor", """WITH q(query_id, reading, core, namespace) AS (VALUES (0, 0, 'get_ConsoleC', 'System.get_ConsoleC'), (0, 1, 'ConsoleC', 'System.ConsoleC'), (1, 0, 'remove_x', NULL), (1, 1, 'x', NULL), (2, 0, 'cold', NULL))
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(reading AS BIGINT) AS reading, core, namespace FROM q""")
+@query(
+    "interpret_accessor",
+    """WITH p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS name, CASE p_partkey % 5 WHEN 0 THEN 'get_' WHEN 1 THEN 'set_' WHEN 2 THEN 'add_' WHEN 3 THEN 'remove_' ELSE 'put_' END AS cut FROM part)
+SELECT k AS query_id, CAST(0 AS BIGINT) AS reading, concat(cut, name) AS core, concat('Acme.', cut, name) AS namespace FROM p UNION ALL SELECT k, 1, name, concat('Acme.', name) FROM p WHERE cut <> 'put_'""",
+)
 def interpret_accessor(spark, d):
-    return asked(spark, "System.get_ConsoleC", "remove_x", "cold").select("query_id", long("reading").alias("reading"), "core", "namespace")
+    name = F.substring_index("p_name", " ", 1)
+    q = querylang.parsed(_parts(spark, d, *(_joined(f"Acme.{cut}", name) for cut in ("get_", "set_", "add_", "remove_", "put_"))))
+    return q.select("query_id", long("reading").alias("reading"), "core", "namespace")
 
 
-@query("search_terms", """WITH q(query, assembly, project, msbuild, symbol) AS (VALUES ('Cons System.Core', 'System.Core', NULL, 'Cons', 'Cons'), ('a.bcd', 'a.bcd', NULL, NULL, 'bcd'), ('ab', 'ab', NULL, 'ab', NULL), (concat('x', chr(92), 'y'), NULL, concat('x', chr(92), 'y'), NULL, NULL)) SELECT * FROM q""")
+@query(
+    "search_terms",
+    """WITH p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS name, replace(p_brand, '#', '.') AS dotted, concat('src', chr(92), p_type) AS path FROM part)
+SELECT k AS query_id, CASE k % 4 WHEN 0 THEN dotted WHEN 1 THEN dotted WHEN 2 THEN 'ab' END AS assembly, CASE k % 4 WHEN 3 THEN path END AS project, CASE k % 4 WHEN 0 THEN name WHEN 2 THEN 'ab' END AS msbuild,
+CASE k % 4 WHEN 0 THEN CASE WHEN length(name) >= 3 THEN name END WHEN 1 THEN CASE WHEN length(split_part(dotted, '.', 2)) >= 3 THEN split_part(dotted, '.', 2) END END AS symbol FROM p""",
+)
 def search_terms(spark, d):
-    q = spark.createDataFrame([("Cons System.Core",), ("a.bcd",), ("ab",), ("x\\y",)], "query string")
-    return q.withColumn("t", querylang.search_terms(querylang.classified(c("query")))).select("query", "t.*")
+    name, dotted = F.substring_index("p_name", " ", 1), F.replace("p_brand", F.lit("#"), F.lit("."))
+    q = _parts(spark, d, _joined(name, " ", dotted, " class"), dotted, F.lit("ab"), _joined("src\\", c("p_type")))
+    return q.withColumn("t", querylang.search_terms(querylang.classified(c("query")))).select("query_id", "t.*")
 
 
 @query("validate_query", "SELECT doc_id, CASE WHEN length(x) < 3 THEN 'too short' WHEN length(x) > 260 THEN 'too long' END AS note FROM (SELECT doc_id, substring(text, 1, doc_id % 300) AS x FROM documents)")
@@ -96,10 +135,15 @@ def validate_query(spark, d):
     return x.select("doc_id", querylang.diagnostics(c("x")).alias("note"))
 
 
-@query("dispatch_query", "WITH q(query, sections) AS (VALUES ('assembly x', 'assemblies'), ('MSBuildItem x', 'MSBuildItem'), ('class x', 'symbols|assemblies|projects|guids|MSBuildProperty|MSBuildItem|MSBuildTarget|MSBuildTask')) SELECT * FROM q")
+@query(
+    "dispatch_query",
+    """SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN 'assemblies' WHEN 1 THEN 'MSBuildItem' WHEN 2 THEN 'MSBuildProperty' WHEN 3 THEN 'MSBuildTarget' WHEN 4 THEN 'MSBuildTask'
+ELSE 'symbols|assemblies|projects|guids|MSBuildProperty|MSBuildItem|MSBuildTarget|MSBuildTask' END AS sections FROM part""",
+)
 def dispatch_query(spark, d):
-    q = spark.createDataFrame([("assembly x",), ("MSBuildItem x",), ("class x",)], "query string")
-    return q.select("query", F.array_join(querylang.sections(querylang.classified(c("query"))), "|").alias("sections"))
+    kinds = ("assembly ", "MSBuildItem ", "MSBuildProperty ", "MSBuildTarget ", "MSBuildTask ", "class ", "")
+    q = _parts(spark, d, *(_joined(c("p_name"), " ", k, c("p_type")) for k in kinds))
+    return q.select("query_id", F.array_join(querylang.sections(querylang.classified(c("query"))), "|").alias("sections"))
 
 
 @query("prefix_search", f"WITH {SYM} SELECT key, name FROM sym WHERE starts_with(upper(name), 'RED')")
