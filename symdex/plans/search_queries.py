@@ -18,14 +18,14 @@ def asked(spark: SparkSession, *texts: str) -> DataFrame:
 
 
 # Terms made of document texts: words with quotes, dots, slashes and kinds between them.
-TEXTS = "WITH t AS (SELECT doc_id, concat(replace(substring(text, 1, 40), chr(10), ' '), ' \"', substring(text, 5, 9), '\" class a', chr(92), 'b System.Con get_Consol ', CASE WHEN doc_id % 2 = 0 THEN '\"open' ELSE 'x.c' END) AS q FROM documents)"
+TEXTS = "WITH t AS (SELECT doc_id, concat(replace(text, chr(10), ' '), ' \"', substring(text, 5, 9), '\" class a', chr(92), 'b System.Con get_Consol ', CASE WHEN doc_id % 2 = 0 THEN '\"open' ELSE 'x.c' END) AS q FROM documents)"
 _TOKENS = "regexp_extract_all(q, '\"[^\"]*\"|\"[^\"]*$|[^ \"]+')"
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     t = c("text")
     tail = F.when(c("doc_id") % 2 == 0, '"open').otherwise("x.c")
-    q = F.concat(F.replace(F.substring(t, 1, 40), F.lit("\n"), F.lit(" ")), F.lit(' "'), F.substring(t, 5, 9), F.lit('" class a\\b System.Con get_Consol '), tail)
+    q = F.concat(F.replace(t, F.lit("\n"), F.lit(" ")), F.lit(' "'), F.substring(t, 5, 9), F.lit('" class a\\b System.Con get_Consol '), tail)
     return table(spark, d, "documents").select("doc_id", q.alias("q"))
 
 

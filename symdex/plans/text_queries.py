@@ -106,14 +106,17 @@ def line_lengths(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(F.transform(text.line_lengths(c("text")), lambda n: n.cast("string")), ",").alias("lengths"))
 
 
-@query("line_number", "SELECT doc_id, CAST(CASE WHEN length(text) <= 100 THEN 0 ELSE length(substring(text, 1, 100)) - length(replace(substring(text, 1, 100), chr(10), '')) END AS BIGINT) AS line FROM documents")
+@query("line_number", "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) AS BIGINT) AS line FROM (SELECT doc_id, substring(text, 1, length(text) * 3 // 4) AS b FROM documents WHERE text <> '')")
 def line_number(spark, d):
-    return _docs(spark, d).select("doc_id", long(text.line_number(c("text"), F.lit(100))).alias("line"))
+    """Of the place at three quarters of each text."""
+    at = F.floor(F.length("text") * 3 / 4).cast("int")
+    return _docs(spark, d).where("text <> ''").select("doc_id", long(text.line_number(c("text"), at)).alias("line"))
 
 
-@query("line_from_position", "WITH p AS (SELECT doc_id, text, substring(text, 1, 80) AS b, substring(text, 81) AS a FROM documents WHERE length(text) > 80), q AS (SELECT doc_id, string_split(b, chr(10))[-1] AS l, string_split(a, chr(10))[1] AS r FROM p) SELECT doc_id, CAST(80 - length(l) AS BIGINT) AS start, CAST(length(l) + length(r) AS BIGINT) AS length FROM q")
+@query("line_from_position", "WITH p AS (SELECT doc_id, length(text) * 3 // 4 AS k, text FROM documents WHERE text <> ''), q AS (SELECT doc_id, k, string_split(substring(text, 1, k), chr(10))[-1] AS l, string_split(substring(text, k + 1), chr(10))[1] AS r FROM p) SELECT doc_id, CAST(k - length(l) AS BIGINT) AS start, CAST(length(l) + length(r) AS BIGINT) AS length FROM q")
 def line_from_position(spark, d):
-    x = _docs(spark, d).where("length(text) > 80").select("doc_id", text.line_from_position(c("text"), F.lit(80)).alias("l"))
+    at = F.floor(F.length("text") * 3 / 4).cast("int")
+    x = _docs(spark, d).where("text <> ''").select("doc_id", text.line_from_position(c("text"), at).alias("l"))
     return x.select("doc_id", long("l.start").alias("start"), long("l.length").alias("length"))
 
 
