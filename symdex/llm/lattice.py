@@ -25,7 +25,7 @@ from .support import discard, fold, id_and_text, in_batches, stored
 from .tokens import Words, buffers, gathered, mix, powers, runs, string_array
 
 #: Bytes of text of one run of documents, and of one look at them.
-RUN_BYTES, LOOK_BYTES = 8 << 20, 1 << 20
+RUN_BYTES, LOOK_BYTES = 16 << 20, 1 << 20
 #: Rounds of expected counts, and what each piece has besides them.
 ROUNDS, SMOOTH = 1, 0.1
 #: Pieces beyond so many bytes are looked up only where their beginning of that length is one of a longer piece.
