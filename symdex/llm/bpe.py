@@ -171,7 +171,10 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
 
 
 def checked(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids with digests of them and of what they decode to."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids with digests of them and of what they decode to.
+
+    A null text counts as empty and has no ids.  Repeated rows are encoded each by itself.
+    """
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -191,5 +194,5 @@ def checked(documents: DataFrame, path: str) -> DataFrame:
 
 
 def report(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of documents, as ``checked`` has them."""
     return checked(documents, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

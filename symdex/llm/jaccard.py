@@ -247,6 +247,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of documents, as ``near_duplicates`` has them."""
     return near_duplicates(documents)
 
 

@@ -89,7 +89,11 @@ def by_path(history: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Counts of the base kinds per document, the digest of their spans, and all spans as kind:start:stop."""
+    """Counts of the base kinds per document, the digest of their spans, and all spans as kind:start:stop.
+
+    A null text is the empty blob and has none.  Repeated rows are reported each by itself.  ledger: what earlier scans have found; without one every
+    distinct text is scanned.
+    """
     history = versions(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     new = stored(scanned(history, ledger).dropDuplicates(["blob"]), "ledger")
     whole = new if ledger is None else merged(ledger, new)
