@@ -26,7 +26,7 @@ def _back(docs: DataFrame, like: DataFrame, names: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic; repeated rows are judged each by itself, and null or empty texts like examples without a term."""
     own, names = _apart(docs)
     model = toxicity.fit(own, table(spark, sf_dir, "labels"))
     return _back(toxicity.scored(own, model, own.columns).where("score < 0.5"), own, names)
@@ -51,12 +51,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked in their texts."""
+    """All documents, with personal data masked in their texts; a null text stays null."""
     return pii.cleaned(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of them and of what they decode to."""
+    """Token ids of every document, with digests of them and of what they decode to; a null text has none."""
     return bpe.checked(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
