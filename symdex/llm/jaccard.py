@@ -7,7 +7,7 @@ emits one signature for each partition that isn't empty.  Where m + 1 partitions
 might be empty, so it also emits one signature for each subset of m + 1 of its empty partitions.  No link is missed.
 
 Steps: copies (equal sets) become one class; sets that share a signature are connected to the smallest document that has it;
-the parts connected in this way are compared in blocks of ``BLOCK`` documents by exact intersection counts; links between them are
+the parts connected in this way are compared in blocks of ``BLOCK`` documents, those of neighbouring bands only, by exact intersection counts; links between them are
 contracted to a spanning forest, from which components follow.  Pairs are never written out.
 """
 
@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import components, discard, id_and_text, in_batches, stored
@@ -161,8 +161,13 @@ def signed_sets(documents: DataFrame) -> DataFrame:
 
 
 def linked(table: pa.Table) -> pa.Table:
-    """Exact links between two blocks of documents (or in one): (doc_id, root, links) of every document that has a link."""
+    """Exact links between two blocks of documents (or in one): (doc_id, root, links) of every document that has a link.
+
+    table: doc_id, text, copies, block, and i and j, the two blocks; one that has no document leaves nothing to compare.
+    """
     table = table.combine_chunks()
+    if table["i"][0] != table["j"][0] and len(table["block"].unique()) < 2:
+        return pa.table({name: pa.array([], pa.int64()) for name in ("doc_id", "root", "links")})
     text = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
     ids, block = np.asarray(table["doc_id"], np.int64), np.asarray(table["block"], np.int64)
     copies = np.asarray(table["copies"], np.int64)
@@ -201,6 +206,32 @@ def linked(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[has]), "root": pa.array(root[has]), "links": pa.array(links[has])})
 
 
+def blocks_of(coarse: DataFrame) -> DataFrame:
+    """(node, part, copies, block, others): the block of each document of a part, and the blocks that it is compared with, its own included.
+
+    A part of more than one block is dealt by band first, as linked sets are in one band or in neighbours; blocks of other bands never meet.
+    coarse: node, component, copies, n (size of the set).
+    """
+    c = F.col
+    needed = lambda k, total: F.greatest(F.ceil(k / BLOCK), F.ceil(total / BLOCK_SHINGLES)).cast("long")
+    parts = coarse.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
+    # small tables are written before they are joined, so that Spark splits a part of very many documents there
+    parts = stored(parts.select(c("component").alias("part"), (needed(c("k"), c("total")) > 1).alias("large")), "parts")
+    tops = F.array(*map(F.lit, band_tops(1 << 31)))
+    band = F.when(c("large"), F.size(F.filter(tops, lambda t: t < c("n")))).otherwise(0).cast("long")
+    own = coarse.join(parts, c("component") == c("part")).select("node", "part", "copies", "n", band.alias("band"))
+    bands = own.groupBy("part", "band").agg(needed(F.count("*"), F.sum("n")).alias("blocks"))
+    order = Window.partitionBy("part").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(order) == c("band") + step, f("blocks").over(order)).otherwise(0)
+    bands = stored(bands.select("part", "band", "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above")), "bands")
+    number = lambda step, i: (c("band") + step) * (1 << 32) + i
+    each = lambda n, step: F.transform(F.filter(F.sequence(F.lit(-1), n - 1), lambda i: i >= 0), lambda i: number(step, i))
+    others = F.concat(each(c("blocks"), 0), each(c("below"), -1), each(c("above"), 1))
+    members = stored(own.join(bands, ["part", "band"]).select("node", "part", "copies", number(0, F.pmod(F.xxhash64("node"), c("blocks"))).alias("block"), others.alias("others")), "members")
+    discard(parts, bands)
+    return members
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of documents.
 
@@ -224,17 +255,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     coarse = coarse.join(classes.hint("shuffle_hash"), F.col("node") == F.col("rep")).select("node", "component", "copies", "n")
     coarse = stored(coarse, "coarse")
     discard(near)
-    parts = coarse.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    parts = parts.select(F.col("component").alias("part"), F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = coarse.join(parts, F.col("component") == F.col("part")).select("node", "part", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = stored(members, "members")
-    discard(coarse)
-    texts = documents.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "part", "copies", "block", "blocks")
-    dealt = texts.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "doc_id", "text", "copies", "block", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    members = blocks_of(coarse)
+    texts = documents.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "part", "copies", "block", F.explode("others").alias("other"))
+    dealt = texts.select("doc_id", "text", "copies", "block", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = stored(dealt.groupBy("part", "i", "j").applyInArrow(linked, "doc_id long, root long, links long"), "links")
-    discard(members)
+    discard(coarse, members)
     forest = found.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     final = components(forest.unionByName(copy_edges))
     links = found.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "linker")

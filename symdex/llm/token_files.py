@@ -38,6 +38,9 @@ _BUCKETS = 20
 SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, symbol_counts binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
 
 
+_PACK = [struct.Struct(f"<{n}I") for n in range(65)]
+
+
 class _Words(dict):
     """ids of the words between white space, as little-endian bytes."""
 
@@ -50,7 +53,7 @@ class _Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.shown = [letter for letter, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
         self.cores: dict[bytes, bytes] = {}
         self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
 
@@ -60,22 +63,26 @@ class _Words(dict):
     def core(self, word: bytes) -> bytes:
         """ids of a word without mark.
 
-        One made of lower-case letters alone passes the tokenizer's normalizer and splitter unchanged, so the model gets it at once.
+        One made of letters alone is only lower-cased by the tokenizer's normalizer and not cut by its splitter, so the model gets it at once.
         """
         text = word.decode()
         if not word.isalpha():  # for bytes: ASCII letters
-            if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+            low = text.lower()  # differs from lower-casing letter by letter for a final sigma alone
+            if not (text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
                 return self.whole(text)
-            text = word.decode("latin-1").translate(self.letters)
+            text = "".join(map(self.shown.__getitem__, low.encode()))
         ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        # the tokenizer lower-cases, and cuts a full stop or comma from an ASCII letter or digit before it
-        mark = word[-1:] if word[-1:] in self.marks and word[-2:-1].isalnum() else b""
-        core = word[: len(word) - len(mark)]
+        # the tokenizer lower-cases, and cuts a full stop or comma from a letter or an ASCII digit before it
+        mark = self.marks.get(word[-1:])
+        if mark is not None and (word[-2:-1].isalnum() or (word[-2:-1] >= b"\x80" and word.decode()[-2].isalpha())):
+            core = word[:-1]
+        else:
+            core, mark = word, None
         if core.isascii():
             core = core.lower()
         ids = self.cores.get(core)
@@ -85,8 +92,8 @@ class _Words(dict):
             ids = self.core(core)
             if len(core) <= 64:
                 self.cores[core] = ids
-        if mark:
-            ids += self.marks[mark]
+        if mark is not None:
+            ids += mark
         if len(word) <= 64:
             self[word] = ids
         return ids

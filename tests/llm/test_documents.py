@@ -114,6 +114,22 @@ def test_near_duplicates_in_blocks(spark, rows, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in got} == jaccard.brute_force(dict(rows))
 
 
+def test_blocks_of_other_bands_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(2)
+    sizes = [rng.choice([10, 11, 12, 14, 40, 45, 300]) for _ in range(60)]
+    coarse = spark.createDataFrame([(i, 0, 1, n) for i, n in enumerate(sizes)] + [(100, 100, 1, 7), (101, 100, 1, 900), (200, 200, 1, 5)], "node long, component long, copies long, n long")
+    rows = {r["node"]: r for r in jaccard.blocks_of(coarse).collect()}
+    assert set(rows) == {*range(60), 100, 101} and rows[100]["block"] == rows[101]["block"]
+    met = lambda a, b: rows[b]["block"] in rows[a]["others"]
+    for a in range(60):
+        for b in range(60):
+            assert met(a, b) == met(b, a)
+            if min(sizes[a], sizes[b]) * 100 >= 85 * max(sizes[a], sizes[b]):
+                assert met(a, b)
+    assert sum(met(a, b) for a in range(60) for b in range(60)) < 60 * 60 * 0.8
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
     got = jaccard.near_duplicates(documents(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None)])).collect()
@@ -180,7 +196,8 @@ def test_token_files(spark, rows, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    texts = [t for _, t in rows] + awkward(300, 2)
+    letters = ["TEGEÄ.", "Straße,", "ΣΊΣΥΦΟΣ. ΟΔΟΣ,", "İstanbul, ISTANBUL.", "ǅ, ﬁ. ẞ.", "e\u0301. E\u0301,", "😀. ²,", "Ünï.cöde, Ñandú.", "ª, ʰ.", "Ω. Å.", "中文. 日本,", "a\u0308B."]
+    texts = [t for _, t in rows] + awkward(300, 2) + letters
     df = documents(spark, list(enumerate(texts))).repartition(4)
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.report(df, str(tmp_path / "a"), path).collect()}
     start = 0
