@@ -11,7 +11,7 @@ from symdex.functions.ids import symbol_id
 from symdex.functions.symbols import glyph_to_kind, kind_rank, pick
 from symdex.operators.graph import normalize_ids
 from symdex.operators.numbering import dense
-from symdex.sources.storage import fresh
+from symdex.sources.storage import exists, fresh
 
 GLYPHS = {"ECONOMY": 0, "LARGE": 6, "MEDIUM": 48, "PROMO": 72, "SMALL": 102, "STANDARD": 108}
 FLAGS = {"AF": 0, "AO": 2, "RF": 3, "RO": 5, "NF": 6, "NO": 8}
@@ -76,7 +76,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     sources = [table(spark, d, name).select("*", "_metadata.file_path", "_metadata.file_modification_time") for name in ("part", "supplier")]
     made_of = tuple(tuple(map(tuple, s.select("file_path", "file_modification_time").distinct().orderBy("file_path").collect())) for s in sources)
     key = (spark.sparkContext.applicationId, made_of)
-    if key not in _SERVING:
+    if key not in _SERVING or not exists(spark, _SERVING[key]):
         order = ["name_key", "kind_rank", "name", "assembly_number", "key"]
         path = fresh(spark, "symbols")
         dense(bare_symbols(spark, d), order, "pos").repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(path)

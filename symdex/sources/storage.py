@@ -28,6 +28,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write once and read back, so that later steps see the very same rows and no executor holds them."""
     path = fresh(df.sparkSession, name)

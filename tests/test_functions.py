@@ -1,5 +1,6 @@
 """Text, path and span functions on small cases."""
 
+import hashlib
 import random
 
 import pytest
@@ -16,7 +17,8 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-LINES = [("", []), ("a", [1]), ("\n", [1, 0]), ("\r\n", [2, 0]), ("\r", [1, 0]), ("\r\n\r", [2, 1, 0]), ("\n\r", [1, 1, 0]), ("a\nb", [2, 1]), ("\ra", [2]), ("a\r\nb\n", [3, 2, 0])]
+# Lines end with LF or CR LF, and with a CR before another CR or the end.
+LINES = [("", []), ("word", [4]), ("one\ntwo\n", [4, 4, 0]), ("one\r\ntwo", [5, 3]), ("one\r", [4, 0]), ("one\r\r\n", [4, 2, 0]), ("\n\rone", [1, 4]), ("\rone", [4]), ("\n\n\n", [1, 1, 1, 0])]
 
 
 @pytest.mark.parametrize(("t", "want"), LINES)
@@ -29,8 +31,9 @@ def test_long_line(spark):
 
 
 EXPRESSIONS = [
-    ("", []), ("a", ["a"]), ("$(a", ["$(a"]), ("(a)", ["(a)"]), ("$(a())", ["$(a())"]), (" $(a()) ", [" ", "$(a())", " "]), ("a$(b)c$(d)e", ["a", "$(b)", "c", "$(d)", "e"]),
-    ("a$(b$(c))", ["a", "$(b", "$(c)", ")"]), ("@(a->b)", ["@(a-", ">b)"]), ("@(a,b)", ["@(a,", "b)"]), ("$(a)@(b)c", ["$(a)", "@(b)", "c"]), ("$(a.b)", ["$(a.b)"]), ("$a)", ["$a)"]),
+    ("", []), ("plain text", ["plain text"]), ("$(Open", ["$(Open"]), ("(x)", ["(x)"]), ("$(F())", ["$(F())"]), ("pre $(F(1)) post", ["pre ", "$(F(1))", " post"]),
+    ("x$(One)y$(Two)z", ["x", "$(One)", "y", "$(Two)", "z"]), ("x$(One$(Two))", ["x", "$(One", "$(Two)", ")"]), ("@(Files->d)", ["@(Files-", ">d)"]), ("@(Files,d)", ["@(Files,", "d)"]),
+    ("$(One)@(Files)z", ["$(One)", "@(Files)", "z"]), ("$(One.Length)", ["$(One.Length)"]), ("$One)", ["$One)"]), ("@One)$", ["@One)$"]),
 ]
 
 
@@ -39,7 +42,7 @@ def test_expressions(t, want):
     assert expressions.pieces(t) == want
 
 
-SEMICOLONS = [("", []), ("a", ["a"]), ("a;", ["a", ";"]), ("a; b", ["a", ";", " ", "b"]), (";;", [";", ";"]), (" \n ", [" \n "])]
+SEMICOLONS = [("", []), ("one", ["one"]), ("one;", ["one", ";"]), ("one;;\ttwo", ["one", ";", ";", "\t", "two"]), (" \n ", [" \n "]), ("; one two", [";", " ", "one", " ", "two"])]
 
 
 @pytest.mark.parametrize(("t", "want"), SEMICOLONS)
@@ -48,8 +51,8 @@ def test_semicolons(spark, t, want):
 
 
 RELATIVE = [
-    (r"c:\root\abcd\e\f\g.txt", r"c:\root\abc\h\i.txt", r"..\..\abcd\e\f\g.txt"), (r"c:\root\1.txt", r"c:\root\2.txt", "1.txt"), (r"c:\root\a\1.txt", r"c:\root\2.txt", r"a\1.txt"),
-    (r"c:\1.txt", r"c:\root\2.txt", r"..\1.txt"), (r"c:\solution\assembly\A.html", r"c:\solution\project\a\document.txt", r"..\..\assembly\A.html"), (r"c:\solution", r"c:\solution\project\a\document.txt", "..\\..\\"),
+    (r"d:\x\yz\p\q.c", r"d:\x\y\r\s.c", r"..\..\yz\p\q.c"), (r"d:\x\one.c", r"d:\x\two.c", "one.c"), (r"d:\x\p\one.c", r"d:\x\two.c", r"p\one.c"), (r"d:\one.c", r"d:\x\p\two.c", r"..\..\one.c"),
+    (r"d:\lib\first\A.page", r"d:\lib\second\p\q\two.c", r"..\..\..\first\A.page"), (r"d:\lib", r"d:\lib\second\two.c", "..\\"),
 ]
 
 
@@ -59,22 +62,23 @@ def test_relative(spark, a, b, want):
 
 
 def test_cone(spark):
-    for path in (r"c:\1.txt", r"c:\a\1.txt"):
-        assert one(spark, paths.path_in_cone(F.col("a"), F.col("b")), a=r"c:\a\b", b=path) == r"c:\a\b\1.txt"
+    for path in (r"d:\one.c", r"d:\x\one.c"):
+        assert one(spark, paths.path_in_cone(F.col("a"), F.col("b")), a=r"d:\x\y", b=path) == r"d:\x\y\one.c"
 
 
 def test_ids(spark):
-    name = "T:Microsoft.CodeAnalysis.CSharp.Symbols.SourceNamedTypeSymbol"
     h = ids.symbol_id(F.col("x"))
-    assert one(spark, h, x=name) == "a7aec3faae7fe65b"
-    assert int(one(spark, ids.hex_to_number(h), x=name)) == 6622120691603058343
-    assert one(spark, ids.number_to_hex(ids.hex_to_number(h)), x=name) == "a7aec3faae7fe65b"
+    for name in ("T:Acme.Net.HttpListener", "M:Acme.Net.HttpListener.#ctor", ""):
+        digest = hashlib.md5(name.replace("#ctor", "ctor").encode()).hexdigest()[:16]
+        assert one(spark, h, x=name) == digest
+        assert int(one(spark, ids.hex_to_number(h), x=name)) == int.from_bytes(bytes.fromhex(digest), "little")
+        assert one(spark, ids.number_to_hex(ids.hex_to_number(h)), x=name) == digest
     assert one(spark, ids.hex_to_number(F.col("x")), x="xyz") is None
 
 
 def test_escape_offsets(spark):
-    r = one(spark, text.html_escape_offsets(F.col("t"), F.lit(1), F.lit(4)), t="<'>>")
-    assert (r["html"], r["new_start"], r["new_end"]) == ("&lt;&#39;&gt;&gt;", 4, 17)
+    r = one(spark, text.html_escape_offsets(F.col("t"), F.lit(4), F.lit(9)), t="  a & \"b\" c ")
+    assert (r["html"], r["new_start"], r["new_end"]) == ("a &amp; &quot;b&quot; c", 2, 21)
 
 
 def test_url_encode(spark):
@@ -93,7 +97,7 @@ def test_unique_prefix(spark):
         return min(n, size)
 
     rng = random.Random(2)
-    cases = [["abc", "ace"], ["a"], ["ab", "ab"], ["", "a"]] + [["".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 6))] for _ in range(15)]
+    cases = [["river", "rivet"], ["q"], ["tea", "tea"], ["", "z"]] + [["".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 6))] for _ in range(15)]
     for values in cases:
         df = spark.createDataFrame(list(enumerate(values)), "seq int, value string")
         assert trees.min_unique_prefix(df).first()["n"] == slow(values), values
@@ -105,9 +109,9 @@ def span_rows(spark, rows):
 
 def test_prepare_ranges(spark):
     docs = spark.createDataFrame([(1, 12), (2, 4)], "doc int, n int")
-    syntactic, semantic = span_rows(spark, [(1, 0, 2, 3, None), (2, 0, 0, 2, "x")]), span_rows(spark, [(1, 0, 6, 2, None), (2, 0, 0, 2, "y")])
+    syntactic, semantic = span_rows(spark, [(1, 0, 1, 4, "p"), (2, 0, 0, 2, "x")]), span_rows(spark, [(1, 0, 7, 3, "q"), (2, 0, 0, 2, "y")])
     out = {(r["doc"], r["start"], r["length"], r["class"]) for r in spans.prepare_ranges(syntactic, semantic, docs).collect()}
-    assert out == {(1, 0, 2, None), (1, 2, 3, None), (1, 5, 1, None), (1, 6, 2, None), (1, 8, 4, None), (2, 0, 2, "y"), (2, 2, 2, None)}
+    assert out == {(1, 0, 1, None), (1, 1, 4, "p"), (1, 5, 2, None), (1, 7, 3, "q"), (1, 10, 2, None), (2, 0, 2, "y"), (2, 2, 2, None)}
 
 
 def test_gaps_of_nothing(spark):
