@@ -31,7 +31,7 @@ FUNCTIONS = 8
 #: Rows of the sample that slot width and probes are fitted on, how many of them ask, and the recall among them.
 SAMPLE, ASKING, SAMPLE_RECALL = 3000, 150, 0.95
 #: Widths, as multiples of the sample's spread, and probes that the fit looks at.
-WIDTHS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
+WIDTHS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 PROBES = (4, 16, 64, 256, 512, 1024)
 NEAREST = 10
 #: Rows and queries of a block.

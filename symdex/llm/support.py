@@ -88,6 +88,13 @@ def fold(doc_id: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(5)
 
 
+def is_settled(edges: DataFrame) -> bool:
+    """Whether each node ``a`` has one edge, to a node that has none; edges go to the smaller node, so that one is then the smallest of all."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
@@ -97,11 +104,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = mark(now)
     for _ in range(rounds):
+        if is_settled(now):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -113,9 +118,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         now = stored(small.select("e.*").where("a <> b").distinct(), "small")
         discard(large, least)
-        done, seen = seen, mark(now)
-        if done == seen:
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -51,6 +51,7 @@ def _values(lower: bool) -> np.ndarray:
 WORD_BYTES = {"space": _space(), "alnum": _alnum()}
 _VALUES = {lower: _values(lower) for lower in (False, True)}
 _BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+_STEP = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,14 +59,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << max(n - 1, 1).bit_length(), 1 << 16)
+        size = -(-n // _STEP) * _STEP
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 1 << 22:
+        if size <= 8 * _STEP:  # what a text beyond 2 MB needs isn't kept
             _POWERS[base] = have
     return have
 
