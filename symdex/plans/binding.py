@@ -79,7 +79,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     if key not in _SERVING or not exists(spark, _SERVING[key]):
         order = ["name_key", "kind_rank", "name", "assembly_number", "key"]
         path = fresh(spark, "symbols")
-        dense(bare_symbols(spark, d), order, "pos").repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(path)
+        dense(bare_symbols(spark, d), order, "pos").sortWithinPartitions("pos").write.parquet(path)  # already dealt by ranges of the order
         _SERVING[key] = path
     return spark.read.parquet(_SERVING[key])
 
