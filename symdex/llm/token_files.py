@@ -125,10 +125,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
     while len(seq) > 1:
         key = (seq[:-1] << 32) | seq[1:]
         hashed = bucket(key)
-        inside = ~ends[:-1]
-        often = np.bincount(hashed[inside], minlength=1 << _BUCKETS)
-        at = np.flatnonzero(inside & (often[hashed] >= LEAST))
-        pairs, count = np.unique(key[at], return_counts=True)
+        often = np.bincount(hashed, minlength=1 << _BUCKETS) >= LEAST  # pairs across ends included, so nothing frequent is missed
+        at = np.flatnonzero(often[hashed] & ~ends[:-1])
+        found, near = key[at], hashed[at]
+        pairs, count = np.unique(found, return_counts=True)
         keep = np.flatnonzero(count >= LEAST)
         if not len(keep):
             break
@@ -136,9 +136,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
         pairs = pairs[np.sort(keep[np.unique(bucket(pairs[keep]), return_index=True)[1]])]
         rule_of = np.full(1 << _BUCKETS, -1, np.int32)
         rule_of[bucket(pairs)] = np.arange(len(pairs))
-        place = rule_of[hashed[at]]
-        hit = (place >= 0) & (pairs[place] == key[at])
-        at, place = at[hit], place[hit]
+        place = rule_of[near]
+        maybe = np.flatnonzero(place >= 0)
+        maybe = maybe[pairs[place[maybe]] == found[maybe]]
+        at, place = at[maybe], place[maybe]
         # of pairs that overlap in a run, every second one from the left
         new = np.r_[True, np.diff(at) > 1]
         within = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
