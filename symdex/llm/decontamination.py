@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_map, stored
+from .support import arrow_map, stored, with_text
 from .tokens import Words, covered, grams, signed, words_of
 
 WINDOW = 13
@@ -162,14 +162,14 @@ def mark(documents: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFra
         own = ["doc_id", "text"]
         documents = documents.withColumn("__row", F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b")))
         names.append("__row")
-    source = documents.select(*names, F.col("text").alias("__text"))
+    source, text = with_text(documents, names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema) + ", " + HIT
     marked = None
     for block in parts:
         given = spark.sparkContext.broadcast(block)
 
         def each(batch: pa.RecordBatch, given=given) -> Iterator[pa.RecordBatch]:
-            for i, j, w in words_of(batch.column("__text"), "alnum", True):
+            for i, j, w in words_of(batch.column(text), "alnum", True):
                 start, length, item = given.value.hits(w)
                 doc = w.doc()
                 inside = np.flatnonzero(covered(len(w.start), start, length)) if len(start) else np.zeros(0, np.int64)

@@ -102,7 +102,7 @@ def word_runs(documents: DataFrame) -> DataFrame:
                 number += 1
 
     source = id_and_text(documents).withColumn("held_out", F.coalesce(fold("doc_id") == 1, F.lit(False)))
-    return in_batches(source).mapInArrow(run, RUN)
+    return in_batches(source, str(RUN_BYTES)).mapInArrow(run, RUN)
 
 
 class Pieces:

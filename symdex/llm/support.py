@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +71,22 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     return in_batches(df).mapInArrow(run, schema)
 
 
-def in_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands rows to Python by ``BATCH_BYTES`` rather than by their number."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def in_batches(df: DataFrame, size: str = BATCH_BYTES) -> DataFrame:
+    """df, in a session that hands rows to Python by bytes rather than by their number; another size holds until the next call."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 
+def with_text(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """Columns ``keep`` with the text as a string, and its name; a text that is kept isn't sent twice."""
+    if "text" in keep and dict(documents.dtypes)["text"] == "string":
+        return documents.select(*keep), "text"
+    name = "__text"
+    while name in keep:
+        name += "_"
+    return documents.select(*keep, F.col("text").cast("string").alias(name)), name
+
+
 def id_and_text(documents: DataFrame) -> DataFrame:
     """The two columns an operator reads, whatever else the table holds."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import arrow_map, fold
+from .support import arrow_map, fold, with_text
 from .tokens import Words, mix, powers, prefix_sums, signed, words_of
 
 #: Labelled documents in the fit, toxic ones and others at most (by hash order of their ids).
@@ -284,12 +284,12 @@ def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     neighbours.  Repeated rows are scored each by itself.
     """
     given = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(*keep, F.col("text").cast("string").alias("__text"))
+    source, name = with_text(documents, keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = given.value
-        for i, j, w in words_of(batch.column("__text"), "alnum", True):
+        for i, j, w in words_of(batch.column(name), "alnum", True):
             score, n = np.full(j - i, m.empty), np.zeros(j - i, np.int32)
             docs, sims = [np.zeros(0, np.int64)], [np.zeros(0)]
             for d, term, weight in m.vectors(w):
