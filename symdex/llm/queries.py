@@ -13,7 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, lattice, neighbours, oracles, pii, secret_scan, substrings, token_files, toxicity
+from . import bpe, decontamination, importance, jaccard, lattice, neighbours, oracles, periodic, pii, secret_scan, substrings, token_files, toxicity, warc
 from .support import shared_dir, table
 
 
@@ -68,6 +68,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every page in archives that are written and read back."""
+    return warc.report(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place of every document in a draw that favours what is like the benchmark."""
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document."""
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -80,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": oracles.secrets_sql(),
         "op5_pii": oracles.personal_data_sql(),
         "op8_ngram_jaccard": oracles.near_duplicates_sql(),
+        "op11_warc": oracles.archives_sql(),
     }
