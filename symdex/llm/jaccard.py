@@ -2,11 +2,13 @@
 
 A document's set holds its distinct 4-word shingles; two documents link where 100 * |A & B| >= 85 * |A | B|.  Sizes are dealt
 into bands so that linked sets are in one band or in neighbours.  Sets of a band and of the next one differ in at most K shingles if they
-link, so when shingles are hashed into K + 1 + m partitions, m + 1 partitions at least are equal in both sets.  Each set
-emits one signature for each partition that isn't empty.  Where m + 1 partitions or more of a set are empty, all equal ones
-might be empty, so it also emits one signature for each subset of m + 1 of its empty partitions.  No link is missed.
+link, so when shingles are hashed into K + 1 + m partitions, m + 1 partitions at least are equal in both sets.  Each subset of m + 1
+partitions would be a signature; of these a set needs only the subsets' rarest members.  Partitions are put in one order for all sets, the rarest content first, and
+a set signs all its partitions but the last m: of m + 1 that two sets share, the first is signed by both.  An empty partition is no
+content, but may be shared: a set with e of them signs all but the last m - e of the others.  Where e > m, all shared partitions might be
+empty, so a set also signs each subset of m + 1 of its empty ones.  No link is missed, and sets that share a passage but not most of their text seldom meet.
 
-Steps: copies (equal sets) become one class; sets that share a signature are connected to the smallest document that has it;
+Steps: copies (equal sets) become one class; sets that share a signature are connected to the smallest set that has it;
 the parts connected in this way are compared in blocks of ``BLOCK`` documents, those of neighbouring bands only, by exact intersection counts; links between them are
 contracted to a spanning forest, from which components follow.  Pairs are never written out.
 """
@@ -30,7 +32,7 @@ SHINGLE = 4
 LEAST = 85
 #: Documents, and shingles, of one block of a comparison.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 20
-#: Spare partitions of small sets.
+#: Spare partitions of small sets; large ones have half of K.
 SPARE = 3
 _SLICE = 4096
 
@@ -54,7 +56,7 @@ def partitions(group: int) -> tuple[int, int]:
     k = (100 - LEAST) * (top + top * 100 // LEAST) // (100 + LEAST)
     if k == 0:
         return 1, 0
-    m = SPARE
+    m = max(SPARE, k // 2)
     for _ in range(8):
         empty = (k + 1 + m) * math.exp(-low / (k + 1 + m))
         m = max(m, SPARE + (0 if empty < 1 else math.ceil(empty + 5 * math.sqrt(empty))))
@@ -96,14 +98,17 @@ def sets_of(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield i, j, Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "space", True))
 
 
-def signatures(sets: Sets, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of the documents ``take`` (mask)."""
+def signatures(sets: Sets, take: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Contents of the documents ``take`` (mask): (document, hash) of the partitions of the own band's group, of those of the band's below, and
+    of the subsets of empty ones; and for the two groups how many of the commonest partitions each document needn't sign."""
     size = sets.size
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    spare = [np.zeros(len(size), np.int64) for _ in (0, 1)]
     if not take.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return [none, none, none], spare
     tops = np.array(band_tops(int(size.max())))
     band = np.searchsorted(tops, np.maximum(size, 1))
-    docs, out = [], []
+    sides, gaps = [], [none]
     for back in (0, 1):
         of = np.flatnonzero(take & (size > 0) & (band >= back))
         group = band[of] - back
@@ -120,44 +125,72 @@ def signatures(sets: Sets, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(of)), n)
         index = np.arange(len(sums)) - base[owner]
         salt = mix(group.astype(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64))
-        docs.append(of[owner[filled]])
-        out.append(mix(sums[filled] ^ salt[filled]))
+        sides.append((of[owner[filled]], mix(sums[filled] ^ salt[filled])))
         empty = n - np.bincount(owner[filled], minlength=len(of))
+        spare[back][of] = np.maximum(m - empty, 0)
         for d in np.flatnonzero(empty > m):
-            gaps = index[base[d] : base[d] + n[d]][~filled[base[d] : base[d] + n[d]]]
-            subsets = np.array(list(combinations(gaps.tolist(), int(m[d]) + 1)), np.uint64)
+            free = index[base[d] : base[d] + n[d]][~filled[base[d] : base[d] + n[d]]]
+            subsets = np.array(list(combinations(free.tolist(), int(m[d]) + 1)), np.uint64)
             sign = np.zeros(len(subsets), np.uint64)
             for column in subsets.T:
                 sign = mix(sign * np.uint64(31) + column + np.uint64(1))
-            docs.append(np.full(len(subsets), of[d]))
-            out.append(mix(sign ^ mix(np.array([group[d] + (1 << 32)], np.uint64))))
-    return np.concatenate(docs), np.concatenate(out)
+            gaps.append((np.full(len(subsets), of[d]), mix(sign ^ mix(np.array([group[d] + (1 << 32)], np.uint64)))))
+    return [*sides, (np.concatenate([x for x, _ in gaps]), np.concatenate([y for _, y in gaps]))], spare
 
 
 def signed_sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signatures); a set that its task has signed already is not signed again."""
+    """(doc_id, n_shingles, h1, h2, own, below, gaps, own_spare, below_spare): sets with the contents of their partitions (``signatures``).
+
+    A set that its task has signed already is not signed again; rows without doc_id are not signed.
+    """
+    lists = ("own", "below", "gaps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            valid = np.asarray(batch.column("doc_id").is_valid())
             for i, j, sets in sets_of(batch.column("text")):
                 h1, h2 = sets.total(mix(sets.hash)), sets.total(mix(sets.hash ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 take = np.zeros(j - i, bool)
-                for d, key in enumerate(h1.tolist()):
+                for d in np.flatnonzero(valid[i:j]).tolist():
+                    key = int(h1[d])
                     if key not in seen:
                         seen.add(key)
                         take[d] = True
                 if len(seen) > 1_000_000:
                     seen.clear()
-                doc, sign = signatures(sets, take)
-                order = np.argsort(doc, kind="stable")
-                edge = np.searchsorted(doc[order], np.arange(j - i + 1))
+                found, spare = signatures(sets, take)
+                columns = []
+                for doc, sign in found:
+                    order = np.argsort(doc, kind="stable")
+                    edge = np.searchsorted(doc[order], np.arange(j - i + 1))
+                    columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(signed(sign[order]))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(signed(sign[order])))],
-                    ["doc_id", "n_shingles", "h1", "h2", "signatures"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(signed(h1)), pa.array(signed(h2)), *columns, *map(pa.array, spare)],
+                    ["doc_id", "n_shingles", "h1", "h2", *lists, "own_spare", "below_spare"],
                 )
 
-    return in_batches(documents).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<long>")
+    return in_batches(documents).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{x} array<long>' for x in lists)}, own_spare long, below_spare long")
+
+
+def met(known: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets (their h1) that connect all sets with a signature in common.
+
+    Tables of counts and of hubs are written before they are joined, so that the join has a shuffle of its own, in which Spark splits a content of
+    very many sets.
+    """
+    c = F.col
+    both = known.where("size(own) > 0").select("h1", F.inline(F.array(*(F.struct(F.xxhash64("h1", F.lit(i)).alias("key"), c(x).alias("signs"), c(f"{x}_spare").alias("spare")) for i, x in enumerate(("own", "below"))))))
+    rows = both.select("key", F.explode("signs").alias("s"))
+    often = stored(rows.groupBy("s").count().where("count > 1").select(c("s").alias("t"), c("count").alias("c")), "often")
+    shared = rows.join(often, c("s") == c("t")).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("c", "s"))).alias("shared"))
+    spare = both.select(c("key").alias("k"), "h1", "spare").distinct().hint("shuffle_hash")
+    signs = shared.join(spare, c("key") == c("k")).where(F.size("shared") > c("spare")).select("h1", F.explode(F.slice("shared", F.lit(1), F.size("shared") - c("spare").cast("int"))).alias("x")).select("h1", "x.s")
+    signs = stored(signs.unionByName(known.select("h1", F.explode("gaps").alias("s"))), "signs")
+    hubs = stored(signs.groupBy("s").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select(c("s").alias("t"), "low"), "hubs")
+    near = stored(signs.join(hubs, c("s") == c("t")).where("h1 <> low").select(c("h1").alias("a"), c("low").alias("b")).distinct(), "near")
+    discard(often, signs, hubs)
+    return near
 
 
 def linked(table: pa.Table) -> pa.Table:
@@ -238,22 +271,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     A null or empty text, or one of white space, has an empty set and links with nothing.  Rows that share a doc_id are one node; a
     row without doc_id gets no component.  n_links counts the documents that a document links with, copies included.
     """
-    spark = documents.sparkSession
     documents = id_and_text(documents)
     sets = stored(signed_sets(documents), "sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")), "classes")
     of_class = known.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep", "copies")
     copy_edges = stored(of_class.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
-    signs = known.select(F.explode("signatures").alias("s"), "doc_id")
-    # written first, so that the join has a shuffle of its own, in which Spark splits a signature of very many documents
-    hubs = stored(signs.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("s").alias("t"), "low"), "hubs")
-    near = signs.join(hubs, F.col("s") == F.col("t")).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    near = stored(near, "near")
-    discard(hubs)
-    coarse = components(near.unionByName(copy_edges))
-    coarse = coarse.join(classes.hint("shuffle_hash"), F.col("node") == F.col("rep")).select("node", "component", "copies", "n")
-    coarse = stored(coarse, "coarse")
+    near = met(known)
+    coarse = components(near)
+    coarse = stored(coarse.join(classes.hint("shuffle_hash"), F.col("node") == F.col("h1")).select(F.col("rep").alias("node"), "component", "copies", "n"), "coarse")
     discard(near)
     members = blocks_of(coarse)
     texts = documents.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "part", "copies", "block", F.explode("others").alias("other"))

@@ -8,8 +8,10 @@ Candidates of all tables are merged and ranked by exact Euclidean distance.
 Slot width and number of probes are fitted on a bounded sample: of the pairs that find its neighbours, the one with the fewest candidates.
 Where none does, queries are ranked against all rows.  Every row is indexed; no bucket is capped.
 
-Rows and queries meet by a join on (table, bucket).  A bucket with more than ``BLOCK_ROWS`` rows or ``BLOCK_QUERIES`` queries is dealt into
-blocks of about that size, and each block sends on the nearest rows of each of its queries only.
+The buckets of a table are dealt into cells of about ``BLOCK_ROWS`` rows by their key.  A row goes to the cell of its bucket, and a query once to each cell where
+it visits buckets, with their keys; so its vector is copied for cells, not for probes.  A cell with more than ``BLOCK_ROWS`` rows or ``BLOCK_QUERIES`` queries (a
+bucket is never cut off, however large) is dealt into blocks of about that size.  Within a block a query is compared with the rows of the buckets
+that it visits, and only its nearest rows leave the block.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import in_batches, stored
+from .support import discard, in_batches, stored
 from .tokens import mix
 
 TABLES = 2
@@ -138,27 +140,40 @@ class Nearest:
         self.block, self.k = block, k
         self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.kth = np.full(len(block.ids), np.inf)
+        self.waiting, self.n_waiting = [], 0
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, x: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Compare rows with the queries ``asking`` (places in the block), or with all."""
+        if asking is None:
+            asking = np.arange(len(self.block.ids))
         for i in range(0, len(ids), _ROWS):
-            self._add(ids[i : i + _ROWS], x[i : i + _ROWS])
+            self._add(ids[i : i + _ROWS], x[i : i + _ROWS], asking)
 
-    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def _add(self, ids: np.ndarray, x: np.ndarray, asking: np.ndarray) -> None:
         b = self.block
         norm = (x * x).sum(1)
-        square = b.norm[:, None] + norm[None, :] - 2 * (b.x @ x.T)
-        slack = 1e-9 * (b.norm[:, None] + norm[None, :])
-        q, r = np.nonzero((square <= np.square(self.kth)[:, None] + slack) & (b.ids[:, None] != ids[None, :]))
+        both = b.norm[asking][:, None] + norm[None, :]
+        square = both - 2 * (b.x[asking] @ x.T)
+        q, r = np.nonzero((square <= np.square(self.kth[asking])[:, None] + 1e-9 * both) & (b.ids[asking][:, None] != ids[None, :]))
         if not len(q):
             return
+        q = asking[q]
         score = np.empty(len(q))
         for i in range(0, len(q), 65536):
             part = slice(i, i + 65536)
             score[part] = np.sqrt(np.square(b.x[q[part]] - x[r[part]]).sum(1))
-        query, score, rows = np.r_[self.query, q], np.r_[self.score, score], np.r_[self.id, ids[r]]
+        self.waiting.append((q, score, ids[r]))
+        self.n_waiting += len(q)
+        if self.n_waiting > 4 * self.k * len(b.ids) + 65536:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the k nearest of each query, of equal rows one."""
+        query, score, rows = (np.concatenate(c) for c in zip((self.query, self.score, self.id), *self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
         order = np.lexsort((rows, score, query))
         query, score, rows = query[order], score[order], rows[order]
-        new = np.ones(len(query), bool)  # of equal rows one counts
+        new = np.ones(len(query), bool)
         new[1:] = (query[1:] != query[:-1]) | (score[1:] != score[:-1]) | (rows[1:] != rows[:-1])
         query, score, rows = query[new], score[new], rows[new]
         first = np.searchsorted(query, query)
@@ -187,6 +202,7 @@ def fit(rows: DataFrame, dimension: int) -> tuple[Hashes, int, float] | None:
     asking = np.random.default_rng(11).permutation(len(ids))[:ASKING]
     true = Nearest(Block(ids[asking], x[asking]))
     true.add(ids, x)
+    true.settle()
     want = (true.query, np.searchsorted(ids, true.id))
     best = None
     for width in WIDTHS:
@@ -207,48 +223,92 @@ def fit(rows: DataFrame, dimension: int) -> tuple[Hashes, int, float] | None:
     return best
 
 
-def bucketed(rows: DataFrame, hashes: Hashes, dimension: int, n_probes: int = 0) -> DataFrame:
-    """(t, key, vec_id, embedding): each row once for each table, or, with probes, once for each bucket it visits."""
+def indexed(rows: DataFrame, hashes: Hashes, dimension: int, n_cells: int, whole: bool = True) -> DataFrame:
+    """(t, cell, key, vec_id, embedding): each row once for each table; whole: with id and vector."""
     kind = rows.schema["embedding"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = vectors(batch.column("vec_id"), batch.column("embedding"), dimension)
-            step = max(1, _ROWS // max(1, n_probes))
+            for i in range(0, len(ids), _ROWS):
+                own, part = ids[i : i + _ROWS], x[i : i + _ROWS]
+                for t in range(TABLES):
+                    keys = hashes.own(t, part)
+                    columns = [pa.array(np.full(len(own), t, np.int32)), pa.array((keys % np.uint64(n_cells)).astype(np.int64))]
+                    if whole:
+                        columns += [pa.array(keys.view(np.int64)), pa.array(own), _lists(part, kind)]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "cell", "key", "vec_id", "embedding"][: len(columns)])
+
+    return in_batches(rows).mapInArrow(run, "t int, cell long" + (f", key long, vec_id long, embedding array<{kind}>" if whole else ""))
+
+
+def visiting(asking: DataFrame, hashes: Hashes, dimension: int, n_cells: int, n_probes: int) -> DataFrame:
+    """(t, cell, query_id, keys, embedding): each query once for each cell where it visits buckets, with their keys."""
+    kind = asking.schema["embedding"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = vectors(batch.column("vec_id"), batch.column("embedding"), dimension)
+            step = max(1, 16 * _ROWS // n_probes)
             for i in range(0, len(ids), step):
-                own, part = ids[i : i + step], x[i : i + step]
+                part = x[i : i + step]
                 for t in range(TABLES):
-                    keys = hashes.visited(t, part, n_probes) if n_probes else hashes.own(t, part)[:, None]
-                    each = keys.shape[1]
-                    flat = np.repeat(part, each, axis=0).ravel()
-                    offsets = pa.array(np.arange(len(own) * each + 1, dtype=np.int32) * dimension)
+                    keys = hashes.visited(t, part, n_probes)
+                    cell = (keys % np.uint64(n_cells)).astype(np.int64)
+                    place = np.repeat(np.arange(len(part)), keys.shape[1])
+                    order = np.lexsort((keys.ravel(), cell.ravel(), place))
+                    keys, cell, place = keys.ravel()[order], cell.ravel()[order], place[order]
+                    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (cell[1:] != cell[:-1])])
+                    who = place[first]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own) * each, t, np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, each)), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32() if kind == "float" else pa.float64()))],
-                        ["t", "key", "vec_id", "embedding"],
+                        [pa.array(np.full(len(first), t, np.int32)), pa.array(cell[first]), pa.array(ids[i : i + step][who]), pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)].astype(np.int32)), pa.array(keys.view(np.int64))), _lists(part[who], kind)],
+                        ["t", "cell", "query_id", "keys", "embedding"],
                     )
 
-    return in_batches(rows).mapInArrow(run, f"t int, key long, vec_id long, embedding array<{kind}>")
+    return in_batches(asking).mapInArrow(run, f"t int, cell long, query_id long, keys array<long>, embedding array<{kind}>")
 
 
-def by_bucket(rows: DataFrame, asking: DataFrame, k: int, dimension: int, hashes: Hashes, n_probes: int) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of each block of the buckets that a query visits."""
-    own, visits = bucketed(rows, hashes, dimension), bucketed(asking, hashes, dimension, n_probes)
-    count = lambda df, name: df.groupBy("t", "key").agg(F.count("*").alias(name))
-    met = count(own, "n_rows").join(count(visits, "n_queries"), ["t", "key"])
-    met = stored(met.select(F.col("t").alias("a"), F.col("key").alias("b"), F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int").alias("i"), F.ceil(F.col("n_queries") / BLOCK_QUERIES).cast("int").alias("j")), "buckets")
+def _lists(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.float32() if kind == "float" else pa.float64()))
 
-    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
-        df = df.join(met, (F.col("t") == F.col("a")) & (F.col("key") == F.col("b"))).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int"))
-        return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("t", "key", F.col("mine").alias(mine), F.col("other").alias(other), "vec_id", "embedding")
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = vectors(right["vec_id"], right["embedding"], dimension)
-        best = Nearest(Block(ids, x), k)
-        best.add(*vectors(left["vec_id"], left["embedding"], dimension))
-        return pa.table({"query_id": pa.array(ids[best.query], pa.int64()), "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
+def by_bucket(rows: DataFrame, asking: DataFrame, k: int, dimension: int, hashes: Hashes, n_probes: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query in each block where it visits buckets."""
+    c = F.col
+    n_cells = max(1, -(-rows.count() // BLOCK_ROWS))
+    visits = stored(visiting(asking, hashes, dimension, n_cells, n_probes), "visits")
+    count = lambda df, name: df.groupBy("t", "cell").agg(F.count("*").alias(name))
+    both = count(indexed(rows, hashes, dimension, n_cells, whole=False), "n_rows").join(count(visits, "n_queries"), ["t", "cell"])
+    # written first, so that the joins have shuffles of their own, in which Spark splits a cell of very many rows
+    both = stored(both.select(c("t").alias("a"), c("cell").alias("b"), F.ceil(c("n_rows") / BLOCK_ROWS).cast("int").alias("i"), F.ceil(c("n_queries") / BLOCK_QUERIES).cast("int").alias("j")), "cells")
+
+    def dealt(df: DataFrame, who: str, mine: str, other: str) -> DataFrame:
+        columns = [x for x in df.columns if x not in ("t", "cell")]
+        df = df.join(both.hint("shuffle_hash"), (c("t") == c("a")) & (c("cell") == c("b"))).withColumn("mine", F.pmod(F.xxhash64(who), c(mine)).cast("int"))
+        return df.withColumn("other", F.explode(F.sequence(F.lit(0), c(other) - 1))).select("t", "cell", c("mine").alias(mine), c("other").alias(other), *columns)
 
-    blocks = lambda df: df.groupBy("t", "key", "i", "j")
-    return blocks(dealt(own, "i", "j")).cogroup(blocks(dealt(visits, "j", "i"))).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right["keys"].combine_chunks()
+        asked = pa.table({"place": pa.array(np.repeat(np.arange(len(right)), np.asarray(keys.value_lengths()))), "key": keys.flatten()}).sort_by("key")
+        place, key = np.asarray(asked["place"]), np.asarray(asked["key"])
+        best = Nearest(Block(*vectors(right["query_id"], right["embedding"], dimension)), k)
+        left = left.sort_by("key")
+        ids, x = vectors(left["vec_id"], left["embedding"], dimension)
+        own = np.asarray(left["key"])
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            low, high = np.searchsorted(key, own[a], "left"), np.searchsorted(key, own[a], "right")
+            if low < high:
+                best.add(ids[a:b], x[a:b], place[low:high])
+        best.settle()
+        return pa.table({"query_id": pa.array(best.block.ids[best.query], pa.int64()), "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
+
+    blocks = lambda df: df.groupBy("t", "cell", "i", "j")
+    index = indexed(rows, hashes, dimension, n_cells)
+    found = blocks(dealt(index, "vec_id", "i", "j")).cogroup(blocks(dealt(visits, "query_id", "j", "i"))).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    found = stored(found, "found")
+    discard(visits, both)
+    return found
 
 
 def by_scan(rows: DataFrame, asking: DataFrame, k: int, dimension: int) -> DataFrame:
@@ -267,6 +327,7 @@ def by_scan(rows: DataFrame, asking: DataFrame, k: int, dimension: int) -> DataF
             best = Nearest(given.value, k)
             for batch in batches:
                 best.add(*vectors(batch.column("vec_id"), batch.column("embedding"), dimension))
+            best.settle()
             yield pa.RecordBatch.from_arrays([pa.array(given.value.ids[best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
         found = found.unionByName(in_batches(rows).mapInArrow(run, "query_id long, vec_id long, score double"))
@@ -283,18 +344,17 @@ def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = F
     """(query_id, rank, vec_id, score): for each row of ``asking`` its k nearest of ``rows``, never rows with its own id.
 
     Both hold vec_id and embedding.  Vectors that are null, of another dimension than most, all zero, or that hold null or non-finite components
-    take no part.  Of several queries with one id one is taken; equal rows with one id count once.  Ties go to the smaller vec_id.  Queries
+    take no part.  Of several usable queries with one id the smallest vector asks; equal rows with one id count once.  Ties go to the smaller vec_id.  Queries
     that meet fewer than k rows in the buckets they visit are ranked against all rows.
     """
-    def plain(df: DataFrame) -> DataFrame:
-        kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id is not null")
-
-    rows, asking = plain(rows), plain(asking).dropDuplicates(["vec_id"])
+    rows, asking = _plain(rows), _plain(asking)
     dimension = dimension_of(rows)
-    fitted = fit(rows, dimension) if dimension and not exact else None
+    if not dimension:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    rows, asking = usable(rows, dimension), usable(asking, dimension).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    fitted = None if exact else fit(rows, dimension)
     if fitted is None:
-        return ranked(by_scan(rows, asking, k, dimension) if dimension else rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).where("false"), k)
+        return ranked(by_scan(rows, asking, k, dimension), k)
     hashes, n_probes, _ = fitted
     near = stored(ranked(by_bucket(rows, asking, k, dimension, hashes, n_probes), k), "near")
     full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
@@ -302,6 +362,17 @@ def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = F
     return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest).select("query_id", "rank", "vec_id", "score")
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id is not null")
+
+
+def usable(rows: DataFrame, dimension: int) -> DataFrame:
+    """Rows of the dimension with finite components that aren't all zero."""
+    e = F.col("embedding")
+    return rows.where((F.size(e) == dimension) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0))
+
+
 def candidate_share(embeddings: DataFrame) -> tuple[float, int]:
     """(share of the sample's rows that a query is compared with, probes), as fitted; (1, 0) where queries meet all rows."""
     rows = embeddings.select("vec_id", "embedding")

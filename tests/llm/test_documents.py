@@ -483,3 +483,36 @@ def test_nearest_examples_are_exact():
         want = [i for i in np.lexsort((ids, -cosine)) if cosine[i] > 0][:15]
         assert index.ids[docs].tolist() == ids[want].tolist()
         assert sims.tolist() == pytest.approx(cosine[want].tolist(), abs=1e-8)
+
+
+def test_near_duplicates_whatever_the_order_of_rows_without_id(spark):
+    rng = random.Random(8)
+    text = prose(rng, 60, [f"w{i}" for i in range(200)])
+    rows = [(None, text), (5, text), (6, text + " tail")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.report(documents(spark, order).coalesce(1)).collect()}
+        assert got == {None: (None, 0), 5: (5, 1), 6: (5, 1)}
+
+
+def test_near_duplicates_of_all_sizes(spark):
+    """Chains of edits of texts of 5 to 1,500 words, so that links at the very threshold occur in every band."""
+    rng = random.Random(12)
+    rows = []
+    for n in (5, 6, 8, 11, 15, 22, 31, 45, 70, 110, 170, 300, 700, 1500):
+        words = [f"{n}w{i}" for i in range(n)]
+        for _ in range(9):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, round(n * rng.choice([0.01, 0.02, 0.025])))):
+                words[rng.randrange(n)] = f"x{rng.random()}"
+    want = jaccard.brute_force(dict(rows))
+    assert {r[0]: tuple(r[1:]) for r in jaccard.report(documents(spark, rows).repartition(3)).collect()} == want
+    assert 10 < len({w[1] for w in want.values()}) < len(rows) and any(w[2] for w in want.values())
+
+
+def test_texts_with_a_common_half_are_not_compared(spark):
+    rng = random.Random(13)
+    head = prose(rng, 100, [f"h{i}" for i in range(900)])
+    rows = [(i, head + " " + " ".join(f"{i}t{k}" for k in range(100))) for i in range(400)]
+    sets = jaccard.stored(jaccard.signed_sets(jaccard.id_and_text(documents(spark, rows))), "sets")
+    assert jaccard.met(sets).count() <= 4

@@ -91,3 +91,26 @@ def test_far_outliers_get_all_their_neighbours(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
     assert sum(got[q] == [i for i, _ in want[q]] for q in want) >= 11
+
+
+def test_a_query_that_also_has_an_unusable_vector(spark):
+    rows = [(100, None), (100, [0.0] * 4), (100, [1.0] * 4)] + [(i, [1.0 + i, 1.0, 1.0, 2.0]) for i in range(1, 30)]
+    for order in (rows, rows[::-1]):
+        got = neighbours.report(table(spark, order)).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == list(range(1, 11))
+    two = [(100, [3.0, 1.0, 1.0, 2.0]), (100, [1.0] * 4), *rows[3:]]
+    for order in (two, two[::-1]):
+        assert [r["score"] for r in neighbours.report(table(spark, order)).orderBy("rank").limit(1).collect()] == [2 ** 0.5]
+
+
+def test_queries_are_sent_to_cells_not_to_probes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1000)]
+    hashes = neighbours.Hashes(8, 3.0)
+    plain = neighbours._plain(table(spark, rows))
+    visits = neighbours.visiting(plain.where("vec_id % 100 = 0"), hashes, 8, 10, 64).collect()
+    assert len(visits) <= 10 * 10 * neighbours.TABLES and len({(r["t"], r["cell"], r["query_id"]) for r in visits}) == len(visits)
+    assert all(k % 2**64 % 10 == r["cell"] for r in visits for k in r["keys"]) and sum(len(r["keys"]) for r in visits) == 10 * 64 * neighbours.TABLES
+    index = neighbours.indexed(plain, hashes, 8, 10)
+    assert index.count() == 1000 * neighbours.TABLES
