@@ -41,6 +41,11 @@ SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, symbo
 _PACK = [struct.Struct(f"<{n}I") for n in range(65)]
 
 
+def ends_as_letter(letter: str) -> bool:
+    """Whether a letter still ends with one when it is composed and lower-cased; some become a letter and a mark."""
+    return letter.isalpha() and unicodedata.normalize("NFC", letter).lower()[-1].isalpha()
+
+
 class _Words(dict):
     """ids of the words between white space, as little-endian bytes."""
 
@@ -77,9 +82,9 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        # the tokenizer lower-cases, and cuts a full stop or comma from a letter or an ASCII digit before it
+        # the tokenizer composes, lower-cases, and cuts a full stop or comma from a letter or an ASCII digit before it
         mark = self.marks.get(word[-1:])
-        if mark is not None and (word[-2:-1].isalnum() or (word[-2:-1] >= b"\x80" and word.decode()[-2].isalpha())):
+        if mark is not None and (word[-2:-1].isalnum() or (word[-2:-1] >= b"\x80" and ends_as_letter(word.decode()[-2]))):
             core = word[:-1]
         else:
             core, mark = word, None

@@ -516,3 +516,16 @@ def test_texts_with_a_common_half_are_not_compared(spark):
     rows = [(i, head + " " + " ".join(f"{i}t{k}" for k in range(100))) for i in range(400)]
     sets = jaccard.stored(jaccard.signed_sets(jaccard.id_and_text(documents(spark, rows))), "sets")
     assert jaccard.met(sets).count() <= 4
+
+
+def test_ids_of_odd_letters_before_marks():
+    """50,000 random strings of letters that change when they are composed or lower-cased, next to full stops and commas."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    seen = token_files._Words(path)
+    rng = random.Random(21)
+    odd = [*"İıẞßΣσςŒﬁﬃǅǈŉẖé", "̇", "क़", "שׁ", "́", "ͅ", "가", "ᄀ", "ᅡ", "中", "ª", "²", "٣", "Ⅷ", "ⓐ", "ʰ"]
+    pool = [*odd * 2, *"aXz09.,.,.,'-!", " ", "\n", " "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(50_000)] + ["Xİ,", "ΑΣ.", "ΑΣ", "क़."]
+    want = seen.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if np.frombuffer(seen.encode(t.encode()), "<u4").tolist() != w.ids]
+    assert not wrong, (len(wrong), sorted(wrong, key=len)[:20])
