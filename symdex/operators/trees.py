@@ -12,18 +12,62 @@ def prefixes(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, F.lit(1), i))
 
 
+def preorder(nodes: DataFrame, path: str = "path") -> DataFrame:
+    """Adds place (from 0), depth and size to the nodes of a tree: their order from the top down, levels above, and nodes in their subtree.
+
+    path: sort keys from the root to the node itself, one path for each node.  Arrays are ordered element by element and a shorter one comes first, which
+    is the order of the tree, so places are dense numbers of sorted ranges; a node adds one to each node above it, itself included.
+    """
+    from .numbering import dense
+
+    size = nodes.select(F.explode(prefixes(F.col(path))).alias("__above")).groupBy("__above").agg(F.count("*").alias("size"))
+    placed = dense(nodes.withColumn("depth", F.size(path)), [path], "place")
+    return placed.join(size, F.col(path) == F.col("__above")).drop("__above")
+
+
+def _sort_key(kind: Column | str, name: Column) -> Column:
+    """Key of a node among its siblings: by kind, then by name whatever its case."""
+    return F.concat(F.lit(kind) if isinstance(kind, str) else kind, fold_case(name))
+
+
 def namespace_tree(types: DataFrame) -> DataFrame:
-    """(path, depth, is_type, type_id): every namespace, and every type under its namespace; the last of equal types wins.
+    """(place, depth, size, title, type_id) of namespaces and types in the order of their tree.
 
-    Sorted by path, namespaces come before types of the same parent.  types: namespace, name, id, seq.
+    types: namespace, name, id, seq.  A type and a namespace of one name, whatever the case, are one node; the first that needs the node gives it its title, a
+    type's with "{" before it, by which types come behind namespaces; the last type of a node is its type_id.
     """
+    c = F.col
     parts = F.filter(F.split("namespace", r"\."), lambda p: p != "")
-    spaces = types.select(F.explode(F.transform(prefixes(parts), lambda p: F.array_join(p, "."))).alias("path")).distinct()
-    spaces = spaces.where("path <> ''").select("path", F.size(F.split("path", r"\.")).alias("depth"), F.lit(False).alias("is_type"), F.lit(None).cast("string").alias("type_id"))
-    leaves = types.groupBy("namespace", "name").agg(F.max_by("id", "seq").alias("type_id"))
-    leaves = leaves.select(F.concat_ws(".", F.nullif("namespace", F.lit("")), F.concat(F.lit("{"), "name")).alias("path"), F.lit(True).alias("is_type"), "type_id")
-    leaves = leaves.withColumn("depth", F.size(F.split("path", r"\.")))
-    return spaces.unionByName(leaves)
+    whole = F.concat(parts, F.array("name"))
+    each = types.select("id", "seq", F.posexplode(prefixes(whole)).alias("i", "names"), F.size(whole).alias("n"))
+    last = F.element_at("names", -1)
+    leaf = c("i") == c("n") - 1
+    each = each.select(F.transform("names", fold_case).alias("key"), F.struct("seq", "i").alias("at"), F.when(leaf, F.concat(F.lit("{"), last)).otherwise(last).alias("title"), F.when(leaf, F.struct("seq", "id")).alias("type"))
+    nodes = each.groupBy("key").agg(F.min_by("title", "at").alias("title"), F.max("type").alias("type"))
+    own = nodes.select(c("key").alias("of"), fold_case(c("title")).alias("sort_key"))
+    steps = nodes.select("key", F.posexplode(prefixes(c("key"))).alias("i", "above")).join(own, c("above") == c("of"))
+    paths = steps.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sort_key"))), lambda s: s["sort_key"]).alias("path"))
+    return preorder(nodes.join(paths, "key")).select("place", "depth", "size", "title", c("type.id").alias("type_id"))
+
+
+def solution_explorer(projects: DataFrame, documents: DataFrame) -> DataFrame:
+    """(place, depth, size, kind, name): one tree of solution folders, projects in them, and the folders and documents of each project.
+
+    projects: project, folders (names from the root); documents: project, path (folders and the document's name).  Folders come before projects and documents, each
+    by name whatever the case; folders whose names differ by case alone are one, with the smallest name.  Documents of unknown projects are left out.
+    """
+    c = F.col
+    step = lambda kind, x: F.struct(_sort_key(kind, x).alias("key"), F.lit(kind).alias("kind"), x.alias("name"))
+    own = projects.select("project", F.concat(F.transform("folders", lambda f: step("0", f)), F.array(step("1", c("project")))).alias("steps"))
+    inside = F.concat(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda f: step("0", f)), F.array(step("2", F.element_at("path", -1))))
+    below = documents.where(F.size("path") > 0).select("project", inside.alias("inside")).join(own, "project").select(F.concat("steps", "inside").alias("steps"))
+    steps = own.select("steps").unionByName(below).select(F.explode(prefixes(c("steps"))).alias("steps"))
+    last = F.element_at("steps", -1)
+    # documents and projects keep their very names apart; folders are one whatever the case
+    key = F.transform("steps", lambda s: F.when(s["kind"] == "0", s["key"]).otherwise(F.concat(s["key"], F.lit("\0"), s["name"])))
+    nodes = steps.groupBy(key.alias("path")).agg(F.min(last["name"]).alias("name"), F.min(last["kind"]).alias("kind"))
+    kind = F.when(c("kind") == "0", "folder").when(c("kind") == "1", "project").otherwise("document")
+    return preorder(nodes).select("place", "depth", "size", kind.alias("kind"), "name")
 
 
 def folder_tree(paths: DataFrame) -> DataFrame:
@@ -41,11 +85,6 @@ def sort_explorer(items: DataFrame) -> DataFrame:
     return items.select("folder", F.row_number().over(Window.partitionBy("folder").orderBy(fold_case(F.col("name")), "name")).alias("place"), "name")
 
 
-def symbol_depth(symbols: DataFrame) -> DataFrame:
-    """Containment depth without namespaces.  symbols: id, path (ids from the outside in), kinds (of the path)."""
-    return symbols.select("id", F.size(F.filter("kinds", lambda k: k != "namespace")).alias("depth"))
-
-
 def document_outline(symbols: DataFrame) -> DataFrame:
     """(doc, place, id, glyph_depth) of declarations in the order of a document."""
     from pyspark.sql import Window

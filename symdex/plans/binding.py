@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from symdex.functions.ids import symbol_id
 from symdex.functions.symbols import glyph_to_kind, kind_rank, pick
 from symdex.operators.graph import normalize_ids
+from symdex.operators import positions
 from symdex.operators.numbering import dense
-from symdex.sources.storage import exists, fresh
+from symdex.sources.storage import exists, file_system, fresh
 
 GLYPHS = {"ECONOMY": 0, "LARGE": 6, "MEDIUM": 48, "PROMO": 72, "SMALL": 102, "STANDARD": 108}
 FLAGS = {"AF": 0, "AO": 2, "RF": 3, "RO": 5, "NF": 6, "NO": 8}
@@ -68,20 +69,31 @@ def bare_symbols(spark: SparkSession, d: str) -> DataFrame:
 _SERVING: dict[tuple, str] = {}
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """The sorted serving table, written once for a folder as an index is, so that each query only reads it.
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, times and sizes of a table's files, from one listing of its folder."""
+    fs, where = file_system(spark, path)
+    return tuple(sorted((s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in fs.listStatus(where)))
+
 
-    Rows are sorted by name in files of name ranges; a prefix reads few row groups.
-    """
-    sources = [table(spark, d, name).select("*", "_metadata.file_path", "_metadata.file_modification_time") for name in ("part", "supplier")]
-    made_of = tuple(tuple(map(tuple, s.select("file_path", "file_modification_time").distinct().orderBy("file_path").collect())) for s in sources)
-    key = (spark.sparkContext.applicationId, made_of)
+def serving(spark: SparkSession, d: str) -> str:
+    """Folder of the sorted serving table and its fences, written once for a folder of tables, as an index is, so that each query only reads it."""
+    key = (spark.sparkContext.applicationId, *(_files(spark, f"{d}/{name}.parquet") for name in ("part", "supplier")))
     if key not in _SERVING or not exists(spark, _SERVING[key]):
         order = ["name_key", "kind_rank", "name", "assembly_number", "key"]
         path = fresh(spark, "symbols")
-        dense(bare_symbols(spark, d), order, "pos").sortWithinPartitions("pos").write.parquet(path)  # already dealt by ranges of the order
+        dense(bare_symbols(spark, d), order, "pos").sortWithinPartitions("pos").write.parquet(f"{path}/rows")  # already dealt by ranges of the order
+        positions.fences(spark.read.parquet(f"{path}/rows")).sort("first").write.parquet(f"{path}/fences")
         _SERVING[key] = path
-    return spark.read.parquet(_SERVING[key])
+    return _SERVING[key]
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Rows are sorted by name in files of name ranges; a prefix, or a range of places, reads few row groups."""
+    return spark.read.parquet(f"{serving(spark, d)}/rows")
+
+
+def fences(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{serving(spark, d)}/fences")
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:

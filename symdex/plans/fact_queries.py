@@ -42,13 +42,6 @@ def scan_names_dir(spark, d):
     return legacy.names_of(refs, "Items")
 
 
-@query("load_index", f"WITH {SYM} SELECT key, name, assembly_number, symbol_id, description FROM sym")
-def load_index(spark, d):
-    path = storage.fresh(spark, "index")
-    legacy.write_index(bare_symbols(spark, d), path)
-    return legacy.load_index(spark, path).select("key", "name", "assembly_number", "symbol_id", "description")
-
-
 SQL["sink_symbol_index"] = f"WITH {SYM} SELECT key, name FROM sym"
 
 
@@ -87,14 +80,6 @@ def scan_references(spark, d):
     return legacy.parse_references(_file(rows, "R.txt", "k")).select("record", "from_assembly", "line", "col_start", "kind", "line_text")
 
 
-@query("sink_references", f"WITH {REFS} SELECT to_id % 16 AS to_assembly, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM refs GROUP BY ALL")
-def sink_references(spark, d):
-    path = storage.fresh(spark, "references")
-    legacy.write_references(references(spark, d).drop("l_shipdate").withColumn("to_assembly", c("to_id") % 16), path)
-    back = spark.read.parquet(path)
-    return back.groupBy(long("to_assembly").alias("to_assembly")).agg(F.count("*").alias("n"), long(F.sum("line")).alias("lines"))
-
-
 @query("discover_projects", f"WITH {REFS} SELECT CAST(to_id % 16 AS VARCHAR) AS project FROM refs GROUP BY ALL HAVING max(line) > 6")
 def discover_projects(spark, d):
     """Assemblies for which an index holds references, read from its folders."""
@@ -493,7 +478,7 @@ def redirect_map(spark, d):
 @query("sink_redirect", f"SELECT bucket, count(*) AS n FROM ({_REDIRECT}) GROUP BY bucket")
 def sink_redirect(spark, d):
     path = storage.fresh(spark, "redirect")
-    redirect_map(spark, d).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    redirect_map(spark, d).repartitionByRange("bucket", "id").write.partitionBy("bucket").parquet(path)
     return spark.read.schema("id string, short string, target string, bucket string").parquet(path).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -510,27 +495,11 @@ def split_by_first_letter(spark, d):
     return trees.split_by_first_letter(locations(spark, d))
 
 
-_TYPES = "ty AS (SELECT replace(replace(p_brand, '#', '.'), ' ', '') || CASE WHEN p_size % 2 = 0 THEN '.Sub' ELSE '' END AS namespace, replace(p_name, ' ', '') AS name, CAST(p_partkey AS VARCHAR) AS id, p_partkey AS seq FROM part)"
-
-
-@query("namespace_tree", f"WITH {_TYPES}, sp AS (SELECT DISTINCT unnest([split_part(namespace, '.', 1), concat(split_part(namespace, '.', 1), '.', split_part(namespace, '.', 2)), namespace]) AS path FROM ty) SELECT path, CAST(len(string_split(path, '.')) AS BIGINT) AS depth, false AS is_type, NULL AS type_id FROM sp UNION ALL SELECT concat(namespace, '.{{', name), CAST(len(string_split(namespace, '.')) + 1 AS BIGINT), true, max_by(id, seq) FROM ty GROUP BY namespace, name".replace("{{", "{"))
-def namespace_tree(spark, d):
-    ns = F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit(".")), F.when(c("p_size") % 2 == 0, ".Sub").otherwise(""))
-    types = table(spark, d, "part").select(ns.alias("namespace"), F.replace(c("p_name"), F.lit(" "), F.lit("")).alias("name"), c("p_partkey").cast("string").alias("id"), c("p_partkey").alias("seq"))
-    return trees.namespace_tree(types).withColumn("depth", long("depth"))
-
-
 @query("folder_tree", f"WITH {ASM}, p AS (SELECT split_part(project_path, chr(92), 1) AS a, split_part(project_path, chr(92), 2) AS b FROM asm WHERE project_path IS NOT NULL) SELECT '' AS folder, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS files UNION ALL SELECT DISTINCT a, 1, 0 FROM p UNION ALL SELECT concat(a, chr(92), b), 2, count(*) FROM p GROUP BY a, b")
 def folder_tree(spark, d):
     return trees.folder_tree(assemblies(spark, d).where("project_path is not null").select(c("project_path").alias("path"))).select("folder", long("depth").alias("depth"), long("files").alias("files"))
 
 
-@query("symbol_depth", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS depth FROM part")
-def symbol_depth(spark, d):
-    kinds = F.when(c("p_size") % 3 == 0, F.array(F.lit("namespace"), F.lit("class"))).otherwise(F.array(F.lit("namespace"), F.lit("class"), F.lit("method")))
-    return trees.symbol_depth(table(spark, d, "part").select(c("p_partkey").alias("id"), kinds.alias("kinds"))).select("id", long("depth").alias("depth"))
-
-
 @query("document_outline", f"WITH {SYM} SELECT assembly_number AS doc, row_number() OVER (PARTITION BY assembly_number ORDER BY key) AS place, symbol_id AS id, concat(glyph, ',', key % 3) AS glyph_depth FROM sym")
 def document_outline(spark, d):
     s = bare_symbols(spark, d).select(c("assembly_number").alias("doc"), c("key").alias("position"), c("symbol_id").alias("id"), "glyph", (c("key") % 3).alias("depth"))

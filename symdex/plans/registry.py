@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fact_queries, front_queries, search_queries, text_queries  # noqa: F401
+from . import fact_queries, front_queries, index_queries, search_queries, text_queries  # noqa: F401
 from .binding import QUERIES, SQL
 
 

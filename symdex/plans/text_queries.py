@@ -106,11 +106,11 @@ def line_lengths(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(F.transform(text.line_lengths(c("text")), lambda n: n.cast("string")), ",").alias("lengths"))
 
 
-@query("line_number", "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) AS BIGINT) AS line FROM (SELECT doc_id, substring(text, 1, length(text) * 3 // 4) AS b FROM documents WHERE text <> '')")
+@query("line_number", "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) AS BIGINT) AS line FROM (SELECT doc_id, substring(text, 1, length(text) * 3 // 4) AS b FROM documents)")
 def line_number(spark, d):
     """Of the place at three quarters of each text."""
     at = F.floor(F.length("text") * 3 / 4).cast("int")
-    return _docs(spark, d).where("text <> ''").select("doc_id", long(text.line_number(c("text"), at)).alias("line"))
+    return _docs(spark, d).select("doc_id", long(text.line_number(c("text"), at)).alias("line"))
 
 
 @query("line_from_position", "WITH p AS (SELECT doc_id, length(text) * 3 // 4 AS k, text FROM documents WHERE text <> ''), q AS (SELECT doc_id, k, string_split(substring(text, 1, k), chr(10))[-1] AS l, string_split(substring(text, k + 1), chr(10))[1] AS r FROM p) SELECT doc_id, CAST(k - length(l) AS BIGINT) AS start, CAST(length(l) + length(r) AS BIGINT) AS length FROM q")
@@ -163,9 +163,16 @@ def is_ascii(spark, d):
     return _docs(spark, d).select("doc_id", text.is_ascii(c("text")).alias("ascii"))
 
 
-@query("cap_large_file", "SELECT doc_id, doc_id * 61 > 30000 AS plain, doc_id * 2003 > 1000000 AS plain_xml FROM documents")
+@query("cap_large_file", "SELECT 'documents' AS source, doc_id AS id, len(string_split(text, chr(10))) > 30000 AS plain, length(text) > 1000000 AS plain_xml FROM documents UNION ALL SELECT 'pages', page_id, len(string_split(html, chr(10))) > 30000, length(html) > 1000000 FROM pages UNION ALL SELECT 'site', nation, sum(lines) > 30000, sum(chars) > 1000000 FROM (SELECT page_id % 25 AS nation, 300 * (len(string_split(html, chr(10))) - 1) AS lines, 300 * length(html) AS chars FROM pages) GROUP BY nation")
 def cap_large_file(spark, d):
-    return _docs(spark, d).select("doc_id", text.cap_large_file(c("doc_id") * 61).alias("plain"), text.cap_large_xml(c("doc_id") * 2003).alias("plain_xml"))
+    """Lines and characters of every text, and of sites of which each page is there 300 times."""
+    def of(source: str, rows, key: str, body: str):
+        return rows.select(F.lit(source).alias("source"), long(key).alias("id"), long(F.size(F.split(body, "\n"))).alias("lines"), long(F.length(body)).alias("chars"))
+
+    pages = of("site", _pages(spark, d), "page_id", "html")
+    sites = pages.groupBy("source", (c("id") % 25).alias("id")).agg(F.sum((c("lines") - 1) * 300).alias("lines"), F.sum(c("chars") * 300).alias("chars"))
+    every = of("documents", _docs(spark, d), "doc_id", "text").unionByName(of("pages", _pages(spark, d), "page_id", "html")).unionByName(sites)
+    return every.select("source", "id", text.cap_large_file(c("lines")).alias("plain"), text.cap_large_xml(c("chars")).alias("plain_xml"))
 
 
 @query("trim_compiler_exe", "SELECT p_partkey AS k, concat('/t:', p_name) AS arguments FROM part")
@@ -174,15 +181,6 @@ def trim_compiler_exe(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), text.trim_compiler_exe(line).alias("arguments"))
 
 
-@query("assembly_name_regex", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand END AS name FROM part")
-def assembly_name_regex(spark, d):
-    k = c("p_partkey") % 3
-    xml = F.when(k == 0, F.concat(F.lit("<x><AssemblyName>"), "p_name", F.lit("</AssemblyName></x>"))).when(
-        k == 1, F.concat(F.lit("<RootNamespace>"), "p_brand", F.lit("</RootNamespace><AssemblyName>$(RootNamespace)</AssemblyName>"))
-    ).otherwise("<x/>")
-    return table(spark, d, "part").select(c("p_partkey").alias("k"), text.assembly_name(xml).alias("name"))
-
-
 @query("parse_server_path", "SELECT p_partkey AS k, p_brand AS \"from\", p_name AS \"to\" FROM part")
 def parse_server_path(spark, d):
     k = c("p_partkey") % 3
@@ -294,36 +292,65 @@ def glyph_for_ts_kind(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), long(sy.glyph_for_script_kind(kind)).alias("glyph"))
 
 
-# --- spans: words of conversations, with classes by their place
+# --- spans: the words of conversations, with spans inside them, at their starts and across the blank behind them
 
 
-_WORDS = """wd AS (SELECT conv_id * 1000 + turn AS doc, text AS t FROM conversations),
-px AS (SELECT doc, t, unnest(range(0, length(t), 7)) AS start FROM wd),
-sp AS (SELECT doc, start // 7 AS seq, start, 1 + (doc * 31 + start) % 9 AS length, CASE (doc + start) % 5 WHEN 0 THEN 'keyword' WHEN 1 THEN 'comment' WHEN 2 THEN 'class name' WHEN 3 THEN 'number' ELSE 'odd' END AS class FROM px),
+_KEYWORDS = ("the", "of", "and", "this", "de", "der", "la", "que", "in", "is", "that")
+_WORDS = f"""wd AS (SELECT conv_id * 1000 + turn AS doc, coalesce(text, '') AS t FROM conversations),
+tk AS (SELECT doc, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS i FROM wd),
+pl AS (SELECT doc, i, word, CAST(sum(length(word) + 1) OVER (PARTITION BY doc ORDER BY i) AS BIGINT) - length(word) - 1 AS place, lead(word) OVER (PARTITION BY doc ORDER BY i) AS after FROM tk),
+sp AS (SELECT doc, i * 4 AS seq, place AS start, length(word) AS length, CASE WHEN word IN {_KEYWORDS} THEN 'keyword' WHEN regexp_matches(word, '^[A-ZÀ-Þ]') THEN 'class name' WHEN regexp_matches(word, '[.,]$') THEN 'comment' ELSE 'odd' END AS class, word AS text FROM pl WHERE word <> ''
+  UNION ALL SELECT doc, i * 4 + 1, place + 1, 3, CASE WHEN i % 2 = 0 THEN 'comment' ELSE 'number' END, substring(word, 2, 3) FROM pl WHERE length(word) >= 6
+  UNION ALL SELECT doc, i * 4 + 2, place, 2, 'string', substring(word, 1, 2) FROM pl WHERE length(word) >= 4 AND i % 3 = 0
+  UNION ALL SELECT doc, i * 4 + 3, place + length(word) // 2, length(word) - length(word) // 2 + 2, 'keyword', concat(substring(word, length(word) // 2 + 1), ' ', substring(after, 1, 1)) FROM pl WHERE word <> '' AND after <> '' AND i % 4 = 1),
 ln AS (SELECT doc, length(t) + 9 AS n FROM wd)"""
 
 
 def _words(spark, d):
-    w = table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("doc"), c("text").alias("t"))
-    starts = w.where("length(t) > 0").select("doc", F.explode(F.expr("sequence(0L, length(t) - 1L, 7L)")).alias("start"))
-    kind = F.element_at(F.array(*map(F.lit, ("keyword", "comment", "class name", "number", "odd"))), ((c("doc") + c("start")) % 5 + 1).cast("int"))
-    spans = starts.select("doc", F.floor(c("start") / 7).alias("seq"), "start", (1 + (c("doc") * 31 + c("start")) % 9).alias("length"), kind.alias("class"))
-    return spans, w.select("doc", (F.length("t") + 9).cast("long").alias("n"))
+    """(spans, documents): each word, a part inside long words, the first letters of some words, and spans that reach into the next word."""
+    from pyspark.sql import Window
+
+    texts = table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("doc"), F.coalesce("text", F.lit("")).alias("t"))
+    order = Window.partitionBy("doc").orderBy("i")
+    words = texts.select("doc", F.posexplode(F.split("t", " ")).alias("i", "word")).withColumn("i", long("i"))
+    n = F.length("word").cast("long")
+    words = words.withColumns({"n": n, "at": F.sum(n + 1).over(order) - n - 1, "after": F.lead("word").over(order)})
+    w, half = c("word"), F.floor(c("n") / 2)
+    kind = F.when(w.isin(*_KEYWORDS), "keyword").when(w.rlike("^[A-ZÀ-Þ]"), "class name").when(w.rlike("[.,]$"), "comment").otherwise("odd")
+
+    def span(more: int, start, length, class_, text_):
+        return F.struct((c("i") * 4 + more).alias("seq"), long(start).alias("start"), long(length).alias("length"), class_.alias("class"), text_.alias("text"))
+
+    across = F.concat(F.substring(w, half.cast("int") + 1, F.length(w)), F.lit(" "), F.substring("after", 1, 1))
+    each = F.array(
+        F.when(c("n") > 0, span(0, c("at"), c("n"), kind, w)),
+        F.when(c("n") >= 6, span(1, c("at") + 1, F.lit(3), F.when(c("i") % 2 == 0, "comment").otherwise("number"), F.substring(w, 2, 3))),
+        F.when((c("n") >= 4) & (c("i") % 3 == 0), span(2, c("at"), F.lit(2), F.lit("string"), F.substring(w, 1, 2))),
+        F.when((c("n") > 0) & (c("after") != "") & (c("i") % 4 == 1), span(3, c("at") + half, c("n") - half + 2, F.lit("keyword"), across)),
+    )
+    spans = words.select("doc", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("doc", "x.*")
+    return spans, texts.select("doc", (F.length("t") + 9).cast("long").alias("n"))
+
 
+_GAPS = """la AS (SELECT *, start + length AS stop, lag(start + length, 1, 0) OVER (PARTITION BY doc ORDER BY start, seq) AS last FROM {s}), te AS (SELECT doc, list(stop ORDER BY start, seq)[-1] AS e FROM la GROUP BY doc),
+ga AS (SELECT doc, start, length, class FROM {s} UNION ALL SELECT doc, last, start - last, NULL FROM la WHERE start > last UNION ALL SELECT ln.doc, coalesce(e, 0), n - coalesce(e, 0), NULL FROM ln LEFT JOIN te USING (doc) WHERE n > coalesce(e, 0))"""
 
-_GAPS = "la AS (SELECT *, start + length AS \"end\", lag(start + length, 1, 0) OVER (PARTITION BY doc ORDER BY start, seq) AS last FROM {s}), te AS (SELECT doc, max_by(\"end\", start) AS e FROM la GROUP BY doc), ga AS (SELECT doc, start, length, class FROM {s} UNION ALL SELECT doc, last, start - last, NULL FROM la WHERE start > last UNION ALL SELECT ln.doc, coalesce(e, 0), n - coalesce(e, 0), NULL FROM ln LEFT JOIN te USING (doc) WHERE n > coalesce(e, 0))"
 
+def _gapped(df):
+    return df.select("doc", "start", long("length").alias("length"), "class")
 
-@query("fill_gaps", f"WITH {_WORDS}, {_GAPS.format(s='sp')} SELECT * FROM ga")
+
+@query("fill_gaps", f"WITH {_WORDS}, {_GAPS.format(s='sp')} SELECT doc, start, CAST(length AS BIGINT) AS length, class FROM ga")
 def fill_gaps(spark, d):
-    return sp.fill_gaps(*_words(spark, d))
+    return _gapped(sp.fill_gaps(*_words(spark, d)))
 
 
-@query("fill_gaps_dedup", f"WITH {_WORDS}, {_GAPS.format(s='sp')} SELECT * FROM ga")
+@query("fill_gaps_dedup", f"WITH {_WORDS}, {_GAPS.format(s='sp')} SELECT doc, start, CAST(length AS BIGINT) AS length, class FROM ga")
 def fill_gaps_dedup(spark, d):
+    """Every span is there twice; the second of two equal ones goes."""
     spans, docs = _words(spark, d)
-    twice = spans.unionByName(spans.withColumn("seq", c("seq") + 1000))
-    return sp.fill_gaps_dedup(twice, docs)
+    twice = spans.withColumn("seq", c("seq") * 2).unionByName(spans.withColumn("seq", c("seq") * 2 + 1))
+    return _gapped(sp.fill_gaps_dedup(twice, docs))
 
 
 @query("concat_ranges", f"WITH {_WORDS} SELECT doc, start, false AS semantic FROM sp UNION ALL SELECT doc, start, true FROM sp WHERE class = 'comment'")
@@ -337,37 +364,43 @@ def distinct_points(spark, d):
     return sp.distinct_points(_words(spark, d)[0])
 
 
-@query("split_intervals", f"WITH {_WORDS}, po AS (SELECT DISTINCT doc, p FROM (SELECT doc, start AS p FROM sp UNION ALL SELECT doc, start + length FROM sp)), cu AS (SELECT sp.doc, seq, start, length, p FROM sp JOIN po ON sp.doc = po.doc AND p >= start AND p <= start + length), nx AS (SELECT doc, seq, start AS s, p AS start, lead(p) OVER (PARTITION BY doc, seq ORDER BY p) - p AS length FROM cu) SELECT doc, seq, start, length FROM nx WHERE length IS NOT NULL")
-def split_intervals(spark, d):
-    return sp.split_intervals(_words(spark, d)[0].withColumn("semantic", F.lit(False))).select("doc", "seq", "start", "length")
+_SPLIT = """po AS (SELECT DISTINCT doc, p FROM (SELECT doc, start AS p FROM {s} UNION ALL SELECT doc, start + length FROM {s})), cu AS (SELECT x.doc, x.seq, x.class, x.semantic, p FROM {s} x JOIN po ON x.doc = po.doc AND p >= start AND p <= start + length),
+nx AS (SELECT doc, seq, class, semantic, p AS start, CAST(lead(p) OVER w - p AS BIGINT) AS length, row_number() OVER w AS piece, count(*) OVER (PARTITION BY doc, seq) - 1 AS pieces FROM cu WINDOW w AS (PARTITION BY doc, seq ORDER BY p)), pc AS (SELECT * FROM nx WHERE length IS NOT NULL)"""
+_CUT = f"WITH {_WORDS}, fl AS (SELECT *, false AS semantic FROM sp), {_SPLIT.format(s='fl')}"
+
+
+def _pieces(spark, d):
+    return sp.split_intervals(_words(spark, d)[0].withColumn("semantic", F.lit(False)))
 
 
-_SPLIT = SQL["split_intervals"].replace("SELECT doc, seq, start, length FROM nx WHERE length IS NOT NULL", "")
+@query("split_intervals", f"{_CUT} SELECT doc, seq, start, length FROM pc")
+def split_intervals(spark, d):
+    return _pieces(spark, d).select("doc", "seq", "start", long("length").alias("length"))
 
 
-@query("resolve_overlaps", f"{_SPLIT}, pc AS (SELECT nx.doc, nx.seq, nx.start, nx.length, sp.class FROM nx JOIN sp ON nx.doc = sp.doc AND nx.seq = sp.seq WHERE nx.length IS NOT NULL), best AS (SELECT doc, start, max(seq) AS last, max(CASE WHEN class <> 'comment' THEN seq END) AS plain, min(seq) AS first FROM pc GROUP BY doc, start) SELECT pc.doc, pc.start, pc.length, pc.class FROM best JOIN pc ON pc.doc = best.doc AND pc.start = best.start AND pc.seq = coalesce(plain, first)")
+@query("resolve_overlaps", f"{_CUT}, best AS (SELECT doc, start, max(CASE WHEN class <> 'comment' THEN seq END) AS plain, min(seq) AS first FROM pc GROUP BY doc, start) SELECT pc.doc, pc.start, pc.length, pc.class FROM best JOIN pc ON pc.doc = best.doc AND pc.start = best.start AND pc.seq = coalesce(plain, first)")
 def resolve_overlaps(spark, d):
     """Of pieces with one start the last that is no comment stays, or else the first."""
-    pieces = sp.split_intervals(_words(spark, d)[0].withColumn("semantic", F.lit(False)))
-    return sp.resolve_overlaps(pieces).select("doc", "start", long("length").alias("length"), "class")
+    return _gapped(sp.resolve_overlaps(_pieces(spark, d)))
+
 
+_BOTH = """bo AS (SELECT doc, seq, start, length, class, false AS semantic FROM sp UNION ALL SELECT doc, seq + 1073741824, start, length, 'type', true FROM sp WHERE class = 'class name')"""
+_FOLD = """CASE WHEN a.semantic AND NOT b.semantic THEN struct_pack(length := b.length, class := a.class, semantic := b.semantic) WHEN b.semantic AND NOT a.semantic THEN struct_pack(length := a.length, class := b.class, semantic := a.semantic) WHEN b.class = 'comment' THEN a ELSE b END"""
 
-@query("prepare_ranges", f"WITH {_WORDS} SELECT doc, CAST(n AS BIGINT) AS covered FROM ln")
+
+@query("prepare_ranges", f"WITH {_WORDS}, {_BOTH}, {_SPLIT.format(s='bo')}, fd AS (SELECT doc, start, list(struct_pack(length := length, class := class, semantic := semantic AND pieces = 1) ORDER BY seq, piece) AS run FROM pc GROUP BY doc, start), rs AS (SELECT doc, 0 AS seq, start, x.length AS length, x.class AS class FROM (SELECT doc, start, list_reduce(run, lambda a, b: {_FOLD}) AS x FROM fd)), {_GAPS.format(s='rs')} SELECT doc, start, CAST(length AS BIGINT) AS length, class FROM ga")
 def prepare_ranges(spark, d):
-    """Pieces and gaps cover every text once."""
+    """Pieces and gaps of every text, with their classes; names of classes are also found by the second analysis."""
     spans, docs = _words(spark, d)
-    out = sp.prepare_ranges(spans, spans.where("class = 'class name'").withColumn("class", F.lit("type")), docs)
-    return out.groupBy("doc").agg(F.sum("length").alias("covered"))
+    return _gapped(sp.prepare_ranges(spans, spans.where("class = 'class name'").withColumn("class", F.lit("type")), docs))
 
 
-@query("merge_islands", f"WITH {_WORDS}, m AS (SELECT *, class IN ('keyword', 'comment') AS m FROM sp), i AS (SELECT *, CASE WHEN m AND lag(m) OVER w THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc ORDER BY start, seq)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY start, seq) AS island FROM i) SELECT doc, min(start) AS start, max_by(start + length, start) - min(start) AS length FROM g GROUP BY doc, island")
+@query("merge_islands", f"WITH {_WORDS}, m AS (SELECT *, class = 'keyword' AND text NOT IN {sp.APART} AS m FROM sp), i AS (SELECT *, CASE WHEN m AND lag(m) OVER w THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc ORDER BY start, seq)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY start, seq) AS island FROM i) SELECT doc, min(start) AS start, CAST(list(start + length ORDER BY start, seq)[-1] - min(start) AS BIGINT) AS length FROM g GROUP BY doc, island")
 def merge_islands(spark, d):
-    spans, _ = _words(spark, d)
-    words = spans.withColumn("class", F.when(c("class") == "comment", "keyword").otherwise(c("class"))).withColumn("text", F.lit("if"))
-    return sp.merge_islands(words).select("doc", "start", "length")
+    return sp.merge_islands(_words(spark, d)[0]).select("doc", "start", long("length").alias("length"))
 
 
-@query("map_classification", f"WITH {_WORDS} SELECT doc, start, CASE class WHEN 'keyword' THEN 'k' WHEN 'comment' THEN 'c' WHEN 'class name' THEN 't' ELSE 'unknownClassification' END AS class FROM sp WHERE class <> 'number'")
+@query("map_classification", f"WITH {_WORDS} SELECT doc, start, CASE class WHEN 'keyword' THEN 'k' WHEN 'comment' THEN 'c' WHEN 'class name' THEN 't' WHEN 'string' THEN 's' ELSE 'unknownClassification' END AS class FROM sp WHERE class <> 'number'")
 def map_classification(spark, d):
     return sp.map_class(_words(spark, d)[0]).select("doc", "start", "class")
 
@@ -379,12 +412,14 @@ def filter_classification(spark, d):
     return sp.filter_class(spans).select("doc", "start")
 
 
-_LOCALS = f"WITH {_WORDS}, f AS (SELECT doc, class AS symbol, min(start) AS p FROM sp GROUP BY ALL) SELECT doc, symbol, row_number() OVER (PARTITION BY doc ORDER BY p) - 1 AS local_id FROM f"
+_LOCALS = f"WITH {_WORDS}, f AS (SELECT doc, text AS symbol, min(start) AS p FROM sp WHERE class IN ('odd', 'class name') GROUP BY ALL) SELECT doc, symbol, row_number() OVER (PARTITION BY doc ORDER BY p) - 1 AS local_id FROM f"
 
 
 @query("local_ids", _LOCALS)
 def local_ids(spark, d):
-    return sp.local_ids(_words(spark, d)[0].select("doc", c("class").alias("symbol"), c("start").alias("position"))).withColumn("local_id", long("local_id"))
+    """Plain and capitalised words stand for symbols."""
+    words = _words(spark, d)[0].where("class in ('odd', 'class name')")
+    return sp.local_ids(words.select("doc", c("text").alias("symbol"), c("start").alias("position"))).withColumn("local_id", long("local_id"))
 
 
 @query("highlight_spans", f"SELECT doc, symbol, concat('r', local_id, ' r') AS css FROM ({_LOCALS})")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODES = "file string, place long, line long, kind string, parent string, element string, attribute string, value string, attributes map<string, string>"
@@ -72,3 +72,72 @@ def scan_list(lines: DataFrame) -> DataFrame:
     v = F.trim("value")
     bare = F.when((F.length(v) > 1) & v.startswith('"') & v.endswith('"'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
     return lines.select(bare.alias("value")).where("value <> ''")
+
+
+# What names an assembly, where the root namespace stands for it, and the namespace of old project files.
+NAME = r"(?U)<(?:Module)?AssemblyName>([\w.$()\-]+)</(?:Module)?AssemblyName>"
+ROOT_NAMESPACE = r"(?U)<RootNamespace>([\w.]+)</RootNamespace>"
+BUILD_NAMESPACE = "http://schemas.microsoft.com/developer/msbuild/2003"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def properties(text: Column) -> Column:
+    """Assignments of a build file in order, as structs (name, value); comments are left out and conditions count as met."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    groups = F.regexp_extract_all(bare, F.lit(r"(?s)<PropertyGroup(?:\s[^>]*)?>(.*?)</PropertyGroup>"), F.lit(1))
+    one = r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<]*)</\1\s*>"
+
+    def of(group: Column) -> Column:
+        names, values = (F.regexp_extract_all(group, F.lit(one), F.lit(i)) for i in (1, 2))
+        return F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+
+    return F.flatten(F.transform(groups, of))
+
+
+def expanded(value: Column, known: Column) -> Column:
+    """A value with each ``$(name)`` replaced by what is known of it, nothing if that is nothing; known: upper-cased name -> value."""
+    parts = F.split(value, r"\$\(")
+
+    def grow(out: Column, part: Column) -> Column:
+        name = F.upper(F.substring_index(part, ")", 1))
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(part.contains(")"), F.concat(out, F.coalesce(F.try_element_at(known, name), F.lit("")), rest)).otherwise(F.concat(out, F.lit("$("), part))
+
+    return F.aggregate(F.slice(parts, 2, 1 << 30), F.element_at(parts, 1), grow)
+
+
+def evaluated(text: Column, given: Column) -> Column:
+    """All properties of a build file, upper-cased name -> value: assignments take effect one after the other, so the last one of a name holds, and what a value
+    names is what it is at that point.  Properties that name each other end there too.  given: map of the properties known before."""
+
+    def assign(known: Column, x: Column) -> Column:
+        name = F.upper(x["name"])
+        return F.map_concat(F.map_filter(known, lambda k, v: k != name), F.create_map(name, expanded(x["value"], known)))
+
+    return F.aggregate(properties(text), given, assign)
+
+
+def assembly_names(files: DataFrame) -> DataFrame:
+    """(file, name, way) of project files and program images.  files: file (a path), text.
+
+    In order: the name that a pattern finds (``pattern``), through the root namespace if it refers to that; in a file of the old namespace, the last element
+    that names the assembly, if it holds no reference (``element``); the evaluated property (``property``); the name of the file (``file``).
+    """
+    c = F.col
+    text = F.coalesce("text", F.lit(""))
+    stem = F.regexp_replace(F.regexp_extract("file", r"([^\\/]*)\z", 1), r"\.[^.]*\z", "")
+    image = F.lower("file").rlike(r"\.(dll|exe)\z")
+    found = F.nullif(F.regexp_extract(text, NAME, 1), F.lit(""))
+    root = F.nullif(F.regexp_extract(text, ROOT_NAMESPACE, 1), F.lit(""))
+    pattern = F.when(found == "$(RootNamespace)", F.coalesce(root, found)).otherwise(found)
+    named = F.filter(properties(text), lambda x: x["name"] == "AssemblyName")
+    last = F.element_at(F.transform(named, lambda x: x["value"]), -1)
+    for mark, letter in _ENTITIES.items():
+        last = F.replace(last, F.lit(mark), F.lit(letter))
+    element = F.when(text.contains(f'"{BUILD_NAMESPACE}"') & (F.size(named) > 0) & ~last.contains("$"), last)
+    given = F.create_map(F.lit("MSBUILDPROJECTNAME"), c("stem"))
+    value = F.nullif(F.try_element_at(evaluated(text, given), F.lit("ASSEMBLYNAME")), F.lit(""))
+    out = files.withColumns({"stem": stem, "pattern": F.when(~image, pattern), "element": F.when(~image, element)})
+    out = out.withColumn("property", F.when(~image & c("pattern").isNull() & c("element").isNull(), value))
+    way = F.when(c("pattern").isNotNull(), "pattern").when(c("element").isNotNull(), "element").when(c("property").isNotNull(), "property").otherwise("file")
+    return out.select("file", F.coalesce("pattern", "element", "property", "stem").alias("name"), way.alias("way"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from symdex.functions.text import escape_semicolons
 
+from .storage import file_system
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files, from line 0."""
@@ -85,8 +87,31 @@ def reference_lines(refs: DataFrame) -> DataFrame:
 
 
 def write_references(refs: DataFrame, path: str) -> None:
-    """The fact table by target assembly, and in it by target."""
-    refs.repartition("to_assembly").sortWithinPartitions("to_assembly", "to_id").write.partitionBy("to_assembly").parquet(path)
+    """The fact table by target assembly, and in it by target.
+
+    Rows are dealt by ranges of target and place, so a much used target is spread over several files and tasks.
+    """
+    places = [x for x in ("from_assembly", "file", "line", "seq") if x in refs.columns]
+    refs.repartitionByRange("to_assembly", "to_id", *places).sortWithinPartitions("to_assembly", "to_id").write.partitionBy("to_assembly").parquet(path)
+
+
+def append_references(refs: DataFrame, path: str, project: str = "from_assembly") -> None:
+    """Add the facts of a run to a fact table that is kept by project.
+
+    The facts of each project in refs replace those that an earlier run wrote for it, those of other projects stay; so a run can be repeated, and a number of
+    runs over parts of a solution give what one run over all of it gives.  Rows are dealt by ranges of project and target, so that a large project or a much used
+    target has several files, each of a narrow range of targets.
+    """
+    places = [x for x in ("to_assembly", "to_id", "file", "line", "seq") if x in refs.columns]
+    dealt = refs.withColumn("project", F.col(project)).repartitionByRange("project", *places).sortWithinPartitions("project", *places)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+
+
+def forget_projects(spark: SparkSession, path: str, projects: list[str]) -> None:
+    """Delete the facts of projects that a run found without any."""
+    for name in projects:
+        fs, where = file_system(spark, f"{path}/project={name}")
+        fs.delete(where, True)
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:

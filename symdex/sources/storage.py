@@ -28,9 +28,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path, whatever store it is in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` has written and no later step reads."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            fs, where = file_system(df.sparkSession, folder)
+            fs.delete(where, True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
