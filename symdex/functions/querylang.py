@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .symbols import KINDS
@@ -108,3 +108,8 @@ def parsed(queries: DataFrame, column: str = "query") -> DataFrame:
     q = queries.withColumn("q", classified(F.col(column)))
     q = q.withColumn("readings", F.when(diagnostics(F.col(column)).isNull(), interpretations(F.col("q"))))
     return q.select(*queries.columns, F.col("q.kinds").alias("kinds"), F.col("q.paths").alias("paths"), F.posexplode("readings").alias("reading", "r")).select("*", "r.*").drop("r")
+
+
+def rows(spark: SparkSession, *texts: str) -> DataFrame:
+    """(query_id, query) of a few texts, as a plan without a job."""
+    return spark.sql("SELECT CAST(pos AS BIGINT) AS query_id, col AS query FROM (SELECT posexplode(:texts))", {"texts": list(texts)})

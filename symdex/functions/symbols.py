@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fold_case
+
 # Words of the query language that name a kind of symbol.
 KINDS = ("assembly", "type", "class", "struct", "interface", "enum", "delegate", "method", "property", "event", "field", "file", "MSBuildProperty", "MSBuildItem", "MSBuildTarget", "MSBuildTask")
 TYPES = ("class", "struct", "interface", "enum", "delegate")
@@ -59,7 +61,7 @@ def glyph_for_script_kind(kind: Column) -> Column:
 
 def match_level(name: Column, term: Column) -> Column:
     """1 equal, 2 equal without case, 3 prefix, 4 prefix without case, 5 inside, 7 otherwise."""
-    a, b = F.upper(name), F.upper(term)
+    a, b = fold_case(name), fold_case(term)
     return F.when(name == term, 1).when(a == b, 2).when(name.startswith(term), 3).when(a.startswith(b), 4).when(name.contains(term), 5).otherwise(7)
 
 

@@ -10,9 +10,25 @@ _IN_LINE = r"(?:[^\r\n]++|\r(?![\r\n]|\z))"
 _LINE = rf"{_IN_LINE}*+(?:\r?\n|\r(?=\r|\z))|{_IN_LINE}++\z"
 
 
-def fold_case(x: Column) -> Column:
-    """Upper case of ASCII letters; other letters keep their length and place."""
-    return F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+def _pairs() -> dict[int, int]:
+    """Letters and their upper-case letters, where that is one letter; a dotless i and a long s stay, as they do without a language."""
+    letters = (i for i in range(0x1E944) if not 0xD800 <= i < 0xE000 and i not in (0x131, 0x17F))
+    upper = ((i, chr(i).upper()) for i in letters)
+    return {i: ord(u) for i, u in upper if len(u) == 1 and ord(u) != i}
+
+
+_UPPER = _pairs()
+_FROM, _TO = "".join(map(chr, _UPPER)), "".join(map(chr, _UPPER.values()))
+
+
+def fold_case(x: Column | str) -> Column:
+    """Upper case letter by letter: the one rule by which names are compared, ordered and filtered whatever their case."""
+    return F.translate(x, _FROM, _TO)
+
+
+def folded(x: str) -> str:
+    """The same of a plain text."""
+    return x.translate(_UPPER)
 
 
 def html_escape(x: Column) -> Column:

@@ -14,6 +14,7 @@ from .numbering import dense
 
 MOST = 100
 # Assemblies that stand for lists of names.
+LOOSE = ("MSBuildFiles", "TypeScriptFiles")
 PSEUDO = ("MSBuildProperties", "MSBuildItems", "MSBuildTargets", "MSBuildTasks", "GuidAssembly")
 
 
@@ -75,7 +76,28 @@ def project_stats(documents: DataFrame, declared: DataFrame | None = None) -> Da
 
 
 def aggregate_stats(stats: DataFrame) -> DataFrame:
-    return stats.agg(F.count("*").alias("projects"), F.sum("documents").alias("documents"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
+    """One row: how many projects there are, and the totals of all that ``project_stats`` counts in them."""
+    totals = [F.coalesce(F.sum(x), F.lit(0).cast("long")).alias(x) for x in ("documents", "lines", "chars", "symbols", "types", "public_types")]
+    return stats.agg(F.count("*").alias("projects"), *totals)
+
+
+def unique_file_names(types: DataFrame) -> DataFrame:
+    """types with ``file``: the name, and from the second type of one folder and name on a running number behind it.  types: folder, name, seq."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy("seq")) - 1
+    return types.withColumn("__n", n).withColumn("file", F.when(F.col("__n") > 0, F.concat("name", F.col("__n").cast("string"))).otherwise(F.col("name"))).drop("__n")
+
+
+def loose_files(pages: DataFrame) -> DataFrame:
+    """(project, name, path): files that belong to no project, from the pages below the folders of the pseudo-projects; path without ".html".
+
+    pages: path, with backslashes, from the root of the index.
+    """
+    project = F.substring_index("path", "\\", 1)
+    inside = F.substring(F.col("path"), F.length(project) + 2, F.length("path"))
+    own = pages.where(project.isin(*LOOSE) & F.lower("path").endswith(".html") & (inside != "")).select(project.alias("project"), F.expr("substring(path, 1, length(path) - 5)").alias("path"))
+    return own.select("project", F.substring_index("path", "\\", -1).alias("name"), "path")
 
 
 def used_references(edges: DataFrame) -> DataFrame:
@@ -101,7 +123,7 @@ def linked_references(references: DataFrame, assemblies: DataFrame, used: DataFr
 def first_server(names: DataFrame, federation: DataFrame) -> DataFrame:
     """(name, server): the first server that has an assembly, -1 for none."""
     f = federation.groupBy("assembly_key").agg(F.min("server").alias("server"))
-    return names.withColumn("assembly_key", F.upper("name")).join(f, "assembly_key", "left").select("name", F.coalesce("server", F.lit(-1)).alias("server"))
+    return names.withColumn("assembly_key", fold_case("name")).join(f, "assembly_key", "left").select("name", F.coalesce("server", F.lit(-1)).alias("server"))
 
 
 def external_references(references: DataFrame, listed: DataFrame, solution: DataFrame, federation: DataFrame) -> DataFrame:
@@ -109,7 +131,7 @@ def external_references(references: DataFrame, listed: DataFrame, solution: Data
     out = references
     for other in (listed, solution):
         out = out.join(other.select("name"), "name", "left_anti")
-    out = out.join(federation.select(F.col("assembly_key").alias("k")), F.upper("name") == F.col("k"), "left_anti")
+    out = out.join(federation.select(F.col("assembly_key").alias("k")), fold_case("name") == F.col("k"), "left_anti")
     return out.groupBy("name").agg(F.max_by("path", "seq").alias("path"))
 
 
@@ -156,9 +178,9 @@ def match_server_path(paths: DataFrame, mappings: DataFrame) -> DataFrame:
     The mappings are command-line arguments; the join runs over them as an array in one row, so that no pair is built.
     """
     rules = mappings.agg(F.array_sort(F.collect_list(F.struct("place", "key", "value"))).alias("rules"))
-    fits = F.filter("rules", lambda r: F.upper("path").startswith(F.upper(r["key"])))
+    fits = F.filter("rules", lambda r: fold_case("path").startswith(fold_case(r["key"])))
     first = F.get(fits, F.lit(0))
-    inside = F.upper("path").contains("\\OBJ\\")
+    inside = fold_case("path").contains("\\OBJ\\")
     return paths.crossJoin(F.broadcast(rules)).select("path", F.when(~inside & (F.size(fits) > 0), F.concat(first["value"], F.substring(F.col("path"), F.length(first["key"]) + 1, F.length("path")))).alias("server_path"))
 
 

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-#: Kinds of symbols that a visitor may have a function for.
-SYMBOL_KINDS = ("namespace", "class", "struct", "interface", "enum", "delegate", "method", "property", "event", "field", "file")
-
-
 @dataclass
 class Plugin:
     """name, and a function (text, file, line) -> text or None over lines, or functions (name, description) -> text by kind over symbols."""
@@ -41,14 +37,16 @@ def isolated(f: Callable, *args):
         return None
 
 
-def config_group(settings: list[str]) -> dict[str, dict[str, str]]:
-    """``plugin:setting=value`` texts as nested settings."""
-    out: dict[str, dict[str, str]] = {}
-    for text in settings:
-        plugin, _, rest = text.partition(":")
-        key, _, value = rest.partition("=")
-        out.setdefault(plugin, {})[key] = value
-    return out
+def config_groups(settings: DataFrame) -> DataFrame:
+    """(plugin, settings): ``plugin:setting=value`` texts as a map of each plugin; the last of a setting wins.  settings: seq, value.
+
+    A plugin's settings are those of a command line, a few; texts without a colon are none.
+    """
+    c = F.col
+    rest = F.expr("substring(value, instr(value, ':') + 1)")
+    own = settings.where(c("value").contains(":")).select("seq", F.substring_index("value", ":", 1).alias("plugin"), F.substring_index(rest, "=", 1).alias("setting"), F.when(rest.contains("="), F.expr("substring(value, instr(value, ':') + 1 + instr(substring(value, instr(value, ':') + 1), '='))")).otherwise("").alias("v"))
+    last = own.groupBy("plugin", "setting").agg(F.max_by("v", "seq").alias("v"))
+    return last.groupBy("plugin").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("setting", "v")))).alias("settings"))
 
 
 class Registry:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symdex.functions.text import fold_case, folded
 from symdex.sources.storage import stored
 
 #: Rows between two fences.
@@ -33,7 +34,7 @@ def _ends(key: Column, word: str) -> dict[str, Column]:
 
 def bounds_of(names: DataFrame, fence: DataFrame, word: str, key: str = "name_key", place: str = "pos", block: int = BLOCK) -> tuple[int, int]:
     """(low, high) of one word, whatever its case."""
-    word = word.upper()
+    word = folded(word)
     found = fence.agg(*(F.max(F.when(x, F.col("first"))).alias(name) for name, x in _ends(F.col("first_key"), word).items())).first()
     out = []
     for name, x in _ends(F.col(key), word).items():
@@ -53,7 +54,7 @@ def slice_of(names: DataFrame, low: int, high: int, place: str = "pos") -> DataF
 def bounds(names: DataFrame, words: DataFrame, key: str = "name_key") -> DataFrame:
     """(word, low, high) of every distinct word.  words: word; nulls are left out."""
     c = F.col
-    asked = words.where("word is not null").select("word").distinct().withColumn("k", F.upper("word").cast("binary"))
+    asked = words.where("word is not null").select("word").distinct().withColumn("k", fold_case("word").cast("binary"))
     ends = asked.select("word", F.explode(F.array(F.struct(F.lit("low").alias("end"), c("k")), F.struct(F.lit("high").alias("end"), F.concat("k", F.lit(b"\xff")).alias("k")))).alias("x")).select("word", "x.*", F.lit(0).cast("long").alias("n"))
     held = names.groupBy(c(key).cast("binary").alias("k")).agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("end"), "k", "n")
     # an end comes before a key that equals it

@@ -1,7 +1,7 @@
 """Symbol search: prefix lookup on a materialised key, filters, truncation, ranking and grouping.
 
 Symbols: pos, name, name_key, assembly_number, glyph, symbol_id, description, and after ``decode`` also assembly_name,
-project_path and kind.  ``name_key`` is the upper-cased name, so a prefix reaches the Parquet scan as StringStartsWith.
+project_path and kind.  ``name_key`` is the folded name (``text.fold_case``), so a prefix reaches the Parquet scan as StringStartsWith.
 """
 
 from __future__ import annotations
@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 from symdex.functions import querylang
 from symdex.functions.symbols import TYPES, glyph_to_kind, kind_rank, match_level, weight
+from symdex.functions.text import fold_case, folded, html_escape, url_encode
+
+from .numbering import dense
 
 MOST = 100
+#: Order of the hits of a query.
+ORDER = ("match_level", "kind_rank", "name", "assembly_number", "description", "pos", "reading")
 #: Queries that are taken over all symbols at once.
 QUERY_BLOCK = 1000
 
 
 def prefix_search(names: DataFrame, word: str, key: str = "name_key") -> DataFrame:
     """Rows whose name starts with a word, whatever the case; all rows for an empty word."""
-    return names.where(F.col(key).startswith(word.upper())) if word else names
+    return names.where(F.col(key).startswith(folded(word))) if word else names
 
 
 def find_item(names: DataFrame, word: str, key: str = "name_key", order: str = "pos") -> DataFrame:
@@ -37,7 +42,7 @@ def filter_kind(kind: Column, kinds: Column) -> Column:
 
 
 def _holds(x: Column, part: Column) -> Column:
-    return F.upper(F.coalesce(x, F.lit(""))).contains(F.upper(part))
+    return fold_case(F.coalesce(x, F.lit(""))).contains(fold_case(part))
 
 
 def filter_path(project: Column, paths: Column) -> Column:
@@ -77,7 +82,7 @@ def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     Queries are joined on the first three characters of their cores; shorter cores, which dotted terms can have, on as many as they
     have.  A stem that very many symbols have is split by Spark, as symbols are the streamed side of these joins.
     """
-    q = queries.withColumn("core_key", F.upper("core")).withColumn("stem", F.substring("core_key", 1, 3))
+    q = queries.withColumn("core_key", fold_case("core")).withColumn("stem", F.substring("core_key", 1, 3))
     found = every(symbols, q.where("stem = ''")).drop("stem", "core_key")
     for n in (1, 2, 3):
         one = symbols.withColumn("stem", F.substring("name_key", 1, n)).join(q.where(F.length("stem") == n), "stem")
@@ -119,10 +124,17 @@ def ranked(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     c = F.col
     hits = hits.withColumn("match_level", match_level(c("name"), c("core"))).withColumn("kind_rank", kind_rank(c("kind")))
     hits = hits.withColumn("weight", weight(c("match_level"), c("kind_rank")))
-    order = Window.partitionBy(*by).orderBy("match_level", "kind_rank", "name", "assembly_number", "description", "pos", "reading")
+    order = Window.partitionBy(*by).orderBy(*ORDER)
     return hits.withColumn("rank", F.row_number().over(order))
 
 
+def ranked_range(hits: DataFrame) -> DataFrame:
+    """The same for the hits of one query, of which there may be any number: sorted by ranges and numbered on from range to range."""
+    c = F.col
+    hits = hits.withColumn("match_level", match_level(c("name"), c("core"))).withColumn("kind_rank", kind_rank(c("kind")))
+    return dense(hits.withColumn("weight", weight(c("match_level"), c("kind_rank"))), [*ORDER], "rank").withColumn("rank", c("rank") + 1)
+
+
 def potential_raw(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, potential): size of the prefix range of the last interpretation whose range isn't empty."""
     n = candidates(symbols, queries).groupBy("query_id", "reading").agg(F.count("*").alias("n"))
@@ -191,6 +203,18 @@ def lookup_symbol_url(symbols: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.withColumn("symbol_id", key).join(last, "symbol_id").select("asked", url(F.col("assembly_name"), F.col("symbol_id")).alias("url"))
 
 
+def no_hit_links(queries: DataFrame, found: DataFrame, bases: tuple[str, ...]) -> DataFrame:
+    """(query_id, link): for each query without hits the addresses to search on at.  queries: query_id, query; found: the query_id of those with hits."""
+    term = html_escape(url_encode(F.col("query")))
+    without = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return without.select("query_id", F.explode(F.array(*(F.concat(F.lit(b), term) for b in bases))).alias("link"))
+
+
+def usage(requests: DataFrame) -> DataFrame:
+    """(user_key, n): requests of each user, whatever the case of the name.  requests: user."""
+    return requests.groupBy(F.lower("user").alias("user_key")).agg(F.count("*").alias("n"))
+
+
 def search(symbols: DataFrame, assemblies: DataFrame, text: str, most: int = MOST) -> DataFrame:
     """One query, from its text to ranked symbols.
 
@@ -198,7 +222,7 @@ def search(symbols: DataFrame, assemblies: DataFrame, text: str, most: int = MOS
     top-k, without a join with the queries.
     """
     spark = symbols.sparkSession
-    readings = querylang.parsed(spark.createDataFrame([(0, text)], "query_id long, query string"))
+    readings = querylang.parsed(querylang.rows(spark, text))
     kinds = dict(readings.dtypes)
     found = None
     for r in readings.collect():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symdex.functions.ids import symbol_id
 from symdex.functions.symbols import glyph_to_kind, kind_rank, pick
+from symdex.functions.text import fold_case
 from symdex.operators.graph import normalize_ids
 from symdex.operators import positions
 from symdex.operators.numbering import dense
@@ -44,7 +45,7 @@ def long(x: Column | str) -> Column:
 def assemblies(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = F.when(F.col("s_suppkey") % 5 != 0, F.concat("r_name", F.lit("\\"), "n_name", F.lit("\\"), "s_name", F.lit(".csproj")))
-    return s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("assembly_name"), path.alias("project_path"), F.upper("s_name").alias("assembly_key"))
+    return s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("assembly_name"), path.alias("project_path"), fold_case("s_name").alias("assembly_key"))
 
 
 def keyed_assemblies(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def bare_symbols(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("name", F.when(c("p_partkey") % 3 == 0, F.upper(plain)).otherwise(plain))
     p = p.withColumn("glyph", pick(c("p_type"), GLYPHS, 0))
     return p.select(
-        c("p_partkey").alias("key"), "name", F.upper("name").alias("name_key"), (c("p_partkey") % n).alias("assembly_number"), "glyph", kind_rank(glyph_to_kind(c("glyph"))).alias("kind_rank"),
+        c("p_partkey").alias("key"), "name", fold_case("name").alias("name_key"), (c("p_partkey") % n).alias("assembly_number"), "glyph", kind_rank(glyph_to_kind(c("glyph"))).alias("kind_rank"),
         F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit(".")), F.lit("."), "name", F.lit("("), "p_type", F.lit(")")).alias("description"),
         symbol_id(F.concat(F.lit("T:"), "p_brand", F.lit("."), "p_name", F.lit(":"), c("p_partkey").cast("string"))).alias("symbol_id"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symdex.functions import ids, paths as pt, symbols as sy, text
 from symdex.operators import graph, numbering, references as rf, trees
-from symdex.sources import legacy, storage
+from symdex.sources import buildfiles, legacy, storage
 
 from .binding import ASM, EDGES, KEYED, LOCS, REFS, SQL, SYM, assemblies, bare_symbols, edges, keyed_assemblies, locations, long, query, references, symbols, table
 
@@ -80,12 +80,11 @@ def scan_references(spark, d):
     return legacy.parse_references(_file(rows, "R.txt", "k")).select("record", "from_assembly", "line", "col_start", "kind", "line_text")
 
 
-@query("discover_projects", f"WITH {REFS} SELECT CAST(to_id % 16 AS VARCHAR) AS project FROM refs GROUP BY ALL HAVING max(line) > 6")
+@query("discover_projects", f"WITH {REFS} SELECT CAST(to_id % 16 AS VARCHAR) AS project FROM refs GROUP BY ALL")
 def discover_projects(spark, d):
     """Assemblies for which an index holds references, read from its folders."""
     path = storage.fresh(spark, "facts")
-    late = references(spark, d).drop("l_shipdate").withColumn("to_assembly", c("to_id") % 16)
-    legacy.write_references(late.where("line > 6"), path)
+    legacy.write_references(references(spark, d).drop("l_shipdate").withColumn("to_assembly", c("to_id") % 16), path)
     return legacy.discover(spark, path)
 
 _MEMBERS = "m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, CAST(l_partkey AS VARCHAR) AS member_id, CAST(l_suppkey AS VARCHAR) AS base_assembly, CAST(l_linenumber AS VARCHAR) AS base_id FROM lineitem)"
@@ -327,6 +326,12 @@ def _projects(spark, d):
     return docs.select(c("source").alias("project"), long(F.size(text.line_lengths(c("text")))).alias("n_lines"), long(F.length("text")).alias("n_chars"))
 
 
+def _declared_in(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", c("source").alias("project"))
+    own = symbols(spark, d).join(docs, c("key") == c("doc_id"))
+    return own.select("project", sy.glyph_to_kind(c("glyph")).isin(*sy.TYPES).alias("is_type"), (c("pos") % 3 != 0).alias("is_public"))
+
+
 _LINES = "len(string_split(text, chr(10)))"
 
 
@@ -336,15 +341,12 @@ _DECLARED = "decl AS (SELECT source, kind IN ('class', 'struct', 'interface') AS
 @query("project_stats", f"WITH {SYM}, {_DECLARED}, n AS (SELECT source, count(*) AS symbols, count(*) FILTER (is_type) AS types, count(*) FILTER (is_type AND is_public) AS public_types FROM decl GROUP BY source), t AS (SELECT source, count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source) SELECT t.source AS project, documents, lines, chars, coalesce(symbols, 0) AS symbols, coalesce(types, 0) AS types, coalesce(public_types, 0) AS public_types FROM t LEFT JOIN n ON t.source = n.source")
 def project_stats(spark, d):
     """The symbol with a document's number is declared in it."""
-    docs = table(spark, d, "documents").select("doc_id", c("source").alias("project"))
-    own = symbols(spark, d).join(docs, c("key") == c("doc_id"))
-    declared = own.select("project", sy.glyph_to_kind(c("glyph")).isin(*sy.TYPES).alias("is_type"), (c("pos") % 3 != 0).alias("is_public"))
-    return graph.project_stats(_projects(spark, d), declared)
+    return graph.project_stats(_projects(spark, d), _declared_in(spark, d))
 
 
-@query("aggregate_stats", f"SELECT count(DISTINCT source) AS projects, count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+@query("aggregate_stats", f"WITH {SYM}, {_DECLARED} SELECT (SELECT count(DISTINCT source) FROM documents) AS projects, (SELECT count(*) FROM documents) AS documents, (SELECT CAST(sum({_LINES}) AS BIGINT) FROM documents) AS lines, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS chars, (SELECT count(*) FROM decl) AS symbols, (SELECT count(*) FILTER (is_type) FROM decl) AS types, (SELECT count(*) FILTER (is_type AND is_public) FROM decl) AS public_types")
 def aggregate_stats(spark, d):
-    return graph.aggregate_stats(graph.project_stats(_projects(spark, d)))
+    return graph.aggregate_stats(graph.project_stats(_projects(spark, d), _declared_in(spark, d)))
 
 
 @query("file_references", f"WITH {EDGES} SELECT from_assembly, to_assembly FROM edges WHERE from_assembly <> to_assembly")
@@ -434,25 +436,29 @@ def first_project_wins(spark, d):
 
 @query("unique_file_name", "SELECT p_partkey AS id, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) > 1 THEN concat(p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1) ELSE p_name END AS file FROM part")
 def unique_file_name(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("p_brand", "p_name").orderBy("p_partkey")) - 1
-    return table(spark, d, "part").withColumn("n", n).select(c("p_partkey").alias("id"), F.when(c("n") > 0, F.concat("p_name", c("n").cast("string"))).otherwise(c("p_name")).alias("file"))
+    types = table(spark, d, "part").select(c("p_partkey").alias("id"), c("p_brand").alias("folder"), c("p_name").alias("name"), c("p_partkey").alias("seq"))
+    return graph.unique_file_names(types).select("id", "file")
 
 
 # --- facts and trees
 
 
-@query("add_reference", "SELECT page_id, replace(replace(replace(replace(replace(trim(l, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS line_text, concat('../', 'p', page_id % 7, '.html#', page_id) AS url FROM (SELECT page_id, string_split(html, chr(10))[1] AS l FROM pages)")
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query("add_reference", "SELECT page_id, line, " + _ESCAPED.format("b") + " AS line_text, CAST(length(" + _ESCAPED.format("substring(b, 1, 3)") + ") AS BIGINT) AS col_start, CAST(length(" + _ESCAPED.format("substring(b, 1, 9)") + ") AS BIGINT) AS col_end, concat('../', 'p', page_id % 7, '.html#', page_id) AS url FROM (SELECT page_id, line, trim(l, ' ') AS b FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS l, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line FROM pages))")
 def add_reference(spark, d):
-    p = table(spark, d, "pages").withColumn("l", F.get(F.split("html", "\n"), F.lit(0)))
+    """A reference from the third to the ninth letter of the text of every line of every page."""
+    p = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "l"))
     own = F.concat(F.lit("p"), (c("page_id") % 7).cast("string"))
-    return p.select("page_id", text.html_escape_offsets(c("l"), F.lit(0), F.lit(1))["html"].alias("line_text"), pt.display_link(F.lit("a"), F.lit("a"), own, c("page_id")).alias("url"))
+    left = F.length("l") - F.length(F.ltrim("l"))
+    e = p.withColumn("e", text.html_escape_offsets(c("l"), left + 3, left + 9))
+    return e.select("page_id", long(c("line") + 1).alias("line"), c("e.html").alias("line_text"), long("e.new_start").alias("col_start"), long("e.new_end").alias("col_end"), pt.display_link(F.lit("a"), F.lit("a"), own, c("page_id")).alias("url"))
 
 
-@query("ctor_refs", f"WITH {REFS}, r AS (SELECT seq, to_id, kind, line FROM refs WHERE line <= 3) SELECT seq, to_id, CAST(kind AS BIGINT) AS kind FROM r UNION ALL SELECT seq, to_id + 100000, 5 FROM r WHERE line = 3")
+@query("ctor_refs", f"WITH {REFS}, r AS (SELECT seq, to_id, kind, line FROM refs) SELECT seq, to_id, CAST(kind AS BIGINT) AS kind FROM r UNION ALL SELECT seq, to_id + 100000, 5 FROM r WHERE line = 3")
 def ctor_refs(spark, d):
-    r = references(spark, d).where("line <= 3").select("seq", "to_id", "kind", F.when(c("line") == 3, ".ctor").otherwise("x").alias("to_name"), (c("to_id") + 100000).alias("type_id"))
+    r = references(spark, d).select("seq", "to_id", "kind", F.when(c("line") == 3, ".ctor").otherwise("x").alias("to_name"), (c("to_id") + 100000).alias("type_id"))
     return rf.constructor_references(r).select("seq", "to_id", long("kind").alias("kind"))
 
 
@@ -528,7 +534,14 @@ def file_symbols(spark, d):
     return p.select(pt.file_name(c("project_path")).alias("name"), ids.symbol_id(c("project_path")).alias("id"), long(sy.glyph_for_extension(c("project_path"))).alias("glyph"))
 
 
-query("loose_files_project", SQL["file_symbols"])(file_symbols)
+@query("loose_files_project", "WITH p AS (SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN 'MSBuildFiles' ELSE 'TypeScriptFiles' END, chr(92), substring(md5(url), 1, 2), chr(92), 'f', page_id, CASE page_id % 4 WHEN 0 THEN '.targets' ELSE '.ts' END) AS path FROM pages WHERE page_id % 4 < 2) SELECT split_part(path, chr(92), 1) AS project, split_part(path, chr(92), 3) AS name, substring(md5(path), 1, 16) AS id, CAST(CASE page_id % 4 WHEN 0 THEN 227 ELSE 228 END AS BIGINT) AS glyph FROM p")
+def loose_files_project(spark, d):
+    """Pages below the folders of build files and scripts; pages of other folders and files that aren't pages don't count."""
+    k, slash = c("page_id"), F.lit("\\")
+    folder = F.when(k % 4 == 0, "MSBuildFiles").when(k % 4 == 3, "Acme").otherwise("TypeScriptFiles")
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 4 == 0, ".targets.html").when(k % 4 == 2, ".ts.txt").otherwise(".ts.html"))
+    found = graph.loose_files(table(spark, d, "pages").select(F.concat(folder, slash, F.substring(F.md5("url"), 1, 2), slash, name).alias("path")))
+    return found.select("project", "name", ids.symbol_id(c("path")).alias("id"), long(sy.glyph_for_extension(c("path"))).alias("glyph"))
 
 
 @query("line_annotations", "WITH l AS (SELECT o_custkey % 20 AS file, max(o_orderkey % 60 + 1) AS last FROM orders GROUP BY ALL), e AS (SELECT file, unnest(range(1, last + 1)) AS line FROM l), n AS (SELECT DISTINCT o_custkey % 20 AS file, o_orderkey % 60 + 1 AS line, substring(o_orderpriority, 1, 1) AS glyph FROM orders WHERE o_orderkey % 3 = 0), g AS (SELECT file, line, string_agg(glyph, '' ORDER BY glyph) AS glyphs FROM n GROUP BY ALL) SELECT file, line, coalesce(glyphs, '') AS glyphs FROM e LEFT JOIN g USING (file, line)")
@@ -562,12 +575,19 @@ def pending_invocations(spark, d):
     return legacy.pending_invocations(calls, p.where("p_partkey < 20").select(F.upper("p_name").alias("name")))
 
 
-@query("doc_comment_map", "SELECT p_name AS member, max_by(p_brand, p_partkey) AS xml FROM part GROUP BY p_name")
+@query("doc_comment_map", "WITH m AS (SELECT p_partkey % 10 AS file, p_partkey * 2 AS n, concat('M:', p_name) AS member, concat('<member name=\"M:', p_name, '\"><summary>', p_brand, '</summary></member>') AS xml FROM part UNION ALL SELECT p_partkey % 10, p_partkey * 2 + 1, concat('T:', p_type), concat('<member name=\"T:', p_type, '\">', chr(10), p_partkey, '</member>') FROM part) SELECT file, member, list(xml ORDER BY n)[-1] AS xml FROM m GROUP BY file, member")
 def doc_comment_map(spark, d):
-    return table(spark, d, "part").groupBy(c("p_name").alias("member")).agg(F.max_by("p_brand", "p_partkey").alias("xml"))
+    """Documentation files of ten assemblies, whose lines are dealt over rows; members occur again and again."""
+    k = c("p_partkey")
+    member = lambda name, body: F.concat(F.lit('  <member name="'), name, F.lit('">'), body, F.lit("</member>\n"))
+    xml = F.concat(F.lit("<members>\n"), member(F.concat(F.lit("M:"), "p_name"), F.concat(F.lit("<summary>"), "p_brand", F.lit("</summary>"))), member(F.concat(F.lit("T:"), "p_type"), F.concat(F.lit("\n"), k.cast("string"))))
+    return buildfiles.member_comments(table(spark, d, "part").select((k % 10).alias("file"), k.alias("place"), xml.alias("text"))).select("file", "member", "xml")
 
 
-@query("project_items", "SELECT p_partkey AS id, p_type AS item_type FROM part WHERE p_type IN ('SMALL', 'PROMO', 'LARGE', 'MEDIUM')")
+@query("project_items", "SELECT p_partkey AS file, CASE p_partkey % 6 WHEN 0 THEN 'Resource' WHEN 1 THEN 'Page' WHEN 2 THEN 'EmbeddedResource' ELSE 'TypeScriptCompile' END AS item_type, concat(p_name, '.x') AS include FROM part WHERE p_partkey % 6 < 4 UNION ALL SELECT p_partkey, 'Page', 'main.xaml' FROM part")
 def project_items(spark, d):
-    """Items of the types that are indexed."""
-    return table(spark, d, "part").where(c("p_type").isin("SMALL", "PROMO", "LARGE", "MEDIUM")).select(c("p_partkey").alias("id"), c("p_type").alias("item_type"))
+    """A project file for each part, with an item of a type that is indexed or not and one that always is."""
+    kind = F.get(F.array(*map(F.lit, ("Resource", "Page", "EmbeddedResource", "TypeScriptCompile", "None", "Compile"))), (c("p_partkey") % 6).cast("int"))
+    xml = F.concat(F.lit("<Project><ItemGroup><"), kind, F.lit(' Include="'), "p_name", F.lit('.x"/><Page Include="main.xaml"><SubType>a</SubType></Page></ItemGroup><Page Include="outside"/></Project>'))
+    nodes = buildfiles.xml_nodes(table(spark, d, "part").select(c("p_partkey").cast("string").alias("file"), xml.alias("text")))
+    return buildfiles.project_items(nodes).select(long("file").alias("file"), "item_type", "include")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.functions import querylang, symbols as sy, text
-from symdex.operators import graph, search
+from symdex.operators import graph, positions, search
 
 from .binding import ASM, EDGES, KEYED, SQL, SYM, assemblies, bare_symbols, edges, keyed_assemblies, long, query, symbols, table
 
@@ -14,7 +14,7 @@ c = F.col
 
 
 def asked(spark: SparkSession, *texts: str) -> DataFrame:
-    return querylang.parsed(spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"))
+    return querylang.parsed(querylang.rows(spark, *texts))
 
 
 # Terms made of document texts: words with quotes, dots, slashes and kinds between them.
@@ -129,10 +129,11 @@ def search_terms(spark, d):
     return q.withColumn("t", querylang.search_terms(querylang.classified(c("query")))).select("query_id", "t.*")
 
 
-@query("validate_query", "SELECT doc_id, CASE WHEN length(x) < 3 THEN 'too short' WHEN length(x) > 260 THEN 'too long' END AS note FROM (SELECT doc_id, substring(text, 1, doc_id % 300) AS x FROM documents)")
+@query("validate_query", "SELECT doc_id, i AS line, CASE WHEN length(x) < 3 THEN 'too short' WHEN length(x) > 260 THEN 'too long' END AS note FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
 def validate_query(spark, d):
-    x = table(spark, d, "documents").withColumn("x", F.substring(c("text"), F.lit(1), (c("doc_id") % 300).cast("int")))
-    return x.select("doc_id", querylang.diagnostics(c("x")).alias("note"))
+    """Every line of every document, taken for a query."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    return x.select("doc_id", long("line").alias("line"), querylang.diagnostics(c("x")).alias("note"))
 
 
 @query(
@@ -148,7 +149,7 @@ def dispatch_query(spark, d):
 
 @query("prefix_search", f"WITH {SYM} SELECT key, name FROM sym WHERE starts_with(upper(name), 'RED')")
 def prefix_search(spark, d):
-    return search.prefix_search(bare_symbols(spark, d), "red").select("key", "name")
+    return search.prefix_search(symbols(spark, d), "red").select("key", "name")
 
 
 @query("find_item", f"WITH {SYM} SELECT key, name, pos FROM sym WHERE starts_with(upper(name), 'SM') ORDER BY pos LIMIT 1")
@@ -158,7 +159,7 @@ def find_item(spark, d):
 
 @query("verbatim_filter", f"WITH {SYM} SELECT key, name FROM sym WHERE starts_with(upper(name), 'REDRING') AND length(name) = 7")
 def verbatim_filter(spark, d):
-    return search.verbatim_filter(search.prefix_search(bare_symbols(spark, d), "redring"), "redring").select("key", "name")
+    return search.verbatim_filter(search.prefix_search(symbols(spark, d), "redring"), "redring").select("key", "name")
 
 
 def _decoded(spark, d):
@@ -263,7 +264,7 @@ def weight(spark, d):
 @query("rank_symbols", f"{_DECODED} SELECT key, row_number() OVER (ORDER BY {_level('red')}, kind_rank, name, assembly_number, description, pos) AS rank FROM dec WHERE starts_with(upper(name), 'RED')")
 def rank_symbols(spark, d):
     hits = search.decode(search.prefix_search(symbols(spark, d), "red"), assemblies(spark, d)).withColumns({"core": F.lit("red"), "query_id": F.lit(0), "reading": F.lit(0)})
-    return search.ranked(hits).select("key", long("rank").alias("rank"))
+    return search.ranked_range(hits).select("key", long("rank").alias("rank"))
 
 
 @query("glyph_to_kind", "SELECT DISTINCT p_partkey % 240 AS glyph, CASE WHEN g BETWEEN 0 AND 5 THEN 'class' WHEN g BETWEEN 6 AND 11 OR g BETWEEN 24 AND 29 OR g BETWEEN 42 AND 47 THEN 'field' WHEN g BETWEEN 12 AND 17 THEN 'delegate' WHEN g BETWEEN 18 AND 23 THEN 'enum' WHEN g BETWEEN 30 AND 35 THEN 'event' WHEN g BETWEEN 48 AND 53 THEN 'interface' WHEN g BETWEEN 72 AND 83 OR g IN (220, 221, 224) THEN 'method' WHEN g BETWEEN 102 AND 107 THEN 'property' WHEN g BETWEEN 108 AND 113 THEN 'struct' WHEN g IN (195, 196, 227, 228) THEN 'file' ELSE 'symbol' END AS kind FROM (SELECT *, p_partkey % 240 AS g FROM part)")
@@ -296,7 +297,7 @@ def find_assemblies(spark, d):
 @query("find_projects", f"WITH {KEYED} SELECT proj.project_key, proj.project_path, assembly_name FROM proj JOIN keyed USING (project_key) WHERE starts_with(upper(proj.project_path), 'ASIA') ORDER BY project_key LIMIT 100")
 def find_projects(spark, d):
     keyed, projects = graph.normalize_ids(assemblies(spark, d))
-    found = search.find_projects(projects.withColumn("project_name_key", F.upper("project_path")), keyed, "asia")
+    found = search.find_projects(projects.withColumn("project_name_key", text.fold_case("project_path")), keyed, "asia")
     return found.select("project_key", "project_path", "assembly_name")
 
 
@@ -306,14 +307,14 @@ _GUIDS = "g AS (SELECT DISTINCT concat_ws('-', substring(m, 1, 8), substring(m,
 @query("find_guids", f"WITH {_GUIDS} SELECT name FROM g WHERE starts_with(upper(name), 'A') ORDER BY name LIMIT 100")
 def find_guids(spark, d):
     m = F.md5(c("doc_id").cast("string"))
-    names = table(spark, d, "documents").select(text.guid(m).alias("name")).distinct().withColumn("name_key", F.upper("name"))
+    names = table(spark, d, "documents").select(text.guid(m).alias("name")).distinct().withColumn("name_key", text.fold_case("name"))
     return search.find_guids(names, "{a").select("name")
 
 
 def _names(spark, d):
     p = table(spark, d, "part")
     kind = F.element_at(F.array(*map(F.lit, ("MSBuildProperty", "MSBuildItem", "MSBuildTarget", "MSBuildTask"))), (c("p_partkey") % 4 + 1).cast("int"))
-    return p.select(kind.alias("category"), F.concat(F.replace(c("p_name"), F.lit(" "), F.lit("_")), c("p_size").cast("string")).alias("name")).distinct().withColumn("name_key", F.upper("name"))
+    return p.select(kind.alias("category"), F.concat(F.replace(c("p_name"), F.lit(" "), F.lit("_")), c("p_size").cast("string")).alias("name")).distinct().withColumn("name_key", text.fold_case("name"))
 
 
 _NAMES = "nm AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'MSBuildProperty' WHEN 1 THEN 'MSBuildItem' WHEN 2 THEN 'MSBuildTarget' ELSE 'MSBuildTask' END AS category, concat(replace(p_name, ' ', '_'), CAST(p_size AS VARCHAR)) AS name FROM part)"
@@ -354,14 +355,18 @@ def lookup_symbol_url(spark, d):
 
 @query("usage_stats", "SELECT lower(concat('USER', user_id)) AS user_key, count(*) AS n FROM events GROUP BY ALL")
 def usage_stats(spark, d):
-    return table(spark, d, "events").groupBy(F.lower(F.concat(F.lit("USER"), c("user_id").cast("string"))).alias("user_key")).agg(F.count("*").alias("n"))
+    return search.usage(table(spark, d, "events").select(F.concat(F.lit("USER"), c("user_id").cast("string")).alias("user")))
 
 
-# Addresses that a term without hits may be looked up at are the caller's own.
-@query("affiliate_links", "SELECT p_partkey AS key, concat('https://one.example/?q=', replace(p_name, ' ', '+')) AS link FROM part UNION ALL SELECT p_partkey, concat('https://two.example/s/', replace(p_name, ' ', '+')) FROM part")
+@query("affiliate_links", f"WITH {SYM}, q AS (SELECT key, CASE WHEN key % 3 = 0 THEN lower(substring(name, 1, 5)) WHEN key % 3 = 1 THEN concat(name, 'x') ELSE concat('\"', name, '\" & ', key) END AS query FROM sym), n AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM sym WHERE starts_with(upper(name), upper(query))) AND NOT (key % 3 = 2 AND key % 2 = 0)), u AS (SELECT key, replace(replace(replace(query, '\"', '%22'), ' ', '+'), '&', '%26') AS term FROM n) SELECT key, concat('https://one.example/?q=', term) AS link FROM u UNION ALL SELECT key, concat('https://two.example/s/', term) FROM u")
 def affiliate_links(spark, d):
-    bases = F.array(F.lit("https://one.example/?q="), F.lit("https://two.example/s/"))
-    return table(spark, d, "part").select(c("p_partkey").alias("key"), F.explode(bases).alias("base"), "p_name").select("key", F.concat("base", text.url_encode(c("p_name"))).alias("link"))
+    """Terms that some name begins with have no links; of the quoted ones every second is taken to have hits."""
+    s, k = symbols(spark, d), c("key")
+    q = F.when(k % 3 == 0, F.lower(F.substring("name", 1, 5))).when(k % 3 == 1, F.concat("name", F.lit("x"))).otherwise(F.concat(F.lit('"'), "name", F.lit('" & '), k.cast("string")))
+    asked_ = s.select(k.alias("query_id"), q.alias("query"))
+    ranges = positions.bounds(s, asked_.select(c("query").alias("word"))).where("high >= low").select(c("word").alias("query"))
+    found = asked_.join(ranges, "query").select("query_id").unionByName(asked_.where("query_id % 6 = 2").select("query_id"))
+    return search.no_hit_links(asked_, found, ("https://one.example/?q=", "https://two.example/s/")).select(c("query_id").alias("key"), "link")
 
 
 @query("top_k", f"WITH {SYM} SELECT key FROM sym WHERE starts_with(upper(name), 'SMALL') ORDER BY pos LIMIT 100")

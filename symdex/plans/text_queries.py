@@ -113,10 +113,10 @@ def line_number(spark, d):
     return _docs(spark, d).select("doc_id", long(text.line_number(c("text"), at)).alias("line"))
 
 
-@query("line_from_position", "WITH p AS (SELECT doc_id, length(text) * 3 // 4 AS k, text FROM documents WHERE text <> ''), q AS (SELECT doc_id, k, string_split(substring(text, 1, k), chr(10))[-1] AS l, string_split(substring(text, k + 1), chr(10))[1] AS r FROM p) SELECT doc_id, CAST(k - length(l) AS BIGINT) AS start, CAST(length(l) + length(r) AS BIGINT) AS length FROM q")
+@query("line_from_position", "WITH p AS (SELECT doc_id, length(text) * 3 // 4 AS k, text FROM documents), q AS (SELECT doc_id, k, string_split(substring(text, 1, k), chr(10))[-1] AS l, string_split(substring(text, k + 1), chr(10))[1] AS r FROM p) SELECT doc_id, CAST(k - length(l) AS BIGINT) AS start, CAST(length(l) + length(r) AS BIGINT) AS length FROM q")
 def line_from_position(spark, d):
     at = F.floor(F.length("text") * 3 / 4).cast("int")
-    x = _docs(spark, d).where("text <> ''").select("doc_id", text.line_from_position(c("text"), at).alias("l"))
+    x = _docs(spark, d).select("doc_id", text.line_from_position(c("text"), at).alias("l"))
     return x.select("doc_id", long("l.start").alias("start"), long("l.length").alias("length"))
 
 
@@ -466,21 +466,25 @@ def plugin_registry(spark, d):
     return _docs(spark, d).select("doc_id", F.call_function("mark", c("text"), c("doc_id").cast("string"), F.lit(1)).alias("x"))
 
 
-@query("plugin_config_group", "SELECT concat('plugin', p_size) AS plugin, string_agg(concat(p_name, '=', v), '|' ORDER BY p_name) AS settings FROM (SELECT p_size, p_name, max(p_brand) AS v FROM part GROUP BY ALL) GROUP BY p_size")
+@query("plugin_config_group", "SELECT concat('plugin', p_size) AS plugin, string_agg(concat(p_name, '=', v), '|' ORDER BY p_name) AS settings FROM (SELECT p_size, p_name, max_by(concat(p_brand, CASE WHEN p_partkey % 3 = 0 THEN '=x:y' ELSE '' END), p_partkey) AS v FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL) GROUP BY p_size")
 def plugin_config_group(spark, d):
-    s = table(spark, d, "part").groupBy("p_size", "p_name").agg(F.max("p_brand").alias("v"))
-    g = s.groupBy("p_size").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p_name", "v")))).alias("m"))
-    joined = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-    return g.select(F.concat(F.lit("plugin"), c("p_size").cast("string")).alias("plugin"), joined.alias("settings"))
+    """Settings that come again, hold the signs that divide them, or have no plugin."""
+    k = c("p_partkey")
+    value = F.concat(F.when(k % 5 != 0, F.concat(F.lit("plugin"), c("p_size").cast("string"), F.lit(":"))).otherwise(""), "p_name", F.lit("="), "p_brand", F.when((k % 3 == 0) & (k % 5 != 0), "=x:y").otherwise(""))
+    g = plugins.config_groups(table(spark, d, "part").select(k.alias("seq"), value.alias("value")))
+    return g.select("plugin", F.array_join(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("settings"))
 
 
-@query("sniff_pe", "SELECT p_partkey AS k, p_partkey % 2 = 0 AS managed FROM part")
+@query("sniff_pe", "SELECT p_partkey AS k, p_partkey % 4 < 2 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AS managed FROM part")
 def sniff_pe(spark, d):
-    def image(header: str):
-        pe = "50450000" + "00" * 20 + "0B01" + "00" * 94 + "00" * 112 + header + "00" * 4
-        return F.unhex(F.lit("4D5A" + "00" * 58 + "80000000" + "00" * 64 + pe))
-
-    return table(spark, d, "part").select(c("p_partkey").alias("k"), legacy.is_managed(F.when(c("p_partkey") % 2 == 0, image("00200000")).otherwise(image("00000000"))).alias("managed"))
+    """Images for 32 and 64 bits whose header lies at different places, with and without a runtime header; some are cut short or aren't images."""
+    k = c("p_partkey")
+    gap = (k % 50 + 64).cast("int")
+    start = F.concat(F.when(k % 7 == 0, "4D5B").otherwise("4D5A"), F.lit("00" * 58), F.lpad(F.hex(gap + 64), 2, "0"), F.lit("000000"), F.repeat(F.lit("00"), gap))
+    wide = k % 2 == 0
+    header = F.concat(F.lit("50450000" + "00" * 20), F.when(wide, "0B02").otherwise("0B01"), F.repeat(F.lit("00"), F.when(wide, 110).otherwise(94)), F.lit("00" * 112), F.when(k % 4 < 2, "00200000").otherwise("00000000"), F.lit("00" * 4))
+    image = F.when(k % 11 == 0, start).when(k % 13 == 0, F.concat(start, F.lit("50450000"))).otherwise(F.concat(start, header))
+    return table(spark, d, "part").select(k.alias("k"), legacy.is_managed(F.unhex(image)).alias("managed"))
 
 
 @query("scan_symbol_index", "SELECT p_partkey % 7 AS assembly_number, p_name AS name, substring(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS symbol_id, p_type AS description, CAST(p_size AS BIGINT) AS glyph FROM part")

@@ -141,3 +141,28 @@ def assembly_names(files: DataFrame) -> DataFrame:
     out = out.withColumn("property", F.when(~image & c("pattern").isNull() & c("element").isNull(), value))
     way = F.when(c("pattern").isNotNull(), "pattern").when(c("element").isNotNull(), "element").when(c("property").isNotNull(), "property").otherwise("file")
     return out.select("file", F.coalesce("pattern", "element", "property", "stem").alias("name"), way.alias("way"))
+
+
+# Types of items whose files are indexed.
+ITEMS = ("Resource", "Page", "EmbeddedResource", "TypeScriptCompile")
+
+
+def project_items(nodes: DataFrame) -> DataFrame:
+    """(file, item_type, include) of the items of build files whose files are indexed.  nodes: rows of ``xml_nodes``."""
+    c = F.col
+    own = nodes.where((c("kind") == "element") & (c("parent") == "ItemGroup") & c("element").isin(*ITEMS))
+    return own.select("file", c("element").alias("item_type"), c("attributes")["Include"].alias("include")).where("include <> ''")
+
+
+def scan_solution_xml(nodes: DataFrame) -> DataFrame:
+    """(file, path) of the projects that solutions in XML list, in folders or not.  nodes: rows of ``xml_nodes``."""
+    c = F.col
+    own = nodes.where((c("kind") == "element") & (c("element") == "Project") & c("parent").isin("Solution", "Folder"))
+    return own.select("file", c("attributes")["Path"].alias("path")).where("path <> ''")
+
+
+def member_comments(parts: DataFrame) -> DataFrame:
+    """(file, member, xml): the documentation of each member, of several the last.  parts: file, place (order of the parts of a file), text."""
+    found = F.regexp_extract_all("text", F.lit(r'(?s)<member\s+name="[^"]*"[^>]*>.*?</member>'), F.lit(0))
+    each = parts.select("file", "place", F.posexplode(found).alias("i", "xml")).withColumn("member", F.regexp_extract("xml", r'name="([^"]*)"', 1))
+    return each.groupBy("file", "member").agg(F.max_by("xml", F.struct("place", "i")).alias("xml"))

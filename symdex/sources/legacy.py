@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symdex.functions.text import escape_semicolons
+from symdex.functions.text import escape_semicolons, fold_case
 
 from .storage import file_system
 
@@ -164,13 +164,13 @@ def parse_names(rows: DataFrame) -> DataFrame:
 
 def federation(rows: DataFrame, servers: DataFrame) -> DataFrame:
     """(server, assembly_key) from lists of assemblies; servers: file, server."""
-    return parse_names(rows).join(servers, "file").select("server", F.upper("name").alias("assembly_key")).distinct()
+    return parse_names(rows).join(servers, "file").select("server", fold_case("name").alias("assembly_key")).distinct()
 
 
 def pending(names: DataFrame, processed: DataFrame) -> DataFrame:
     """Names that aren't processed yet, whatever the case."""
-    done = processed.select(F.upper("name").alias("k")).distinct()
-    return names.join(done, F.upper("name") == F.col("k"), "left_anti")
+    done = processed.select(fold_case("name").alias("k")).distinct()
+    return names.join(done, fold_case("name") == F.col("k"), "left_anti")
 
 
 def parse_invocations(rows: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def pending_invocations(invocations: DataFrame, processed: DataFrame) -> DataFra
 
 def names_of(refs: DataFrame, assembly: str) -> DataFrame:
     """Names in the list that a pseudo assembly stands for."""
-    return refs.where(F.col("to_assembly") == assembly).select(F.col("to_symbol").alias("name")).distinct().withColumn("name_key", F.upper("name"))
+    return refs.where(F.col("to_assembly") == assembly).select(F.col("to_symbol").alias("name")).distinct().withColumn("name_key", fold_case("name"))
 
 
 def write_index(symbols: DataFrame, path: str) -> bool:
