@@ -43,6 +43,10 @@ MARKS = (
     | XML_LITERALS
 )
 UNKNOWN = "unknownClassification"
+# How a span's class is taken, by the class and for words that may stand for a symbol; and the class that a symbol's kind adds.
+WORDS_FOR_SYMBOLS = ("this", "base", "var", "New", "new", "[", "partial", "Partial")
+CLASS_RULES = (("punctuation", "none", "none"), ("s", "own", "own"), (UNKNOWN, "own", "own"), ("k", "own", "own"), ("i", "symbol", "symbol"), ("t", "symbol", "symbol"))
+KIND_CLASSES = {"Namespace": "n", "Field": "field", "Property": "property", "Method": "method", "Constructor": "constructor", "Alias": "t", "NamedType": "t"}
 # Keywords that stay apart.
 APART = ("this", "base", "var", "New", "new", "Partial", "partial")
 
@@ -155,3 +159,40 @@ def local_ids(occurrences: DataFrame) -> DataFrame:
 
 def highlight_class(locals_: DataFrame) -> DataFrame:
     return locals_.withColumn("css", F.format_string("r%d r", F.col("local_id")))
+
+
+def css_classes(spans: DataFrame) -> DataFrame:
+    """spans with ``css``: the class of each, and behind it that of the symbol it stands for.
+
+    spans: class, text, kind (of the symbol, null for none) and more.  Which spans stand for symbols is a relation by class (``CLASS_RULES``, by default
+    a class holds but for a few words), what a symbol adds is one by kind; both are joined.  Spans without a class, and punctuation, have none.
+    """
+    c, spark = F.col, spans.sparkSession
+    rules = spark.createDataFrame([*CLASS_RULES], "__class string, __plain string, __word string")
+    kinds = spark.createDataFrame([*KIND_CLASSES.items()], "__kind string, __adds string")
+    out = spans.join(F.broadcast(rules), c("class") == c("__class"), "left").join(F.broadcast(kinds), c("kind") == c("__kind"), "left")
+    rule = F.when(c("text").isin(*WORDS_FOR_SYMBOLS), F.coalesce("__word", F.lit("symbol"))).otherwise(F.coalesce("__plain", F.lit("own")))
+    own = F.when((c("text") == "this") & (c("kind") == "Parameter"), "own").otherwise(rule)
+    css = F.when(c("class").isNull() | (rule == "none"), None).when(own == "symbol", F.concat_ws(" ", F.nullif("class", F.lit("")), "__adds")).otherwise(c("class"))
+    return out.withColumn("css", css).drop("__class", "__plain", "__word", "__kind", "__adds")
+
+
+def html_chunks(pieces: DataFrame, documents: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """(doc, chunk, html): pages of texts with their spans marked, in chunks of ``chunk`` letters of text, so that no page is ever one value.
+
+    pieces: doc, start, length, class, without gaps or overlaps; documents: doc, text.  A span that goes on in the next chunk is opened in its first and closed
+    in its last, so the chunks of a text, one after the other, are its page.  An empty text has no chunk.
+    """
+    from symdex.functions.text import html_escape
+
+    c = F.col
+    last = F.greatest(F.floor((F.length("text") - 1) / chunk), F.lit(0))
+    texts = documents.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("doc", "chunk", F.substring(c("text"), (c("chunk") * chunk + 1).cast("int"), F.lit(chunk)).alias("body"))
+    own = pieces.where("length > 0").withColumn("end", c("start") + c("length"))
+    own = own.withColumn("chunk", F.explode(F.sequence(F.floor(c("start") / chunk), F.floor((c("end") - 1) / chunk))))
+    low, high = F.greatest("start", c("chunk") * chunk), F.least("end", (c("chunk") + 1) * chunk)
+    parts = own.select("doc", "chunk", low.alias("low"), high.alias("high"), "class", (low == c("start")).alias("opens"), (high == c("end")).alias("closes"))
+    body = html_escape(F.substring(c("body"), (c("low") - c("chunk") * chunk + 1).cast("int"), (c("high") - c("low")).cast("int")))
+    marked = lambda when, mark: F.when(c("class").isNotNull() & c(when), mark).otherwise("")
+    each = parts.join(texts, ["doc", "chunk"]).select("doc", "chunk", "low", F.concat(marked("opens", F.concat(F.lit('<span class="'), "class", F.lit('">'))), body, marked("closes", F.lit("</span>"))).alias("html"))
+    return each.groupBy("doc", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "html"))), lambda x: x["html"]), "").alias("html"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symdex.functions import ids, paths as pt, symbols as sy, text
 from symdex.operators import graph, numbering, references as rf, trees
-from symdex.sources import buildfiles, legacy, storage
+from symdex.sources import buildfiles, federation, legacy, storage
 
 from .binding import ASM, EDGES, KEYED, LOCS, REFS, SQL, SYM, assemblies, bare_symbols, edges, keyed_assemblies, locations, long, query, references, symbols, table
 
@@ -139,9 +139,18 @@ def _federation(spark, d):
 _FED = "fed AS (SELECT DISTINCT server, upper(name) AS assembly_key FROM (SELECT s_suppkey % 3 AS server, s_name AS name FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 2, s_name FROM supplier WHERE s_suppkey % 8 = 1))"
 
 
-@query("scan_federation", f"WITH {_FED} SELECT CAST(server AS BIGINT) AS server, assembly_key FROM fed")
+@query("scan_federation", f"WITH {_FED} SELECT CAST(server AS BIGINT) AS server, assembly_key, false AS missing FROM fed UNION ALL SELECT 3, NULL, true")
 def scan_federation(spark, d):
-    return _federation(spark, d).select(long("server").alias("server"), "assembly_key")
+    """The lists of three servers, written and read by address, and a fourth server that isn't there."""
+    s, root = table(spark, d, "supplier"), storage.fresh(spark, "servers")
+    for n in range(3):
+        own = s.where(f"s_suppkey % 4 <> 0 and s_suppkey % 3 = {n}").select(F.concat("s_name", F.lit(";1;2")).alias("value"))
+        if n == 2:
+            own = own.unionByName(s.where("s_suppkey % 8 = 1").select(F.concat(F.lower("s_name"), F.lit(";1")).alias("value")))
+        legacy.write_lines(own, f"{root}/{n}")
+    found = federation.scan(spark, [f"{root}/{n}" for n in range(4)])
+    notes = found.where("note is not null").select(long("server").alias("server"), F.lit(None).cast("string").alias("assembly_key"), F.lit(True).alias("missing"))
+    return federation.keys(found).select(long("server").alias("server"), "assembly_key", F.lit(False).alias("missing")).unionByName(notes)
 
 
 @query("sink_project_map", f"WITH {KEYED} SELECT assembly_name, project_key, project_path FROM keyed")
@@ -290,10 +299,18 @@ def referenced_name(spark, d):
     return rf.referenced_name(references(spark, d))
 
 
-@query("merge_occurrences", "SELECT doc_id, concat(substring(t, 1, 3), CASE WHEN length(t) > 3 THEN concat('<i>', substring(t, 4, 4), '</i>') ELSE '' END, substring(t, 8, 5), CASE WHEN length(t) > 12 THEN concat('<i>', substring(t, 13, 3), '</i>') ELSE '' END, substring(t, 16)) AS line FROM (SELECT doc_id, text AS t FROM documents)")
+@query("merge_occurrences", "SELECT conv_id, turn, regexp_replace(text, '([a-z]+)', '<i>\\1</i>', 'g') AS line FROM conversations")
 def merge_occurrences(spark, d):
-    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
-    return table(spark, d, "documents").select("doc_id", rf.merge_occurrences(c("text"), F.array(span(12, 15), span(3, 7))).alias("line"))
+    """Every run of small letters in every text is an occurrence."""
+    from pyspark.sql import Window
+
+    texts = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    words, between = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), F.split("text", "[a-z]+")
+    pairs = F.zip_with(words, F.slice(between, F.lit(1), F.size(words)), lambda w, g: F.struct(F.length(w).alias("n"), F.length(g).alias("gap")))
+    each = texts.select("*", F.posexplode_outer(pairs).alias("i", "x")).select("conv_id", "turn", "text", "i", "x.*")
+    end = F.sum(c("gap") + c("n")).over(Window.partitionBy("conv_id", "turn").orderBy("i")).cast("int")
+    spans = each.withColumn("end", end).groupBy("conv_id", "turn", "text").agg(F.collect_list(F.when(c("n").isNotNull(), F.struct((c("end") - c("n")).alias("start"), "end"))).alias("spans"))
+    return spans.select("conv_id", "turn", rf.merge_occurrences(c("text"), c("spans")).alias("line"))
 
 
 @query("referencing_count", f"WITH {EDGES} SELECT to_assembly AS assembly, count(*) AS n FROM edges GROUP BY to_assembly")

@@ -108,6 +108,15 @@ def scan_sln(spark, d):
     return buildfiles.scan_solution(lines)
 
 
+@query("scan_slnx", "SELECT p_partkey AS file, concat('src/', p_name, '.csproj') AS path FROM part UNION ALL SELECT p_partkey, concat('test/', p_type, '.vbproj') FROM part WHERE p_partkey % 3 <> 0")
+def scan_slnx(spark, d):
+    """A solution in XML for each part, with a project in a folder and one outside; the dependencies of a project aren't projects."""
+    k = c("p_partkey")
+    xml = _text("'<Solution><Folder Name=\"/src/\"><Project Path=\"src/", c("p_name"), "'.csproj\"><BuildDependency Project=\"x\"/><Project Path=\"inner\"/></Project><File Path=\"a.txt\"/></Folder>", F.when(k % 3 != 0, _text("'<Project Path=\"test/", c("p_type"), "'.vbproj\"/>")).otherwise("<Project/>"), "'</Solution>")
+    nodes = buildfiles.xml_nodes(table(spark, d, "part").select(k.cast("string").alias("file"), xml.alias("text")))
+    return buildfiles.scan_solution_xml(nodes).select(long("file").alias("file"), "path")
+
+
 @query("scan_list_file", "SELECT concat(p_name, '.csproj') AS value FROM part WHERE p_partkey % 3 <> 0")
 def scan_list_file(spark, d):
     v = _text(c("p_name"), "'.csproj")
@@ -139,11 +148,29 @@ def ts_refs(spark, d):
     return fe.script_references(_ranges(spark, d)).select("file", "seq", "to_symbol", "to_name", "line", "line_text", long("col_start").alias("col_start"), long("col_end").alias("col_end"))
 
 
-@query("xml_pipeline", "SELECT page_id AS doc, concat('<span class=\"xd\">&lt;</span><span class=\"xn\">p</span>', replace(replace(replace(replace(replace(substring(html, 3), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS html FROM (SELECT page_id, concat('<p', html) AS html FROM pages)")
+_MARKED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+_TAG = "<[^<>]*>"
+_SPAN = "CASE WHEN {1} = '' THEN '' ELSE concat('<span class=', chr(34), '{0}', chr(34), '>', {2}, '</span>') END"
+
+
+def _span(mark: str, part: str) -> str:
+    return _SPAN.format(mark, part, _MARKED.format(part))
+
+
+@query("xml_pipeline", rf"WITH p AS (SELECT page_id AS doc, regexp_extract_all(html, '{_TAG}') AS m, string_split_regex(html, '{_TAG}') AS g FROM pages), t AS (SELECT doc, unnest(range(len(g))) AS i, unnest(g) AS gap, unnest(list_concat(m, [NULL])) AS tag FROM p), x AS (SELECT doc, i, gap, tag, regexp_extract(tag, '^</?') AS a, regexp_extract(tag, '^</?([^ \t\r\n/<>]*)', 1) AS b FROM t), y AS (SELECT *, substring(tag, length(a) + length(b) + 1, length(tag) - length(a) - length(b) - 1) AS r, '>' AS z FROM x) SELECT doc, string_agg(concat({_MARKED.format('gap')}, CASE WHEN tag IS NULL THEN '' ELSE concat({_span('xd', 'a')}, {_span('xn', 'b')}, {_span('xav', 'r')}, {_span('xd', 'z')}) END), '' ORDER BY i) AS html FROM y GROUP BY doc")
 def xml_pipeline(spark, d):
-    docs = table(spark, d, "pages").select(c("page_id").alias("doc"), _text("'<p", c("html")).alias("text"))
-    span = lambda seq, start, kind: F.struct(F.lit(seq).alias("seq"), F.lit(start).alias("start"), F.lit(1).alias("length"), F.lit(kind).alias("class"))
-    spans = docs.select("doc", F.explode(F.array(span(0, 0, "XmlDelimiter"), span(1, 1, "XmlName"))).alias("s")).select("doc", "s.*")
+    """Every tag of every page: its signs, its name and what else it holds; the text between tags are the gaps."""
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "pages").select(c("page_id").alias("doc"), F.coalesce("html", F.lit("")).alias("text"))
+    tags, gaps = F.regexp_extract_all("text", F.lit(_TAG), F.lit(0)), F.split("text", _TAG)
+    each = docs.select("doc", F.posexplode(F.zip_with(tags, F.slice(gaps, F.lit(1), F.size(tags)), lambda t, g: F.struct(t.alias("tag"), F.length(g).alias("gap")))).alias("i", "x")).select("doc", "i", "x.*")
+    n = F.length("tag").cast("long")
+    each = each.withColumn("start", F.sum(c("gap") + n).over(Window.partitionBy("doc").orderBy("i")) - n)
+    sign, name = F.length(F.regexp_extract("tag", "^</?", 0)), F.length(F.regexp_extract("tag", r"^</?([^ \t\r\n/<>]*)", 1))
+    part = lambda k, at, size, kind: F.struct((c("i") * 4 + k).cast("long").alias("seq"), (c("start") + at).cast("long").alias("start"), size.cast("long").alias("length"), F.lit(kind).alias("class"))
+    parts = F.array(part(0, F.lit(0), sign, "XmlDelimiter"), part(1, sign, name, "XmlName"), part(2, sign + name, n - sign - name - 1, "XmlAttributeValue"), part(3, n - 1, F.lit(1), "XmlDelimiter"))
+    spans = each.select("doc", F.explode(F.filter(parts, lambda p: p["length"] > 0)).alias("s")).select("doc", "s.*")
     return fe.xml_pages(spans, docs)
 
 

@@ -427,6 +427,37 @@ def highlight_spans(spark, d):
     return sp.highlight_class(local_ids(spark, d)).select("doc", "symbol", "css")
 
 
+_KIND_OF = "CASE (start + doc) % 10 WHEN 0 THEN 'Namespace' WHEN 1 THEN 'Field' WHEN 2 THEN 'Property' WHEN 3 THEN 'Method' WHEN 4 THEN 'Constructor' WHEN 5 THEN 'NamedType' WHEN 6 THEN 'Alias' WHEN 7 THEN 'Parameter' WHEN 8 THEN 'Local' END"
+_CLASS_OF = "CASE (start // 2 + seq) % 9 WHEN 0 THEN 'i' WHEN 1 THEN 't' WHEN 2 THEN 'k' WHEN 3 THEN 's' WHEN 4 THEN 'punctuation' WHEN 5 THEN 'c' WHEN 6 THEN 'unknownClassification' WHEN 7 THEN 'prep' END"
+
+
+@query("css_class", f"WITH {_WORDS}, x AS (SELECT doc, seq, text, {_CLASS_OF} AS class, {_KIND_OF} AS kind FROM sp), y AS (SELECT *, CASE WHEN kind IN ('NamedType', 'Alias') THEN 't' WHEN kind = 'Namespace' THEN 'n' WHEN kind IN ('Field', 'Property', 'Method', 'Constructor') THEN lower(kind) END AS adds, class IN ('i', 't') OR (text IN ('this', 'base', 'var', 'new', 'New', 'partial', 'Partial', '[') AND class IN ('c', 'prep')) AS bound FROM x) SELECT doc, seq, CASE WHEN class = 'punctuation' THEN NULL WHEN bound AND NOT (text = 'this' AND kind IS NOT DISTINCT FROM 'Parameter') AND adds IS NOT NULL THEN concat(class, ' ', adds) ELSE class END AS css FROM y")
+def css_class(spark, d):
+    """All pairs of classes and kinds, over the words of conversations."""
+    def of(k, *values):
+        return F.get(F.array(*map(F.lit, values)), k.cast("int"))
+
+    kind = of((c("start") + c("doc")) % 10, "Namespace", "Field", "Property", "Method", "Constructor", "NamedType", "Alias", "Parameter", "Local", None)
+    mark = of((F.floor(c("start") / 2) + c("seq")) % 9, "i", "t", "k", "s", "punctuation", "c", "unknownClassification", "prep", None)
+    return sp.css_classes(_words(spark, d)[0].withColumns({"class": mark, "kind": kind})).select("doc", "seq", "css")
+
+
+_ESC = "replace(replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;'), chr(10) || chr(13), chr(10) || ' ' || chr(13))"
+_PREPARED = f"{_BOTH}, {_SPLIT.format(s='bo')}, fd AS (SELECT doc, start, list(struct_pack(length := length, class := class, semantic := semantic AND pieces = 1) ORDER BY seq, piece) AS run FROM pc GROUP BY doc, start), rs AS (SELECT doc, 0 AS seq, start, x.length AS length, x.class AS class FROM (SELECT doc, start, list_reduce(run, lambda a, b: {_FOLD}) AS x FROM fd)), {_GAPS.format(s='rs')}"
+
+
+@query("sink_html", f"WITH {_WORDS.replace('length(t) + 9', 'length(t)')}, {_PREPARED}, tx AS (SELECT doc, class, start, {_ESC.format('substring(t, start + 1, length)')} AS body FROM ga JOIN wd USING (doc)) SELECT doc, string_agg(CASE WHEN class IS NULL THEN body ELSE concat('<span class=', chr(34), class, chr(34), '>', body, '</span>') END, '' ORDER BY start) AS html FROM tx GROUP BY doc")
+def sink_html(spark, d):
+    """Pages of conversations in chunks of 100 letters, written and read again, each text's chunks one after the other."""
+    spans, docs = _words(spark, d)
+    ranges = sp.prepare_ranges(spans, spans.where("class = 'class name'").withColumn("class", F.lit("type")), docs.withColumn("n", c("n") - 9))
+    texts = table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    path = storage.fresh(spark, "pages")
+    sp.html_chunks(ranges, texts, 100).repartitionByRange("doc", "chunk").sortWithinPartitions("doc", "chunk").write.parquet(path)
+    back = spark.read.parquet(path)
+    return back.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "html"))), lambda x: x["html"]), "").alias("html"))
+
+
 # --- plugins and formats: checked by rows and by tests
 
 

@@ -152,3 +152,82 @@ def test_ranges_of_two_analyses(spark):
     assert [(r["start"], r["length"]) for r in got] == [(0, 2), (2, 3), (5, 1), (6, 2), (8, 4)]
     nested = spans.prepare_ranges(of([(0, 6, "outer"), (1, 2, "comment"), (0, 3, "first")]), of([(4, 4, "later"), (9, 1, "own")]), doc).orderBy("start").collect()
     assert [(r["start"], r["length"], r["class"]) for r in nested] == [(0, 1, "first"), (1, 2, "first"), (3, 1, "outer"), (4, 2, "later"), (6, 2, "later"), (8, 1, None), (9, 1, "own"), (10, 2, None)]
+
+
+def test_chunks_of_pages(spark):
+    rng = random.Random(9)
+    texts, pieces = [], []
+    for doc in range(12):
+        text = "".join(rng.choice("ab<>&\"'\n é\U0001f600") for _ in range(rng.choice([1, 5, 16, 17, 60])))
+        texts.append((doc, text))
+        at = 0
+        while at < len(text):
+            n = min(rng.randint(1, 40), len(text) - at)
+            pieces.append((doc, at, n, rng.choice([None, "k", "t"])))
+            at += n
+    texts.append((99, ""))
+
+    def escaped(t):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+            t = t.replace(a, b)
+        return t
+
+    body = dict(texts)
+    want = {d: "".join((f'<span class="{k}">' if k else "") + escaped(body[d][s : s + n]) + ("</span>" if k else "") for e, s, n, k in pieces if e == d) for d, _ in texts if d != 99}
+    rows = spans.html_chunks(spark.createDataFrame(pieces, "doc int, start int, length int, class string"), spark.createDataFrame(texts, "doc int, text string"), 16).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc"], r["chunk"])):
+        got[r["doc"]] = got.get(r["doc"], "") + r["html"]
+    assert got == want and len(rows) > len(texts)
+
+
+def test_classes_of_symbols(spark):
+    rows = [("i", "x", "Method"), ("t", "x", None), ("k", "this", "NamedType"), (None, "x", "Field"), ("punctuation", "this", "Parameter"), ("c", "new", "Constructor"), ("c", "x", "Constructor"), ("s", "base", "Field"), ("c", "this", "Parameter"), ("i", "x", "Label"), ("", "var", "Alias")]
+    got = [r["css"] for r in spans.css_classes(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, class string, text string, kind string")).orderBy("n").collect()]
+    assert got == ["i method", "t", "k", None, None, "c constructor", "c", "s", "c", "i", "t"]
+
+
+def test_lists_of_servers(spark, tmp_path):
+    import http.server
+    import threading
+
+    from symdex.sources import federation
+
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "Assemblies.txt").write_text("﻿One;1;2\r\nTWO;3\r\n\r\nstraße\r\n", encoding="utf-8")
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "part-1").write_text("b\n")
+    (tmp_path / "parts" / "part-0").write_text("a;0\nA;1\n")
+    handler = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None, "__init__": lambda self, *a, **k: http.server.SimpleHTTPRequestHandler.__init__(self, *a, directory=str(tmp_path / "web"), **k)})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        found = federation.scan(spark, [base, str(tmp_path / "parts"), f"{base}/none", str(tmp_path / "nowhere"), f"file://{tmp_path}/web/Assemblies.txt"]).cache()
+        assert sorted((r["server"], r["assembly_key"]) for r in federation.keys(found).collect()) == [(0, "ONE"), (0, "STRAßE"), (0, "TWO"), (1, "A"), (1, "B"), (4, "ONE"), (4, "STRAßE"), (4, "TWO")]
+        assert sorted(r["server"] for r in found.where("note is not null").collect()) == [2, 3]
+    finally:
+        server.shutdown()
+    assert federation.scan(spark, []).count() == 0
+
+
+def test_case_is_folded_letter_by_letter(spark):
+    from symdex.functions import text
+
+    words = ["straße", "ﬁx", "Ärger", "ıſ", "ǆ", "ΣΑΣς", "\U00010428", "x1_"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.fold_case("w")).collect()]
+    assert got == [text.folded(w) for w in words] == ["STRAßE", "ﬁX", "ÄRGER", "ıſ", "Ǆ", "ΣΑΣΣ", "\U00010400", "X1_"]
+
+
+def test_settings_and_documentation(spark):
+    from symdex.operators import graph, plugins
+
+    lines = ["a:x=1", "a:x=2", "a:y=p:q=r", "b:only", "none", ":k=v"]
+    got = {r["plugin"]: r["settings"] for r in plugins.config_groups(spark.createDataFrame(list(enumerate(lines)), "seq int, value string")).collect()}
+    assert got == {"a": {"x": "2", "y": "p:q=r"}, "b": {"only": ""}, "": {"k": "v"}}
+    parts = [(1, 0, '<doc><member name="M:a">first</member>\n<member\nname="T:b" x="1"><p/></member>'), (1, 1, '<member name="M:a">second</member></doc>'), (2, 0, None), (2, 1, "<member>")]
+    comments = buildfiles.member_comments(spark.createDataFrame(parts, "file int, place int, text string")).collect()
+    assert {(r["file"], r["member"]): r["xml"].split(">")[1].split("<")[0] for r in comments} == {(1, "M:a"): "second", (1, "T:b"): ""}
+    pages = ["MSBuildFiles\\a\\x.targets.html", "TypeScriptFiles\\y.ts.HTML", "Acme\\z.cs.html", "MSBuildFiles\\a\\x.txt", "MSBuildFiles", "TypeScriptFiles\\"]
+    loose = graph.loose_files(spark.createDataFrame([(p,) for p in pages], "path string")).collect()
+    assert sorted(map(tuple, loose)) == [("MSBuildFiles", "x.targets", "MSBuildFiles\\a\\x.targets"), ("TypeScriptFiles", "y.ts", "TypeScriptFiles\\y.ts")]
