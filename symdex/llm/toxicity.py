@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and word beginnings of 4 to 8 bytes, lower-cased and hashed to 64 bits; inflected words so share terms.  The features of
-the classifier are all terms that go with toxicity in a bounded sample of labelled documents (likelihood ratio); their document frequencies
-come from all documents.  Sampled examples that hold any of these terms form the index: postings by term,
+the classifier are all terms that go with either label in a bounded sample of labelled documents (likelihood ratio): texts are compared by what they hold of
+these, and the cosine is exact over them.  Their document frequencies come from all documents.  Sampled examples that hold any of these terms form the index: postings by term,
 in blocks of ``BLOCK`` examples, each with the largest weight in the block.  A query visits blocks in order of their upper
 bound and stops when no block can reach the k-th similarity found.  The similarity-weighted vote of the ``NEIGHBOURS``
 nearest examples is calibrated by a logistic curve, fitted on votes for the part of the sample that had no say in the choice of terms,
@@ -27,8 +27,8 @@ from .tokens import Words, mix, powers, prefix_sums, signed, words_of
 SAMPLE = (6_000, 18_000)
 #: One in so many of these calibrates the votes; the others choose the terms.
 CALIBRATING = 4
-#: A term is in this many toxic examples at least, and its likelihood ratio is one that chance exceeds once in 1000 terms.
-LEAST_EXAMPLES, LEAST_RATIO = 4, 10.83 / 2
+#: A term is in this many examples at least, its odds of a label are this many times those of all examples, and its likelihood ratio is one that chance exceeds once in 1000 terms.
+LEAST_EXAMPLES, LEAST_ODDS, LEAST_RATIO = 4, 3, 10.83 / 2
 NEIGHBOURS = 15
 BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -92,7 +92,7 @@ def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def choose_terms(examples: DataFrame) -> np.ndarray:
-    """Hashes of all terms that go with toxicity; they come to the driver, bounded by the words of the sample."""
+    """Hashes of all terms that go with one of the labels; they come to the driver, bounded by the words of the sample."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         toxic = np.asarray(batch.column("toxic"), np.int64)
@@ -116,7 +116,7 @@ def choose_terms(examples: DataFrame) -> np.ndarray:
     df = arrow_map(examples, each, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     t, c = F.col("t"), F.col("n") - F.col("t")
     part = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
-    df = df.where(t >= min(LEAST_EXAMPLES, max(2, int(a // 8)))).where(t * b > 3 * c * a)
+    df = df.where(F.col("n") >= min(LEAST_EXAMPLES, max(2, int(a // 8)))).where((t * b > LEAST_ODDS * c * a) | (c * a > LEAST_ODDS * t * b))
     best = df.where(part(t, a / (a + b)) + part(c, b / (a + b)) >= LEAST_RATIO)
     return np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64)
 

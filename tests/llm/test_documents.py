@@ -460,6 +460,67 @@ def test_toxicity_like_brute_force(spark):
         assert [r["cosine"] for r in got[i]["neighbours"]] == pytest.approx([s for s, _ in near], abs=1e-6)
 
 
+def test_toxicity_from_labels_to_scores_by_plain_python(spark):
+    """Choice of terms, frequencies, votes and curve computed anew; from the library only the constants."""
+    rng = random.Random(15)
+    plain, bad, good = [f"w{i}word" for i in range(60)], ["grobword", "grobling", "nastyish"], ["kindly", "kindness", "please"]
+    rows, toxic = [], {}
+    for i in range(400):
+        toxic[i] = int(rng.random() < 0.4)
+        w = [rng.choice(plain) for _ in range(rng.randint(1, 25))]
+        w += [rng.choice(bad if toxic[i] else good) for _ in range(rng.randint(0, 3))] + [rng.choice(bad + good) for _ in range(rng.random() < 0.1)]
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, "kindly grobword")]
+    given = {i: t for i, t in toxic.items() if i % 7}
+    got = {r["doc_id"]: r["score"] for r in toxicity.report(documents(spark, rows), spark.createDataFrame(list(given.items()), "doc_id long, toxic int")).collect()}
+
+    learned = [i for i in given if zlib.crc32(str(i).encode()) % 5]
+    ids = spark.createDataFrame([(i,) for i in learned], "id long")
+    calibrates = {r["id"]: r["c"] == 0 for r in ids.select("id", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(toxicity.CALIBRATING)).alias("c")).collect()}
+
+    def all_terms(text):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        return [x for w in words for x in (w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) > n))]
+
+    own = {i: all_terms(t) for i, t in rows}
+    choosing = [i for i in learned if not calibrates[i]]
+    a, b = sum(given[i] for i in choosing), sum(1 - given[i] for i in choosing)
+    chosen = set()
+    for x in {x for i in choosing for x in own[i]}:
+        t, c = sum(x in own[i] for i in choosing if given[i]), sum(x in own[i] for i in choosing if not given[i])
+        n = t + c
+        ratio = sum(k * np.log(k * (a + b) / (n * side)) for k, side in ((t, a), (c, b)) if k)
+        if n >= toxicity.LEAST_EXAMPLES and max(t * b / max(c * a, 1e-9), c * a / max(t * b, 1e-9)) > toxicity.LEAST_ODDS and ratio >= toxicity.LEAST_RATIO:
+            chosen.add(x)
+    assert {"grobword", "kindly"} <= chosen
+    idf = {x: np.log((len(rows) + 1) / (sum(x in own[i] for i in own) + 1)) + 1 for x in chosen}
+
+    def vector(i):
+        v = {x: (1 + np.log(own[i].count(x))) * idf[x] for x in set(own[i]) & chosen}
+        size = np.sqrt(sum(y * y for y in v.values()))
+        return {x: y / size for x, y in v.items()}
+
+    vectors = {i: vector(i) for i in own}
+
+    def vote(i, but=None):
+        near = [(round(sum(y * vectors[j].get(x, 0) for x, y in vectors[i].items()), 9), j) for j in learned if j != but]
+        near = sorted(((s, j) for s, j in near if s > 0), key=lambda z: (-z[0], z[1]))[: toxicity.NEIGHBOURS]
+        return sum(s * given[j] for s, j in near) / (sum(s for s, _ in near) + toxicity.PRIOR) if near else 0.0
+
+    held = [(vote(i, i), given[i]) for i in learned if calibrates[i] and vectors[i]]
+    at = np.zeros(2)
+    for _ in range(200):  # damped Newton steps of the penalised likelihood
+        x, y = np.array([v for v, _ in held]), np.array([t for _, t in held])
+        p = 1 / (1 + np.exp(-(at[0] + at[1] * x)))
+        gradient = np.array([(y - p).sum(), ((y - p) * x).sum()]) - 0.01 * at
+        h = p * (1 - p)
+        hessian = np.array([[h.sum(), (h * x).sum()], [(h * x).sum(), (h * x * x).sum()]]) + 0.01 * np.eye(2)
+        at = at + 0.5 * np.linalg.solve(hessian, gradient)
+    without = [given[i] for i in learned if not vectors[i]]
+    want = {i: 1 / (1 + np.exp(-(at[0] + at[1] * vote(i)))) if vectors[i] else (sum(without) + 0.5) / (len(without) + 10) for i in own}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.report(documents(spark, rows[:5]), none).collect())
