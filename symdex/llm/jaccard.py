@@ -269,7 +269,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of documents.
 
     A null or empty text, or one of white space, has an empty set and links with nothing.  Rows that share a doc_id are one node; a
-    row without doc_id gets no component.  n_links counts the documents that a document links with, copies included.
+    row without doc_id gets no component.  The result is a table in shared storage; what it was made of is deleted.  n_links counts the documents that a document links with, copies included.
     """
     documents = id_and_text(documents)
     sets = stored(signed_sets(documents), "sets")
@@ -278,9 +278,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     of_class = known.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep", "copies")
     copy_edges = stored(of_class.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     near = met(known)
-    coarse = components(near)
-    coarse = stored(coarse.join(classes.hint("shuffle_hash"), F.col("node") == F.col("h1")).select(F.col("rep").alias("node"), "component", "copies", "n"), "coarse")
-    discard(near)
+    parts = components(near)
+    coarse = stored(parts.join(classes.hint("shuffle_hash"), F.col("node") == F.col("h1")).select(F.col("rep").alias("node"), "component", "copies", "n"), "coarse")
+    discard(near, parts)
     members = blocks_of(coarse)
     texts = documents.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "part", "copies", "block", F.explode("others").alias("other"))
     dealt = texts.select("doc_id", "text", "copies", "block", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -294,7 +294,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ).groupBy("member").agg(F.max("links").alias("links"))
     out = sets.select("doc_id", "n_shingles").join(final.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left")
     out = out.join(links.hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = stored(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "near-duplicates")
+    discard(sets, classes, copy_edges, found, final)
+    return out
 
 
 def report(documents: DataFrame) -> DataFrame:

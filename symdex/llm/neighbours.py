@@ -356,7 +356,9 @@ def search(rows: DataFrame, asking: DataFrame, k: int = NEAREST, exact: bool = F
     if fitted is None:
         return ranked(by_scan(rows, asking, k, dimension), k)
     hashes, n_probes, _ = fitted
-    near = stored(ranked(by_bucket(rows, asking, k, dimension, hashes, n_probes), k), "near")
+    met = by_bucket(rows, asking, k, dimension, hashes, n_probes)
+    near = stored(ranked(met, k), "near")
+    discard(met)
     full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     rest = ranked(by_scan(rows, asking.join(full, "vec_id", "left_anti"), k, dimension), k)
     return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest).select("query_id", "rank", "vec_id", "score")
