@@ -175,13 +175,17 @@ def pair_events(starts: DataFrame, commands: DataFrame) -> DataFrame:
 def match_server_path(paths: DataFrame, mappings: DataFrame) -> DataFrame:
     """(path, server_path): the first mapping whose key begins the path, whatever the case; none for build folders.
 
-    The mappings are command-line arguments; the join runs over them as an array in one row, so that no pair is built.
+    mappings: place, key, value.  Each distinct path is cut to the lengths that keys have, of which there are no more than letters in the longest one, and its
+    beginnings are joined with the keys, so the work doesn't grow with the number of mappings.
     """
-    rules = mappings.agg(F.array_sort(F.collect_list(F.struct("place", "key", "value"))).alias("rules"))
-    fits = F.filter("rules", lambda r: fold_case("path").startswith(fold_case(r["key"])))
-    first = F.get(fits, F.lit(0))
-    inside = fold_case("path").contains("\\OBJ\\")
-    return paths.crossJoin(F.broadcast(rules)).select("path", F.when(~inside & (F.size(fits) > 0), F.concat(first["value"], F.substring(F.col("path"), F.length(first["key"]) + 1, F.length("path")))).alias("server_path"))
+    c = F.col
+    rules = mappings.where("key is not null").groupBy(fold_case("key").alias("key")).agg(F.min(F.struct("place", "value")).alias("rule"))
+    lengths = rules.agg(F.collect_set(F.length("key")).alias("lengths"))
+    folded = paths.where("path is not null").select("path").distinct().withColumn("folded", fold_case("path")).where(~c("folded").contains("\\OBJ\\"))
+    tried = folded.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).select("path", "n", F.expr("substring(folded, 1, n)").alias("key"))
+    first = tried.join(rules, "key").groupBy("path").agg(F.min(F.struct("rule.place", "rule.value", "n")).alias("x"))
+    first = first.select(c("path").alias("p"), F.concat("x.value", F.expr("substring(path, x.n + 1)")).alias("server_path"))
+    return paths.join(first, c("path") == c("p"), "left").select("path", "server_path")
 
 
 def is_test_project(references: DataFrame, markers: tuple[str, ...]) -> DataFrame:

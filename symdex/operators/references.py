@@ -40,15 +40,6 @@ def group_references(refs: DataFrame) -> DataFrame:
     return refs.groupBy("to_id", "kind", "from_assembly", "file", "line").agg(F.count("*").alias("n"), spans.alias("spans"))
 
 
-def listed_references(refs: DataFrame) -> DataFrame:
-    """Lines of a symbol's list in the order of its nesting (kind, assembly, file, line), numbered within the symbol and kind.
-
-    Rows stay flat: a much used symbol has many rows, but none of any size; whoever shows them takes a page by ``place``.
-    """
-    order = Window.partitionBy("to_id", "kind").orderBy("from_assembly", "file", "line")
-    return group_references(refs).withColumn("place", F.row_number().over(order))
-
-
 def count_references(refs: DataFrame) -> DataFrame:
     """Counts by kind, by kind and assembly, and by kind, assembly and file; level is 2, 1 and 0 for these."""
     return refs.rollup("kind", "from_assembly", "file").agg(F.grouping_id().alias("g"), F.count("*").alias("n")).where("g < 7").withColumn("level", F.when(F.col("g") == 3, 2).when(F.col("g") == 1, 1).otherwise(0)).drop("g")
@@ -107,8 +98,9 @@ def declaration_map(locations: DataFrame) -> DataFrame:
 
 def partial_types(locations: DataFrame) -> DataFrame:
     """Locations of ids that have several, numbered by path; the first one is the anchor."""
-    order, one = Window.partitionBy("id").orderBy("file"), Window.partitionBy("id")
-    return locations.withColumn("k", F.count("*").over(one)).where("k > 1").withColumn("place", F.row_number().over(order)).withColumn("anchor", F.col("place") == 1).drop("k")
+    order = Window.partitionBy("id").orderBy("file")
+    placed = locations.withColumn("place", F.row_number().over(order)).withColumn("more", F.lead("file").over(order).isNotNull())
+    return placed.where("place > 1 or more").withColumn("anchor", F.col("place") == 1).drop("more")
 
 
 def redirect_map(locations: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ project_path and kind.  ``name_key`` is the folded name (``text.fold_case``), so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,44 +79,49 @@ def decode(symbols: DataFrame, assemblies: DataFrame) -> DataFrame:
 
 
 def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """Symbols that each interpretation's core is a prefix of.
+    """Symbols that each interpretation's core is a prefix of; cores aren't empty.
 
     Queries are joined on the first three characters of their cores; shorter cores, which dotted terms can have, on as many as they
     have.  A stem that very many symbols have is split by Spark, as symbols are the streamed side of these joins.
     """
     q = queries.withColumn("core_key", fold_case("core")).withColumn("stem", F.substring("core_key", 1, 3))
-    found = every(symbols, q.where("stem = ''")).drop("stem", "core_key")
+    found = None
     for n in (1, 2, 3):
         one = symbols.withColumn("stem", F.substring("name_key", 1, n)).join(q.where(F.length("stem") == n), "stem")
-        found = found.unionByName(one.where(F.col("name_key").startswith(F.col("core_key"))).drop("stem", "core_key"))
+        one = one.where(F.col("name_key").startswith(F.col("core_key"))).drop("stem", "core_key")
+        found = one if found is None else found.unionByName(one)
     return found
 
 
-def every(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each symbol with each query whose core is empty.  Such queries go along as one array of ``QUERY_BLOCK`` rows at most at a time."""
+def passes(q: Callable[[str], Column]) -> Column:
+    """Whether a decoded symbol passes all filters of a query's interpretation; q: its column of a name."""
+    c = F.col
+    out = ~q("verbatim") | (F.length("name") == F.length(q("core")))
+    out = out & filter_kind(c("kind"), q("kinds")) & filter_path(c("project_path"), q("paths"))
+    return out & filter_words(c("name"), c("assembly_name"), c("project_path"), q("words")) & filter_dotted(c("assembly_name"), c("description"), q("namespace"), q("dotted"))
+
+
+def hits_without_core(decoded: DataFrame, queries: DataFrame) -> DataFrame:
+    """Decoded symbols that pass the filters of queries whose core is empty, which every name begins with.
+
+    Such queries go along with the symbols as an array of ``QUERY_BLOCK`` at most at a time; only those that a symbol passes are made rows.
+    """
     blocks = -(-queries.count() // QUERY_BLOCK)
-    names = [f"`{name}`" for name in queries.columns]
-    found = symbols.where("false").withColumns({k: F.lit(None).cast(t) for k, t in queries.dtypes})
+    found = decoded.where("false").withColumns({k: F.lit(None).cast(t) for k, t in queries.dtypes})
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id", "reading"), F.lit(blocks)) == i).agg(F.collect_list(F.struct(*names)).alias("block"))
-        found = found.unionByName(symbols.crossJoin(F.broadcast(part)).withColumn("q", F.explode("block")).select(*symbols.columns, "q.*"))
+        part = queries.where(F.pmod(F.xxhash64("query_id", "reading"), F.lit(blocks)) == i).agg(F.collect_list(F.struct(*queries.columns)).alias("block"))
+        passed = F.filter("block", lambda q: passes(lambda name: q[name]))
+        found = found.unionByName(decoded.crossJoin(F.broadcast(part)).withColumn("q", F.explode(passed)).select(*decoded.columns, "q.*"))
     return found
 
 
-def fits(hits: DataFrame) -> DataFrame:
-    """Decoded candidates that pass all filters of their query and interpretation."""
-    c = F.col
-    hits = hits.where(~c("verbatim") | (F.length("name") == F.length("core")))
-    hits = hits.where(filter_kind(c("kind"), c("kinds")) & filter_path(c("project_path"), c("paths")))
-    return hits.where(filter_words(c("name"), c("assembly_name"), c("project_path"), c("words")) & filter_dotted(c("assembly_name"), c("description"), c("namespace"), c("dotted")))
-
-
 def find_symbols(symbols: DataFrame, assemblies: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     """All interpretations of all queries (``querylang.parsed``): filtered, cut to ``most`` in index order, then ranked.
 
     The results of a query's interpretations are a bag: a symbol that two of them find is there twice.
     """
-    hits = fits(decode(candidates(symbols, queries), assemblies))
+    hits = decode(candidates(symbols, queries.where("core <> ''")), assemblies).where(passes(F.col))
+    hits = hits.unionByName(hits_without_core(decode(symbols, assemblies), queries.where("core = ''")))
     cut = Window.partitionBy("query_id", "reading").orderBy("pos")
     return ranked(hits.withColumn("n", F.row_number().over(cut)).where(F.col("n") <= most).drop("n"))
 
@@ -137,7 +144,8 @@ def ranked_range(hits: DataFrame) -> DataFrame:
 
 def potential_raw(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, potential): size of the prefix range of the last interpretation whose range isn't empty."""
-    n = candidates(symbols, queries).groupBy("query_id", "reading").agg(F.count("*").alias("n"))
+    n = candidates(symbols, queries.where("core <> ''")).groupBy("query_id", "reading").agg(F.count("*").alias("n"))
+    n = n.unionByName(queries.where("core = ''").select("query_id", "reading").crossJoin(F.broadcast(symbols.agg(F.count("*").alias("n")).where("n > 0"))))
     return n.groupBy("query_id").agg(F.max_by("n", "reading").alias("potential"))
 
 
@@ -228,7 +236,7 @@ def search(symbols: DataFrame, assemblies: DataFrame, text: str, most: int = MOS
     for r in readings.collect():
         literal = {k: _literal(r[k], kinds[k]) for k in kinds}
         hits = decode(prefix_search(symbols, r["core"]), assemblies).withColumns(literal)
-        hits = fits(hits).orderBy("pos").limit(most)
+        hits = hits.where(passes(F.col)).orderBy("pos").limit(most)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = decode(symbols, assemblies).withColumns({k: F.lit(None).cast(t) for k, t in kinds.items()}).limit(0)

@@ -97,12 +97,27 @@ def test_empty_and_null_queries(spark):
     assert querylang.parsed(q).count() == 0
 
 
-def test_empty_core_meets_every_symbol_in_blocks(spark, monkeypatch):
+def test_empty_cores_meet_the_symbols_that_pass(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
-    symbols = spark.createDataFrame([(i, f"n{i}", f"N{i}") for i in range(5)], "pos long, name string, name_key string")
-    queries = spark.createDataFrame([(i, 0, core) for i, core in enumerate(["", "n1", "", "", "N", "n10"])], "query_id long, reading int, core string")
-    got = sorted((r["query_id"], r["pos"]) for r in search.candidates(symbols, queries).collect())
-    assert got == sorted([(q, p) for q in (0, 2, 3, 4) for p in range(5)] + [(1, 1)])
+    symbols = spark.createDataFrame([(i, f"n{i}", f"N{i}", 0, 0 if i % 2 else 72, "A.n") for i in range(6)], "pos long, name string, name_key string, assembly_number int, glyph int, description string")
+    assemblies = spark.createDataFrame([(0, "Lib", None)], "pos int, assembly_name string, project_path string")
+    kinds = [[], ["class"], ["class"], [], ["enum"], []]
+    cores = ["", "n1", "", "", "", "n"]
+    rows = [(i, 0, core, False, k, [], ["LIB"] if i == 3 else [], None, []) for i, (core, k) in enumerate(zip(cores, kinds, strict=True))]
+    queries = spark.createDataFrame(rows, "query_id long, reading int, core string, verbatim boolean, kinds array<string>, paths array<string>, words array<string>, namespace string, dotted array<string>")
+    got = sorted((r["query_id"], r["pos"]) for r in search.find_symbols(symbols, assemblies, queries).collect())
+    assert got == sorted([(0, p) for p in range(6)] + [(1, 1)] + [(2, p) for p in (1, 3, 5)] + [(3, p) for p in range(6)] + [(5, p) for p in range(6)])
+    assert {r["query_id"]: r["potential"] for r in search.potential_raw(symbols, queries).collect()} == {0: 6, 1: 1, 2: 6, 3: 6, 4: 6, 5: 6}
+
+
+def test_first_mapping_of_a_path(spark):
+    from symdex.operators import graph
+
+    rules = spark.createDataFrame([(0, "c:\\Src\\a", "x/"), (1, "C:\\src", "y/"), (2, "ß", "z/"), (3, "c:\\src\\A", "never/"), (4, None, "n")], "place int, key string, value string")
+    paths = ["C:\\SRC\\ab.cs", "c:\\src\\b.cs", "c:\\src\\obj\\b.cs", "d", "ßé", None, "", "d"]
+    got = [(r["path"], r["server_path"]) for r in graph.match_server_path(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()]
+    want = {"C:\\SRC\\ab.cs": "x/b.cs", "c:\\src\\b.cs": "y/\\b.cs", "ßé": "z/é"}
+    assert sorted(got, key=repr) == sorted(((p, want.get(p)) for p in paths), key=repr)
 
 
 def test_serving_table_is_written_once(spark, tmp_path):
