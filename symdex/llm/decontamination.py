@@ -139,7 +139,8 @@ def blocks(benchmark: DataFrame) -> tuple[int, Iterator[Block]]:
 
 def _blocks(found: DataFrame, n: int) -> Iterator[Block]:
     for k in range(n):
-        part = found.where(F.pmod(F.col("h1"), F.lit(n)) == k) if n > 1 else found
+        # by window and item: a window that very many items hold is spread over the blocks
+        part = found.where(F.pmod(F.xxhash64("h1", "h2", "item_id"), F.lit(n)) == k) if n > 1 else found
         t = part.toArrow()
         column = lambda name: t[name].combine_chunks().to_numpy()
         prints = t["prints"].combine_chunks()

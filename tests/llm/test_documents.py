@@ -69,6 +69,17 @@ def test_decontamination_in_blocks(spark, rows, monkeypatch):
     assert sorted(r["contaminated"] for r in got) == [False, False, False, True, True]
 
 
+def test_a_window_of_very_many_items_is_spread(spark, rows, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 50)
+    same = " ".join(rows[86][1].split()[50:63])
+    items = {i: same for i in range(200)} | {300: rows[0][1]}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    n, parts = decontamination.blocks(bench)
+    assert n > 3 and all(len(b.item) < 110 for b in parts)
+    got = decontamination.report(documents(spark, rows), bench).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == decontamination.brute_force(dict(rows), items)
+
+
 def test_decontamination_of_nothing(spark, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontamination.report(documents(spark, rows), none).collect())
