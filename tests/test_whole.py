@@ -19,11 +19,6 @@ def texts(spark, tmp_path_factory):
     return d
 
 
-def emphasised(t):
-    mark = lambda x: f"<i>{x}</i>" if x else ""
-    return t[:3] + mark(t[3:7]) + t[7:12] + mark(t[12:15]) + t[15:]
-
-
 def escaped(t):
     return html.escape(t).replace("&#x27;", "&#39;")
 
@@ -40,7 +35,6 @@ WHOLE = {
     "html_escape_offsets": offsets,
     "escape_semicolons": lambda t: (t.translate(str.maketrans(";\r\n", ":  ")),),
     "split_semicolons": lambda t: ("|".join(re.findall(r"[ \t\r\n]+|;|[^; \t\r\n]+", t)),),
-    "merge_occurrences": lambda t: (emphasised(t),),
 }
 
 
@@ -50,8 +44,8 @@ def test_whole_texts(spark, texts, name):
     assert got == {k: WHOLE[name](t) for k, t in TEXTS.items()}
 
 
-TURNS = {7001: "word " * 90 + "end", 8002: "ab", 9003: "x" * 613}
-KINDS = ("keyword", "comment", "class name", "number", "odd")
+TURNS = {7001: "word of This, the longest Wörter. " * 30 + "end", 8002: "ab", 9003: "x" * 613, 9004: "", 9005: "and  this this and de\nla Ende."}
+WORDS = ("the", "of", "and", "this", "de", "der", "la", "que", "in", "is", "that")
 
 
 @pytest.fixture(scope="module")
@@ -62,66 +56,111 @@ def turns(spark, tmp_path_factory):
 
 
 def cut_spans(doc, t):
-    return [(s, 1 + (doc * 31 + s) % 9, KINDS[(doc + s) % 5]) for s in range(0, len(t), 7)]
-
-
-def gaps(doc, t):
-    out, last = cut_spans(doc, t), 0
-    for s, n, _ in cut_spans(doc, t):
+    """(start, seq, length, class) of words, parts inside long ones, first letters of some, and spans into the next word, in order."""
+    words, out, at = t.split(" "), [], 0
+    for i, w in enumerate(words):
+        n, half = len(w), len(w) // 2
+        kind = "keyword" if w in WORDS else "class name" if re.match("[A-ZÀ-Þ]", w) else "comment" if w[-1:] in (".", ",") else "odd"
+        if w:
+            out.append((at, i * 4, n, kind))
+        if n >= 6:
+            out.append((at + 1, i * 4 + 1, 3, "number" if i % 2 else "comment"))
+        if n >= 4 and i % 3 == 0:
+            out.append((at, i * 4 + 2, 2, "string"))
+        if w and i + 1 < len(words) and words[i + 1] and i % 4 == 1:
+            out.append((at + half, i * 4 + 3, n - half + 2, "keyword"))
+        at += n + 1
+    return sorted(out)
+
+
+def gaps(t, spans):
+    """spans: (start, length, class) in order."""
+    out, last = list(spans), 0
+    for s, n, _ in spans:
         if s > last:
             out.append((last, s - last, None))
         last = s + n
     return out + [(last, len(t) + 9 - last, None)] * (len(t) + 9 > last)
 
 
+def plain(doc, t):
+    return [(s, n, k) for s, _, n, k in cut_spans(doc, t)]
+
+
 def points(doc, t):
-    return sorted({p for s, n, _ in cut_spans(doc, t) for p in (s, s + n)})
+    return sorted({p for s, _, n, _ in cut_spans(doc, t) for p in (s, s + n)})
 
 
 def pieces(doc, t):
-    for i, (s, n, k) in enumerate(cut_spans(doc, t)):
-        at = [p for p in points(doc, t) if s <= p <= s + n]
-        yield from ((i, a, b - a, k) for a, b in zip(at, at[1:]))
+    """(seq, start, length, class, whole): every span cut at all points in it."""
+    for s, i, n, k in cut_spans(doc, t):
+        cuts = [p for p in points(doc, t) if s <= p <= s + n]
+        yield from ((i, a, b - a, k, len(cuts) == 2) for a, b in zip(cuts, cuts[1:]))
 
 
 def resolved(doc, t):
     starts = {}
-    for p in pieces(doc, t):
+    for p in sorted(pieces(doc, t)):
         starts.setdefault(p[1], []).append(p)
-    keep = ([p for p in sorted(g) if p[3] != "comment"] or sorted(g)[:1] for g in starts.values())
-    return [p[-1][1:] for p in keep]
+    keep = ([p for p in g if p[3] != "comment"] or g[:1] for g in starts.values())
+    return [p[-1][1:4] for p in keep]
+
+
+def prepared(doc, t):
+    """Names of classes come a second time as types: a whole piece of them gives its class to what stands there, a cut one takes its place."""
+    out = {}
+    for _, a, n, k, _ in sorted(pieces(doc, t)):
+        if a not in out or k != "comment":
+            out[a] = (n, k)
+    for _, a, n, k, whole in sorted(pieces(doc, t)):
+        if k == "class name":
+            out[a] = (n, "type")
+    return gaps(t, sorted((a, n, k) for a, (n, k) in out.items()))
 
 
 def islands(doc, t):
     out, joined = [], False
-    for s, n, k in cut_spans(doc, t):
-        word = k in ("keyword", "comment")
+    for s, _, n, k in cut_spans(doc, t):
+        word = k == "keyword" and t[s : s + n] != "this"
         out.append([out.pop()[0] if word and joined else s, s + n])
         joined = word
     return [(a, b - a) for a, b in out]
 
 
 def first_seen(doc, t):
-    return {k: i for i, k in enumerate(dict.fromkeys(x[2] for x in cut_spans(doc, t)))}
+    return {k: i for i, k in enumerate(dict.fromkeys(t[s : s + n] for s, _, n, k in cut_spans(doc, t) if k in ("odd", "class name")))}
 
 
-MARK = {"keyword": "k", "comment": "c", "class name": "t", "odd": "unknownClassification"}
+MARK = {"keyword": "k", "comment": "c", "class name": "t", "string": "s", "odd": "unknownClassification"}
 SPANS = {
-    "fill_gaps": gaps,
-    "fill_gaps_dedup": gaps,
-    "concat_ranges": lambda d, t: [(s, m) for s, _, k in cut_spans(d, t) for m in [False] + [True] * (k == "comment")],
+    "fill_gaps": lambda d, t: gaps(t, plain(d, t)),
+    "fill_gaps_dedup": lambda d, t: gaps(t, plain(d, t)),
+    "concat_ranges": lambda d, t: [(s, m) for s, _, _, k in cut_spans(d, t) for m in [False] + [True] * (k == "comment")],
     "distinct_points": lambda d, t: [(p,) for p in points(d, t)],
     "split_intervals": lambda d, t: [p[:3] for p in pieces(d, t)],
     "resolve_overlaps": resolved,
-    "prepare_ranges": lambda d, t: [(len(t) + 9,)],
+    "prepare_ranges": prepared,
     "merge_islands": islands,
-    "map_classification": lambda d, t: [(s, MARK[k]) for s, _, k in cut_spans(d, t) if k in MARK],
-    "filter_classification": lambda d, t: [(s,) for s, _, k in cut_spans(d, t) if k in ("class name", "number")],
+    "map_classification": lambda d, t: [(s, MARK[k]) for s, _, _, k in cut_spans(d, t) if k in MARK],
+    "filter_classification": lambda d, t: [(s,) for s, _, _, k in cut_spans(d, t) if k in ("class name", "number", "string")],
     "local_ids": lambda d, t: list(first_seen(d, t).items()),
     "highlight_spans": lambda d, t: [(k, f"r{i} r") for k, i in first_seen(d, t).items()],
 }
 
 
+def test_texts_have_spans_of_all_kinds():
+    each = [x for d, t in TURNS.items() for x in cut_spans(d, t)]
+    starts = [(d, s) for d, t in TURNS.items() for s, *_ in cut_spans(d, t)]
+    assert {k for *_, k in each} == {*MARK, "number"} and len(set(starts)) < len(starts)
+    assert any(a[0] < b[0] and b[0] + b[2] < a[0] + a[2] for d, t in TURNS.items() for a, b in zip(cut_spans(d, t), cut_spans(d, t)[1:]))
+    assert any("this" in t.split(" ") for t in TURNS.values())
+
+
+def test_occurrences_of_whole_texts(spark, turns):
+    got = {r["conv_id"] * 1000 + r["turn"]: r["line"] for r in registry.queries()["merge_occurrences"](spark, turns).collect()}
+    assert got == {k: re.sub("([a-z]+)", r"<i>\1</i>", t) for k, t in TURNS.items()}
+
+
 @pytest.mark.parametrize("name", sorted(SPANS))
 def test_spans_of_whole_texts(spark, turns, name):
     got = [tuple(r) for r in registry.queries()[name](spark, turns).collect()]
