@@ -254,8 +254,7 @@ def brute_runs(words: list) -> list[tuple[int, int, int]]:
             while j + q < n and words[j] == words[j + q]:
                 j += 1
             length = j - i + q
-            smaller = any(all(words[x] == words[x + p] for x in range(i, j + q - p)) for p in range(1, q))
-            if length >= max(LEAST, 2 * q) and not smaller:
+            if length >= max(LEAST, 2 * q) and not any(all(words[x] == words[x + p] for x in range(i, j + q - p)) for p in range(1, q)):
                 out.append((i, length, q))
             i = j
     return sorted(out)
