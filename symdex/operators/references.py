@@ -93,7 +93,9 @@ def declared(symbols: DataFrame) -> DataFrame:
 
 def declaration_map(locations: DataFrame) -> DataFrame:
     """(id, place, file, offset): the places of each id in order, one row each."""
-    return locations.select("id", F.row_number().over(Window.partitionBy("id").orderBy("file", "offset")).alias("place"), "file", "offset")
+    from .numbering import within
+
+    return within(locations.select("id", "file", "offset"), ["id"], ["file", "offset"], "place").select("id", "place", "file", "offset")
 
 
 def partial_types(locations: DataFrame) -> DataFrame:

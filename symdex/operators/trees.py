@@ -80,9 +80,9 @@ def folder_tree(paths: DataFrame) -> DataFrame:
 
 def sort_explorer(items: DataFrame) -> DataFrame:
     """(folder, place, name): items of each folder by name, whatever the case; rows stay flat, however many a folder has."""
-    from pyspark.sql import Window
+    from .numbering import within
 
-    return items.select("folder", F.row_number().over(Window.partitionBy("folder").orderBy(fold_case(F.col("name")), "name")).alias("place"), "name")
+    return within(items.select("folder", "name").withColumn("key", fold_case("name")), ["folder"], ["key", "name"], "place").select("folder", "place", "name")
 
 
 def document_outline(symbols: DataFrame) -> DataFrame:

@@ -231,3 +231,13 @@ def test_settings_and_documentation(spark):
     pages = ["MSBuildFiles\\a\\x.targets.html", "TypeScriptFiles\\y.ts.HTML", "Acme\\z.cs.html", "MSBuildFiles\\a\\x.txt", "MSBuildFiles", "TypeScriptFiles\\"]
     loose = graph.loose_files(spark.createDataFrame([(p,) for p in pages], "path string")).collect()
     assert sorted(map(tuple, loose)) == [("MSBuildFiles", "x.targets", "MSBuildFiles\\a\\x.targets"), ("TypeScriptFiles", "y.ts", "TypeScriptFiles\\y.ts")]
+
+
+def test_numbers_within_groups_that_span_ranges(spark, small_parts):
+    from symdex.operators import numbering
+
+    rows = [("hot", i * 7 % 5000) for i in range(5000)] + [(g, i) for g in ("a", "z") for i in range(5)] + [(None, i) for i in range(3000)] + [(f"one{i}", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(4)
+    got = sorted((r["g"] or "", r["x"], r["n"]) for r in numbering.within(df, ["g"], ["x"], "n").collect())
+    assert got == sorted((g or "", x, x + 1) for g, x in rows)
+    assert numbering.within(df.where("false"), ["g"], ["x"], "n").count() == 0
