@@ -116,7 +116,7 @@ def scan_project_info(spark, d):
 @query("scan_declaration_map", f"WITH {LOCS} SELECT id, file AS path, \"offset\" FROM locs")
 def scan_declaration_map(spark, d):
     each = rf.declaration_map(locations(spark, d))
-    file = F.substring("id", 1, 1).alias("file")
+    file = F.substring("id", 1, 3).alias("file")
     places = each.select(file, "id", long("place").alias("n"), F.concat_ws(";", "file", c("offset").cast("string")).alias("value"))
     rows = places.unionByName(each.where("place = 1").select(file, "id", F.lit(0).cast("long").alias("n"), F.concat(F.lit("="), "id").alias("value")))
     rows = numbering.dense(rows, ["file", "id", "n"], "line").select("file", "line", "value")
