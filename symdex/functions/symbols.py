@@ -22,6 +22,14 @@ GLYPH_WORDS = {
     0: "class", 6: "constant", 12: "delegate", 18: "enum", 24: "enum member", 30: "event", 36: "exception", 42: "field", 48: "interface", 54: "macro", 60: "map",
     66: "map item", 72: "method", 78: "overload", 84: "module", 90: "namespace", 96: "operator", 102: "property", 108: "struct", 114: "type parameter", 150: "module",
 }
+# Icon groups of declared symbols, and the place of an accessibility in a group of six; groups without accessibility have only public icons.
+GLYPH_GROUPS = {
+    "class": 0, "constant": 6, "delegate": 12, "enum": 18, "enum member": 24, "event": 30, "field": 42, "interface": 48, "method": 72, "module": 84, "namespace": 90,
+    "operator": 96, "property": 102, "struct": 108, "type parameter": 126, "local": 138, "parameter": 138, "range variable": 138, "intrinsic": 150, "label": 150, "extension method": 220,
+}
+GLYPH_ITEMS = {"internal": 2, "protected": 3, "private": 4}
+EXTENSION_METHOD_ITEMS = {"internal": 1, "protected": 3, "private": 4}
+PUBLIC_ONLY = ("enum member", "namespace", "operator", "type parameter", "local", "parameter", "range variable", "intrinsic", "label")
 EXTENSION_GLYPHS = {".cs": 196, ".vb": 195, ".ts": 228}
 # Icon numbers of script symbols.
 SCRIPT_GLYPHS = {
@@ -46,6 +54,12 @@ def glyph_to_kind(glyph: Column) -> Column:
     return out
 
 
+def glyph_number(kind: Column, accessibility: Column) -> Column:
+    """Icon of a declared symbol: its group and, where the group tells them apart, its accessibility; null for unknown kinds, public for unknown accessibilities."""
+    item = F.when(kind.isin(*PUBLIC_ONLY), 0).when(kind == "extension method", pick(accessibility, EXTENSION_METHOD_ITEMS, 0)).otherwise(pick(accessibility, GLYPH_ITEMS, 0))
+    return pick(kind, GLYPH_GROUPS, None) + item
+
+
 def glyph_keyword(glyph: Column) -> Column:
     """The word for the icon's group of six."""
     return pick(glyph - F.pmod(glyph, F.lit(6)), GLYPH_WORDS, "symbol")

@@ -83,10 +83,10 @@ def aggregate_stats(stats: DataFrame) -> DataFrame:
 
 def unique_file_names(types: DataFrame) -> DataFrame:
     """types with ``file``: the name, and from the second type of one folder and name on a running number behind it.  types: folder, name, seq."""
-    from pyspark.sql import Window
+    from .numbering import within
 
-    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy("seq")) - 1
-    return types.withColumn("__n", n).withColumn("file", F.when(F.col("__n") > 0, F.concat("name", F.col("__n").cast("string"))).otherwise(F.col("name"))).drop("__n")
+    n = F.col("__n") - 1
+    return within(types, ["folder", "name"], ["seq"], "__n").withColumn("file", F.when(n > 0, F.concat("name", n.cast("string"))).otherwise(F.col("name"))).drop("__n")
 
 
 def loose_files(pages: DataFrame) -> DataFrame:

@@ -23,20 +23,26 @@ def dense(df: DataFrame, order: list, name: str) -> DataFrame:
     return split.join(F.broadcast(offsets), "__part").withColumn(name, within + F.col("__before")).drop("__part", "__id", "__before")
 
 
-def within(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
-    """Adds ``name``, 1, 2, 3 ... in the order of columns within each group, however large a group is.
+def within(df: DataFrame, group: list[str], order: list, name: str, last: str | None = None) -> DataFrame:
+    """Adds ``name``, 1, 2, 3 ... in the order of columns within each group, however large a group is, and ``last``, whether a row ends its group.
 
-    Rows are dealt by ranges of group and order, so a large group has several ranges, and are numbered in each range.  A range goes on with at most
-    one group that began before it; for those alone, one row for each range at most, the rows before it are summed.
+    Rows are dealt by ranges of group and order, so a large group has several ranges, and are numbered in each range.  A range shares at most
+    one group with the ranges before it and one with those behind it; for these alone, two rows for each range at most, the rows before it are summed.
     """
     split = stored(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "numbered")
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(*group).orderBy("__part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
     sizes = split.groupBy(*group, "__part").agg(F.count("*").alias("__size"))
-    offsets = sizes.select(*group, "__part", F.sum("__size").over(before).alias("__before")).where("__before is not null")
-    place = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)).cast("long")
-    offsets = offsets.select(F.col("__part").alias("__of"), "__before", *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)))
+    offsets = sizes.select(*group, "__part", F.sum("__size").over(before).alias("__before"), F.lead("__part").over(parts).isNotNull().alias("__after")).where("__before is not null or __after")
+    own = Window.partitionBy("__part", *group).orderBy(*order)
+    place = F.row_number().over(own).cast("long")
+    offsets = offsets.select(F.col("__part").alias("__of"), "__before", "__after", *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)))
     same = F.col("__part") == F.col("__of")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    numbered = split.withColumn(name, place).join(F.broadcast(offsets), same, "left")
-    return numbered.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).select(*df.columns, name)
+    ends = F.lead("__part").over(own).isNull()
+    numbered = split.withColumns({name: place, "__ends": ends} if last else {name: place}).join(F.broadcast(offsets), same, "left")
+    numbered = numbered.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0)))
+    if last is None:
+        return numbered.select(*df.columns, name)
+    return numbered.select(*df.columns, name, (F.col("__ends") & ~F.coalesce("__after", F.lit(False))).alias(last))

@@ -5,7 +5,7 @@ References: kind, to_id, from_assembly, file, line, col_start, col_end, and line
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reference kinds in the order of their numbers, with the header of their list.
@@ -100,9 +100,10 @@ def declaration_map(locations: DataFrame) -> DataFrame:
 
 def partial_types(locations: DataFrame) -> DataFrame:
     """Locations of ids that have several, numbered by path; the first one is the anchor."""
-    order = Window.partitionBy("id").orderBy("file")
-    placed = locations.withColumn("place", F.row_number().over(order)).withColumn("more", F.lead("file").over(order).isNotNull())
-    return placed.where("place > 1 or more").withColumn("anchor", F.col("place") == 1).drop("more")
+    from .numbering import within
+
+    placed = within(locations, ["id"], ["file", "offset"], "place", "last")
+    return placed.where("place > 1 or not last").withColumn("anchor", F.col("place") == 1).drop("last")
 
 
 def redirect_map(locations: DataFrame) -> DataFrame:

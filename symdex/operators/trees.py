@@ -87,11 +87,10 @@ def sort_explorer(items: DataFrame) -> DataFrame:
 
 def document_outline(symbols: DataFrame) -> DataFrame:
     """(doc, place, id, glyph_depth) of declarations in the order of a document."""
-    from pyspark.sql import Window
+    from .numbering import within
 
-    own = symbols.where(F.length("id") == 16)
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("position"))
-    return own.select("doc", place.alias("place"), "id", F.concat_ws(",", F.col("glyph").cast("string"), F.col("depth").cast("string")).alias("glyph_depth"))
+    own = symbols.where(F.length("id") == 16).select("doc", "position", "id", F.concat_ws(",", F.col("glyph").cast("string"), F.col("depth").cast("string")).alias("glyph_depth"))
+    return within(own, ["doc"], ["position"], "place").select("doc", "place", "id", "glyph_depth")
 
 
 def split_by_first_letter(ids: DataFrame) -> DataFrame:

@@ -52,9 +52,14 @@ def keyed_assemblies(spark: SparkSession, d: str) -> DataFrame:
     return normalize_ids(assemblies(spark, d))[0]
 
 
+def _suppliers(spark: SparkSession, d: str) -> Column:
+    """How many there are, as a scalar subquery: nothing runs while a plan is made."""
+    return table(spark, d, "supplier").agg(F.count("*")).scalar()
+
+
 def bare_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbols without their place in the index."""
-    n = table(spark, d, "supplier").count()
+    n = _suppliers(spark, d)
     c = F.col
     plain = F.replace(c("p_name"), F.lit(" "), F.lit(""))
     p = table(spark, d, "part").withColumn("name", F.when(c("p_partkey") % 3 == 0, F.upper(plain)).otherwise(plain))
@@ -110,15 +115,15 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "supplier").count()
+    n = _suppliers(spark, d)
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("from_assembly"), (F.col("l_partkey") % n).alias("to_assembly")).distinct()
 
 
 def locations(spark: SparkSession, d: str) -> DataFrame:
-    """(id, file, offset); ids are 16 hex digits."""
-    li = table(spark, d, "lineitem")
-    file = F.concat(F.lit("f"), F.lpad((F.col("l_orderkey") % 50).cast("string"), 2, "0"), F.lit(".cs"))
-    return li.select(symbol_id(F.col("l_partkey").cast("string")).alias("id"), file.alias("file"), (F.col("l_orderkey") % 50).alias("offset")).distinct()
+    """(id, file, offset); ids are 16 hex digits.  Numbers are made distinct before they are made ids and names."""
+    places = table(spark, d, "lineitem").select("l_partkey", (F.col("l_orderkey") % 50).alias("offset")).distinct()
+    file = F.concat(F.lit("f"), F.lpad(F.col("offset").cast("string"), 2, "0"), F.lit(".cs"))
+    return places.select(symbol_id(F.col("l_partkey").cast("string")).alias("id"), file.alias("file"), "offset")
 
 
 ASM = "asm AS (SELECT s_suppkey AS pos, s_name AS assembly_name, CASE WHEN s_suppkey % 5 <> 0 THEN concat(r_name, chr(92), n_name, chr(92), s_name, '.csproj') END AS project_path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"

@@ -275,6 +275,16 @@ def symbol_name(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), sy.symbol_name(F.when(k == 0, ".ctor").when(k == 1, c("p_name")), c("p_brand"), c("p_type")).alias("name"))
 
 
+@query("glyph_number", "WITH w(i, kind, g, kinds) AS (VALUES (0, 'class', 0, 1), (1, 'constant', 6, 1), (2, 'delegate', 12, 1), (3, 'enum', 18, 1), (4, 'enum member', 24, 0), (5, 'event', 30, 1), (6, 'field', 42, 1), (7, 'interface', 48, 1), (8, 'method', 72, 1), (9, 'module', 84, 1), (10, 'namespace', 90, 0), (11, 'operator', 96, 0), (12, 'property', 102, 1), (13, 'struct', 108, 1), (14, 'type parameter', 126, 0), (15, 'local', 138, 0), (16, 'extension method', 220, 2), (17, 'label', 150, 0), (18, 'other', NULL, 1)), x AS (SELECT p_partkey AS k, p_size % 5 AS a, kind, g, kinds FROM part JOIN w ON p_partkey % 19 = i) SELECT k, CAST(g + CASE WHEN kinds = 0 OR a NOT IN (1, 2, 3) THEN 0 WHEN a = 1 THEN 3 - kinds ELSE a + 1 END AS BIGINT) AS glyph, CASE WHEN kind IN ('class', 'delegate', 'enum', 'event', 'interface', 'method', 'property', 'struct', 'field') THEN kind WHEN kind IN ('constant', 'enum member') THEN 'field' WHEN kind = 'extension method' AND a <> 2 THEN 'method' ELSE 'symbol' END AS read_back FROM x")
+def glyph_number(spark, d):
+    """Icons of symbols of every kind and accessibility, and the kind that a search takes them for."""
+    kinds = ("class", "constant", "delegate", "enum", "enum member", "event", "field", "interface", "method", "module", "namespace", "operator", "property", "struct", "type parameter", "local", "extension method", "label", "other")
+    kind = F.get(F.array(*map(F.lit, kinds)), (c("p_partkey") % len(kinds)).cast("int"))
+    access = F.get(F.array(*map(F.lit, ("public", "internal", "protected", "private"))), (c("p_size") % 5).cast("int"))
+    glyph = sy.glyph_number(kind, access)
+    return table(spark, d, "part").select(c("p_partkey").alias("k"), long(glyph).alias("glyph"), sy.glyph_to_kind(glyph).alias("read_back"))
+
+
 @query("glyph_keyword", "WITH w(g, word) AS (VALUES (0, 'class'), (6, 'constant'), (12, 'delegate'), (18, 'enum'), (24, 'enum member'), (30, 'event'), (36, 'exception'), (42, 'field'), (48, 'interface'), (54, 'macro'), (60, 'map'), (66, 'map item'), (72, 'method'), (78, 'overload'), (84, 'module'), (90, 'namespace'), (96, 'operator'), (102, 'property'), (108, 'struct'), (114, 'type parameter'), (150, 'module')) SELECT p_partkey AS k, coalesce(word, 'symbol') AS word FROM part LEFT JOIN w ON (p_partkey % 240) - (p_partkey % 240) % 6 = g")
 def glyph_keyword(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("k"), sy.glyph_keyword((c("p_partkey") % 240).cast("int")).alias("word"))

@@ -117,3 +117,18 @@ def test_prepare_ranges(spark):
 def test_gaps_of_nothing(spark):
     docs = spark.createDataFrame([(1, 3), (2, 0)], "doc int, n int")
     assert [tuple(r) for r in spans.fill_gaps(span_rows(spark, []), docs).collect()] == [(1, 0, 3, None)]
+
+
+# Icons of a group of six go by accessibility; extension methods have numbers of their own, and some groups have public icons only.
+ICONS = [
+    ("class", "public", 0), ("class", "private", 4), ("method", "internal", 74), ("property", "protected", 105), ("enum member", "private", 24), ("extension method", "public", 220),
+    ("extension method", "internal", 221), ("extension method", "private", 224), ("type parameter", "private", 126), ("struct", None, 108), ("field", "other", 42), ("nothing", "public", None), (None, "private", None),
+]
+
+
+@pytest.mark.parametrize(("kind", "access", "want"), ICONS)
+def test_icons(spark, kind, access, want):
+    from symdex.functions import symbols
+
+    row = spark.createDataFrame([(kind, access)], "k string, a string")
+    assert row.select(symbols.glyph_number(F.col("k"), F.col("a")).alias("x")).first()["x"] == want

@@ -240,4 +240,15 @@ def test_numbers_within_groups_that_span_ranges(spark, small_parts):
     df = spark.createDataFrame(rows, "g string, x int").repartition(4)
     got = sorted((r["g"] or "", r["x"], r["n"]) for r in numbering.within(df, ["g"], ["x"], "n").collect())
     assert got == sorted((g or "", x, x + 1) for g, x in rows)
-    assert numbering.within(df.where("false"), ["g"], ["x"], "n").count() == 0
+    ends = numbering.within(df, ["g"], ["x"], "n", "last").where("last").select("g", "n").collect()
+    sizes = {"hot": 5000, None: 3000, "a": 5, "z": 5} | {f"one{i}": 1 for i in range(50)}
+    assert len(ends) == len(sizes) and dict(map(tuple, ends)) == sizes
+    assert numbering.within(df.where("false"), ["g"], ["x"], "n", "last").count() == 0
+
+
+def test_partial_types_of_a_hot_id(spark, small_parts):
+    from symdex.operators import references
+
+    rows = [("hot", f"f{i:05d}", i) for i in range(4000)] + [("two", "a", 1), ("two", "b", 2), ("one", "a", 3), (None, "a", 4), (None, "b", 4)]
+    got = references.partial_types(spark.createDataFrame(rows, "id string, file string, offset int").repartition(4)).collect()
+    assert sorted((r["id"] or "", r["file"], r["place"], r["anchor"]) for r in got) == sorted([("hot", f"f{i:05d}", i + 1, i == 0) for i in range(4000)] + [(x, f, n, n == 1) for x in ("two", "") for f, n in (("a", 1), ("b", 2))])
