@@ -68,16 +68,17 @@ def filter_class(spans: DataFrame) -> DataFrame:
 def fill_gaps(spans: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc, start, length, class) with a span of no class for every part between spans and before the end.
 
-    A gap lies after the end of the span before, not after the furthest end; overlaps leave none.
+    A gap lies after the end of the span before, not after the furthest end; overlaps leave none.  A document's end goes along as its last
+    row, so all is done in one pass over the spans of a document.
     """
-    w = Window.partitionBy("doc").orderBy("start", "seq")
-    end = F.col("start") + F.col("length")
-    own = spans.withColumn("end", end).withColumn("last", F.lag("end", 1, 0).over(w))
-    none = F.lit(None).cast("string").alias("class")
-    between = own.where("start > last").select("doc", F.col("last").alias("start"), (F.col("start") - F.col("last")).alias("length"), none)
-    ends = own.groupBy("doc").agg(F.max_by("end", F.struct("start", "seq")).alias("end"))
-    tails = documents.join(ends, "doc", "left").select("doc", F.coalesce("end", F.lit(0)).alias("start"), (F.col("n") - F.coalesce("end", F.lit(0))).alias("length"), none)
-    return spans.select("doc", "start", "length", "class").unionByName(between).unionByName(tails.where("length > 0"))
+    c = F.col
+    marks = documents.select("doc", c("n").alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("ends"))
+    own = spans.select("doc", "start", "length", "class", "seq", F.lit(False).alias("ends")).unionByName(marks)
+    last = F.lag(c("start") + c("length"), 1, 0).over(Window.partitionBy("doc").orderBy("ends", "start", "seq"))
+    part = lambda start, length, kind: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), kind.alias("class"))
+    gap = F.when(c("start") > c("last"), part(c("last"), c("start") - c("last"), F.lit(None).cast("string")))
+    both = F.array(F.when(~c("ends"), part(c("start"), c("length"), c("class"))), gap)
+    return own.withColumn("last", last).select("doc", F.explode(F.array_compact(both)).alias("x")).select("doc", "x.*")
 
 
 def drop_repeats(spans: DataFrame) -> DataFrame:
@@ -104,17 +105,20 @@ def distinct_points(spans: DataFrame) -> DataFrame:
 def split_intervals(spans: DataFrame) -> DataFrame:
     """Each span cut at every start or end of others that falls inside it; pieces that were cut are no longer semantic.
 
-    Points are numbered within a document.  A span learns the numbers of its start and end, and the numbers between them are its pieces, so
-    the work grows with the pieces and no span sees the points of its whole document.
+    seq names a span within its document.  Points are numbered within a document.  A span learns the numbers of its start and end, and the numbers
+    between them are its pieces, so the work grows with the pieces and no span sees the points of its whole document.
     """
-    w = Window.partitionBy("doc").orderBy("point")
-    points = distinct_points(spans).select("doc", "point", F.row_number().over(w).alias("i"), F.lead("point").over(w).alias("next"))
-    low = points.select("doc", F.col("point").alias("start"), F.col("i").alias("first"))
-    high = points.select("doc", F.col("point").alias("end"), F.col("i").alias("last"))
-    numbered = spans.withColumn("end", F.col("start") + F.col("length")).join(low, ["doc", "start"]).join(high, ["doc", "end"]).where("last > first")
-    each = numbered.withColumn("i", F.explode(F.expr("sequence(first, last - 1)"))).drop("start", "length", "end").join(points, ["doc", "i"])
-    length, whole = F.col("next") - F.col("point"), F.col("last") - F.col("first") == 1
-    return each.select("doc", "seq", (F.col("i") - F.col("first")).alias("piece"), F.col("point").alias("start"), length.alias("length"), "class", (F.col("semantic") & whole).alias("semantic"))
+    c = F.col
+    at = lambda point, ends: F.struct(point.cast("long").alias("point"), F.lit(ends).alias("ends"))
+    each = spans.select("doc", "seq", "class", "semantic", F.explode(F.array(at(c("start"), False), at(c("start") + c("length"), True))).alias("x"))
+    ranked = each.select("doc", "seq", "class", "semantic", "x.*").withColumn("i", F.dense_rank().over(Window.partitionBy("doc").orderBy("point")))
+    numbered = ranked.groupBy("doc", "seq").agg(
+        F.max(F.when(~c("ends"), c("i"))).alias("first"), F.max(F.when(c("ends"), c("i"))).alias("last"), F.first("class").alias("class"), F.first("semantic").alias("semantic")
+    )
+    points = ranked.groupBy("doc", "i").agg(F.first("point").alias("point")).withColumn("next", F.lead("point").over(Window.partitionBy("doc").orderBy("i")))
+    pieces = numbered.where("last > first").withColumn("i", F.explode(F.expr("sequence(first, last - 1)"))).join(points, ["doc", "i"])
+    length, whole = c("next") - c("point"), c("last") - c("first") == 1
+    return pieces.select("doc", "seq", (c("i") - c("first")).alias("piece"), c("point").alias("start"), length.alias("length"), "class", (c("semantic") & whole).alias("semantic"))
 
 
 def _better(a: Column, b: Column) -> Column:
