@@ -20,8 +20,8 @@ def preorder(nodes: DataFrame, path: str = "path") -> DataFrame:
     """
     from .numbering import dense
 
-    size = nodes.select(F.explode(prefixes(F.col(path))).alias("__above")).groupBy("__above").agg(F.count("*").alias("size"))
-    placed = dense(nodes.withColumn("depth", F.size(path)), [path], "place")
+    placed = dense(nodes.withColumn("depth", F.size(path)), [path], "place")  # written, so the nodes aren't made again for the sizes
+    size = placed.select(F.explode(prefixes(F.col(path))).alias("__above")).groupBy("__above").agg(F.count("*").alias("size"))
     return placed.join(size, F.col(path) == F.col("__above")).drop("__above")
 
 
@@ -44,10 +44,11 @@ def namespace_tree(types: DataFrame) -> DataFrame:
     leaf = c("i") == c("n") - 1
     each = each.select(F.transform("names", fold_case).alias("key"), F.struct("seq", "i").alias("at"), F.when(leaf, F.concat(F.lit("{"), last)).otherwise(last).alias("title"), F.when(leaf, F.struct("seq", "id")).alias("type"))
     nodes = each.groupBy("key").agg(F.min_by("title", "at").alias("title"), F.max("type").alias("type"))
-    own = nodes.select(c("key").alias("of"), fold_case(c("title")).alias("sort_key"))
+    own = nodes.select(c("key").alias("of"), fold_case(c("title")).alias("sort_key"), "title", "type")
     steps = nodes.select("key", F.posexplode(prefixes(c("key"))).alias("i", "above")).join(own, c("above") == c("of"))
-    paths = steps.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sort_key"))), lambda s: s["sort_key"]).alias("path"))
-    return preorder(nodes.join(paths, "key")).select("place", "depth", "size", "title", c("type.id").alias("type_id"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("i", "sort_key"))), lambda s: s["sort_key"])
+    paths = steps.groupBy("key").agg(path.alias("path"), F.max_by(F.struct("title", "type"), "i").alias("node"))
+    return preorder(paths.select("path", "node.*")).select("place", "depth", "size", "title", c("type.id").alias("type_id"))
 
 
 def solution_explorer(projects: DataFrame, documents: DataFrame) -> DataFrame:
