@@ -93,12 +93,24 @@ def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return found
 
 
-def passes(q: Callable[[str], Column]) -> Column:
-    """Whether a decoded symbol passes all filters of a query's interpretation; q: its column of a name."""
+def passes(q: Callable[[str], Column], empty: frozenset[str] = frozenset()) -> Column:
+    """Whether a decoded symbol passes all filters of a query's interpretation; q: its column of a name.
+
+    empty: parts of the interpretation that are known to be empty; filters that have nothing else to go by are left out.
+    """
     c = F.col
-    out = ~q("verbatim") | (F.length("name") == F.length(q("core")))
-    out = out & filter_kind(c("kind"), q("kinds")) & filter_path(c("project_path"), q("paths"))
-    return out & filter_words(c("name"), c("assembly_name"), c("project_path"), q("words")) & filter_dotted(c("assembly_name"), c("description"), q("namespace"), q("dotted"))
+    filters = (
+        ({"verbatim"}, lambda: ~q("verbatim") | (F.length("name") == F.length(q("core")))),
+        ({"kinds"}, lambda: filter_kind(c("kind"), q("kinds"))),
+        ({"paths"}, lambda: filter_path(c("project_path"), q("paths"))),
+        ({"words"}, lambda: filter_words(c("name"), c("assembly_name"), c("project_path"), q("words"))),
+        ({"dotted", "namespace"}, lambda: filter_dotted(c("assembly_name"), c("description"), q("namespace"), q("dotted"))),
+    )
+    out = F.lit(True)
+    for parts, test in filters:
+        if not parts <= empty:
+            out = out & test()
+    return out
 
 
 def hits_without_core(decoded: DataFrame, queries: DataFrame) -> DataFrame:
@@ -128,18 +140,23 @@ def find_symbols(symbols: DataFrame, assemblies: DataFrame, queries: DataFrame,
 
 def ranked(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Adds match_level, kind_rank, weight and rank (from 1) within each query."""
+    return _placed(weighed(hits), by)
+
+
+def weighed(hits: DataFrame) -> DataFrame:
+    """Adds match_level, kind_rank and weight."""
     c = F.col
     hits = hits.withColumn("match_level", match_level(c("name"), c("core"))).withColumn("kind_rank", kind_rank(c("kind")))
-    hits = hits.withColumn("weight", weight(c("match_level"), c("kind_rank")))
-    order = Window.partitionBy(*by).orderBy(*ORDER)
-    return hits.withColumn("rank", F.row_number().over(order))
+    return hits.withColumn("weight", weight(c("match_level"), c("kind_rank")))
+
+
+def _placed(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*ORDER)))
 
 
 def ranked_range(hits: DataFrame) -> DataFrame:
     """The same for the hits of one query, of which there may be any number: sorted by ranges and numbered on from range to range."""
-    c = F.col
-    hits = hits.withColumn("match_level", match_level(c("name"), c("core"))).withColumn("kind_rank", kind_rank(c("kind")))
-    return dense(hits.withColumn("weight", weight(c("match_level"), c("kind_rank"))), [*ORDER], "rank").withColumn("rank", c("rank") + 1)
+    return dense(weighed(hits), [*ORDER], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def potential_raw(symbols: DataFrame, queries: DataFrame) -> DataFrame:
@@ -227,20 +244,24 @@ def search(symbols: DataFrame, assemblies: DataFrame, text: str, most: int = MOS
     """One query, from its text to ranked symbols.
 
     Its interpretations (a few) are made on the driver, so that each core is a literal prefix in the scan of the symbols and each cut is a
-    top-k, without a join with the queries.
+    top-k, without a join with the queries.  Assemblies are joined with the cut, and before it only where a filter asks for them.
     """
     spark = symbols.sparkSession
     readings = querylang.parsed(querylang.rows(spark, text))
-    kinds = dict(readings.dtypes)
+    types = dict(readings.dtypes)
     found = None
     for r in readings.collect():
-        literal = {k: _literal(r[k], kinds[k]) for k in kinds}
-        hits = decode(prefix_search(symbols, r["core"]), assemblies).withColumns(literal)
-        hits = hits.where(passes(F.col)).orderBy("pos").limit(most)
+        empty = frozenset(k for k in types if not r[k])
+        early = not {"paths", "words", "dotted", "namespace"} <= empty
+        hits = prefix_search(symbols, r["core"])
+        hits = decode(hits, assemblies) if early else hits.withColumn("kind", glyph_to_kind(F.col("glyph")))
+        hits = weighed(hits.withColumns({k: _literal(r[k], types[k]) for k in types}).where(passes(F.col, empty)))
+        hits = hits.orderBy("pos").limit(most)
+        hits = hits if early else decode(hits, assemblies)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = decode(symbols, assemblies).withColumns({k: F.lit(None).cast(t) for k, t in kinds.items()}).limit(0)
-    return ranked(found).orderBy("rank")
+        found = weighed(decode(symbols, assemblies).withColumns({k: F.lit(None).cast(t) for k, t in types.items()})).limit(0)
+    return _placed(found).orderBy("rank")
 
 
 def _literal(value, kind: str) -> Column:

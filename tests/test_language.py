@@ -130,3 +130,16 @@ def test_serving_table_is_written_once(spark, tmp_path):
     assert sorted(first) == sorted(again)
     plan = search.prefix_search(binding.symbols(spark, data), "cold")._jdf.queryExecution().toString()
     assert "StringStartsWith(name_key,COLD)" in plan and "Exchange" not in plan
+
+
+def test_cut_of_a_search(spark):
+    """The cut is a top-k of each partition, whether a filter asks for assemblies or not, and both ways give the same rows."""
+    rows = [(i, f"Name{i:04d}", f"NAME{i:04d}", i % 3, 0 if i % 2 else 72, "A.n") for i in range(400)]
+    symbols = spark.createDataFrame(rows, "pos long, name string, name_key string, assembly_number int, glyph int, description string").repartition(4)
+    assemblies = spark.createDataFrame([(i, f"lib{i}", f"src\\p{i}") for i in range(2)], "pos int, assembly_name string, project_path string")
+    plain, filtered, kind = (search.search(symbols, assemblies, q) for q in ("name", "name lib1", "name class"))
+    for df in (plain, filtered, kind):
+        assert "TakeOrderedAndProject" in df._jdf.queryExecution().toString()
+    assert [(r["pos"], r["assembly_name"]) for r in plain.orderBy("pos").collect()] == [(i, f"lib{i % 3}" if i % 3 < 2 else None) for i in range(100)]
+    assert sorted(r["pos"] for r in filtered.where("core = 'name'").collect()) == [i for i in range(400) if i % 3 == 1][:100]
+    assert sorted(r["pos"] for r in kind.collect()) == [i for i in range(400) if i % 2][:100]
