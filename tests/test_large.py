@@ -34,3 +34,26 @@ def test_redirect_client_of_ids_that_begin_alike(spark, tmp_path):
     parts = spark.read.parquet(f"{SMALL}/part.parquet").limit(1).selectExpr("135365L AS p_partkey", "* EXCEPT (p_partkey)")
     found = registry.queries()["redirect_client"](spark, beside(tmp_path, lineitem=lines, part=parts)).collect()
     assert [r["target"] for r in found] == [f"P/{r['id']}" for r in found] and len(found) == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["split_intervals", "resolve_overlaps", "prepare_ranges", "fill_gaps_dedup", "distinct_points", "merge_islands", "concat_ranges"])
+def test_spans_stay_where_their_texts_are_dealt(spark, name):
+    """Neither spans nor pieces are shuffled, joined or broadcast, so no part of them grows with the table."""
+    p = plan(registry.queries()[name](spark, SMALL))
+    assert "Join" not in p and "Broadcast" not in p
+    assert p.count("Exchange") == p.count("REPARTITION_BY_NUM") > 0
+
+
+def test_pieces_of_nested_empty_and_far_spans(spark):
+    from symdex.operators import spans as sp
+
+    rows = [(1, 0, 0, 10), (1, 1, 2, 0), (1, 2, 4, 3), (1, 3, 4, 3), (1, 4, 20, 5), (2, 0, 2, 2)]
+    found = sp.split_intervals(spark.createDataFrame([(*r, "c", True) for r in rows], "doc long, seq long, start long, length long, class string, semantic boolean"))
+    ends = {d: sorted({p for e, _, s, n in rows if e == d for p in (s, s + n)}) for d in (1, 2)}
+    want = {(d, q, i, a, b - a) for d, q, s, n in rows for i, (a, b) in enumerate((a, b) for a, b in zip(ends[d], ends[d][1:]) if s <= a and b <= s + n)}
+    assert {tuple(r)[:5] for r in found.collect()} == want
+    assert {(r["doc"], r["seq"]) for r in found.where("semantic").collect()} == {(1, 2), (1, 3), (1, 4), (2, 0)}
