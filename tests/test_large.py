@@ -57,3 +57,15 @@ def test_pieces_of_nested_empty_and_far_spans(spark):
     want = {(d, q, i, a, b - a) for d, q, s, n in rows for i, (a, b) in enumerate((a, b) for a, b in zip(ends[d], ends[d][1:]) if s <= a and b <= s + n)}
     assert {tuple(r)[:5] for r in found.collect()} == want
     assert {(r["doc"], r["seq"]) for r in found.where("semantic").collect()} == {(1, 2), (1, 3), (1, 4), (2, 0)}
+
+
+def test_chunks_of_pages_meet_their_text_once(spark):
+    """Pieces become one row a chunk before they meet their text, which is never broadcast, and documents stay where they are dealt."""
+    from symdex.operators import spans as sp
+
+    docs = spark.createDataFrame([(1, "ab<de" * 3), (2, "")], "doc long, text string").repartition(4, "doc")
+    pieces = spark.createDataFrame([(1, 0, 4, None), (1, 4, 9, "k"), (1, 13, 2, "i"), (1, 40, 2, "x")], "doc long, start long, length long, class string").repartition(4, "doc")
+    found = sp.html_chunks(pieces, docs, 6)
+    p = plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 'ab&lt;d<span class="k">ea'), (1, 1, "b&lt;deab"), (1, 2, '&lt;</span><span class="i">de</span>')]
+    assert "Broadcast" not in p and p.count("Exchange") == p.count("REPARTITION_BY_NUM") == 2
