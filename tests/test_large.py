@@ -69,3 +69,22 @@ def test_chunks_of_pages_meet_their_text_once(spark):
     p = plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 'ab&lt;d<span class="k">ea'), (1, 1, "b&lt;deab"), (1, 2, '&lt;</span><span class="i">de</span>')]
     assert "Broadcast" not in p and p.count("Exchange") == p.count("REPARTITION_BY_NUM") == 2
+
+
+def test_xml_pipeline_runs_without_python(spark):
+    p = plan(registry.queries()["xml_pipeline"](spark, SMALL))
+    assert "Python" not in p and "Pandas" not in p and "Broadcast" not in p
+    assert p.count("Exchange") == p.count("REPARTITION_BY_NUM") > 0
+
+
+def test_xml_pages_of_spans_over_blocks(spark):
+    from symdex.operators import frontends as fe
+
+    text = "é<b>" * 700
+    spans = [(1, 0, 0, 3, "XmlName"), (1, 1, 511, 2, "XmlName"), (1, 2, 1000, 1500, "XmlComment"), (1, 3, 2799, 1, "XmlName")]
+    found = fe.xml_pages(spark.createDataFrame(spans, "doc long, seq long, start long, length long, class string"), spark.createDataFrame([(1, text), (2, ""), (3, "a&b")], "doc long, text string"))
+    safe = lambda t: t.replace("<", "&lt;").replace(">", "&gt;")
+    want, at = "", 0
+    for _, _, s, n, k in spans:
+        want, at = want + safe(text[at:s]) + f'<span class="{fe.XML_MARKS[k]}">{safe(text[s : s + n])}</span>', s + n
+    assert dict(map(tuple, found.collect())) == {1: want, 2: "", 3: "a&amp;b"}
