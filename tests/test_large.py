@@ -88,3 +88,17 @@ def test_xml_pages_of_spans_over_blocks(spark):
     for _, _, s, n, k in spans:
         want, at = want + safe(text[at:s]) + f'<span class="{fe.XML_MARKS[k]}">{safe(text[s : s + n])}</span>', s + n
     assert dict(map(tuple, found.collect())) == {1: want, 2: "", 3: "a&amp;b"}
+
+
+def test_line_of_a_long_text(spark):
+    """A line of a million letters takes no time that grows with its square."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from symdex.functions import text
+
+    df = spark.createDataFrame([("ab\r\n" + "x" * 1_000_000 + "\ry", 900_000), ("ab\ncd", 1), ("a\rbc\nd", 3), ("", 0)], "t string, p int")
+    began = time.time()
+    got = [tuple(r["l"]) for r in df.select(text.line_from_position(F.col("t"), F.col("p")).alias("l")).collect()]
+    assert got == [(4, 1_000_000), (0, 2), (2, 2), (0, 0)] and time.time() - began < 30
