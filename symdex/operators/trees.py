@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symdex.functions.text import fold_case
+from symdex.sources.storage import stored
+
+
+#: Nodes below one from which it is found by a broadcast.
+CROWD = 50_000
 
 
 def prefixes(parts: Column) -> Column:
@@ -30,7 +35,7 @@ def _sort_key(kind: Column | str, name: Column) -> Column:
     return F.concat(F.lit(kind) if isinstance(kind, str) else kind, fold_case(name))
 
 
-def namespace_tree(types: DataFrame) -> DataFrame:
+def namespace_tree(types: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(place, depth, size, title, type_id) of namespaces and types in the order of their tree.
 
     types: namespace, name, id, seq.  A type and a namespace of one name, whatever the case, are one node; the first that needs the node gives it its title, a
@@ -43,11 +48,18 @@ def namespace_tree(types: DataFrame) -> DataFrame:
     last = F.element_at("names", -1)
     leaf = c("i") == c("n") - 1
     each = each.select(F.transform("names", fold_case).alias("key"), F.struct("seq", "i").alias("at"), F.when(leaf, F.concat(F.lit("{"), last)).otherwise(last).alias("title"), F.when(leaf, F.struct("seq", "id")).alias("type"))
-    nodes = each.groupBy("key").agg(F.min_by("title", "at").alias("title"), F.max("type").alias("type"))
+    nodes = stored(each.groupBy("key").agg(F.min_by("title", "at").alias("title"), F.max("type").alias("type")), "nodes")
     own = nodes.select(c("key").alias("of"), fold_case(c("title")).alias("sort_key"), "title", "type")
-    steps = nodes.select("key", F.posexplode(prefixes(c("key"))).alias("i", "above")).join(own, c("above") == c("of"))
+    # A node has its own title at hand.  The few that very many nodes lie below are broadcast, as each of them would be one task's; the others are joined.
+    above = nodes.select("key", F.posexplode(prefixes(F.slice("key", F.lit(1), F.size("key") - 1))).alias("i", "above"))
+    many = above.groupBy("above").agg(F.count("*").alias("n")).where(c("n") > crowd)
+    top = own.join(many, c("of") == c("above"), "left_semi").select("of", "sort_key")
+    met = above.join(F.broadcast(top), c("above") == c("of"), "left")
+    rest = met.where("of is null").select("key", "i", "above").join(own.select("of", "sort_key").hint("merge"), c("above") == c("of"))
+    steps = met.where("of is not null").select("key", "i", "sort_key", F.lit(None).alias("node")).unionByName(rest.select("key", "i", "sort_key", F.lit(None).alias("node")))
+    steps = steps.unionByName(own.select(c("of").alias("key"), (F.size("of") - 1).alias("i"), "sort_key", F.struct("title", "type").alias("node")))
     path = F.transform(F.array_sort(F.collect_list(F.struct("i", "sort_key"))), lambda s: s["sort_key"])
-    paths = steps.groupBy("key").agg(path.alias("path"), F.max_by(F.struct("title", "type"), "i").alias("node"))
+    paths = steps.groupBy("key").agg(path.alias("path"), F.max_by("node", "i").alias("node"))
     return preorder(paths.select("path", "node.*")).select("place", "depth", "size", "title", c("type.id").alias("type_id"))
 
 
