@@ -22,7 +22,10 @@ def tokens(query: Column) -> Column:
 
 def classified(query: Column) -> Column:
     """struct(kinds, paths, dotted, names)."""
-    t = tokens(query)
+    return F.get(F.transform(F.array(tokens(query)), _classes), F.lit(0))  # terms are made once
+
+
+def _classes(t: Column) -> Column:
     kind = lambda x: x.isin(*KINDS)
     path = lambda x: ~kind(x) & x.contains("\\")
     new = lambda p: F.array_distinct(F.filter(t, p))

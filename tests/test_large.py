@@ -71,6 +71,12 @@ def test_chunks_of_pages_meet_their_text_once(spark):
     assert "Broadcast" not in p and p.count("Exchange") == p.count("REPARTITION_BY_NUM") == 2
 
 
+def test_interpret_short_rows_are_dealt(spark):
+    for name in ("interpret_names", "interpret_accessor", "msbuild_refs", "project_items", "scan_slnx"):
+        p = plan(registry.queries()[name](spark, SMALL))
+        assert p.count("Exchange") == p.count("REPARTITION_BY_NUM") == 1, name
+
+
 def test_merge_occurrences_shuffles_texts_only(spark):
     p = plan(registry.queries()["merge_occurrences"](spark, SMALL))
     assert p.count("Exchange") == p.count("REPARTITION_BY_NUM") and "Broadcast" not in p
@@ -107,3 +113,12 @@ def test_line_of_a_long_text(spark):
     began = time.time()
     got = [tuple(r["l"]) for r in df.select(text.line_from_position(F.col("t"), F.col("p")).alias("l")).collect()]
     assert got == [(4, 1_000_000), (0, 2), (2, 2), (0, 0)] and time.time() - began < 30
+
+
+def test_namespace_tree_with_crowded_nodes(spark):
+    from symdex.operators import trees
+
+    rows = [(ns, f"T{i}", str(i), i) for i, ns in enumerate(["a", "A.b", "a.B.c", "", "a.b", "x.y"] * 5)] + [("a.T0", "in", "q", 99)]
+    types = spark.createDataFrame(rows, "namespace string, name string, id string, seq long")
+    tree = [sorted(map(tuple, trees.namespace_tree(types, crowd).collect())) for crowd in (1, 8, 50_000)]
+    assert tree[0] == tree[1] == tree[2] and len(tree[0]) == 30 + 5 + 1 + 0
