@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from symdex.operators import chains, graph, positions, references as rf, trees
 from symdex.sources import buildfiles, legacy, snapshots, storage
 
-from .binding import ASM, KEYED, REFS, SYM, assemblies, fences, keyed_assemblies, long, query, references, symbols, table
+from .binding import ASM, KEYED, REFS, SHORT, SYM, assemblies, dealt, fences, keyed_assemblies, long, query, references, symbols, table
 
 c = F.col
 
@@ -131,7 +131,7 @@ def namespace_tree(spark, d):
     """Some namespaces have the name of a type, and names differ in their case."""
     k, plain, brand = c("p_partkey"), F.replace(c("p_name"), F.lit(" "), F.lit("")), F.replace(c("p_brand"), F.lit("#"), F.lit("."))
     ns = F.when(k % 5 == 0, F.concat(brand, F.lit("."), plain)).when(c("p_size") % 2 == 0, F.concat(F.lower(brand), F.lit("..Sub"))).otherwise(brand)
-    types = table(spark, d, "part").select(ns.alias("namespace"), F.when(k % 11 == 0, F.lower("p_type")).otherwise(plain).alias("name"), k.cast("string").alias("id"), k.alias("seq"))
+    types = dealt(spark, d, "part", table(spark, d, "part"), "p_partkey", part=SHORT).select(ns.alias("namespace"), F.when(k % 11 == 0, F.lower("p_type")).otherwise(plain).alias("name"), k.cast("string").alias("id"), k.alias("seq"))
     return trees.namespace_tree(types).withColumn("depth", long("depth"))
 
 
