@@ -11,7 +11,6 @@ wherever they are.
 from __future__ import annotations
 
 import os
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,88 +24,181 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .support import id_and_text, in_batches
-from .tokens import buffers
+from .tokens import buffers, runs
 
 #: Ids of a shard (or one document, if that has more).
 SHARD_IDS = 1 << 20
 #: A pair becomes a rule if it occurs so often, the most frequent ones (so many at a time) first, until no pair does.
 LEAST, RULES = 16, 4096
-#: Words that a worker remembers, as written, and in lower case without a mark.
-REMEMBERED, CORES = 900_000, 1_000_000
+#: Pieces of text that a worker remembers, twice: those met lately, and those met before them.
+REMEMBERED = 800_000
+#: Bytes of text that are cut together; one document is never cut, whatever its length.
+CUT_BYTES = 8 << 20
+#: Words that the model gets at once.
+WORDS = 4_096
 _BUCKETS = 20
 
 SHARD = "part int, start long, n_ids long, doc_ids binary, lengths binary, symbol_counts binary, rule_left binary, rule_right binary, expansions binary, width byte, symbols binary, base int"
 
 
-_PACK = [struct.Struct(f"<{n}I") for n in range(65)]
-
-
 def ends_as_letter(letter: str) -> bool:
     """Whether a letter still ends with one when it is composed and lower-cased; some become a letter and a mark."""
     return letter.isalpha() and unicodedata.normalize("NFC", letter).lower()[-1].isalpha()
 
 
-class _Words(dict):
-    """ids of the words between white space, as little-endian bytes."""
+_SPACE, _LETTER, _DIGIT, _OTHER, _APOSTROPHE, _ODD = range(6)
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, _ODD, np.uint8)
+    kind[[0x20, *range(0x09, 0x0E)]] = _SPACE
+    kind[0x21:0x7F] = _OTHER
+    kind[0x30:0x3A] = _DIGIT
+    kind[0x41:0x5B] = kind[0x61:0x7B] = _LETTER
+    kind[0x27] = _APOSTROPHE
+    return kind
+
+
+def _opens() -> np.ndarray:
+    """Whether a piece starts at a byte, by 8 * the kind of the byte before it + its own kind.
+
+    The splitter keeps runs of letters, single digits and runs of what is neither, and nothing composes with a printable ASCII character after it. An apostrophe
+    may belong to the letters after it.
+    """
+    opens = np.zeros(64, bool)
+    opens[[8 * _SPACE + k for k in range(1, 6)]] = True
+    opens[[8 * _LETTER + k for k in (_DIGIT, _OTHER, _APOSTROPHE)]] = True
+    opens[[8 * _DIGIT + k for k in (_LETTER, _DIGIT, _OTHER, _APOSTROPHE)]] = True
+    opens[[8 * _OTHER + k for k in (_LETTER, _DIGIT)]] = True
+    opens[8 * _APOSTROPHE + _DIGIT] = True
+    return opens
+
+
+def _letters_of_two_bytes() -> np.ndarray:
+    """Whether 256 * first byte + second byte is a letter after which a digit or mark starts a piece."""
+    letter = np.zeros(1 << 16, bool)
+    for c in map(chr, range(0x80, 0x800)):
+        a, b = c.encode()
+        letter[a << 8 | b] = ends_as_letter(c)
+    return letter
+
+
+_KIND, _OPENS, _TWO_BYTES = _kinds(), _opens(), _letters_of_two_bytes()
+
+
+class _Words:
+    """ids of texts.
+
+    Texts are cut, many at a time, into pieces that the tokenizer encodes by themselves.  Each different piece is encoded once and remembered.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.shown = [letter for letter, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
-        self.cores: dict[bytes, bytes] = {}
-        self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
+        # the same model, for words that need no normalizer and no splitter
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.shown = np.zeros(256, "<u4")
+        for letter, b in byte_letters().items():
+            self.shown[b] = ord(letter) if b != 0x20 else b
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.late: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def core(self, word: bytes) -> bytes:
-        """ids of a word without mark.
-
-        One made of letters alone is only lower-cased by the tokenizer's normalizer and not cut by its splitter, so the model gets it at once.
-        """
-        text = word.decode()
-        if not word.isalpha():  # for bytes: ASCII letters
+    def model_ids(self, lower: list[bytes]) -> list[bytes]:
+        """ids of words of letters alone in lower case, which neither the normalizer nor the splitter changes."""
+        out = []
+        for i in range(0, len(lower), WORDS):
+            some = lower[i : i + WORDS]
+            joined = self.shown[np.frombuffer(b" ".join(some), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # a vocabulary that doesn't mark the last token of a word
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.plain.encode_batch_fast(joined.split(" "), add_special_tokens=False)]
+        return out
+
+    def learned(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of pieces that aren't remembered."""
+        found: list[bytes] = [b""] * len(pieces)
+        at, lower = [], []
+        for i, piece in enumerate(pieces):
+            if piece.isalpha():  # for bytes: ASCII letters
+                at.append(i)
+                lower.append(piece.lower())
+                continue
+            text = piece.decode()
             low = text.lower()  # differs from lower-casing letter by letter for a final sigma alone
-            if not (text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
-                return self.whole(text)
-            text = "".join(map(self.shown.__getitem__, low.encode()))
-        ids = [t.id for t in self.model.tokenize(text)]
-        return _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        # the tokenizer composes, lower-cases, and cuts a full stop or comma from a letter or an ASCII digit before it
-        mark = self.marks.get(word[-1:])
-        if mark is not None and (word[-2:-1].isalnum() or (word[-2:-1] >= b"\x80" and ends_as_letter(word.decode()[-2]))):
-            core = word[:-1]
-        else:
-            core, mark = word, None
-        if core.isascii():
-            core = core.lower()
-        ids = self.cores.get(core)
-        if ids is None:
-            if len(self.cores) >= CORES:
-                self.cores.clear()
-            ids = self.core(core)
-            if len(core) <= 64:
-                self.cores[core] = ids
-        if mark is not None:
-            ids += mark
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            if text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+                at.append(i)
+                lower.append(low.encode())
+            else:
+                found[i] = self.whole(text)
+        for i, ids in zip(at, self.model_ids(lower), strict=True):
+            found[i] = ids
+        return found
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of different pieces, as little-endian bytes."""
+        if len(self.late) >= REMEMBERED:
+            self.late, self.before = {}, self.late
+        found = list(map(self.late.get, pieces))
+        for remembered in (self.before.get, None):
+            at = [i for i, ids in enumerate(found) if ids is None]
+            new = [pieces[i] for i in at]
+            got = list(map(remembered, new)) if remembered else self.learned(new)
+            for i, piece, ids in zip(at, new, got, strict=True):
+                if ids is not None:
+                    found[i] = ids
+                    if len(piece) <= 64:
+                        self.late[piece] = ids
+        return found
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:  # may hold a special token, which is found before lower-casing
-            return self.whole(text.decode())
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.encode_all(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each text) of texts that stand one after the other, each followed by ``end``."""
+        n = len(data)
+        kind = np.zeros(n + 1, np.uint8)
+        kind[1:] = _KIND[data]
+        # a text with what may be a special token, which is found before lower-casing, isn't cut
+        tokens = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        uncut = np.unique(np.searchsorted(offsets, tokens, "right") - 1)
+        for k in uncut.tolist():
+            kind[offsets[k] + 1 : offsets[k + 1] + 1] = _SPACE
+        own = kind[1:]
+        opens = _OPENS[(kind[:-1] << 3) | own]
+        at = np.flatnonzero((kind[:-1] == _ODD) & (own >= _DIGIT) & (own <= _APOSTROPHE))
+        at = at[at > 1]
+        opens[at] = _TWO_BYTES[data[at - 2].astype(np.int64) << 8 | data[at - 1]]
+        firsts = offsets[:-1][offsets[:-1] < n]
+        opens[firsts] = own[firsts] != _SPACE
+        inside = own != _SPACE
+        edges = np.append(np.flatnonzero(opens[inside]), np.count_nonzero(inside)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data[inside])]).dictionary_encode()
+        raw, places = buffers(pieces.dictionary)
+        raw, places = raw.tobytes(), places.tolist()
+        found = self.ids_of([raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)])
+        close = np.full(len(offsets) - 1, len(found), np.int32)
+        close[uncut] += np.arange(1, len(uncut) + 1, dtype=np.int32)
+        found.append(end)
+        found += [self.whole(data[offsets[k] : offsets[k + 1]].tobytes().decode()) + end for k in uncut.tolist()]
+        stop = np.searchsorted(np.flatnonzero(opens), offsets[1:])
+        codes = np.insert(pieces.indices.to_numpy(), stop, close)
+        raw, places = buffers(pa.array(found, pa.binary()).take(pa.array(codes)))
+        return raw.view("<u4"), np.diff(places[np.r_[0, stop + np.arange(1, len(stop) + 1)]]) // 4
 
 
 @lru_cache(4)
@@ -203,12 +295,12 @@ def encoded_shards(documents: DataFrame, path: str, end_id: int) -> DataFrame:
         base = seen.tokenizer.get_vocab_size(with_added_tokens=True)
         end, part, start = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         ids: list[int] = []
-        data: list[bytes] = []
+        data: list[np.ndarray] = []
         held = 0
 
         def shard() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in data], np.int64)
-            left, right, expansions, symbols, counts = compress(np.frombuffer(b"".join(data), "<u4"), lengths, base)
+            lengths = np.array([len(x) for x in data], np.int64)
+            left, right, expansions, symbols, counts = compress(np.concatenate(data), lengths, base)
             width = 2 if base + len(left) <= 1 << 16 else 3
             packed = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
             columns = [part, start, int(lengths.sum()), np.array(ids, "<i8").tobytes(), lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), expansions.astype("<u4").tobytes(), width, packed, base]
@@ -217,17 +309,19 @@ def encoded_shards(documents: DataFrame, path: str, end_id: int) -> DataFrame:
 
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            raw = memoryview(raw)
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids.append(doc)
-                data.append(seen.encode(bytes(raw[a:b])) + end)
-                held += len(data[-1]) // 4
-                if held >= SHARD_IDS:
-                    yield shard()
-                    start += held
-                    held = 0
-                    ids.clear()
-                    data.clear()
+            docs = batch.column("doc_id").to_pylist()
+            for i, j in runs(offsets, CUT_BYTES):
+                encoded, lengths = seen.encode_all(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+                for doc, own in zip(docs[i:j], np.split(encoded, np.cumsum(lengths)[:-1]), strict=True):
+                    ids.append(doc)
+                    data.append(own)
+                    held += len(own)
+                    if held >= SHARD_IDS:
+                        yield shard()
+                        start += held
+                        held = 0
+                        ids.clear()
+                        data.clear()
         if ids:
             yield shard()
 

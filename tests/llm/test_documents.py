@@ -601,3 +601,34 @@ def test_ids_of_odd_letters_before_marks():
     want = seen.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     wrong = [t for t, w in zip(texts, want, strict=True) if np.frombuffer(seen.encode(t.encode()), "<u4").tolist() != w.ids]
     assert not wrong, (len(wrong), sorted(wrong, key=len)[:20])
+
+
+def test_token_files_encode_each_piece_once(monkeypatch):
+    """Texts are cut into pieces that the tokenizer encodes by themselves, so a word costs one call with whatever marks, junk or digits it stands."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(22)
+    bits = [*"aBz09.,!$#'<|>@_-", "'s", "'t", "'re", "'LL", "***", "12", " ", "  ", "\n", "\x1c", "\x7f", "é", "É", "ñ", "İ", "ß", "Σ", "ж", "\u0301", "\u030c", "\u0338", "\u0345", "\xa0", "中", "😀", "<|endoftext|>", "<|x", "J", "=", "word", "Straße"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(30_000)] + ["", " ", "x", ".", "é.", "<|", "|", "<", "|"]
+    monkeypatch.setattr(token_files, "REMEMBERED", 2_000)
+    monkeypatch.setattr(token_files, "WORDS", 7)
+    seen = token_files._Words(path)
+    want = [x.ids for x in seen.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    data = [t.encode() for t in texts]
+    for step in (len(texts), 97):
+        got = []
+        for i in range(0, len(texts), step):
+            some = data[i : i + step]
+            ids, lengths = seen.encode_all(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]), b"\1\0\0\0")
+            assert lengths.sum() == len(ids)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        wrong = [t for t, g, w in zip(texts, got, want, strict=True) if g != [*w, 1]]
+        assert not wrong, (len(wrong), sorted(wrong, key=len)[:20])
+    assert len(seen.late) < 2_000 + 97 * 12 and seen.before
+
+    seen = token_files._Words(path)
+    asked: list[bytes] = []
+    learned = seen.learned
+    monkeypatch.setattr(seen, "learned", lambda pieces: asked.extend(pieces) or learned(pieces))
+    text = b"tegelamo tegelamo. tegelamo,tegelamo$$$ tegelamo12 12tegelamo!! (tegelamo) 21.tegelamo r\xc3\xa9r\xc3\xa9 r\xc3\xa9r\xc3\xa9. r\xc3\xa9r\xc3\xa9###"
+    assert seen.encode(text) == seen.whole(text.decode())
+    assert sorted(asked) == sorted([b"tegelamo", b".", b",", b"$$$", b"1", b"2", b"!!", b"(", b")", b"r\xc3\xa9r\xc3\xa9", b"###"])
